@@ -9,8 +9,8 @@ import pyarrow as pa
 
 #: Bytes of text that are hashed at once; a longer text is taken alone.
 CHUNK_BYTES = 1 << 20
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -24,7 +24,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers(base: int, n: int) -> np.ndarray:
+def powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, base, np.uint64)
     out[0] = 1
     return np.cumprod(out, dtype=np.uint64)
@@ -38,16 +38,16 @@ class WordHasher:
     """
 
     def __init__(self) -> None:
-        self.up = self.down = _powers(_BASE, 1)
+        self.up = self.down = powers(BASE, 1)
         b = np.arange(256)
         self.blank = (b == 32) | ((b >= 9) & (b <= 13))
         self.value = (np.where((b >= 65) & (b <= 90), b + 32, b) + 1).astype(np.uint64)
 
-    def chunk(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of all words of texts laid end to end, and where each text's words end."""
+    def spans(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes of all words of texts laid end to end, and each word's first byte and end."""
         n = len(data)
         if n > len(self.up) - 1:
-            self.up, self.down = _powers(_BASE, n + 1), _powers(_INVERSE, n + 1)
+            self.up, self.down = powers(BASE, n + 1), powers(INVERSE, n + 1)
         solid = np.zeros(n + 1, bool)
         np.logical_not(self.blank[data], out=solid[:n])
         first = solid[:n].copy()
@@ -60,22 +60,32 @@ class WordHasher:
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(self.value[data] * self.up[:n], out=sums[1:])
         words = mix64((sums[stop] - sums[start]) * self.down[start] + (stop - start).astype(np.uint64))
+        return words, start, stop
+
+    def chunk(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all words of texts laid end to end, and where each text's words end."""
+        words, start, _ = self.spans(data, ends)
         return words, np.searchsorted(start, ends, side="left")
 
     def documents(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """Chunks of a column of texts: index of the first, word hashes, end of each text's words."""
-        texts = texts.cast(pa.large_string()).fill_null("")
-        if not len(texts):
-            return
-        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-        raw = texts.buffers()[2]
-        data = np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8)
-        at = 0
-        while at < len(texts):
-            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK_BYTES, side="right")) - 1)
-            words, ends = self.chunk(data[offsets[at] : offsets[to]], offsets[at + 1 : to + 1] - offsets[at])
-            yield at, words, ends
-            at = to
+        for at, data, ends in text_chunks(texts):
+            yield (at, *self.chunk(data, ends))
+
+
+def text_chunks(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """A column of texts in stretches of bytes: index of the first, bytes, end of each text in them."""
+    texts = texts.cast(pa.large_string()).fill_null("")
+    if not len(texts):
+        return
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = texts.buffers()[2]
+    data = np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8)
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK_BYTES, side="right")) - 1)
+        yield at, data[offsets[at] : offsets[to]], offsets[at + 1 : to + 1] - offsets[at]
+        at = to
 
 
 def shingles(words: np.ndarray, ends: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
