@@ -15,7 +15,7 @@ BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 TO_LOWER = str.maketrans(UPPER, LOWER)
 
-#: 64-bit words of a broadcast filter at most: 4 Mi rows, under 200 MB as a hash relation.
+#: 64-bit words of a broadcast filter at most, 64 to a row: 65,536 rows, under 40 MB.
 MAX_FILTER_WORDS = 1 << 22
 #: Keys with more than this share of the rows are hot; there can be 1000 of them at most.
 HOT_SHARE = 1000
@@ -44,30 +44,31 @@ def filter_slot(hashed: Column, words: int) -> tuple[Column, Column]:
     return hashed.bitwiseAND(F.lit(words - 1)), bit(40).bitwiseOR(bit(46)).bitwiseOR(bit(52))
 
 
-def prefilter(rows: DataFrame, row_key: str, keys: DataFrame, key: str, n_keys: int) -> DataFrame:
-    """The rows whose key may be among ``keys``: all that are, and few others.
+def test_filter(rows: DataFrame, hashed: Column, slots: DataFrame, words: int) -> DataFrame:
+    """``rows`` with ``_maybe``: whether the filter of the ``slots`` (_w, _m) may hold the hash.
 
-    The filter that is broadcast has ``MAX_FILTER_WORDS`` words at most, however many
-    keys there are; past its capacity it lets more rows through, never fewer.
+    What is broadcast has ``words`` 64-bit words at most, however many slots there are; past
+    its capacity it holds more hashes than it was given, never fewer.
     """
-    words = filter_words(n_keys)
-    word, mask = filter_slot(F.xxhash64(F.col(key)), words)
-    bits = keys.select(word.alias("_w"), mask.alias("_m")).groupBy("_w").agg(F.bit_or("_m").alias("_bits"))
-    word, mask = filter_slot(F.xxhash64(F.col(row_key)), words)
-    hit = rows.withColumns({"_w": word, "_m": mask}).join(F.broadcast(bits), "_w")
-    return hit.where(F.col("_bits").bitwiseAND(F.col("_m")) == F.col("_m")).select(*[F.col(f"`{c}`") for c in rows.columns])
+    merged = slots.groupBy("_w").agg(F.bit_or("_m").alias("_m")).groupBy(F.shiftright("_w", 6).alias("_b"))
+    found = merged.agg(F.map_from_entries(F.collect_list(F.struct(F.col("_w").bitwiseAND(F.lit(63)).cast("int"), "_m"))).alias("_map"))
+    bits = found.select("_b", F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.coalesce(F.try_element_at("_map", i), F.lit(0).cast("long"))).alias("_bits"))
+    word, mask = filter_slot(hashed, words)
+    names = [F.col(f"`{c}`") for c in rows.columns]
+    tested = rows.withColumns({"_w": word, "_m": mask}).withColumn("_b", F.shiftright("_w", 6)).join(F.broadcast(bits), "_b", "left")
+    held = F.get("_bits", F.col("_w").bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.col("_m")) == F.col("_m")
+    return tested.select(*names, F.coalesce(held, F.lit(False)).alias("_maybe"))
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, n_rows: int) -> DataFrame:
-    """``rows`` left-joined with ``groups`` (one row per key, with its number of rows).
+def key_slots(keys: DataFrame, key: str, words: int) -> DataFrame:
+    word, mask = filter_slot(F.xxhash64(F.col(key)), words)
+    return keys.select(word.alias("_w"), mask.alias("_m"))
 
-    Keys that hold over a thousandth of the rows, a thousand at most, are broadcast so
-    that their rows stay where they are; the others are shuffled, and no key fills a task.
-    """
-    hot = F.broadcast(groups.where(F.col(size) * HOT_SHARE > n_rows))
-    cold = groups.where(F.col(size) * HOT_SHARE <= n_rows)
-    tagged = rows.join(hot.select(key, F.lit(True).alias("_hot")), key, "left")
-    return tagged.where("_hot").drop("_hot").join(hot, key).unionByName(tagged.where("_hot is null").drop("_hot").join(cold, key, "left"))
+
+def prefilter(rows: DataFrame, row_key: str, keys: DataFrame, key: str, n_keys: int) -> DataFrame:
+    """The rows whose key may be among ``keys``: all that are, and few others."""
+    words = filter_words(n_keys)
+    return test_filter(rows, F.xxhash64(F.col(row_key)), key_slots(keys, key, words), words).where("_maybe").drop("_maybe")
 
 
 def drop_keys(docs: DataFrame, key: str, dropped: DataFrame, n_dropped: int) -> DataFrame:
@@ -77,12 +78,20 @@ def drop_keys(docs: DataFrame, key: str, dropped: DataFrame, n_dropped: int) ->
     shuffled to be compared exactly.
     """
     words = filter_words(n_dropped)
-    word, mask = filter_slot(F.xxhash64(F.col(key)), words)
-    bits = dropped.select(word.alias("_w"), mask.alias("_m")).groupBy("_w").agg(F.bit_or("_m").alias("_bits"))
-    tested = docs.withColumns({"_w": word, "_m": mask}).join(F.broadcast(bits), "_w", "left")
-    maybe = F.coalesce(F.col("_bits").bitwiseAND(F.col("_m")) == F.col("_m"), F.lit(False))
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    return tested.where(~maybe).select(*names).unionByName(tested.where(maybe).select(*names).join(dropped.select(key), key, "left_anti"))
+    tested = test_filter(docs, F.xxhash64(F.col(key)), key_slots(dropped, key, words), words)
+    return tested.where("not _maybe").drop("_maybe").unionByName(tested.where("_maybe").drop("_maybe").join(dropped.select(key), key, "left_anti"))
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, n_rows: int) -> DataFrame:
+    """``rows`` left-joined with ``groups`` (one row per key, with its number of rows).
+
+    Keys that hold over a thousandth of the rows, a thousand at most, are broadcast so
+    that their rows stay where they are; the others are shuffled, and no key fills a task.
+    """
+    hot = F.broadcast(groups.where(F.col(size) * HOT_SHARE > n_rows).withColumn("_hot", F.lit(True)))
+    cold = groups.where(F.col(size) * HOT_SHARE <= n_rows)
+    tagged = rows.join(hot, key, "left")
+    return tagged.where("_hot").drop("_hot").unionByName(tagged.where("_hot is null").select(*rows.columns).join(cold, key, "left"))
 
 
 def components(edges: DataFrame, label: str) -> DataFrame:

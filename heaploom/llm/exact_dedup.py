@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heaploom.llm.common import MAX_FILTER_WORDS, ascii_lower, filter_slot, filter_words, join_groups
+from heaploom.llm.common import MAX_FILTER_WORDS, ascii_lower, filter_slot, filter_words, join_groups, test_filter
 from heaploom.plans.staging import stage
 
 
@@ -27,9 +27,8 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", max_fi
     n = digests.count()
     words = filter_words(n, max_filter_words)
     word, mask = filter_slot(F.xxhash64("_digest"), words)
-    slotted = digests.withColumns({"_w": word, "_m": mask})
-    again = slotted.groupBy("_w", "_m").count().where("count > 1").groupBy("_w").agg(F.bit_or("_m").alias("_bits"))
-    tested = slotted.join(F.broadcast(again), "_w", "left").withColumn("_maybe", F.coalesce(F.col("_bits").bitwiseAND(F.col("_m")) == F.col("_m"), F.lit(False)))
+    again = digests.select(word.alias("_w"), mask.alias("_m")).groupBy("_w", "_m").count().where("count > 1")
+    tested = test_filter(digests, F.xxhash64("_digest"), again, words)
     tested = stage(tested.select("_id", "_digest", "_maybe"), "exact-tested")
 
     maybe = tested.where("_maybe").select("_id", "_digest")
