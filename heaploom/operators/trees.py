@@ -20,10 +20,11 @@ def children(nodes: DataFrame, edges: DataFrame, ord_: int, text: str = "", pinn
     e = edges.where((F.col("src") == ord_) & (F.col("type") != "invisible")).withColumnsRenamed({"name": "edge_name", "type": "edge_type"})
     out = e.join(nodes, e["dst"] == nodes["ord"])
     out = _matching(out, text)
-    first = F.when(F.col("edge_name").isin(*PINNED), F.array_position(F.array(*map(F.lit, PINNED)), F.col("edge_name"))).otherwise(99) if pinned else F.lit(0)
+    order = [F.when(F.col("edge_name").isin(*PINNED), F.array_position(F.array(*map(F.lit, PINNED)), F.col("edge_name"))).otherwise(99)] if pinned else []
     if common is not None:
         out = out.join(common.select(F.col("name").alias("edge_name"), F.lit(1).alias("_common")), "edge_name", "left")
-    return out.orderBy(first, *([F.coalesce("_common", F.lit(0))] if common is not None else []), "pos", "eid")
+        order.append(F.coalesce("_common", F.lit(0)))
+    return out.orderBy(*order, "pos", "eid")
 
 
 def retainers(nodes: DataFrame, edges: DataFrame, ord_: int, text: str = "") -> DataFrame:
