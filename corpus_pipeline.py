@@ -45,9 +45,12 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with ``size`` in words and ``taken`` words, repeats counted."""
+    """The documents that the mix takes, with ``size`` in words and ``taken`` words, repeats counted.
+
+    These two replace columns of the same names.
+    """
     mixed = mixing.mix(docs).where("taken > 0").groupBy("doc_id").agg(F.max("size").alias("size"), F.max("taken").alias("taken"))
-    return docs.join(mixed, "doc_id")
+    return docs.drop("size", "taken").join(mixed, "doc_id")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -78,8 +78,11 @@ def drop_keys(docs: DataFrame, key: str, dropped: DataFrame, n_dropped: int) ->
     shuffled to be compared exactly.
     """
     words = filter_words(n_dropped)
-    tested = test_filter(docs, F.xxhash64(F.col(key)), key_slots(dropped, key, words), words)
-    return tested.where("not _maybe").drop("_maybe").unionByName(tested.where("_maybe").drop("_maybe").join(dropped.select(key), key, "left_anti"))
+    rows = docs.select(F.struct("*").alias("_row"), F.col(key).alias("_key"))
+    gone = dropped.select(F.col(key).alias("_key"))
+    tested = test_filter(rows, F.xxhash64("_key"), key_slots(gone, "_key", words), words)
+    left = tested.where("_maybe").join(gone, "_key", "left_anti").select("_row")
+    return tested.where("not _maybe").select("_row").unionByName(left).select("_row.*")
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, n_rows: int) -> DataFrame:
