@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -159,9 +161,6 @@ def timeline(nodes: DataFrame, samples: DataFrame) -> DataFrame:
 
 
 def _bisect(x: Column, bounds: list[int]) -> Column:
-    import numpy as np
-    import pandas as pd
-
     edges = np.array(bounds)
 
     @F.pandas_udf("int")
