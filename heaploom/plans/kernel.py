@@ -24,6 +24,28 @@ def spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(first - (ends - count), count)
 
 
+class Coded:
+    """A column of strings as codes, so that tests run once per distinct string. Null is empty."""
+
+    def __init__(self, column: pa.ChunkedArray, order: np.ndarray | None = None) -> None:
+        coded = column.combine_chunks().fill_null("").dictionary_encode()
+        self.values = np.array(coded.dictionary.to_pylist() or [""], object)
+        self.codes = coded.indices.to_numpy(zero_copy_only=False)
+        if order is not None:
+            self.codes = self.codes[order]
+
+    def __getitem__(self, at: object) -> object:
+        return self.values[self.codes[at]]
+
+    def where(self, test: Callable[[str], bool]) -> np.ndarray:
+        return np.array([bool(test(v)) for v in self.values])[self.codes]
+
+    def __eq__(self, text: object) -> np.ndarray:
+        return self.where(lambda v: v == text)
+
+    __hash__ = None
+
+
 class Graph:
     """Out-edges of each node as ranges, with what decides whether an edge is followed."""
 
@@ -31,25 +53,22 @@ class Graph:
         nodes = nodes.sort_by("ord")
         self.ord = nodes["ord"].to_numpy()
         self.n = len(self.ord)
-        self.type = np.array(nodes["type"].to_pylist(), object)
-        self.name = np.array([x or "" for x in nodes["name"].to_pylist()], object)
+        self.type, self.name = Coded(nodes["type"]), Coded(nodes["name"])
         self.id = nodes["id"].to_numpy()
         self.size = nodes["self_size"].to_numpy().astype(np.int64)
-        self.raw = np.array([-1 if x is None else x for x in nodes["raw_detachedness"].to_pylist()], np.int64)
+        self.raw = nodes["raw_detachedness"].combine_chunks().fill_null(-1).to_numpy().astype(np.int64)
         order = np.lexsort((edges["eid"].to_numpy(), edges["src"].to_numpy()))
         self.src = np.searchsorted(self.ord, edges["src"].to_numpy()[order])
         self.dst = np.searchsorted(self.ord, edges["dst"].to_numpy()[order])
-        self.kind = np.array(edges["type"].to_pylist(), object)[order]
-        self.edge_name = np.array(edges["name"].to_pylist(), object)[order]
-        idx = np.array([-1 if x is None else x for x in edges["idx"].to_pylist()], np.int64)[order]
+        self.kind, self.edge_name = Coded(edges["type"], order), Coded(edges["name"], order)
+        idx = edges["idx"].combine_chunks().fill_null(-1).to_numpy()[order]
         self.first = np.searchsorted(self.src, np.arange(self.n))
         self.count = np.bincount(self.src, minlength=self.n)
         self.weak, self.shortcut = self.kind == "weak", self.kind == "shortcut"
+        named = lambda what: self.name.where(lambda v: v == what or v.startswith(what + " / "))
+        self.native_context, self.context = named("system / NativeContext"), named("system / Context")
         self._ephemerons()
         self.structural = self._structural(idx)
-        native = np.array([x.startswith("system / NativeContext") and (len(x) == 22 or x[22:25] == " / ") for x in self.name], bool)
-        self.native_context = native
-        self.context = np.array([x == "system / Context" or x.startswith("system / Context / ") for x in self.name], bool)
         self.root = 0
         under = self.dst[self.first[0] : self.first[0] + self.count[0]]
         found = [int(i) for i in under if self.name[i] == GC_ROOTS]
@@ -57,7 +76,7 @@ class Graph:
             raise ValueError(f"no {GC_ROOTS} under the root, which has {[self.name[i] for i in under]}")
         self.gc_roots = found[0]
         self.root_kind = np.full(self.n, "NonRoot", object)
-        user = (self.type[under] != "synthetic") | (self.name[under] == DOM_TREES)
+        user = np.array([self.type[i] != "synthetic" or self.name[i] == DOM_TREES for i in under], bool)
         self.root_kind[under] = np.where(user, "UserRoot", "SystemRoot")
         self.root_kind[0] = "SyntheticRoot"
         self.system_roots = np.unique(under[~user])
@@ -66,15 +85,16 @@ class Graph:
         """``pair``: the number of an edge's WeakMap pair, or -1; ``table``: the table id its name tells."""
         self.pair, self.table = np.full(len(self.src), -1), np.full(len(self.src), -1)
         pattern, numbers = re.compile(EPHEMERON, re.S), {}
-        for e in np.flatnonzero(self.kind == "internal"):
-            name = self.edge_name[e]
-            if name and "WeakMap" in name and (m := pattern.match(name)):
-                self.pair[e] = numbers.setdefault(m[1], len(numbers))
-                self.table[e] = int(m[2])
+        pair, table = np.full(len(self.edge_name.values), -1), np.full(len(self.edge_name.values), -1)
+        for i, name in enumerate(self.edge_name.values):
+            if "WeakMap" in name and (m := pattern.match(name)):
+                pair[i], table[i] = numbers.setdefault(m[1], len(numbers)), int(m[2])
+        internal = self.kind == "internal"
+        self.pair[internal], self.table[internal] = pair[self.edge_name.codes[internal]], table[self.edge_name.codes[internal]]
         self.pairs = len(numbers)
 
     def _structural(self, idx: np.ndarray) -> np.ndarray:
-        sloppy = (self.edge_name == "sloppy_function_map") & np.array([x.startswith("system / NativeContext") for x in self.name], bool)[self.src]
+        sloppy = (self.edge_name == "sloppy_function_map") & self.native_context[self.src]
         descriptors = ((self.type == "array") & (self.name == "(map descriptors)"))[self.src]
         indexed = (self.kind == "element") | (self.kind == "hidden")
         return ~sloppy & ~(descriptors & indexed & (idx >= 2) & (idx % 3 == 1))
@@ -273,7 +293,7 @@ class Graph:
         state[state == 3] = 0
         native = self.type == "native"
         seen = np.where(native & (state > 0), 0, -1)
-        follow = ~self.weak & (self.kind != "invisible") & native[self.dst]
+        follow = ~self.weak & ~(self.kind == "invisible") & native[self.dst]
         for value in (1, 2):
             seeds = np.flatnonzero(native & (state == value))
             before = seen.copy()
@@ -292,7 +312,7 @@ class Graph:
     def target(self, name: str) -> np.ndarray:
         """Where the first edge of that name leads from each node; -1: none."""
         out = np.full(self.n, -1)
-        e = np.flatnonzero((self.edge_name == name) & (self.kind != "element") & (self.kind != "hidden"))[::-1]
+        e = np.flatnonzero((self.edge_name == name) & ~(self.kind == "element") & ~(self.kind == "hidden"))[::-1]
         out[self.src[e]] = self.dst[e]
         return out
 
