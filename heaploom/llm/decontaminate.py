@@ -1,17 +1,20 @@
-"""Benchmark items inside documents: SimHash of item-sized windows, then exact similarity.
-
-Windows as long as an item (to within a length class) slide over every document. Their
-64-bit fingerprints come from running sums of signed shingle bits. Four blocks of 16
-bits are looked up in tables that hold, for every value, the items whose block is within
-two bits: if a fingerprint is within 11 bits of an item's, at least one block is
-within two, so no such pair is missed. Pairs within the radius are verified: around
-the window, the best alignment's weighted Jaccard similarity of word shingles decides.
+"""Benchmark items inside documents: shared shingles, then exact similarity.
+
+A run of words whose weighted Jaccard similarity with an item reaches the threshold holds
+shingles of the item with at least that share of the item's weight. So it holds one of any
+shingles that weigh more than the rest: the item's seeds, chosen rarest first. Every
+shingle of every document is looked up among the seeds, and around those found, every run
+that may reach the threshold is compared exactly. No run is missed, wherever it starts.
+
+SimHash tables of the items (64-bit fingerprints, multi-index Hamming search) are made on
+demand; the search does not depend on them, as a radius leaves out some runs at any threshold.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -22,12 +25,12 @@ from heaploom.llm.words import WordHasher, mix64, shingles
 
 RADIUS = 11
 BLOCK_RADIUS = RADIUS // 4
-#: Lengths within this ratio share windows; windows start at every eighth of their length.
-LENGTH_RATIO, STRIDE_PART = 1.12, 8
-#: Words whose running sums are held at once.
-SEGMENT_WORDS = 1 << 15
+#: Lengths within this ratio share a length of fingerprints.
+LENGTH_RATIO = 1.12
 #: Items whose nearness one table entry holds as bits; its tables fit a core's cache.
 GROUP = 16
+#: Low bits by which shingles that are no seeds are told apart at once.
+SEED_BITS = 20
 #: Items that are sent to the tasks at once, by number and by bytes of text.
 BLOCK_ITEMS, BLOCK_BYTES = 8192, 16 << 20
 
@@ -51,6 +54,14 @@ def fingerprints(sums: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
     return np.packbits(ones > (length - 1) // 2, axis=1).view(np.uint64).ravel()
 
 
+@dataclass
+class Seeds:
+    size: int  # words of a shingle
+    hashes: np.ndarray  # sorted
+    owners: np.ndarray  # the item of each
+    hit: np.ndarray  # low bits of a hash -> whether a seed has them
+
+
 @dataclass
 class LengthClass:
     length: int
@@ -72,20 +83,50 @@ class Benchmark:
         self.ids, self.words = [ids[i] for i in keep], [words[i] for i in keep]
         seen, df = np.unique(np.concatenate([np.unique(w) for w in self.words]) if keep else np.zeros(0, np.uint64), return_counts=True)
         self.known, self.idf, self.rare = seen, np.log(1 + len(keep) / np.maximum(df, 1)), float(np.log(1 + len(keep)))
-        self.sets = [self.weighted(w) for w in self.words]
-        self.classes = self._classes()
+        self.sets = []
+        for w in self.words:
+            found, weights = self.weighted(w, size)
+            found, first = np.unique(found, return_index=True)
+            self.sets.append((found, weights[first]))
+        self.seeds = self._seeds()
+
+    def _seeds(self) -> list[Seeds]:
+        """Per length of shingles (shorter than ``size`` for items of fewer words), the items' seeds."""
+        by_size: dict[int, list[int]] = {}
+        for i, w in enumerate(self.words):
+            by_size.setdefault(min(self.size, len(w)), []).append(i)
+        out = []
+        for size, items in sorted(by_size.items()):
+            found, users = np.unique(np.concatenate([self.sets[i][0] for i in items]), return_counts=True)
+            hashes, owners = [], []
+            for i in items:
+                mine, weights = self.sets[i]
+                rarest = np.argsort(users[np.searchsorted(found, mine)], kind="stable")
+                needed = np.searchsorted(np.cumsum(weights[rarest]), (1 - self.threshold + 1e-9) * weights.sum(), side="right") + 1
+                hashes.append(mine[rarest[:needed]])
+                owners.append(np.full(len(hashes[-1]), i))
+            hashed, owner = np.concatenate(hashes), np.concatenate(owners)
+            order = np.argsort(hashed, kind="stable")
+            hit = np.zeros(1 << SEED_BITS, bool)
+            hit[hashed & np.uint64((1 << SEED_BITS) - 1)] = True
+            out.append(Seeds(size, hashed[order], owner[order], hit))
+        return out
 
-    def weighted(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Shingles of a sequence and their weights: the mean rarity of their words among the items."""
+    def rarity(self, words: np.ndarray) -> np.ndarray:
         at = np.searchsorted(self.known, words)
         at[at == len(self.known)] = 0
-        rarity = np.where(self.known[at] == words, self.idf[at], self.rare) if len(self.known) else np.full(len(words), self.rare)
-        found, _ = shingles(words, np.array([len(words)]), self.size)
-        take = min(self.size, len(words))
-        sums = np.concatenate([[0.0], np.cumsum(rarity)])
+        return np.where(self.known[at] == words, self.idf[at], self.rare) if len(self.known) else np.full(len(words), self.rare)
+
+    def weighted(self, words: np.ndarray, size: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Shingles of a sequence and their weights: the mean rarity of their words among the items."""
+        size = size or self.size
+        found, _ = shingles(words, np.array([len(words)]), size)
+        take = min(size, len(words))
+        sums = np.concatenate([[0.0], np.cumsum(self.rarity(words))])
         return found, (sums[take:] - sums[:-take])[: len(found)] / take
 
-    def _classes(self) -> list[LengthClass]:
+    @cached_property
+    def classes(self) -> list[LengthClass]:
         by_length: dict[int, list[int]] = {}
         for i, w in enumerate(self.words):
             by_length.setdefault(len(w), []).append(i)
@@ -110,79 +151,61 @@ class Benchmark:
         return out
 
     def similarity(self, item: int, words: np.ndarray) -> tuple[float, int]:
-        """The best weighted Jaccard similarity of an item with a run of ``words`` of its length, and where that starts."""
+        """The best weighted Jaccard similarity, from the threshold on, of an item with a run of ``words``, and where that starts.
+
+        Runs have the item's length. 0 if no run reaches the threshold.
+        """
         mine, weights = self.sets[item]
-        mine, first = np.unique(mine, return_index=True)
-        weights = weights[first]
         n = len(self.words[item])
         if len(words) < n:
             return 0.0, 0
-        theirs, their_weights = self.weighted(words)
-        if not np.isin(theirs, mine).any():
-            return 0.0, 0
+        size = min(self.size, len(self.words[item]))
+        theirs, their_weights = self.weighted(words, size)
+        span = max(n - size + 1, 1)
+        at = np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)
+        shared = np.concatenate([[0.0], np.cumsum(np.where(mine[at] == theirs, weights[at], 0.0))])
+        whole = weights.sum()
         best = (0.0, 0)
-        span = max(n - self.size + 1, 1)
-        for at in range(len(words) - n + 1):
+        # what a run shares, repeats counted, is no less than what its set shares
+        for at in np.flatnonzero(shared[span:] - shared[:-span] >= (self.threshold - 1e-9) * whole):
             window, kept = np.unique(theirs[at : at + span], return_index=True)
-            total = their_weights[at : at + span][kept].sum() + weights.sum()
+            total = their_weights[at : at + span][kept].sum() + whole
             common = weights[np.isin(mine, window, assume_unique=True)].sum()
-            best = max(best, (common / (total - common), -at))
+            best = max(best, (round(float(common / (total - common)), 12), -int(at)))
+            if best[0] >= 1.0:
+                break
         return best[0], -best[1]
 
     def search(self, words: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, float, int]]:
         """Verified leaks in texts laid end to end: text, item, similarity, first word."""
-        if not self.classes:
-            return
         starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-        reach = max(c.length for c in self.classes)
-        tried: dict[tuple[int, int], tuple[float, int]] = {}
-        for lo in range(0, len(words), SEGMENT_WORDS):
-            sums = running(words[lo : lo + SEGMENT_WORDS + reach])
-            hi = min(lo + SEGMENT_WORDS, len(words))
-            texts = np.arange(np.searchsorted(ends, lo, side="right"), np.searchsorted(starts, hi, side="left"))
-            for c in self.classes:
-                at = self._places(starts[texts], ends[texts], c.length, lo, hi)
-                if not len(at):
+        for seeds in self.seeds:
+            found, found_ends = shingles(words, ends, seeds.size)
+            some = np.flatnonzero(seeds.hit[found & np.uint64((1 << SEED_BITS) - 1)])
+            lo, hi = (np.searchsorted(seeds.hashes, found[some], side=side) for side in ("left", "right"))
+            some, lo, n = some[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
+            item = seeds.owners[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            text = np.searchsorted(found_ends, some, side="right")
+            first = some - np.concatenate([[0], found_ends])[text] + starts[text]
+            text, first = np.repeat(text, n), np.repeat(first, n)
+            order = np.lexsort((first, item, text))
+            text, item, first = text[order], item[order], first[order]
+            # seeds whose runs overlap are looked at together
+            length = np.array([len(w) for w in self.words])[item]
+            apart = np.ones(len(text), bool)
+            apart[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (first[1:] - first[:-1] >= 2 * length[1:])
+            at = np.flatnonzero(apart)
+            tried: dict[tuple[int, int], tuple[float, int]] = {}
+            for a, z in zip(at, np.append(at[1:], len(text)) - 1):
+                t, i = int(text[a]), int(item[a])
+                best = tried.get((t, i), (0.0, 0))
+                if best[0] >= 1.0:
                     continue
-                found = fingerprints(sums, at - lo, c.length)
-                blocks = found.view(np.uint16).reshape(-1, 4)
-                for g, table in enumerate(c.tables):
-                    hits = table[0][blocks[:, 0]] | table[1][blocks[:, 1]] | table[2][blocks[:, 2]] | table[3][blocks[:, 3]]
-                    some = np.flatnonzero(hits)
-                    hits, near = hits[some], found[some]
-                    for k in range(min(GROUP, len(c.items) - GROUP * g)):
-                        has = np.flatnonzero(hits & np.uint16(1 << k))
-                        has = has[np.bitwise_count(near[has] ^ c.prints[GROUP * g + k]) <= RADIUS]
-                        item = c.items[GROUP * g + k]
-                        for place in at[some[has]]:
-                            self._verify(words, starts, ends, int(place), item, c.length, tried)
-        yield from ((text, item, *best) for (text, item), best in tried.items() if best[0] >= self.threshold)
-
-    @staticmethod
-    def _places(starts: np.ndarray, ends: np.ndarray, length: int, lo: int, hi: int) -> np.ndarray:
-        """Starts of windows within lo..hi: at every stride of a text, and at its end."""
-        stride = max(1, length // STRIDE_PART)
-        room = ends - starts - length
-        starts, room = starts[room >= 0], room[room >= 0]
-        n = room // stride + 1
-        total = np.cumsum(n)
-        if not len(total):
-            return np.zeros(0, np.int64)
-        at = np.repeat(starts, n) + stride * (np.arange(total[-1]) - np.repeat(total - n, n))
-        tail = (starts + room)[room % stride > 0]
-        at = np.concatenate([at, tail])
-        return at[(at >= lo) & (at < hi)]
-
-    def _verify(self, words: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: int, item: int, length: int, tried: dict) -> None:
-        text = int(np.searchsorted(ends, at, side="right"))
-        best = tried.get((text, item), (-1.0, 0))
-        if best[0] >= 1.0:
-            return
-        n = len(self.words[item])
-        slack = max(1, length // STRIDE_PART) + n - length
-        lo, hi = max(int(starts[text]), at - slack), min(int(ends[text]), at + n + slack)
-        score, where = self.similarity(item, words[lo:hi])
-        tried[(text, item)] = max(best, (score, lo + where - int(starts[text])))
+                lo = max(int(starts[t]), int(first[a] + seeds.size - length[a]))
+                score, where = self.similarity(i, words[lo : min(int(ends[t]), int(first[z] + length[a]))])
+                if score > best[0]:
+                    tried[t, i] = score, lo + where - int(starts[t])
+            yield from ((t, i, *best) for (t, i), best in tried.items() if best[0] >= self.threshold)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 5, threshold: float = 0.8, min_words: int = 8, key: str = "doc_id", text: str = "text", item: str = "item_id", block_items: int = BLOCK_ITEMS) -> DataFrame:
@@ -197,7 +220,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 5, threshold:
     rows; other columns are ignored.
 
     No shuffle: items go to the tasks in blocks of bounded size, each block with one pass
-    over the documents, and running sums are held for a bounded number of words.
+    over the documents, and shingles are held for a stretch of text at a time.
     """
     items = benchmark.select(F.col(item).alias("_id"), F.col(text).alias("_text"))
     n, size_bytes = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("_text")), F.lit(0))).first()

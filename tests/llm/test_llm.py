@@ -9,6 +9,7 @@ import shutil
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -439,6 +440,40 @@ def test_no_fingerprint_within_the_radius_is_missed():
             assert hit >> k & 1
 
 
+def test_near_copies_are_found_wherever_they_start():
+    rng = random.Random(31)
+    items = [prose(rng, n) for n in range(12, 72)]
+    b = decontaminate.Benchmark(list(range(len(items))), items, 5, 8, 0.8)
+    hasher = words.WordHasher()
+
+    def hashed(text):
+        return next(iter(hasher.documents(pa.array([text]))))[1:]
+
+    def exact(item, found):
+        mine = dict(zip(*b.sets[item]))
+        n, best = min(len(b.words[item]), len(found)), (0.0, 0)
+        for at in range(len(found) - n + 1):
+            theirs = dict(zip(*b.weighted(found[at : at + n])))
+            common = sum(w for s, w in mine.items() if s in theirs)
+            best = max(best, (common / (sum(mine.values()) + sum(theirs.values()) - common), -at))
+        return best[0], -best[1]
+
+    leaks = 0
+    for i, text in enumerate(items):
+        for changed in (0, 0, 1, 1, 1, 2, 2):
+            w = text.split(" ")
+            for _ in range(changed):
+                w[rng.randrange(len(w))] = "changed"
+            found, ends = hashed(" ".join([prose(rng, rng.randint(1, 90)), *w, prose(rng, rng.randint(1, 40))]))
+            got = {r[1]: r[2:] for r in b.search(found, ends)}
+            score, first = exact(i, found)
+            assert (i in got) == (score >= 0.8) and set(got) <= {i}
+            if got:
+                leaks += 1
+                assert got[i] == (pytest.approx(score), first)
+    assert leaks > 200
+
+
 # -- 10: languages ----------------------------------------------------------------------
 
 
