@@ -153,12 +153,10 @@ class Benchmark:
     def similarity(self, item: int, words: np.ndarray) -> tuple[float, int]:
         """The best weighted Jaccard similarity, from the threshold on, of an item with a run of ``words``, and where that starts.
 
-        Runs have the item's length. 0 if no run reaches the threshold.
+        Runs have the item's length; fewer words are one run. 0 if no run reaches the threshold.
         """
         mine, weights = self.sets[item]
-        n = len(self.words[item])
-        if len(words) < n:
-            return 0.0, 0
+        n = min(len(self.words[item]), len(words))
         size = min(self.size, len(self.words[item]))
         theirs, their_weights = self.weighted(words, size)
         span = max(n - size + 1, 1)
@@ -214,7 +212,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 5, threshold:
     An item of ``n`` words is found where a run of ``n`` words of the document has a
     weighted Jaccard similarity of ``threshold`` or more with it, over shingles of ``size``
     words weighted by their words' rarity among all items; the best place is given, the
-    first of equals the earliest. Words are as in near-duplicate search. Items under
+    first of equals the earliest. A document of fewer words than the item is one run.
+    Words are as in near-duplicate search. Items under
     ``min_words`` words are not evidence of a leak and find nothing, null texts neither.
     A repeated item or document is found each time. An empty table on either side gives no
     rows; other columns are ignored.

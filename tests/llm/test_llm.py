@@ -474,6 +474,16 @@ def test_near_copies_are_found_wherever_they_start():
     assert leaks > 200
 
 
+def test_documents_shorter_than_an_item_are_searched():
+    rng = random.Random(32)
+    items = [prose(rng, n) for n in range(15, 60)]
+    b = decontaminate.Benchmark(list(range(len(items))), items, 5, 8, 0.8)
+    cut = [" ".join(t.split(" ")[:-1]) for t in items]
+    ((_, found, ends),) = words.WordHasher().documents(pa.array(cut + [" ".join(t.split(" ")[:8]) for t in items] + ["", "the"]))
+    got = [(r[0], r[1], r[3]) for r in b.search(found, ends)]
+    assert sorted(got) == [(i, i, 0) for i in range(len(items))]
+
+
 # -- 10: languages ----------------------------------------------------------------------
 
 
