@@ -24,8 +24,10 @@ from heaploom.llm.words import WordHasher, mix64
 FREQUENT, OTHER = 96, 32
 VOCABULARY = FREQUENT + OTHER
 WINDOW, HIDDEN = 4, 24
-#: One position in so many is a training example, another share in each round.
-TRAIN_ONE_IN, ROUNDS = 8, 2
+#: One position in so many is a training example, another share in each round: as many
+#: shares as rounds, so every position of the corpus is one example.
+ROUNDS = 2
+TRAIN_ONE_IN = ROUNDS
 BATCH, TRAIN_BATCH, RATE = 2048, 512, 0.5
 _PAD = VOCABULARY
 #: Distinct words that a task counts before it passes its counts on.
@@ -140,7 +142,8 @@ def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, one_in: int
     """A network trained on all documents.
 
     The alphabet comes from word counts over the whole corpus. In each round, every
-    ``one_in``-th position, chosen by a hash of the word and its place, is an example.
+    ``one_in``-th position, chosen by a hash of the word and its place, is an example; from
+    ``one_in`` rounds on, every position has been one.
     What a task sends on is its word counts and its parameters; both are added up by key.
     How rows are dealt to tasks has a small influence on the parameters.
     """

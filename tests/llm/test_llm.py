@@ -215,6 +215,16 @@ def test_pseudo_likelihood(spark, docs, none):
     assert lm_score.score(none, lm_score.train(none)).count() == 0
 
 
+def test_every_position_trains_the_network(spark):
+    # one-word documents whose word and place fall into each of eight shares: none is left out
+    names = [f"w{k}" for k in range(400)]
+    ((_, found, _),) = words.WordHasher().documents(pa.array(names))
+    share = words.mix64(found + words.mix64(np.zeros(len(found), np.int64))) % np.uint64(8)
+    for s in range(8):
+        df = spark.createDataFrame([(k, w) for k, w in enumerate(names) if share[k] == s], "doc_id bigint, text string")
+        assert df.count() > 20 and lm_score.train(df).hidden.any(), s
+
+
 # -- 6: near duplicates -----------------------------------------------------------------
 
 
