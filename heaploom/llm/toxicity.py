@@ -1,20 +1,23 @@
 """Toxicity by the nearest labelled examples under TF-IDF cosine.
 
-Terms are words and beginnings of words that go with the label, each at several levels
-of use: present, repeated, and at a rate per word. Examples with the same terms are one
-entry of an inverted index whose blocks store the largest weight of each term in them;
-blocks are searched in the order of their bounds until none can hold a nearer example,
-so the neighbours are exact. Their votes, weighted by distance, are calibrated on the
-examples themselves, each left out of its own vote.
+Terms are all words and beginnings of words of the labelled examples of both classes,
+each at several levels of use: present, repeated, and at a rate per word. A term weighs the more, the rarer it is and the further apart the classes use it; none is
+left out. Examples are entries of an inverted index whose blocks store the largest weight
+of each frequent term in them; only blocks whose bound reaches the nearest examples so far
+are searched in full, so the neighbours are exact. Their votes, weighted by nearness, are
+calibrated on the examples themselves, each left out of its own vote.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,9 +30,10 @@ SAMPLE = 20_000
 PREFIXES = (0, 4, 5, 6, 8)
 #: Levels of a term: present; twice; twice and once in so many words.
 RATES = (256, 128, 64)
-LEVELS = 2 + len(RATES)
-#: Standard errors by which a term must be more frequent among toxic examples; terms at most.
-SIGNIFICANCE, TERMS = 7.0, 600
+#: Standard errors that are added to the distance of the classes, so that every term weighs something.
+FLOOR = 0.1
+#: Share of a query's squared length whose terms are first bounded, not added up.
+BOUNDED = 0.02
 NEIGHBOURS = 15
 BLOCK = 64
 THRESHOLD = 0.7
@@ -72,103 +76,158 @@ class Terms:
         return np.searchsorted(ends, start, side="right"), out
 
 
-def leveled(text_of: np.ndarray, hashes: list[np.ndarray], wanted: np.ndarray, n_texts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Texts and features (term times level) of the ``wanted`` terms, sorted by both."""
-    words = np.maximum(np.bincount(text_of, minlength=n_texts), 1)
-    pairs = []
-    for h in hashes:
-        at = np.searchsorted(wanted, h)
-        at[at == len(wanted)] = 0
-        hit = np.flatnonzero(wanted[at] == h)
-        pairs.append(text_of[hit] * len(wanted) + at[hit])
-    pair, tf = np.unique(np.concatenate(pairs), return_counts=True)
-    text, term = pair // max(len(wanted), 1), pair % max(len(wanted), 1)
-    levels = [np.ones(len(tf), bool), tf >= 2] + [(tf >= 2) & (tf * r >= words[text]) for r in RATES]
-    texts = np.concatenate([text[x] for x in levels])
-    features = np.concatenate([term[x] * LEVELS + i for i, x in enumerate(levels)])
-    order = np.lexsort((features, texts))
-    return texts[order], features[order]
+def leveled(text_of: np.ndarray, hashes: list[np.ndarray], n_texts: int) -> Iterator[np.ndarray]:
+    """Per text the hashes of its terms, each at the levels it reaches, sorted."""
+    table = np.stack(hashes, axis=1)
+    cuts = np.searchsorted(text_of, np.arange(n_texts + 1))
+    for a, z in zip(cuts[:-1], cuts[1:]):
+        some = table[a:z]
+        term, tf = np.unique(some[some > 0], return_counts=True)
+        again = term[tf >= 2]
+        often = tf[tf >= 2]
+        levels = [again] + [again[often * r >= z - a] for r in RATES]
+        yield np.sort(np.concatenate([term] + [mix64(x + np.uint64(2 * i + 2)) for i, x in enumerate(levels)]))
+
+
+def spread(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers of ranges that begin at ``start`` and are ``n`` long, end to end."""
+    return np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
 
 
 class BlockMaxIndex:
     """Exact nearest neighbours by cosine among sparse unit vectors."""
 
     def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], n_terms: int) -> None:
-        self.n, blocks = len(rows), -(-len(rows) // BLOCK)
-        self.bound = np.zeros((n_terms, blocks), np.float32)
-        posts: dict[int, list[tuple[int, float]]] = {}
-        for i, (terms, weights) in enumerate(rows):
-            for t, w in zip(terms, weights):
-                posts.setdefault(int(t), []).append((i, float(w)))
-                self.bound[t, i // BLOCK] = max(self.bound[t, i // BLOCK], w)
-        self.posts = {t: (np.array([p[0] for p in v]), np.array([p[1] for p in v])) for t, v in posts.items()}
+        terms = np.concatenate([np.zeros(0, np.int32), *(r[0].astype(np.int32) for r in rows)])
+        order = np.argsort(terms, kind="stable")
+        self.n, self.scale, self.term_weight = len(rows), None, None
+        self.ptr = np.concatenate([[0], np.cumsum(np.bincount(terms, minlength=n_terms))])
+        self.entry = np.repeat(np.arange(self.n, dtype=np.int32), [len(r[0]) for r in rows])[order]
+        self.weight = np.concatenate([np.zeros(0, np.float32), *(r[1].astype(np.float32) for r in rows)])[order]
+
+    @classmethod
+    def of_sets(cls, sets: list[np.ndarray], weights: np.ndarray) -> BlockMaxIndex:
+        """An index of unit vectors in which a term weighs alike but for the vector's length; one sort in place."""
+        out = cls([], len(weights))
+        out.n = len(sets)
+        key = np.empty(sum(len(s) for s in sets), np.uint64)
+        scale, at = np.zeros(out.n), 0
+        for i, s in enumerate(sets):
+            key[at : at + len(s)] = s.astype(np.uint64) << np.uint64(32) | np.uint64(i)
+            scale[i] = 1 / np.sqrt((weights[s] ** 2).sum())
+            at += len(s)
+        key.sort()
+        out.scale, out.term_weight = scale, weights
+        out.entry, out.weight, counts = np.empty(len(key), np.int32), np.empty(len(key), np.float32), np.zeros(len(weights), np.int64)
+        for lo in range(0, len(key), 1 << 18):
+            part = key[lo : lo + (1 << 18)]
+            term, entry = (part >> np.uint64(32)).astype(np.int64), (part & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            out.entry[lo : lo + len(part)], out.weight[lo : lo + len(part)] = entry, weights[term] * scale[entry]
+            first = int(term[0])
+            here = np.bincount(term - first)
+            counts[first : first + len(here)] += here
+        out.ptr = np.concatenate([[0], np.cumsum(counts)])
+        return out
+
+    def __getstate__(self) -> dict:
+        """What tasks are sent: weights follow from the terms' and the vectors' lengths, where these are known."""
+        state = {k: v for k, v in vars(self).items() if k != "blocks"}
+        if self.scale is not None:
+            del state["weight"]
+            state["entry"] = self.entry.astype(np.min_scalar_type(self.n))
+            state["ptr"] = self.ptr.astype(np.min_scalar_type(int(self.ptr[-1])))
+        return state
+
+    def __setstate__(self, state: dict) -> None:
+        vars(self).update(state)
+        if self.scale is not None:
+            self.entry, self.ptr = self.entry.astype(np.int32), self.ptr.astype(np.int64)
+            self.weight = np.repeat(self.term_weight.astype(np.float32), np.diff(self.ptr))
+            self.weight *= self.scale[self.entry].astype(np.float32)
+
+    @cached_property
+    def blocks(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of terms in more entries than there are blocks: their number (else -1), largest weights and first postings by block."""
+        n = -(-self.n // BLOCK)
+        frequent = np.flatnonzero(np.diff(self.ptr) > n)
+        slot = np.full(len(self.ptr) - 1, -1, np.int32)
+        slot[frequent] = np.arange(len(frequent))
+        bound, first = np.zeros((len(frequent), n), np.float32), np.zeros((len(frequent), n + 1), np.int32)
+        for i, t in enumerate(frequent):
+            a, z = self.ptr[t], self.ptr[t + 1]
+            block = self.entry[a:z] // BLOCK
+            np.maximum.at(bound[i], block, self.weight[a:z])
+            first[i] = a + np.searchsorted(block, np.arange(n + 1))
+        return slot, bound, first
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[float, int]]:
         """The ``k`` entries of the largest positive cosine, ties by entry."""
-        terms_known = [i for i, t in enumerate(terms) if int(t) in self.posts]
-        if not terms_known or not self.n:
+        slot, bound, first = self.blocks
+        if not self.n or not len(terms):
             return []
-        bound = weights[terms_known] @ self.bound[terms[terms_known]]
-        best: list[tuple[float, int]] = []
-        for block in np.argsort(-bound, kind="stable"):
-            if bound[block] <= 0 or (len(best) == k and bound[block] * (1 + 1e-5) < -best[-1][0]):
-                break
-            lo = block * BLOCK
-            score = np.zeros(BLOCK)
-            for i in terms_known:
-                ids, w = self.posts[int(terms[i])]
-                a, b = np.searchsorted(ids, (lo, lo + BLOCK))
-                score[ids[a:b] - lo] += w[a:b] * weights[i]
-            best += [(-float(score[j]), int(lo + j)) for j in np.flatnonzero(score > 0)]
-            best = sorted(best)[:k]
-        return [(-s, i) for s, i in best]
+        # the frequent terms of least weight are bounded by block before they are added up
+        frequent = np.flatnonzero(slot[terms] >= 0)
+        frequent = frequent[np.argsort(weights[frequent], kind="stable")]
+        later = frequent[np.cumsum(weights[frequent] ** 2) <= BOUNDED * (weights**2).sum()]
+        now = np.ones(len(terms), bool)
+        now[later] = False
+        start, n = self.ptr[terms[now]], self.ptr[terms[now] + 1] - self.ptr[terms[now]]
+        at = spread(start, n)
+        score = np.bincount(self.entry[at], self.weight[at] * np.repeat(weights[now], n), minlength=self.n)
+        left = np.ones(self.n, bool)
+        if len(later):
+            slots, w = slot[terms[later]], weights[later]
+            rest = np.minimum(w @ bound[slots], np.sqrt((w**2).sum()))
+            kth = np.partition(score, -k)[-k] if self.n > k else 0.0
+            may = score + np.repeat(rest, BLOCK)[: self.n] * (1 + 1e-5) >= kth * (1 - 1e-5)
+            wanted = np.unique(np.flatnonzero(may) // BLOCK)
+            start = first[slots][:, wanted].ravel().astype(np.int64)
+            n = first[slots][:, wanted + 1].ravel() - start
+            at = spread(start, n)
+            score += np.bincount(self.entry[at], self.weight[at] * np.repeat(np.repeat(w, len(wanted)), n), minlength=self.n)
+            left = np.repeat(np.isin(np.arange(len(rest)), wanted), BLOCK)[: self.n]
+        found = np.flatnonzero(left & (score > 0))
+        if len(found) > k:
+            found = found[score[found] >= np.partition(score[found], -k)[-k]]
+        found = found[np.lexsort((found, -score[found]))][:k]
+        return [(float(score[i]), int(i)) for i in found]
 
 
 @dataclass
 class ToxicityModel:
     terms: np.ndarray  # hashes, sorted
-    chosen: np.ndarray  # features used, sorted
-    idf: np.ndarray  # of each chosen feature
-    rows: list[tuple[np.ndarray, np.ndarray]]
-    ids: list[int]  # an example of each entry, as evidence
-    n: np.ndarray
+    weights: np.ndarray  # of each term
+    index: BlockMaxIndex
+    ids: np.ndarray  # of the examples, as evidence
     toxic: np.ndarray
     prior: float
     silent: float  # rate among examples without a term
     steps: tuple[np.ndarray, np.ndarray] = field(default_factory=lambda: (np.zeros(0), np.zeros(0)))
-
-    def vector(self, features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.searchsorted(self.chosen, features)
-        at = at[(at < len(self.chosen))]
-        at = at[np.isin(self.chosen[at], features)]
-        w = self.idf[at]
-        return at, w / np.sqrt((w * w).sum()) if len(w) else w
-
-    def vote(self, near: list[tuple[float, int]], without: tuple[int, int] | None = None) -> float:
-        """Toxic share among the neighbours, each weighing by its number and its nearness."""
-        up = down = 0.0
-        for s, i in near:
-            n, t = int(self.n[i]), int(self.toxic[i])
-            if without and without[0] == i:
-                n, t = n - 1, t - without[1]
-            w = np.sqrt(n) / (0.02 + max(0.0, 1 - s))
-            up += w * (t + self.prior) / (n + 1)
-            down += w
-        return up / down if down else self.prior
-
-    def calibrate(self, index: BlockMaxIndex, k: int) -> None:
+    shared: Broadcast | None = None  # the model as tasks have it, without steps
+
+    @classmethod
+    def empty(cls, prior: float) -> ToxicityModel:
+        return cls(np.zeros(0, np.uint64), np.zeros(0), BlockMaxIndex([], 0), np.zeros(0, np.int64), np.zeros(0, np.int64), prior, prior)
+
+    def vector(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Known terms of a text and their weights; unknown ones meet no example and change no order."""
+        at = np.searchsorted(self.terms, terms)
+        at[at == len(self.terms)] = 0
+        known = np.flatnonzero(self.terms[at] == terms) if len(self.terms) else np.zeros(0, np.int64)
+        w = self.weights[at[known]]
+        return at[known], w / np.sqrt((w * w).sum()) if len(w) else w
+
+    def vote(self, near: list[tuple[float, int]]) -> float:
+        """Toxic share among the neighbours, each weighing by its nearness."""
+        w = np.array([1 / (0.02 + max(0.0, 1 - s)) for s, _ in near])
+        return float((w * self.toxic[[i for _, i in near]]).sum() / w.sum()) if len(w) else self.prior
+
+    def calibrate(self, votes: np.ndarray, labels: np.ndarray) -> None:
         """Isotonic regression of the label on each example's vote by the others."""
-        votes, labels, weights = [], [], []
-        for i, (terms, w) in enumerate(self.rows):
-            near = index.nearest(terms, w, k)
-            for label, m in ((1, int(self.toxic[i])), (0, int(self.n[i] - self.toxic[i]))):
-                if m:
-                    votes.append(self.vote(near, (i, label)))
-                    labels.append(label)
-                    weights.append(m)
         blocks: list[list[float]] = []
-        for j in np.argsort(np.array(votes), kind="stable"):
-            blocks.append([votes[j], labels[j] * weights[j], weights[j], votes[j]])
+        for v in np.unique(votes):
+            here = labels[votes == v]
+            blocks.append([v, float(here.sum()), float(len(here)), v])
             while len(blocks) > 1 and blocks[-2][1] * blocks[-1][2] >= blocks[-1][1] * blocks[-2][2]:
                 last = blocks.pop()
                 blocks[-1] = [blocks[-1][0], blocks[-1][1] + last[1], blocks[-1][2] + last[2], last[3]]
@@ -187,7 +246,7 @@ def _sampled(labelled: DataFrame, sample: int) -> DataFrame:
     return labelled if n <= sample else labelled.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 24)) < int(sample / n * (1 << 24)))
 
 
-def fit(docs: DataFrame, labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE, significance: float = SIGNIFICANCE, max_terms: int = TERMS, k: int = NEIGHBOURS) -> ToxicityModel | None:
+def fit(docs: DataFrame, labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE, k: int = NEIGHBOURS) -> ToxicityModel | None:
     """A model from the rows of ``labelled`` (key, text, label); None if no row has a label.
 
     Terms and examples come from a sample of at most about ``sample`` rows; how many
@@ -200,72 +259,97 @@ def fit(docs: DataFrame, labelled: DataFrame, key: str = "doc_id", text: str = "
     if not n0 + n1:
         return None
     prior = (n1 + 0.5) / (n0 + n1 + 1)
-    empty = np.zeros(0, np.uint64)
     if not n0 or not n1:
-        return ToxicityModel(empty, np.zeros(0, np.int64), np.zeros(0), [], [], np.zeros(0, np.int64), np.zeros(0, np.int64), prior, prior)
+        return ToxicityModel.empty(prior)
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = Terms()
         for b in batches:
-            for _, text_of, hashes in terms.chunks(b.column(0)):
-                found = [np.unique(np.stack([text_of.astype(np.uint64), h])[:, h > 0], axis=1)[1] for h in hashes]
-                term, n = np.unique(np.concatenate(found), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(n, pa.int64())], names=["term", "n"])
-
-    support = max(3, n1 // 200)
-    frequent = rows.where("_y = 1").select("_text").mapInArrow(present, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") >= support).select("term").collect()
-    terms = np.sort(np.array([r[0] for r in frequent], np.int64).view(np.uint64))
-
-    def used(wanted: np.ndarray):  # noqa: ANN202
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            found, n = Terms(), np.zeros((2, len(wanted) * LEVELS), np.int64)
-            for b in batches:
-                y = np.array(b.column(1).to_pylist(), np.int64)
-                for at, text_of, hashes in found.chunks(b.column(0)):
-                    texts, features = leveled(text_of, hashes, wanted, b.num_rows - at)
-                    np.add.at(n, (y[at + texts], features), 1)
-            some = np.flatnonzero(n.sum(axis=0))
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[0][some]), pa.array(n[1][some])], names=["feature", "n0", "n1"])
-
-        return run
-
-    counted = rows.select("_text", "_y").mapInArrow(used(terms), "feature bigint, n0 bigint, n1 bigint").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).collect()
-    scored = []
-    for r in counted:
-        p, q, both = r["n1"] / n1, r["n0"] / n0, (r["n0"] + r["n1"]) / (n0 + n1)
-        z = (p - q) / np.sqrt(max(both * (1 - both), 1e-9) * (1 / n0 + 1 / n1))
-        if z >= significance:
-            scored.append((-z, r["feature"]))
-    chosen = sorted(f for _, f in sorted(scored)[:max_terms])
-    # only the terms of chosen features are looked for from here on
-    kept = sorted({f // LEVELS for f in chosen})
-    terms = terms[kept]
-    chosen = np.array([kept.index(f // LEVELS) * LEVELS + f % LEVELS for f in chosen], np.int64)
-    if not len(chosen):
-        return ToxicityModel(empty, chosen, np.zeros(0), [], [], np.zeros(0, np.int64), np.zeros(0, np.int64), prior, prior)
-
-    all_rows = docs.select(F.col(text).alias("_text"), F.lit(0).alias("_y"))
-    df = {r["feature"]: r["n"] for r in all_rows.mapInArrow(used(terms), "feature bigint, n0 bigint, n1 bigint").groupBy("feature").agg(F.sum("n0").alias("n")).collect()}
-    idf = np.log1p(docs.count() / np.array([1 + df.get(int(f), 0) for f in chosen]))
+            y = np.array(b.column(1).to_pylist(), np.int64)
+            for at, text_of, hashes in terms.chunks(b.column(0)):
+                n_texts = int(text_of.max()) + 1 if len(text_of) else 0
+                per_text = list(leveled(text_of, hashes, n_texts))
+                owner = np.repeat(y[at : at + n_texts], [len(t) for t in per_text])
+                term, which = np.unique(np.concatenate([np.zeros(0, np.uint64), *per_text]), return_inverse=True)
+                toxic = np.bincount(which, owner, minlength=len(term)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(np.bincount(which, minlength=len(term)) - toxic), pa.array(toxic)], names=["term", "n0", "n1"])
+
+    used = rows.select("_text", "_y").mapInArrow(present, "term bigint, n0 bigint, n1 bigint").groupBy("term").agg(F.sum("n0").cast("int").alias("n0"), F.sum("n1").cast("int").alias("n1")).toArrow()
+    terms = used.column("term").to_numpy().view(np.uint64)
+    order = np.argsort(terms)
+    terms, c0, c1 = terms[order], used.column("n0").to_numpy()[order], used.column("n1").to_numpy()[order]
+    if not len(terms):
+        return ToxicityModel.empty(prior)
+    context = docs.sparkSession.sparkContext
+    wanted = context.broadcast(terms)
+
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, n = Terms(), np.zeros(len(wanted.value), np.int64)
+        for b in batches:
+            for _, text_of, hashes in found.chunks(b.column(0)):
+                at = np.concatenate([np.zeros(0, np.uint64), *leveled(text_of, hashes, int(text_of.max()) + 1 if len(text_of) else 0)])
+                term, times = np.unique(at, return_counts=True)
+                place = np.minimum(np.searchsorted(wanted.value, term), len(n) - 1)
+                hit = wanted.value[place] == term
+                n[place[hit]] += times[hit]
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], names=["i", "n"])
+
+    every = docs.select(F.col(text).alias("_text")).mapInArrow(seen, "i bigint, n bigint").groupBy("i").agg(F.sum("n").alias("n")).toArrow()
+    wanted.destroy()
+    df = np.zeros(len(terms))
+    df[every.column("i").to_numpy()] = every.column("n").to_numpy()
+    both = (c0 + c1 + 0.5) / (n0 + n1 + 1)
+    apart = np.abs(c1 / n1 - c0 / n0) / np.sqrt(both * (1 - both) * (1 / n0 + 1 / n1))
+    model = ToxicityModel.empty(prior)
+    model.terms, model.weights = terms, (np.log1p(docs.count() / (1 + df)) * (FLOOR + apart)).astype(np.float32)
+    del used, every, df, both, apart, c0, c1, order
+    start = context.broadcast(model)
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = Terms()
         for b in batches:
             for at, text_of, hashes in found.chunks(b.column(1)):
-                texts, features = leveled(text_of, hashes, terms, b.num_rows - at)
-                mine = np.isin(features, chosen)
-                texts, features = texts[mine], features[mine]
-                groups = np.split(features, np.flatnonzero(np.diff(texts)) + 1) if len(texts) else []
-                which = pa.array(at + np.unique(texts))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(which), b.column(2).take(which), pa.array([g.tobytes() for g in groups], pa.binary())], names=["_id", "_y", "_f"])
-
-    examples = rows.select("_id", "_text", "_y").mapInArrow(described, "_id bigint, _y int, _f binary").groupBy("_f").agg(F.count(F.lit(1)).alias("n"), F.sum("_y").alias("toxic"), F.min("_id").alias("id")).collect()
-    examples = sorted(examples, key=lambda r: bytes(r["_f"]))
-    said_n, said_toxic = sum(r["n"] for r in examples), sum(r["toxic"] for r in examples)
-    silent = (n1 - said_toxic + 0.5) / (n0 + n1 - said_n + 1)
-    model = ToxicityModel(terms, chosen, idf, [], [r["id"] for r in examples], np.array([r["n"] for r in examples]), np.array([r["toxic"] for r in examples]), prior, min(silent, prior))
-    model.rows = [model.vector(np.frombuffer(r["_f"], np.int64)) for r in examples]
-    model.calibrate(BlockMaxIndex(model.rows, len(chosen)), k)
+                n = int(text_of.max()) + 1 if len(text_of) else 0
+                sets, best = [], []
+                for x in leveled(text_of, hashes, n):
+                    known, w = start.value.vector(x)
+                    sets.append(known.astype(np.int32).tobytes())
+                    best.append(int(known[np.argmax(w)]) if len(w) else -1)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, n), b.column(2).slice(at, n), pa.array(sets, pa.binary()), pa.array(best, pa.int32())], names=["_id", "_y", "_t", "_best"])
+
+    told = rows.mapInArrow(described, "_id bigint, _y int, _t binary, _best int").where("_best >= 0").toArrow()
+    # entries of the same heaviest term lie together; ties by key and label, so any order of rows gives one model
+    ids, toxic = told.column("_id").to_numpy(), told.column("_y").to_numpy().astype(np.int64)
+    order = np.lexsort((toxic, ids, told.column("_best").to_numpy()))
+    model.ids, model.toxic = ids[order], toxic[order]
+    sets = [np.frombuffer(t.as_buffer(), np.int32) for t in told.column("_t")]
+    model.index = BlockMaxIndex.of_sets([sets[i] for i in order], model.weights)
+    del sets, told
+    pa.default_memory_pool().release_unused()
+    silent = (n1 - int(toxic.sum()) + 0.5) / (n0 + n1 - len(toxic) + 1)
+    model.silent = min(silent, prior)
+    start.destroy()
+    whole = context.broadcast(model)
+
+    def voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, m = Terms(), whole.value
+        for b in batches:
+            own, y = b.column(0).to_pylist(), b.column(2).to_pylist()
+            votes, labels = [], []
+            for at, text_of, hashes in found.chunks(b.column(1)):
+                for i, x in enumerate(leveled(text_of, hashes, int(text_of.max()) + 1 if len(text_of) else 0)):
+                    vector = m.vector(x)
+                    if len(vector[0]):
+                        near = [n for n in m.index.nearest(*vector, k + 1) if m.ids[n[1]] != own[at + i]][:k]
+                        votes.append(m.vote(near))
+                        labels.append(y[at + i])
+            yield pa.RecordBatch.from_arrays([pa.array(votes, pa.float64()), pa.array(labels, pa.int32())], names=["vote", "y"])
+
+    spread_out = rows.repartition(context.defaultParallelism)
+    votes = spread_out.mapInArrow(voted, "vote double, y int").toArrow()
+    model.calibrate(np.round(votes.column("vote").to_numpy(), 9), votes.column("y").to_numpy())
+    model.shared = whole
     return model
 
 
@@ -279,25 +363,29 @@ def score(docs: DataFrame, model: ToxicityModel | None, key: str = "doc_id", tex
     shuffle; the model is bounded by its sample.
     """
 
+    held = model.shared if model is not None and model.shared else docs.sparkSession.sparkContext.broadcast(model)
+    steps = model.steps if model is not None else None
+
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, known = Terms(), {}
-        index = BlockMaxIndex(model.rows, len(model.chosen)) if model is not None else None
+        found, known, model = Terms(), {}, held.value
+        if model is not None:
+            model.steps = steps
         silent = model.silent if model is not None else 0.0
         for b in batches:
             value, why = np.full(b.num_rows, silent), [[] for _ in range(b.num_rows)]
-            if model is not None and len(model.chosen):
+            if model is not None and len(model.terms):
                 for at, text_of, hashes in found.chunks(b.column(1)):
-                    texts, features = leveled(text_of, hashes, model.terms, b.num_rows - at)
-                    mine = np.isin(features, model.chosen)
-                    texts, features = texts[mine], features[mine]
-                    for i, g in zip(np.unique(texts), np.split(features, np.flatnonzero(np.diff(texts)) + 1)):
-                        seen = known.get(g.tobytes())
-                        if seen is None:
-                            near = index.nearest(*model.vector(g), k)
+                    for i, x in enumerate(leveled(text_of, hashes, int(text_of.max()) + 1 if len(text_of) else 0)):
+                        terms, w = model.vector(x)
+                        if not len(terms):
+                            continue
+                        name = hashlib.blake2b(terms.tobytes() + w.tobytes(), digest_size=16).digest()
+                        if name not in known:
+                            near = model.index.nearest(terms, w, k)
                             if len(known) > 100_000:
                                 known.clear()
-                            seen = known[g.tobytes()] = model.score(near), [model.ids[j] for _, j in near[:3]]
-                        value[at + i], why[at + i] = seen
+                            known[name] = model.score(near), [int(model.ids[j]) for _, j in near[:3]]
+                        value[at + i], why[at + i] = known[name]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(value), pa.array((value >= threshold).astype(np.int32)), pa.array(why, pa.list_(pa.int64()))], names=[key, "score", "predicted", "evidence"])
 
     kind = docs.schema[key].dataType.simpleString()

@@ -403,6 +403,18 @@ def test_toxicity_on_held_out_rows(spark, docs, none):
     assert toxicity.score(df, tame).where("predicted = 1").isEmpty()
 
 
+def test_toxicity_learns_from_few_labels_and_from_all_terms(spark):
+    rng = random.Random(41)
+    rows = [(i, prose(rng, rng.randint(20, 60)) + (f" {rng.choice(['zlug', 'vomple'])} grubwort" if i % 9 == 0 else ""), int(i % 9 == 0)) for i in range(54)]
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    model = toxicity.fit(df, spark.createDataFrame(rows, "doc_id bigint, text string, toxic int"))
+    got = toxicity.score(spark.createDataFrame([(100, prose(rng, 40) + " grubwort zlug"), (101, prose(rng, 40))], "doc_id bigint, text string"), model)
+    got = {r["doc_id"]: r for r in got.collect()}
+    assert got[100]["score"] > 0.5 > got[101]["score"]
+    # a clean text has neighbours too
+    assert len(got[101]["evidence"]) == 3
+
+
 # -- 9: decontamination --------------------------------------------------------------------
 
 
