@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heaploom.llm.common import drop_keys, join_groups, prefilter
-from heaploom.llm.words import BASE, INVERSE, WordHasher, mix64, powers, text_chunks
+from heaploom.llm.words import WordHasher, mix64, power_tables, text_chunks
 from heaploom.plans.staging import stage
 
 RUN_SENTENCES, RUN_WORDS = 3, 12
@@ -32,7 +32,6 @@ class Sentences:
     def __init__(self) -> None:
         self.hasher = WordHasher()
         self.stops = np.isin(np.arange(256), [ord(c) for c in ".!?"])
-        self.up, self.down = powers(BASE, 1), powers(INVERSE, 1)
 
     def pieces(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
         words, start, stop = self.hasher.spans(data, ends)
@@ -58,17 +57,16 @@ class Sentences:
         if not n:
             none = np.zeros(0, np.int64)
             return none, none, none, none
-        if n > len(self.up) - 1:
-            self.up, self.down = powers(BASE, n + 1), powers(INVERSE, n + 1)
+        up, down = power_tables(n + 1)
         sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(words * self.up[:n], out=sums[1:])
+        np.cumsum(words * up[:n], out=sums[1:])
         edges = np.concatenate([first, [n]])
         k = np.arange(len(first))
         to = np.maximum(k + RUN_SENTENCES, np.searchsorted(edges, first + RUN_WORDS, side="left"))
         inside = to <= np.searchsorted(text_of, text_of, side="right")
         k, to = k[inside], to[inside]
         a, b = edges[k], edges[to]
-        hashed = mix64((sums[b] - sums[a]) * self.down[a] + (b - a).astype(np.uint64)).view(np.int64)
+        hashed = mix64((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64)).view(np.int64)
         return text_of[k], k - np.searchsorted(text_of, text_of[k]), to - k, hashed
 
 

@@ -1,11 +1,12 @@
 """Toxicity by the nearest labelled examples under TF-IDF cosine.
 
-Terms are all words and beginnings of words of the labelled examples of both classes,
-each at several levels of use: present, repeated, and at a rate per word. A term weighs the more, the rarer it is and the further apart the classes use it; none is
-left out. Examples are entries of an inverted index whose blocks store the largest weight
-of each frequent term in them; only blocks whose bound reaches the nearest examples so far
-are searched in full, so the neighbours are exact. Their votes, weighted by nearness, are
-calibrated on the examples themselves, each left out of its own vote.
+Terms are words and beginnings of words; a text's vector has their numbers of uses times
+their weights, at unit length. A term weighs the more, the rarer it is in the corpus and
+the further apart the two classes use it; none is left out. Examples are entries of an
+inverted index: frequent terms keep their weights block by block, with the largest of each
+block as its bound, other terms keep postings. Blocks whose bound does not reach the
+nearest examples so far are passed over, so the neighbours are exact. Their votes, weighted
+by nearness, are calibrated on the examples themselves, each left out of its own vote.
 """
 
 from __future__ import annotations
@@ -21,43 +22,38 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heaploom.llm.words import BASE, INVERSE, mix64, powers, text_chunks
+from heaploom.llm.words import mix64, power_tables, text_chunks
 from heaploom.plans.staging import stage
 
 #: Labelled rows that are learned from: about this many, chosen by a hash of the key.
-SAMPLE = 20_000
-#: Beginnings of words that are terms, in bytes; 0 is the whole word.
-PREFIXES = (0, 4, 5, 6, 8)
-#: Levels of a term: present; twice; twice and once in so many words.
-RATES = (256, 128, 64)
+SAMPLE = 4_000
+#: Bytes of the beginnings of words that are terms beside the words.
+BEGINNING = 6
 #: Standard errors that are added to the distance of the classes, so that every term weighs something.
 FLOOR = 0.1
-#: Share of a query's squared length whose terms are first bounded, not added up.
-BOUNDED = 0.02
+#: Words that are added to a text's length when rates of use are compared.
+SHORT = 20
 NEIGHBOURS = 15
-BLOCK = 64
+#: Entries of a block, and cells in which frequent terms are kept by block.
+BLOCK, CELLS = 64, 1 << 22
+#: Texts that are searched for at once, and blocks of each that are tried before any is passed over.
+AT_ONCE, FIRST_BLOCKS = 64, 4
 THRESHOLD = 0.7
 
 
 class Terms:
-    """Hashes of the terms in a column of texts. Words are runs of letters; A-Z are lower-cased."""
+    """Hashes of the terms in texts laid end to end. Words are runs of letters; A-Z are lower-cased."""
 
     def __init__(self) -> None:
         b = np.arange(256)
         lower = np.where((b >= 65) & (b <= 90), b + 32, b)
         self.letter = ((lower >= 97) & (lower <= 122)) | (b >= 128)
         self.value = (lower + 1).astype(np.uint64)
-        self.up = self.down = powers(BASE, 1)
 
-    def chunks(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
-        """Index of the first text, text of each word, and per prefix length the words' hashes (0: too short)."""
-        for at, data, ends in text_chunks(column):
-            yield (at, *self._words(data, ends))
-
-    def _words(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    def __call__(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Text and hash of each term, words first, and the number of words of each text."""
         n = len(data)
-        if n > len(self.up) - 1:
-            self.up, self.down = powers(BASE, n + 1), powers(INVERSE, n + 1)
+        up, down = power_tables(n + 1)
         solid = np.zeros(n + 1, bool)
         solid[:n] = self.letter[data]
         first, last = solid[:n].copy(), solid[:n] & ~solid[1:]
@@ -67,26 +63,51 @@ class Terms:
         last[cuts - 1] = solid[cuts - 1]
         start, stop = np.flatnonzero(first), np.flatnonzero(last) + 1
         sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(self.value[data] * self.up[:n], out=sums[1:])
-        out = []
-        for size in PREFIXES:
-            to = stop if size == 0 else np.minimum(start + size, stop)
-            hashed = mix64((sums[to] - sums[start]) * self.down[start] + np.uint64(size << 56)) | np.uint64(1)
-            out.append(hashed if size == 0 else np.where(stop - start > size, hashed, np.uint64(0)))
-        return np.searchsorted(ends, start, side="right"), out
-
-
-def leveled(text_of: np.ndarray, hashes: list[np.ndarray], n_texts: int) -> Iterator[np.ndarray]:
-    """Per text the hashes of its terms, each at the levels it reaches, sorted."""
-    table = np.stack(hashes, axis=1)
-    cuts = np.searchsorted(text_of, np.arange(n_texts + 1))
-    for a, z in zip(cuts[:-1], cuts[1:]):
-        some = table[a:z]
-        term, tf = np.unique(some[some > 0], return_counts=True)
-        again = term[tf >= 2]
-        often = tf[tf >= 2]
-        levels = [again] + [again[often * r >= z - a] for r in RATES]
-        yield np.sort(np.concatenate([term] + [mix64(x + np.uint64(2 * i + 2)) for i, x in enumerate(levels)]))
+        np.cumsum(self.value[data] * up[:n], out=sums[1:])
+        text_of = np.searchsorted(ends, start, side="right")
+        whole = mix64((sums[stop] - sums[start]) * down[start])
+        long = np.flatnonzero(stop - start >= BEGINNING)
+        begun = mix64((sums[start[long] + BEGINNING] - sums[start[long]]) * down[start[long]] + np.uint64(1))
+        return np.concatenate([text_of, text_of[long]]), np.concatenate([whole, begun]), np.bincount(text_of, minlength=len(ends))
+
+
+class Vocabulary:
+    """Places of hashes in a sorted array of them, looked up from their highest bits."""
+
+    def __init__(self, hashes: np.ndarray) -> None:
+        self.hashes = hashes
+
+    def __getstate__(self) -> dict:
+        return {"hashes": self.hashes}
+
+    @cached_property
+    def first(self) -> tuple[np.uint64, np.ndarray]:
+        bits = len(self.hashes).bit_length() + 2
+        shift = np.uint64(64 - bits)
+        edges = np.searchsorted(self.hashes, np.arange(1 << bits, dtype=np.uint64) << shift)
+        return shift, np.append(edges, len(self.hashes)).astype(np.int32)
+
+    def places(self, hashes: np.ndarray) -> np.ndarray:
+        """-1 for those that are not known."""
+        shift, first = self.first
+        top = (hashes >> shift).astype(np.int64)
+        at, stop, out = first[top], first[top + 1], np.full(len(hashes), -1, np.int64)
+        left = np.flatnonzero(at < stop)
+        while len(left):
+            here = at[left]
+            same = self.hashes[here] == hashes[left]
+            out[left[same]] = here[same]
+            left = left[~same]
+            at[left] += 1
+            left = left[at[left] < stop[left]]
+        return out
+
+
+def counted(text_of: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, term and number of uses, ordered by text and term; terms below 0 are left out."""
+    known = term >= 0
+    pairs, n = np.unique(text_of[known] << 32 | term[known], return_counts=True)
+    return pairs >> 32, pairs & 0xFFFFFFFF, n
 
 
 def spread(start: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -95,132 +116,93 @@ def spread(start: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 class BlockMaxIndex:
-    """Exact nearest neighbours by cosine among sparse unit vectors."""
-
-    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], n_terms: int) -> None:
-        terms = np.concatenate([np.zeros(0, np.int32), *(r[0].astype(np.int32) for r in rows)])
-        order = np.argsort(terms, kind="stable")
-        self.n, self.scale, self.term_weight = len(rows), None, None
-        self.ptr = np.concatenate([[0], np.cumsum(np.bincount(terms, minlength=n_terms))])
-        self.entry = np.repeat(np.arange(self.n, dtype=np.int32), [len(r[0]) for r in rows])[order]
-        self.weight = np.concatenate([np.zeros(0, np.float32), *(r[1].astype(np.float32) for r in rows)])[order]
-
-    @classmethod
-    def of_sets(cls, sets: list[np.ndarray], weights: np.ndarray) -> BlockMaxIndex:
-        """An index of unit vectors in which a term weighs alike but for the vector's length; one sort in place."""
-        out = cls([], len(weights))
-        out.n = len(sets)
-        key = np.empty(sum(len(s) for s in sets), np.uint64)
-        scale, at = np.zeros(out.n), 0
-        for i, s in enumerate(sets):
-            key[at : at + len(s)] = s.astype(np.uint64) << np.uint64(32) | np.uint64(i)
-            scale[i] = 1 / np.sqrt((weights[s] ** 2).sum())
-            at += len(s)
-        key.sort()
-        out.scale, out.term_weight = scale, weights
-        out.entry, out.weight, counts = np.empty(len(key), np.int32), np.empty(len(key), np.float32), np.zeros(len(weights), np.int64)
-        for lo in range(0, len(key), 1 << 18):
-            part = key[lo : lo + (1 << 18)]
-            term, entry = (part >> np.uint64(32)).astype(np.int64), (part & np.uint64(0xFFFFFFFF)).astype(np.int64)
-            out.entry[lo : lo + len(part)], out.weight[lo : lo + len(part)] = entry, weights[term] * scale[entry]
-            first = int(term[0])
-            here = np.bincount(term - first)
-            counts[first : first + len(here)] += here
-        out.ptr = np.concatenate([[0], np.cumsum(counts)])
-        return out
-
-    def __getstate__(self) -> dict:
-        """What tasks are sent: weights follow from the terms' and the vectors' lengths, where these are known."""
-        state = {k: v for k, v in vars(self).items() if k != "blocks"}
-        if self.scale is not None:
-            del state["weight"]
-            state["entry"] = self.entry.astype(np.min_scalar_type(self.n))
-            state["ptr"] = self.ptr.astype(np.min_scalar_type(int(self.ptr[-1])))
-        return state
-
-    def __setstate__(self, state: dict) -> None:
-        vars(self).update(state)
-        if self.scale is not None:
-            self.entry, self.ptr = self.entry.astype(np.int32), self.ptr.astype(np.int64)
-            self.weight = np.repeat(self.term_weight.astype(np.float32), np.diff(self.ptr))
-            self.weight *= self.scale[self.entry].astype(np.float32)
-
-    @cached_property
-    def blocks(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of terms in more entries than there are blocks: their number (else -1), largest weights and first postings by block."""
-        n = -(-self.n // BLOCK)
-        frequent = np.flatnonzero(np.diff(self.ptr) > n)
-        slot = np.full(len(self.ptr) - 1, -1, np.int32)
-        slot[frequent] = np.arange(len(frequent))
-        bound, first = np.zeros((len(frequent), n), np.float32), np.zeros((len(frequent), n + 1), np.int32)
-        for i, t in enumerate(frequent):
-            a, z = self.ptr[t], self.ptr[t + 1]
-            block = self.entry[a:z] // BLOCK
-            np.maximum.at(bound[i], block, self.weight[a:z])
-            first[i] = a + np.searchsorted(block, np.arange(n + 1))
-        return slot, bound, first
-
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[float, int]]:
-        """The ``k`` entries of the largest positive cosine, ties by entry."""
-        slot, bound, first = self.blocks
-        if not self.n or not len(terms):
-            return []
-        # the frequent terms of least weight are bounded by block before they are added up
-        frequent = np.flatnonzero(slot[terms] >= 0)
-        frequent = frequent[np.argsort(weights[frequent], kind="stable")]
-        later = frequent[np.cumsum(weights[frequent] ** 2) <= BOUNDED * (weights**2).sum()]
-        now = np.ones(len(terms), bool)
-        now[later] = False
-        start, n = self.ptr[terms[now]], self.ptr[terms[now] + 1] - self.ptr[terms[now]]
-        at = spread(start, n)
-        score = np.bincount(self.entry[at], self.weight[at] * np.repeat(weights[now], n), minlength=self.n)
-        left = np.ones(self.n, bool)
-        if len(later):
-            slots, w = slot[terms[later]], weights[later]
-            rest = np.minimum(w @ bound[slots], np.sqrt((w**2).sum()))
-            kth = np.partition(score, -k)[-k] if self.n > k else 0.0
-            may = score + np.repeat(rest, BLOCK)[: self.n] * (1 + 1e-5) >= kth * (1 - 1e-5)
-            wanted = np.unique(np.flatnonzero(may) // BLOCK)
-            start = first[slots][:, wanted].ravel().astype(np.int64)
-            n = first[slots][:, wanted + 1].ravel() - start
-            at = spread(start, n)
-            score += np.bincount(self.entry[at], self.weight[at] * np.repeat(np.repeat(w, len(wanted)), n), minlength=self.n)
-            left = np.repeat(np.isin(np.arange(len(rest)), wanted), BLOCK)[: self.n]
-        found = np.flatnonzero(left & (score > 0))
-        if len(found) > k:
-            found = found[score[found] >= np.partition(score[found], -k)[-k]]
-        found = found[np.lexsort((found, -score[found]))][:k]
-        return [(float(score[i]), int(i)) for i in found]
+    """Exact nearest neighbours by cosine among sparse unit vectors without negative weights."""
+
+    def __init__(self, ptr: np.ndarray, terms: np.ndarray, weights: np.ndarray, n_terms: int) -> None:
+        """Entry ``i`` has the terms and weights from ``ptr[i]`` to ``ptr[i + 1]``."""
+        self.n, self.blocks = len(ptr) - 1, -(-(len(ptr) - 1) // BLOCK)
+        uses = np.bincount(terms, minlength=n_terms)
+        frequent = np.argsort(-uses, kind="stable")[: CELLS // max(1, self.blocks * BLOCK)]
+        frequent = frequent[uses[frequent] > self.blocks]
+        self.slot = np.full(n_terms, -1, np.int32)
+        self.slot[frequent] = np.arange(len(frequent))
+        entry = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(ptr))
+        slot = self.slot[terms]
+        dense = slot >= 0
+        self.dense = np.zeros((self.blocks, len(frequent), BLOCK), np.float32)
+        self.dense[entry[dense] // BLOCK, slot[dense], entry[dense] % BLOCK] = weights[dense]
+        self.bound = self.dense.max(axis=2).T.copy() if self.blocks else np.zeros((len(frequent), 0), np.float32)
+        order = np.flatnonzero(~dense)[np.argsort(terms[~dense], kind="stable")]
+        self.ptr = np.concatenate([[0], np.cumsum(np.bincount(terms[order], minlength=n_terms))])
+        self.entry, self.weight = entry[order], weights[order].astype(np.float32)
+
+    def nearest(self, ptr: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Per query (laid out as the entries are) its ``k`` entries of the largest positive cosine, and these; ties by entry."""
+        for lo in range(0, len(ptr) - 1, AT_ONCE):
+            some = ptr[lo : lo + AT_ONCE + 1]
+            score = self._scores(some - some[0], terms[some[0] : some[-1]], weights[some[0] : some[-1]], k)
+            for row in score:
+                least = np.partition(row, len(row) - k)[-k] if len(row) > k else 0.0
+                found = np.flatnonzero((row > 0) & (row >= least))
+                found = found[np.lexsort((found, -row[found]))][:k]
+                yield found, row[found]
+
+    def _scores(self, ptr: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
+        """Cosines of queries with all entries; 0 in blocks that cannot hold one of the ``k`` nearest."""
+        n, wide = len(ptr) - 1, self.blocks * BLOCK
+        query = np.repeat(np.arange(n), np.diff(ptr))
+        slot = self.slot[terms]
+        rare = slot < 0
+        start = self.ptr[terms[rare]]
+        many = self.ptr[terms[rare] + 1] - start
+        at = spread(start, many)
+        score = np.bincount(np.repeat(query[rare] * wide, many) + self.entry[at], self.weight[at] * np.repeat(weights[rare], many), minlength=n * wide).astype(np.float64, copy=False)
+        if not self.bound.shape[0] or not self.blocks:
+            return score.reshape(n, wide)[:, : self.n].round(6)
+        score = score.reshape(n, self.blocks, BLOCK)
+        mine = np.zeros((n, self.bound.shape[0]), np.float32)
+        mine[query[~rare], slot[~rare]] = weights[~rare]
+        may = score.max(axis=2) + (mine @ self.bound) * (1 + 1e-4) + 1e-6
+        done = np.zeros(may.shape, bool)
+        best = np.argsort(-may, axis=1, kind="stable")[:, :FIRST_BLOCKS]
+        np.put_along_axis(done, best, True, axis=1)
+        self._add(score, mine, done)
+        flat = score.reshape(n, wide)
+        least = np.partition(flat, wide - k, axis=1)[:, -k] if wide > k else np.zeros(n)
+        more = (may >= least[:, None]) & ~done
+        self._add(score, mine, more)
+        score[~(done | more)] = 0
+        return flat[:, : self.n].round(6)
+
+    def _add(self, score: np.ndarray, mine: np.ndarray, wanted: np.ndarray) -> None:
+        for block in np.flatnonzero(wanted.any(axis=0)):
+            rows = np.flatnonzero(wanted[:, block])
+            score[rows, block] += mine[rows] @ self.dense[block]
 
 
 @dataclass
 class ToxicityModel:
-    terms: np.ndarray  # hashes, sorted
-    weights: np.ndarray  # of each term
-    index: BlockMaxIndex
-    ids: np.ndarray  # of the examples, as evidence
-    toxic: np.ndarray
     prior: float
-    silent: float  # rate among examples without a term
+    silent: float  # score of a text without a term of an example
+    words: Vocabulary = field(default_factory=lambda: Vocabulary(np.zeros(0, np.uint64)))
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    index: BlockMaxIndex | None = None
+    ids: pa.Array | None = None  # keys of the examples, as evidence
+    toxic: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     steps: tuple[np.ndarray, np.ndarray] = field(default_factory=lambda: (np.zeros(0), np.zeros(0)))
-    shared: Broadcast | None = None  # the model as tasks have it, without steps
-
-    @classmethod
-    def empty(cls, prior: float) -> ToxicityModel:
-        return cls(np.zeros(0, np.uint64), np.zeros(0), BlockMaxIndex([], 0), np.zeros(0, np.int64), np.zeros(0, np.int64), prior, prior)
 
-    def vector(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Known terms of a text and their weights; unknown ones meet no example and change no order."""
-        at = np.searchsorted(self.terms, terms)
-        at[at == len(self.terms)] = 0
-        known = np.flatnonzero(self.terms[at] == terms) if len(self.terms) else np.zeros(0, np.int64)
-        w = self.weights[at[known]]
-        return at[known], w / np.sqrt((w * w).sum()) if len(w) else w
+    def vectors(self, text: np.ndarray, term: np.ndarray, n: np.ndarray, n_texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Unit vectors of texts by their terms' numbers of uses. Terms of no example are left out: they meet none and change no order."""
+        w = n * self.weights[term]
+        length = np.sqrt(np.bincount(text, w * w, minlength=n_texts))
+        return np.searchsorted(text, np.arange(n_texts + 1)), term, w / length[text]
 
-    def vote(self, near: list[tuple[float, int]]) -> float:
+    def vote(self, entries: np.ndarray, cosines: np.ndarray) -> float:
         """Toxic share among the neighbours, each weighing by its nearness."""
-        w = np.array([1 / (0.02 + max(0.0, 1 - s)) for s, _ in near])
-        return float((w * self.toxic[[i for _, i in near]]).sum() / w.sum()) if len(w) else self.prior
+        if not len(entries):
+            return self.prior
+        w = 1 / (0.02 + np.maximum(0, 1 - cosines))
+        return float((w * self.toxic[entries]).sum() / w.sum())
 
     def calibrate(self, votes: np.ndarray, labels: np.ndarray) -> None:
         """Isotonic regression of the label on each example's vote by the others."""
@@ -235,121 +217,119 @@ class ToxicityModel:
         rate = np.array([(b[1] + self.prior) / (b[2] + 1) for b in blocks for _ in range(2)])
         self.steps = at, np.maximum.accumulate(rate) if len(rate) else rate
 
-    def score(self, near: list[tuple[float, int]]) -> float:
-        if not near:
+    def score(self, entries: np.ndarray, cosines: np.ndarray) -> float:
+        if not len(entries):
             return self.silent
-        return float(np.clip(np.interp(self.vote(near), *self.steps), 0.0, 1.0)) if len(self.steps[0]) else self.prior
-
-
-def _sampled(labelled: DataFrame, sample: int) -> DataFrame:
-    n = labelled.count()
-    return labelled if n <= sample else labelled.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 24)) < int(sample / n * (1 << 24)))
-
-
-def fit(docs: DataFrame, labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE, k: int = NEIGHBOURS) -> ToxicityModel | None:
-    """A model from the rows of ``labelled`` (key, text, label); None if no row has a label.
-
-    Terms and examples come from a sample of at most about ``sample`` rows; how many
-    documents use a term is counted over all of ``docs``.
+        return float(np.clip(np.interp(self.vote(entries, cosines), *self.steps), 0.0, 1.0)) if len(self.steps[0]) else self.prior
+
+
+def _thinned(rows: DataFrame, sample: int, *by: str) -> DataFrame:
+    n = rows.count()
+    return rows if n <= sample else rows.where(F.pmod(F.xxhash64(*by), F.lit(1 << 24)) < int(sample / n * (1 << 24)))
+
+
+def _uses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per example its terms, their numbers of uses, and its number of words."""
+    terms = Terms()
+    for b in batches:
+        for at, data, ends in text_chunks(b.column(1)):
+            text_of, hashed, n_words = terms(data, ends)
+            distinct, which = np.unique(hashed, return_inverse=True)
+            text, which, n = counted(text_of, which)
+            cuts = np.searchsorted(text, np.arange(1, len(ends)))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).slice(at, len(ends)), b.column(2).slice(at, len(ends)), pa.array([x.tobytes() for x in np.split(distinct[which], cuts)], pa.binary()), pa.array([x.tobytes() for x in np.split(n.astype(np.int32), cuts)], pa.binary()), pa.array(n_words)],
+                names=["_id", "_y", "_terms", "_n", "_words"],
+            )
+
+
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE, k: int = NEIGHBOURS) -> ToxicityModel | None:
+    """A model from the texts that ``labels`` (key, label) calls 0 or 1; None if there is none.
+
+    Examples are a sample of about ``sample`` labelled keys at most, chosen by a hash of
+    the key, whose labels are broadcast; what they make up on the driver is bounded by it.
+    How many documents use a term is counted over all of ``docs``. Null keys and other
+    labels are ignored; a key may be labelled both ways, and a key that ``docs`` repeats is
+    as many examples, thinned by a hash of the text if these are over ``sample``. Keys may
+    be of any type that both tables share. Any order of rows gives the same model.
     """
-    rows = labelled.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text"), F.col(label).cast("int").alias("_y"))
-    rows = stage(_sampled(rows, sample), "toxicity-sample")
-    sizes = {r["_y"]: r["count"] for r in rows.groupBy("_y").count().collect()}
-    n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
-    if not n0 + n1:
+    known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("_id"), F.col(label).cast("int").alias("_y")).distinct()
+    known = F.broadcast(_thinned(stage(known, "toxicity-labels"), sample, "_id"))
+    rows = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text")).join(known, "_id").select("_id", "_text", "_y")
+    rows = stage(_thinned(stage(rows, "toxicity-sample"), sample + sample // 8, "_id", "_text", "_y"), "toxicity-examples")
+    kind = rows.schema["_id"].dataType.simpleString()
+    told = rows.mapInArrow(_uses, f"_id {kind}, _y int, _terms binary, _n binary, _words bigint").toArrow()
+    toxic = told.column("_y").to_numpy().astype(np.int64)
+    n = np.bincount(toxic, minlength=2)
+    if not n.sum():
         return None
-    prior = (n1 + 0.5) / (n0 + n1 + 1)
-    if not n0 or not n1:
-        return ToxicityModel.empty(prior)
+    prior = (n[1] + 0.5) / (n.sum() + 1)
+    model = ToxicityModel(prior, prior)
+    if not n[0] or not n[1]:
+        return model
+
+    hashes = [np.frombuffer(x.as_buffer(), np.uint64) for x in told.column("_terms")]
+    uses = np.concatenate([np.frombuffer(x.as_buffer(), np.int32) for x in told.column("_n")])
+    sizes = np.array([len(h) for h in hashes])
+    distinct, term = np.unique(np.concatenate(hashes), return_inverse=True)
+    entry = np.repeat(np.arange(len(sizes)), sizes)
+    words = told.column("_words").to_numpy()
+    rate, y = uses / (words[entry] + SHORT), toxic[entry]
+    totals = [np.bincount(term[y == c], rate[y == c], minlength=len(distinct)) for c in (0, 1)]
+    variance = np.bincount(term, rate * rate, minlength=len(distinct)) / n.sum() - ((totals[0] + totals[1]) / n.sum()) ** 2
+    once = (1 / (words.mean() + SHORT)) ** 2 / n.sum()
+    apart = np.abs(totals[1] / n[1] - totals[0] / n[0]) / np.sqrt((variance + once) * (1 / n[0] + 1 / n[1]))
 
-    def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = Terms()
-        for b in batches:
-            y = np.array(b.column(1).to_pylist(), np.int64)
-            for at, text_of, hashes in terms.chunks(b.column(0)):
-                n_texts = int(text_of.max()) + 1 if len(text_of) else 0
-                per_text = list(leveled(text_of, hashes, n_texts))
-                owner = np.repeat(y[at : at + n_texts], [len(t) for t in per_text])
-                term, which = np.unique(np.concatenate([np.zeros(0, np.uint64), *per_text]), return_inverse=True)
-                toxic = np.bincount(which, owner, minlength=len(term)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(np.bincount(which, minlength=len(term)) - toxic), pa.array(toxic)], names=["term", "n0", "n1"])
-
-    used = rows.select("_text", "_y").mapInArrow(present, "term bigint, n0 bigint, n1 bigint").groupBy("term").agg(F.sum("n0").cast("int").alias("n0"), F.sum("n1").cast("int").alias("n1")).toArrow()
-    terms = used.column("term").to_numpy().view(np.uint64)
-    order = np.argsort(terms)
-    terms, c0, c1 = terms[order], used.column("n0").to_numpy()[order], used.column("n1").to_numpy()[order]
-    if not len(terms):
-        return ToxicityModel.empty(prior)
     context = docs.sparkSession.sparkContext
-    wanted = context.broadcast(terms)
+    model.words = Vocabulary(distinct)
+    wanted = context.broadcast(model.words)
 
-    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, n = Terms(), np.zeros(len(wanted.value), np.int64)
+    def used(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, df = Terms(), np.zeros(len(wanted.value.hashes), np.int64)
         for b in batches:
-            for _, text_of, hashes in found.chunks(b.column(0)):
-                at = np.concatenate([np.zeros(0, np.uint64), *leveled(text_of, hashes, int(text_of.max()) + 1 if len(text_of) else 0)])
-                term, times = np.unique(at, return_counts=True)
-                place = np.minimum(np.searchsorted(wanted.value, term), len(n) - 1)
-                hit = wanted.value[place] == term
-                n[place[hit]] += times[hit]
-        some = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], names=["i", "n"])
-
-    every = docs.select(F.col(text).alias("_text")).mapInArrow(seen, "i bigint, n bigint").groupBy("i").agg(F.sum("n").alias("n")).toArrow()
-    wanted.destroy()
-    df = np.zeros(len(terms))
+            for _, data, ends in text_chunks(b.column(0)):
+                text_of, hashed, _ = terms(data, ends)
+                df += np.bincount(counted(text_of, wanted.value.places(hashed))[1], minlength=len(df))
+        some = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(df[some])], names=["i", "n"])
+
+    every = docs.select(F.col(text).alias("_text")).mapInArrow(used, "i bigint, n bigint").groupBy("i").agg(F.sum("n").alias("n")).toArrow()
+    df = np.zeros(len(distinct))
     df[every.column("i").to_numpy()] = every.column("n").to_numpy()
-    both = (c0 + c1 + 0.5) / (n0 + n1 + 1)
-    apart = np.abs(c1 / n1 - c0 / n0) / np.sqrt(both * (1 - both) * (1 / n0 + 1 / n1))
-    model = ToxicityModel.empty(prior)
-    model.terms, model.weights = terms, (np.log1p(docs.count() / (1 + df)) * (FLOOR + apart)).astype(np.float32)
-    del used, every, df, both, apart, c0, c1, order
-    start = context.broadcast(model)
-
-    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = Terms()
-        for b in batches:
-            for at, text_of, hashes in found.chunks(b.column(1)):
-                n = int(text_of.max()) + 1 if len(text_of) else 0
-                sets, best = [], []
-                for x in leveled(text_of, hashes, n):
-                    known, w = start.value.vector(x)
-                    sets.append(known.astype(np.int32).tobytes())
-                    best.append(int(known[np.argmax(w)]) if len(w) else -1)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, n), b.column(2).slice(at, n), pa.array(sets, pa.binary()), pa.array(best, pa.int32())], names=["_id", "_y", "_t", "_best"])
-
-    told = rows.mapInArrow(described, "_id bigint, _y int, _t binary, _best int").where("_best >= 0").toArrow()
-    # entries of the same heaviest term lie together; ties by key and label, so any order of rows gives one model
-    ids, toxic = told.column("_id").to_numpy(), told.column("_y").to_numpy().astype(np.int64)
-    order = np.lexsort((toxic, ids, told.column("_best").to_numpy()))
-    model.ids, model.toxic = ids[order], toxic[order]
-    sets = [np.frombuffer(t.as_buffer(), np.int32) for t in told.column("_t")]
-    model.index = BlockMaxIndex.of_sets([sets[i] for i in order], model.weights)
-    del sets, told
-    pa.default_memory_pool().release_unused()
-    silent = (n1 - int(toxic.sum()) + 0.5) / (n0 + n1 - len(toxic) + 1)
-    model.silent = min(silent, prior)
-    start.destroy()
-    whole = context.broadcast(model)
+    model.weights = np.log1p(docs.count() / (1 + df)) * (FLOOR + apart)
+    wanted.destroy()
+
+    # entries of the same heaviest term lie together, others by their terms, so blocks have tight bounds
+    ptr, _, weights = model.vectors(entry, term, uses, len(sizes))
+    heaviest = np.full(len(sizes), -1)
+    by_weight = np.lexsort((term, weights, entry))
+    ends = np.cumsum(sizes)
+    some = np.flatnonzero(sizes)
+    heaviest[some] = term[by_weight[ends[some] - 1]]
+    name = [hashlib.blake2b(h, digest_size=8).digest() for h in hashes]
+    order = np.array(sorted(some, key=lambda i: (heaviest[i], name[i], toxic[i])), np.int64)
+    at = spread(ptr[order], sizes[order])
+    rows_ptr, rows_term, rows_weight = np.concatenate([[0], np.cumsum(sizes[order])]), term[at], weights[at]
+    model.ids, model.toxic = told.column("_id").combine_chunks().take(pa.array(order)), toxic[order]
+    model.index = BlockMaxIndex(rows_ptr, rows_term, rows_weight, len(distinct))
+    none = toxic[sizes == 0]
+    model.silent = min(prior, (none.sum() + 0.5) / (len(none) + 1))
+    shared, entries = context.broadcast(model), context.broadcast((rows_ptr, rows_term, rows_weight))
 
     def voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, m = Terms(), whole.value
+        (ptr, term, weight), m = entries.value, shared.value
         for b in batches:
-            own, y = b.column(0).to_pylist(), b.column(2).to_pylist()
-            votes, labels = [], []
-            for at, text_of, hashes in found.chunks(b.column(1)):
-                for i, x in enumerate(leveled(text_of, hashes, int(text_of.max()) + 1 if len(text_of) else 0)):
-                    vector = m.vector(x)
-                    if len(vector[0]):
-                        near = [n for n in m.index.nearest(*vector, k + 1) if m.ids[n[1]] != own[at + i]][:k]
-                        votes.append(m.vote(near))
-                        labels.append(y[at + i])
-            yield pa.RecordBatch.from_arrays([pa.array(votes, pa.float64()), pa.array(labels, pa.int32())], names=["vote", "y"])
-
-    spread_out = rows.repartition(context.defaultParallelism)
-    votes = spread_out.mapInArrow(voted, "vote double, y int").toArrow()
-    model.calibrate(np.round(votes.column("vote").to_numpy(), 9), votes.column("y").to_numpy())
-    model.shared = whole
+            mine = b.column(0).to_numpy()
+            n = ptr[mine + 1] - ptr[mine]
+            at = spread(ptr[mine], n)
+            near = m.index.nearest(np.concatenate([[0], np.cumsum(n)]), term[at], weight[at], k + 1)
+            votes = [m.vote(e[e != i][:k], c[e != i][:k]) for i, (e, c) in zip(mine, near)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(votes, pa.float64())], names=["entry", "vote"])
+
+    votes = docs.sparkSession.range(0, len(order), 1, context.defaultParallelism).mapInArrow(voted, "entry bigint, vote double").toArrow()
+    model.calibrate(np.round(votes.column("vote").to_numpy(), 6), model.toxic[votes.column("entry").to_numpy()])
+    shared.destroy()
+    entries.destroy()
     return model
 
 
@@ -357,42 +337,36 @@ def score(docs: DataFrame, model: ToxicityModel | None, key: str = "doc_id", tex
     """One row per row of ``docs``: key, score, predicted, evidence.
 
     ``score`` estimates the chance of label 1 and ``predicted`` is 1 from ``threshold`` on.
-    ``evidence`` lists up to three of the nearest labelled examples. Texts without a term,
-    null and empty ones among them, score the rate of such examples; without a model all
-    score 0. Keys may repeat, texts may have any length, other columns are ignored. No
-    shuffle; the model is bounded by its sample.
+    ``evidence`` lists the keys of up to three of the nearest labelled examples. Texts
+    without a term of an example, null and empty ones among them, score the rate of
+    examples without terms, but no more than that of all; without a model all score 0.
+    Keys may repeat, be null and of any type, texts may have any length, other columns are
+    ignored. No shuffle; the model is bounded by its sample.
     """
-
-    held = model.shared if model is not None and model.shared else docs.sparkSession.sparkContext.broadcast(model)
-    steps = model.steps if model is not None else None
+    held: Broadcast = docs.sparkSession.sparkContext.broadcast(model)
+    kind = docs.schema[key].dataType.simpleString()
+    id_type = model.ids.type if model is not None and model.ids is not None else None
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, known, model = Terms(), {}, held.value
-        if model is not None:
-            model.steps = steps
-        silent = model.silent if model is not None else 0.0
+        terms, m = Terms(), held.value
         for b in batches:
-            value, why = np.full(b.num_rows, silent), [[] for _ in range(b.num_rows)]
-            if model is not None and len(model.terms):
-                for at, text_of, hashes in found.chunks(b.column(1)):
-                    for i, x in enumerate(leveled(text_of, hashes, int(text_of.max()) + 1 if len(text_of) else 0)):
-                        terms, w = model.vector(x)
-                        if not len(terms):
-                            continue
-                        name = hashlib.blake2b(terms.tobytes() + w.tobytes(), digest_size=16).digest()
-                        if name not in known:
-                            near = model.index.nearest(terms, w, k)
-                            if len(known) > 100_000:
-                                known.clear()
-                            known[name] = model.score(near), [int(model.ids[j]) for _, j in near[:3]]
-                        value[at + i], why[at + i] = known[name]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(value), pa.array((value >= threshold).astype(np.int32)), pa.array(why, pa.list_(pa.int64()))], names=[key, "score", "predicted", "evidence"])
-
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(scored, f"`{key}` {kind}, score double, predicted int, evidence array<bigint>")
-
-
-def learnable(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = 3, held_out: int = 1) -> DataFrame:
-    """Labelled rows outside the held-out fold, which is told by crc32 of the key as text."""
-    small = labels.where(F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(folds)) != held_out).where(F.col(label).isNotNull()).select(key, label)
-    return docs.select(key, text).join(small, key)
+            value, where, why = np.full(b.num_rows, m.silent if m is not None else 0.0), [0], []
+            if m is not None and m.index is not None:
+                for at, data, ends in text_chunks(b.column(1)):
+                    text_of, hashed, _ = terms(data, ends)
+                    near = m.index.nearest(*m.vectors(*counted(text_of, m.words.places(hashed)), len(ends)), k)
+                    for i, (entries, cosines) in enumerate(near):
+                        value[at + i] = m.score(entries, cosines)
+                        why.append(entries[:3])
+                        where.append(where[-1] + len(why[-1]))
+            where += [where[-1]] * (b.num_rows + 1 - len(where))
+            shown = m.ids.take(pa.array(np.concatenate(why))) if id_type is not None and why else pa.array([], id_type or b.column(0).type)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(value), pa.array((value >= threshold).astype(np.int32)), pa.ListArray.from_arrays(pa.array(where, pa.int32()), shown)], names=[key, "score", "predicted", "evidence"])
+
+    return docs.select(key, text).mapInArrow(scored, f"`{key}` {kind}, score double, predicted int, evidence array<{kind}>")
+
+
+def learnable(labels: DataFrame, key: str = "doc_id", label: str = "toxic", folds: int = 3, held_out: int = 1) -> DataFrame:
+    """Labels outside the held-out fold, which is told by crc32 of the key as text."""
+    fold = F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(folds))
+    return labels.where((fold != held_out) & F.col(label).isNotNull()).select(key, label)

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are hashed at once; a longer text is taken alone.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 
@@ -30,6 +30,16 @@ def powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse below ``n`` at least. Only those for a chunk are kept."""
+    if n > len(_UP):
+        return powers(BASE, n), powers(INVERSE, n)
+    return _UP, _DOWN
+
+
+_UP, _DOWN = powers(BASE, CHUNK_BYTES + 1), powers(INVERSE, CHUNK_BYTES + 1)
+
+
 class WordHasher:
     """Splits texts at space and \\x09-\\x0D, lower-cases A-Z, and hashes each word.
 
@@ -38,7 +48,6 @@ class WordHasher:
     """
 
     def __init__(self) -> None:
-        self.up = self.down = powers(BASE, 1)
         b = np.arange(256)
         self.blank = (b == 32) | ((b >= 9) & (b <= 13))
         self.value = (np.where((b >= 65) & (b <= 90), b + 32, b) + 1).astype(np.uint64)
@@ -46,8 +55,7 @@ class WordHasher:
     def spans(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Hashes of all words of texts laid end to end, and each word's first byte and end."""
         n = len(data)
-        if n > len(self.up) - 1:
-            self.up, self.down = powers(BASE, n + 1), powers(INVERSE, n + 1)
+        up, down = power_tables(n + 1)
         solid = np.zeros(n + 1, bool)
         np.logical_not(self.blank[data], out=solid[:n])
         first = solid[:n].copy()
@@ -58,8 +66,8 @@ class WordHasher:
         last[cuts - 1] = solid[cuts - 1]
         start, stop = np.flatnonzero(first), np.flatnonzero(last) + 1
         sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(self.value[data] * self.up[:n], out=sums[1:])
-        words = mix64((sums[stop] - sums[start]) * self.down[start] + (stop - start).astype(np.uint64))
+        np.cumsum(self.value[data] * up[:n], out=sums[1:])
+        words = mix64((sums[stop] - sums[start]) * down[start] + (stop - start).astype(np.uint64))
         return words, start, stop
 
     def chunk(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
