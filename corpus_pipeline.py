@@ -24,7 +24,7 @@ def _without(docs: DataFrame, dropped: DataFrame, label: str) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model does not reject. It learns from labelled rows of ``docs``."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    model = toxicity.fit(docs, toxicity.learnable(docs, labels))
+    model = toxicity.fit(docs, toxicity.learnable(labels))
     return _without(docs, toxicity.score(docs, model).where("predicted = 1"), "pipeline-toxic")
 
 
