@@ -5,17 +5,24 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN_DIR: list[str] = []
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+_SCRATCH: list[list[DataFrame]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; where the session names none, one of our own is set."""
+    """The cluster's shared folder. Where the session names none, one of our own is made, if driver and tasks share a machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if found:
         return found
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not _OWN_DIR:
         _OWN_DIR.append("file://" + tempfile.mkdtemp(prefix="heaploom-"))
     return _OWN_DIR[0]
@@ -38,10 +45,38 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet under the shared folder and return it reread.
 
     Later plans start from the files, so neither lineage nor a lost executor
-    leads back through the work that made them. The files go when Python ends.
+    leads back through the work that made them. The files go when they are freed, when
+    the scratch scope ends that they were made in, or else when Python ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/heaploom/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_drop_quietly, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    if _SCRATCH:
+        _SCRATCH[-1].append(out)
+    return out
+
+
+def free(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing will read again; others are left alone."""
+    for t in tables:
+        path = _PATHS.pop(t, None)
+        if path is not None:
+            _drop_quietly(t.sparkSession, path)
+
+
+@contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """A scope at whose end the tables staged in it are freed, but for those put in the list it gives."""
+    kept: list[DataFrame] = []
+    _SCRATCH.append([])
+    try:
+        yield kept
+    finally:
+        made = _SCRATCH.pop()
+        mine = {id(k) for k in kept}
+        free(*(t for t in made if id(t) not in mine))
+        if _SCRATCH:
+            _SCRATCH[-1] += [t for t in made if id(t) in mine]
