@@ -18,8 +18,10 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from heaploom.llm.words import WordHasher, mix64, shingles
 
@@ -218,21 +220,23 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 5, threshold:
     A repeated item or document is found each time. An empty table on either side gives no
     rows; other columns are ignored.
 
-    No shuffle: items go to the tasks in blocks of bounded size, each block with one pass
-    over the documents, and shingles are held for a stretch of text at a time.
+    Keys of documents and items may be of any type, null or repeated.
+
+    No shuffle: items are broadcast in blocks of bounded size, made ready once, each block
+    with one pass over the documents; shingles are held for a stretch of text at a time.
     """
     items = benchmark.select(F.col(item).alias("_id"), F.col(text).alias("_text"))
     n, size_bytes = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("_text")), F.lit(0))).first()
     blocks = max(1, -(-n // block_items), -(-int(size_bytes) // BLOCK_BYTES))
     kinds = docs.schema[key].dataType.simpleString(), benchmark.schema[item].dataType.simpleString()
-    item_type = pa.int64() if kinds[1] == "bigint" else pa.int32() if kinds[1] == "int" else pa.string()
+    item_type = to_arrow_type(benchmark.schema[item].dataType)
     out = None
     for block in range(blocks):
         part = items.where(F.pmod(F.xxhash64("_id", "_text"), F.lit(blocks)) == block).orderBy("_id", "_text").collect()
-        ids, texts = [r[0] for r in part], [r[1] for r in part]
+        shared = docs.sparkSession.sparkContext.broadcast(Benchmark([r[0] for r in part], [r[1] for r in part], size, min_words, threshold))
 
-        def searched(batches: Iterator[pa.RecordBatch], ids: list = ids, texts: list = texts) -> Iterator[pa.RecordBatch]:
-            wanted, hasher = Benchmark(ids, texts, size, min_words, threshold), WordHasher()
+        def searched(batches: Iterator[pa.RecordBatch], shared: Broadcast = shared) -> Iterator[pa.RecordBatch]:
+            wanted, hasher = shared.value, WordHasher()
             for b in batches:
                 for at, words, ends in hasher.documents(b.column(1)):
                     rows = list(wanted.search(words, ends))

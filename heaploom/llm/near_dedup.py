@@ -2,8 +2,9 @@
 
 A signature takes two permutations: the first scatters the shingles of a document over
 the integers below 2**32, and the second, shifted circularly by 0, 1, 2, ..., yields a
-coordinate for each shift. Documents that agree on a band of coordinates are candidates.
-Candidates that hang together are brought to one place and linked by their full sets.
+coordinate for each shift. Documents that agree on a band of coordinates are candidates,
+which are brought to one place and linked by their full sets. Only verified links are
+followed to components.
 """
 
 from __future__ import annotations
@@ -21,8 +22,10 @@ from heaploom.plans.staging import stage
 
 #: Bands and coordinates of each. A pair at Jaccard 0.8 shares no band with odds of 5e-6.
 BANDS, BAND_ROWS = 24, 4
-#: Shingles of candidates that one task links; larger sets of candidates go in blocks.
-BLOCK_SHINGLES = 2_000_000
+#: Shingles of candidates that meet their head in one part.
+HEAD_SHINGLES = 100_000
+#: Shingles of a band key's documents that are compared in one group; larger ones go in blocks.
+BLOCK_SHINGLES = 500_000
 
 
 def permute32(x: np.ndarray, a: int, b: int) -> np.ndarray:
@@ -53,11 +56,12 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def _sets(texts: pa.Array, size: int, hasher: WordHasher) -> list[np.ndarray]:
+def _sets(texts: pa.ChunkedArray, size: int, hasher: WordHasher) -> list[np.ndarray]:
     out = []
-    for _, words, ends in hasher.documents(texts):
-        found, to = shingles(words, ends, size)
-        out += [np.unique(x) for x in np.split(found, to[:-1])]
+    for chunk in texts.chunks:
+        for _, words, ends in hasher.documents(chunk):
+            found, to = shingles(words, ends, size)
+            out += [np.unique(x) for x in np.split(found, to[:-1])]
     return out
 
 
@@ -141,18 +145,21 @@ def link(sets: list[np.ndarray], percent: int) -> np.ndarray:
     return np.array([find(i) for i in range(n)])
 
 
-def _linked(size: int, percent: int):  # noqa: ANN202
+def _verified(texts: DataFrame, placed: DataFrame, size: int, percent: int, kind: str, label: str) -> DataFrame:
+    """Links (a, b) between the texts that are placed together (id, _group, _i, _j) and reach the similarity."""
+
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by("_id")
         ids = group.column("_id").combine_chunks()
-        texts = group.column("_text").combine_chunks()
-        to = link(_sets(texts, size, WordHasher()), percent)
-        return pa.table({"_id": ids, "_root": ids.take(pa.array(to))})
+        to = link(_sets(group.column("_text"), size, WordHasher()), percent)
+        linked = np.flatnonzero(to != np.arange(len(to)))
+        return pa.table({"a": ids.take(pa.array(to[linked])), "b": ids.take(pa.array(linked))})
 
-    return run
+    together = texts.join(placed, texts["_id"] == placed["id"]).select("_group", "_i", "_j", "_id", "_text")
+    return stage(together.groupBy("_group", "_i", "_j").applyInArrow(run, f"a {kind}, b {kind}"), label)
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", block_shingles: int = BLOCK_SHINGLES, head_shingles: int = HEAD_SHINGLES) -> DataFrame:
     """One row per row of ``docs``: key, n_shingles, component_id, kept.
 
     Words are runs of anything but space and \\x09-\\x0D, with A-Z lower-cased. A document's
@@ -163,10 +170,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
     key is linked with nothing and kept, with null as component_id. Rows alike in key and text
     are one document. Other columns are ignored, whatever their names; keys are integers.
 
-    Texts are read twice: once for signatures, and then those of candidates. Documents with
-    one set are one candidate, whatever their number. Candidates are star-shaped links from
-    the smallest document of each band key, never the pairs within it; what hangs together
-    by such links meets in one task, or if large in blocks, each with each.
+    Documents with one set are one candidate, whatever their number. The documents of a band
+    key are candidates of each other, and nothing is closed over candidates that are not
+    verified. First, every candidate meets the smallest document of all its band keys, in
+    parts of bounded size that each hold that document; this links most copies. Then only
+    band keys whose documents hang in several components, and were not all compared with
+    each other before, are searched whole, or if large in blocks, each with each. So a text is
+    sent once for its head, and once for each such band key.
     """
     kind = docs.schema[key].dataType.simpleString()
     described = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text")).mapInArrow(_described(size), f"_id {kind}, n_shingles bigint, _set binary, _bands array<bigint>")
@@ -177,27 +187,42 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
     groups = stage(groups, "near-sets")
     reps = described.select(F.col("_id").alias("_rep"), "_bands").join(groups.select("_rep"), "_rep", "left_semi")
     banded = stage(reps.select("_rep", F.explode("_bands").alias("_band")), "near-bands")
-    heads = banded.groupBy("_band").agg(F.min("_rep").alias("_head"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    stars = banded.join(heads, "_band").where("_rep != _head").select(F.col("_head").alias("a"), F.col("_rep").alias("b"))
-    candidates = stage(components(stars, "near-candidates"), "near-members")
-    n_candidates = candidates.count()
-
-    sized = candidates.join(groups.select(F.col("_rep").alias("id"), "_size").dropDuplicates(["id"]), "id")
-    totals = stage(sized.groupBy("component").agg(F.sum("_size").alias("_total"), F.count(F.lit(1)).alias("_members")), "near-totals")
-    placed = join_groups(candidates, totals, "component", "_members", n_candidates)
+    hashed = F.xxhash64("_rep")
+    keys = banded.groupBy("_band").agg(F.min("_rep").alias("_head"), F.count(F.lit(1)).alias("_n"), F.bit_xor(hashed).alias("_x"), F.bit_xor(F.xxhash64(hashed)).alias("_y")).where("_n > 1")
+    # of band keys with the same documents, one is enough
+    keys = stage(keys.groupBy("_head", "_n", "_x", "_y").agg(F.min("_band").alias("_band")).select("_band", "_head", "_n"), "near-keys")
+    n_banded = banded.count()
+    members = join_groups(prefilter(banded, "_band", keys, "_band", keys.count()), keys, "_band", "_n", n_banded).where("_head is not null")
+    sizes = groups.select("_rep", "_size").dropDuplicates(["_rep"])
+    members = stage(members.join(sizes, "_rep"), "near-members")
+
+    own = members.groupBy("_rep").agg(F.min("_head").alias("_head"), F.max("_size").alias("_size"))
+    own = stage(own, "near-own")
+    totals = stage(own.groupBy("_head").agg(F.sum("_size").alias("_total"), F.count(F.lit(1)).alias("_members")), "near-heads")
+    n_own = own.count()
+    parts = F.ceil(F.col("_total") / head_shingles).cast("int")
+    placed = join_groups(own.select("_rep", "_head"), totals, "_head", "_members", n_own).select(F.col("_rep").alias("id"), F.col("_head").alias("_group"), F.pmod(F.xxhash64("_rep"), parts).cast("int").alias("_i"))
+    heads = totals.select(F.col("_head").alias("id"), F.col("_head").alias("_group"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("_i"))
+    placed = stage(placed.where("id != _group").unionByName(heads).withColumn("_j", F.col("_i")), "near-places")
+    texts = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text"))
+    first = _verified(prefilter(texts, "_id", own, "_rep", n_own), placed, size, percent, kind, "near-first")
+    rooted = components(first, "near-reached")
+
+    known = members.select("_rep", "_band", "_head", "_n", "_size").join(rooted, members["_rep"] == rooted["id"], "left").drop("id")
+    known = known.join(own.select("_rep", F.col("_head").alias("_own")), "_rep").join(totals.select(F.col("_head").alias("_own"), (parts == 1).alias("_whole")), "_own")
+    compared = (F.col("_own") == F.col("_head")) & (F.col("_whole") | (F.col("_n") == 2))
+    root = F.coalesce("component", "_rep")
+    open_ = known.groupBy("_band").agg(F.min(root).alias("_low"), F.max(root).alias("_high"), F.every(compared).alias("_compared"), F.sum("_size").alias("_total"), F.count(F.lit(1)).alias("_members")).where("_low != _high and not _compared")
+    open_ = stage(open_.select("_band", "_total", "_members"), "near-open")
     blocks = F.when(F.col("_total") <= block_shingles, F.lit(1)).otherwise(F.ceil(F.col("_total") * 2 / block_shingles)).cast("int")
-    placed = placed.select("id", "component", blocks.alias("_blocks")).withColumn("_block", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
-    placed = placed.withColumn("_other", other).select("id", "component", "_blocks", F.least("_block", "_other").alias("_i"), F.greatest("_block", "_other").alias("_j"))
-    placed = stage(placed, "near-places")
-
-    texts = prefilter(docs.select(F.col(key).alias("_id"), F.col(text).alias("_text")), "_id", candidates, "id", n_candidates)
-    together = texts.join(placed, texts["_id"] == placed["id"]).select("component", "_i", "_j", "_id", "_text")
-    linked = stage(together.groupBy("component", "_i", "_j").applyInArrow(_linked(size, percent), f"_id {kind}, _root {kind}"), "near-linked")
-    if placed.where("_blocks > 1").isEmpty():
-        found = linked.dropDuplicates(["_id"]).select(F.col("_id").alias("_rep"), F.col("_root").alias("_component"))
-    else:
-        found = components(linked.select(F.col("_id").alias("a"), F.col("_root").alias("b")), "near-blocks").select(F.col("id").alias("_rep"), F.col("component").alias("_component"))
+    left = join_groups(prefilter(members.select("_rep", "_band"), "_band", open_, "_band", open_.count()), open_, "_band", "_members", n_banded).where("_total is not null")
+    left = left.select(F.col("_rep").alias("id"), F.col("_band").alias("_group"), blocks.alias("_blocks")).withColumn("_block", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int"))
+    left = left.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).select("id", "_group", F.least("_block", "_other").alias("_i"), F.greatest("_block", "_other").alias("_j"))
+    left = stage(left, "near-left")
+    ids = stage(left.select("id").distinct(), "near-left-ids")
+    second = _verified(prefilter(texts, "_id", ids, "id", ids.count()), left, size, percent, kind, "near-second")
+
+    found = components(first.unionByName(second), "near-linked").select(F.col("id").alias("_rep"), F.col("component").alias("_component"))
     named = groups.join(found, "_rep", "left").select("_set", "_n", F.coalesce("_component", "_rep").alias("_component"), "_rep").where("_n > 1 or _component != _rep")
     named = stage(named.select("_set", "_n", "_component"), "near-named")
 

@@ -195,7 +195,7 @@ class ToxicityModel:
         """Unit vectors of texts by their terms' numbers of uses. Terms of no example are left out: they meet none and change no order."""
         w = n * self.weights[term]
         length = np.sqrt(np.bincount(text, w * w, minlength=n_texts))
-        return np.searchsorted(text, np.arange(n_texts + 1)), term, w / length[text]
+        return np.searchsorted(text, np.arange(n_texts + 1)), term, (w / length[text]).astype(np.float32)
 
     def vote(self, entries: np.ndarray, cosines: np.ndarray) -> float:
         """Toxic share among the neighbours, each weighing by its nearness."""
@@ -268,18 +268,22 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     if not n[0] or not n[1]:
         return model
 
+    ids, words = told.column("_id").combine_chunks(), told.column("_words").to_numpy()
     hashes = [np.frombuffer(x.as_buffer(), np.uint64) for x in told.column("_terms")]
     uses = np.concatenate([np.frombuffer(x.as_buffer(), np.int32) for x in told.column("_n")])
-    sizes = np.array([len(h) for h in hashes])
-    distinct, term = np.unique(np.concatenate(hashes), return_inverse=True)
-    entry = np.repeat(np.arange(len(sizes)), sizes)
-    words = told.column("_words").to_numpy()
+    sizes, name = np.array([len(h) for h in hashes]), [hashlib.blake2b(h, digest_size=8).digest() for h in hashes]
+    hashes = np.concatenate(hashes)
+    del told
+    distinct, term = np.unique(hashes, return_inverse=True)
+    term, entry = term.astype(np.int32), np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    del hashes
     rate, y = uses / (words[entry] + SHORT), toxic[entry]
     totals = [np.bincount(term[y == c], rate[y == c], minlength=len(distinct)) for c in (0, 1)]
     variance = np.bincount(term, rate * rate, minlength=len(distinct)) / n.sum() - ((totals[0] + totals[1]) / n.sum()) ** 2
     once = (1 / (words.mean() + SHORT)) ** 2 / n.sum()
     apart = np.abs(totals[1] / n[1] - totals[0] / n[0]) / np.sqrt((variance + once) * (1 / n[0] + 1 / n[1]))
 
+    del rate, y, totals, variance
     context = docs.sparkSession.sparkContext
     model.words = Vocabulary(distinct)
     wanted = context.broadcast(model.words)
@@ -306,13 +310,13 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     ends = np.cumsum(sizes)
     some = np.flatnonzero(sizes)
     heaviest[some] = term[by_weight[ends[some] - 1]]
-    name = [hashlib.blake2b(h, digest_size=8).digest() for h in hashes]
     order = np.array(sorted(some, key=lambda i: (heaviest[i], name[i], toxic[i])), np.int64)
     at = spread(ptr[order], sizes[order])
     rows_ptr, rows_term, rows_weight = np.concatenate([[0], np.cumsum(sizes[order])]), term[at], weights[at]
-    model.ids, model.toxic = told.column("_id").combine_chunks().take(pa.array(order)), toxic[order]
+    model.ids, model.toxic = ids.take(pa.array(order)), toxic[order]
     model.index = BlockMaxIndex(rows_ptr, rows_term, rows_weight, len(distinct))
     none = toxic[sizes == 0]
+    del ptr, weights, by_weight, entry, term, uses, at
     model.silent = min(prior, (none.sum() + 0.5) / (len(none) + 1))
     shared, entries = context.broadcast(model), context.broadcast((rows_ptr, rows_term, rows_weight))
 

@@ -260,10 +260,10 @@ def near_rows():
     return list({i: (i, t) for i, t in rows}.values())
 
 
-@pytest.mark.parametrize(("size", "block"), [(2, 2_000_000), (2, 900), (5, 2_000_000)])
-def test_near_duplicates(spark, size, block):
+@pytest.mark.parametrize(("size", "block", "head"), [(2, 500_000, 100_000), (2, 900, 300), (5, 500_000, 2_000)])
+def test_near_duplicates(spark, size, block, head):
     rows = near_rows()
-    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), size, 80, block_shingles=block)
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), size, 80, block_shingles=block, head_shingles=head)
     assert table(got, "doc_id", "n_shingles", "component_id", "kept") == brute_components(rows, size, 80)
 
 
