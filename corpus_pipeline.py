@@ -1,7 +1,13 @@
 """A pipeline from raw documents to a training mix, in five stages.
 
 Each stage is written as Parquet in the shared folder and reread by the next. All but the
-last return the columns of ``documents``; the last adds what the mix takes.
+last return the columns of ``documents``, whatever these are; the last adds what the mix takes.
+
+A decision holds for a row. Where ``doc_id`` is null or repeated in a stage's input, that stage
+tells rows apart by numbers of its own, dealt out in the order of ``doc_id`` (null first), so
+that the smallest or largest id still stays; rows with one id are rejected each by its own text.
+Null texts count as empty: they are clean, copies of each other, near copies of nothing, hold
+no benchmark item, and have size 0, so the mix takes none. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -13,35 +19,55 @@ from pyspark.sql import functions as F
 
 from heaploom.llm import decontaminate, exact_dedup, mixing, near_dedup, toxicity
 from heaploom.llm.common import drop_keys
-from heaploom.plans.staging import stage
+from heaploom.plans.staging import free, scratch, stage
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a column ``_row`` that tells rows apart: doc_id where that does."""
+    if docs.groupBy("doc_id").count().where("doc_id is null or count > 1").isEmpty():
+        return docs.withColumn("_row", F.col("doc_id").cast("long"))
+    return stage(docs.orderBy(F.asc_nulls_first("doc_id")).withColumn("_row", F.monotonically_increasing_id()), "pipeline-rows")
+
+
+def _stage_of(rejected: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage that leaves out the rows whose ``_row`` is among those that ``rejected`` returns."""
 
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        columns = [F.col(f"`{c}`") for c in docs.columns]
+        with scratch() as kept:
+            rows = _numbered(docs)
+            gone = stage(rejected(spark, rows, sf_dir).select("_row").distinct(), "pipeline-gone")
+            kept += [rows, gone]
+            return drop_keys(rows, "_row", gone, gone.count()).select(*columns)
 
-def _without(docs: DataFrame, dropped: DataFrame, label: str) -> DataFrame:
-    dropped = stage(dropped.select("doc_id").where("doc_id is not null").distinct(), label)
-    return drop_keys(docs, "doc_id", dropped, dropped.count())
+    run.__doc__ = rejected.__doc__
+    return run
 
 
-def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model does not reject. It learns from labelled rows of ``docs``."""
+@_stage_of
+def drop_toxic(spark: SparkSession, rows: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model does not reject stay. It learns from labelled rows of the input."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    model = toxicity.fit(docs, toxicity.learnable(labels))
-    return _without(docs, toxicity.score(docs, model).where("predicted = 1"), "pipeline-toxic")
+    model = toxicity.fit(rows, toxicity.learnable(labels))
+    return toxicity.score(rows, model, key="_row").where("predicted = 1")
 
 
-def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the document with the largest id."""
-    return _without(docs, exact_dedup.exact_dedup(docs).where("not kept"), "pipeline-copies")
+@_stage_of
+def drop_copies(spark: SparkSession, rows: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the document with the largest id stays."""
+    return exact_dedup.exact_dedup(rows, key="_row").where("not kept")
 
 
-def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked at Jaccard 0.8 over five-word shingles: the smallest id."""
-    return _without(docs, near_dedup.near_duplicates(docs, size=5, percent=80).where("not kept"), "pipeline-near")
+@_stage_of
+def drop_near_copies(spark: SparkSession, rows: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked at Jaccard 0.8 over five-word shingles stays: the smallest id."""
+    return near_dedup.near_duplicates(rows, size=5, percent=80, key="_row").where("not kept")
 
 
-def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item is found."""
-    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _without(docs, decontaminate.find_leaks(docs, items), "pipeline-leaks")
+@_stage_of
+def drop_leaks(spark: SparkSession, rows: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item is found stay."""
+    return decontaminate.find_leaks(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key="_row")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,8 +75,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     These two replace columns of the same names.
     """
-    mixed = mixing.mix(docs).where("taken > 0").groupBy("doc_id").agg(F.max("size").alias("size"), F.max("taken").alias("taken"))
-    return docs.drop("size", "taken").join(mixed, "doc_id")
+    columns = [F.col(f"`{c}`") for c in docs.columns if c not in ("size", "taken")]
+    with scratch() as kept:
+        rows = _numbered(docs)
+        mixed = stage(mixing.mix(rows, key="_row").where("taken > 0").select("_row", "size", "taken"), "pipeline-mixed")
+        kept += [rows, mixed]
+        return rows.drop("size", "taken").join(mixed, "_row").select(*columns, "size", "taken")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -68,5 +98,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, step in STAGES:
-        docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch() as kept:
+            made = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+            kept.append(made)
+        free(docs)
+        docs = made
     return docs
