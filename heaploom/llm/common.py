@@ -21,6 +21,13 @@ MAX_FILTER_WORDS = 1 << 22
 HOT_SHARE = 1000
 
 
+def bounded_batches(df: DataFrame) -> None:
+    """Texts go to Python by 1,000 rows at a time, where the session leaves Spark's default of 10,000."""
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower case for A-Z alone. ``lower`` does just that for ASCII texts, and faster."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

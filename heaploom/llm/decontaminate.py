@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from heaploom.llm.common import bounded_batches
 from heaploom.llm.words import WordHasher, mix64, shingles
 
 RADIUS = 11
@@ -225,6 +226,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 5, threshold:
     No shuffle: items are broadcast in blocks of bounded size, made ready once, each block
     with one pass over the documents; shingles are held for a stretch of text at a time.
     """
+    bounded_batches(docs)
     items = benchmark.select(F.col(item).alias("_id"), F.col(text).alias("_text"))
     n, size_bytes = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("_text")), F.lit(0))).first()
     blocks = max(1, -(-n // block_items), -(-int(size_bytes) // BLOCK_BYTES))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heaploom.llm.common import components, join_groups, prefilter
+from heaploom.llm.common import bounded_batches, components, join_groups, prefilter
 from heaploom.llm.words import WordHasher, mix64, shingles
 from heaploom.plans.staging import stage
 
@@ -178,6 +178,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
     each other before, are searched whole, or if large in blocks, each with each. So a text is
     sent once for its head, and once for each such band key.
     """
+    bounded_batches(docs)
     kind = docs.schema[key].dataType.simpleString()
     described = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text")).mapInArrow(_described(size), f"_id {kind}, n_shingles bigint, _set binary, _bands array<bigint>")
     described = stage(described, "near-signatures")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heaploom.llm.common import drop_keys, join_groups, prefilter
+from heaploom.llm.common import bounded_batches, drop_keys, join_groups, prefilter
 from heaploom.llm.words import WordHasher, mix64, power_tables, text_chunks
 from heaploom.plans.staging import stage
 
@@ -131,6 +131,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     the runs again and, behind a filter of bounded size, shuffles those that recur. Texts
     with nothing to cut are not shuffled.
     """
+    bounded_batches(docs)
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text"))
     runs = rows.where("_id is not null").mapInArrow(_hashed, f"_id {kind}, _at int, _size int, _run bigint")

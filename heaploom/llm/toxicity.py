@@ -22,6 +22,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from heaploom.llm.common import bounded_batches
 from heaploom.llm.words import mix64, power_tables, text_chunks
 from heaploom.plans.staging import stage
 
@@ -253,6 +254,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     as many examples, thinned by a hash of the text if these are over ``sample``. Keys may
     be of any type that both tables share. Any order of rows gives the same model.
     """
+    bounded_batches(docs)
     known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("_id"), F.col(label).cast("int").alias("_y")).distinct()
     known = F.broadcast(_thinned(stage(known, "toxicity-labels"), sample, "_id"))
     rows = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text")).join(known, "_id").select("_id", "_text", "_y")
@@ -347,6 +349,7 @@ def score(docs: DataFrame, model: ToxicityModel | None, key: str = "doc_id", tex
     Keys may repeat, be null and of any type, texts may have any length, other columns are
     ignored. No shuffle; the model is bounded by its sample.
     """
+    bounded_batches(docs)
     held: Broadcast = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[key].dataType.simpleString()
     id_type = model.ids.type if model is not None and model.ids is not None else None
