@@ -18,13 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from heaploom.llm.common import bounded_batches
+
 BUCKETS = 1 << 13
 #: Labelled texts per language that the centroids are fitted to: about this many, twice as many at most.
 SAMPLE_PER_LANGUAGE = 400
 CENTROIDS = 4
 #: Sharpness of the score: the softmax of cosines divided by this.
 TEMPERATURE = 0.05
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
 
 
 class Grams:
@@ -36,18 +38,17 @@ class Grams:
         self.byte = np.where(((lower >= 97) & (lower <= 122)) | (b >= 128), lower, 32).astype(np.uint32)
 
     def count(self, data: np.ndarray) -> np.ndarray:
-        out = np.zeros(BUCKETS, np.int64)
+        """Counts of one text with a blank at either end, read in stretches: two symbols are carried over each seam."""
+        out, tail, blank = np.zeros(BUCKETS, np.int64), np.array([32], np.uint32), np.array([32], np.uint32)
         for lo in range(0, max(len(data), 1), _CHUNK):
-            x = self.byte[data[max(0, lo - 2) : lo + _CHUNK]]
-            x = np.concatenate([[np.uint32(32)], x, [np.uint32(32)]]) if len(data) <= _CHUNK else x
-            keep = np.ones(len(x), bool)
-            keep[1:] = (x[1:] != 32) | (x[:-1] != 32)
-            x = x[keep]
+            x = np.concatenate([tail[-1:], self.byte[data[lo : lo + _CHUNK]], blank[: int(lo + _CHUNK >= len(data))]])
+            x = np.concatenate([tail, x[1:][(x[1:] != 32) | (x[:-1] != 32)]])
             two = x[:-1] * np.uint32(0x9E3779B1) + x[1:] * np.uint32(0x85EBCA6B)
             three = two[:-1] * np.uint32(0xC2B2AE35) + x[2:] * np.uint32(0x27D4EB2F)
-            for g in (two, three):
+            for g in (two[len(tail) - 1 :], three):
                 g = (g ^ (g >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
                 out += np.bincount(g >> np.uint32(32 - 13), minlength=BUCKETS)
+            tail = x[-2:]
         return out
 
     def texts(self, column: pa.Array) -> Iterator[np.ndarray]:
@@ -61,9 +62,8 @@ class Grams:
             yield self.count(data[lo:hi])
 
 
-
 def weigh(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    v = np.log1p(np.arange(4096)).astype(np.float32)[np.minimum(counts, 4095)] * idf
+    v = np.log1p(counts.astype(np.float32)) * idf
     norm = np.sqrt((v * v).sum(axis=-1, keepdims=True))
     return v / np.maximum(norm, 1e-9)
 
@@ -109,8 +109,10 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
     """A model of the languages of ``labelled``; None if it has no text with a language.
 
     Frequencies are counted over all its rows; centroids see a sample per language that is
-    chosen by a hash of the key, so refits agree.
+    chosen by a hash of the key, so refits agree. Keys may be null, repeated and of any type;
+    rows without text or language are left out, and so are all other columns.
     """
+    bounded_batches(labelled)
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("string").alias("_key"), F.col(text).alias("_text"), F.col(lang).cast("string").alias("_lang"))
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,14 +155,16 @@ def identify(docs: DataFrame, model: LanguageModel | None, text: str = "text", k
     ``lang_pred`` is a learned language, or ``und`` where the text is null or has no letter,
     where nothing was learned, and with ``reject`` also where the nearest centroid is too
     far; ``score`` is then 0. Ties go to the language that is first by code point. Keys may
-    repeat; other columns are ignored; texts may have any length. No shuffle.
+    be null, repeat and have any type; other columns are ignored; texts may have any length.
+    No shuffle.
     """
+    bounded_batches(docs)
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = Grams()
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                part = b.slice(lo, 256)
+            for lo in range(0, b.num_rows, 64):
+                part = b.slice(lo, 64)
                 known = np.array(part.column(2).to_pylist(), bool) & (model is not None)
                 lang, score, far = np.array(["und"] * len(known), object), np.zeros(len(known)), np.ones(len(known), bool)
                 if model is not None and known.any():

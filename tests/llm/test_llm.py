@@ -82,6 +82,17 @@ def test_token_counts(docs, none):
     assert token_counts.count_tokens(none, MODEL).count() == 0
 
 
+def test_where_a_budget_ends():
+    rng, own = random.Random(7), token_counts.PrefixCounter(MODEL)
+    parts = ["the", "ing", " ", "  ", "\n", "日", ".", "</s>", "ß", "😀", "12", "Tionthe"]
+    for _ in range(200):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 25)))
+        counts = own.prefixes(text)
+        for budget in (0, 1, 3, 8, 40):
+            assert own.within(text, budget) == token_counts.chars_within(counts, budget)
+    assert own.within(None, 5) == 0
+
+
 def test_truncation_needs_no_encoding(docs):
     lib = library()
     texts = dict(awkward())
@@ -509,6 +520,18 @@ def test_documents_shorter_than_an_item_are_searched():
 # -- 10: languages ----------------------------------------------------------------------
 
 
+def test_gram_counts_do_not_depend_on_seams(monkeypatch):
+    rng, grams = random.Random(3), language_id.Grams()
+    texts = [prose(rng, n).encode() for n in (0, 1, 40, 400)] + [b"  a  b ", b"..", b" " * 30, b"x" * 70, ("é " * 50).encode()]
+    whole = [grams.count(np.frombuffer(t, np.uint8)) for t in texts]
+    for size in (1, 2, 7, 64):
+        monkeypatch.setattr(language_id, "_CHUNK", size)
+        assert all((grams.count(np.frombuffer(t, np.uint8)) == w).all() for t, w in zip(texts, whole))
+    # counts weigh on beyond any bound
+    idf = np.ones(2, np.float32)
+    assert language_id.weigh(np.array([[5_000, 1]]), idf)[0, 0] < language_id.weigh(np.array([[500_000, 1]]), idf)[0, 0]
+
+
 def test_languages(spark, docs, none):
     rng = random.Random(30)
     kinds = {"aa": ["ki", "lo", "mu", "zen"], "bb": ["sch", "ung", "ein", "keit"], "cc": ["ção", "não", "lhe", "que"]}
