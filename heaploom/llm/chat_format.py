@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from heaploom.llm.common import bounded_batches
+
 #: Marks of the template, in the order of their reserved ids.
 MARKS = ("<|begin|>", "<|turn|>", "<|body|>", "<|end|>")
 #: Strings that are escaped in texts: the marks, and those of other common templates.
@@ -121,6 +123,7 @@ def format_chats(turns: DataFrame, ranks_file: str, trained: tuple[str, ...] = (
     of their own. A null conv_id is a conversation. Empty tables give no rows; other
     columns are ignored. A conversation is one row of the result and has to fit a task.
     """
+    bounded_batches(turns)
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin = ChatCodec(ranks_file).begin

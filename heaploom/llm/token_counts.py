@@ -20,6 +20,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from heaploom.llm.common import bounded_batches
+
 MARK = "▁"
 #: Distinct words remembered by one task.
 CACHE_WORDS = 1_000_000
@@ -141,15 +143,29 @@ class PrefixCounter:
 
     def count(self, text: str | None) -> int:
         """Tokens of a whole text; null counts as empty."""
-        words, total = self.words, 0
+        return sum(map(self._whole, self.segments(text or "")))
+
+    def _whole(self, segment: str) -> int:
+        n = self.words.get(segment)
+        if n is None:
+            if len(self.words) >= CACHE_WORDS:
+                self.words.clear()
+            n = self.words[segment] = self.word_prefixes(segment)[-1]
+        return n
+
+    def within(self, text: str | None, budget: int) -> int:
+        """Characters of the longest prefix that encodes to ``budget`` tokens at most: only the stretch that holds its end is looked at by prefixes."""
+        at, base, best = -1, 0, 0
         for s in self.segments(text or ""):
-            n = words.get(s)
-            if n is None:
-                if len(words) >= CACHE_WORDS:
-                    words.clear()
-                n = words[s] = self.word_prefixes(s)[-1]
-            total += n
-        return total
+            if base > budget:
+                break
+            n = self._whole(s)
+            if base + n <= budget:
+                best = at + len(s)
+            else:
+                best = max([best, *(at + j for j, c in enumerate(self.word_prefixes(s)) if j and base + c <= budget)])
+            at, base = at + len(s), base + n
+        return best
 
     def prefixes(self, text: str | None) -> list[int]:
         """``out[i]``: tokens of ``text[:i]`` encoded on its own, for every ``i``."""
@@ -167,12 +183,16 @@ def chars_within(counts: list[int], budget: int) -> int:
 
 
 def count_tokens(docs: DataFrame, model_file: str, text: str = "text", key: str = "doc_id", limit: int = 4096) -> DataFrame:
-    """One row per row of ``docs``: key, n_bytes, n_tokens, over_limit.
+    """One row per row of ``docs``: key, n_bytes, n_tokens, over_limit, n_chars_within.
+
+    ``n_chars_within`` are the characters of the longest prefix that encodes to ``limit``
+    tokens at most: where to cut, without encoding again.
 
     Null texts count as empty, so they have 0 bytes and 0 tokens. Repeated keys, texts
     of any length and tables without rows need nothing special; other columns are
     ignored, whatever their names. No shuffle: each task reads its own texts once.
     """
+    bounded_batches(docs)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = PrefixCounter(model_file)
@@ -185,24 +205,26 @@ def count_tokens(docs: DataFrame, model_file: str, text: str = "text", key: str
                     pa.array([len(x.encode()) for x in texts], pa.int64()),
                     pa.array(n, pa.int64()),
                     pa.array([x > limit for x in n], pa.bool_()),
+                    pa.array([len(t) if c <= limit else counter.within(t, limit) for t, c in zip(texts, n)], pa.int64()),
                 ],
-                names=[key, "n_bytes", "n_tokens", "over_limit"],
+                names=[key, "n_bytes", "n_tokens", "over_limit", "n_chars_within"],
             )
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(counted, f"`{key}` {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean")
+    return docs.select(key, text).mapInArrow(counted, f"`{key}` {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean, n_chars_within bigint")
 
 
 def prefix_table(docs: DataFrame, model_file: str, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The stored table: per document ``steps``, one signed byte per character, whose
+    """The stored table: per document ``steps``, a 16-bit number per character, whose
     running sum is the token count of each prefix. See :func:`truncate` for its use."""
+    bounded_batches(docs)
 
     def tabled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         counter = PrefixCounter(model_file)
         for b in batches:
-            rows = [np.diff(np.array(counter.prefixes(x), np.int64)).astype(np.int8).tobytes() for x in b.column(1).to_pylist()]
+            rows = [np.diff(np.array(counter.prefixes(x), np.int64)).astype(np.int16).tobytes() for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.binary())], names=[key, "steps"])
 
     kind = docs.schema[key].dataType.simpleString()
@@ -218,7 +240,7 @@ def truncate(table: DataFrame, budget: int, key: str = "doc_id") -> DataFrame:
         for b in batches:
             kept = []
             for x in b.column(1).to_pylist():
-                c = np.concatenate([[0], np.cumsum(np.frombuffer(x, np.int8).astype(np.int64))])
+                c = np.concatenate([[0], np.cumsum(np.frombuffer(x, np.int16).astype(np.int64))])
                 i = int(np.flatnonzero(c <= budget)[-1])
                 kept.append((i, int(c[i])))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([k[0] for k in kept], pa.int64()), pa.array([k[1] for k in kept], pa.int64())], names=[key, "n_chars_kept", "n_tokens_kept"])
