@@ -76,11 +76,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     These two replace columns of the same names.
     """
     columns = [F.col(f"`{c}`") for c in docs.columns if c not in ("size", "taken")]
-    with scratch() as kept:
-        rows = _numbered(docs)
-        mixed = stage(mixing.mix(rows, key="_row").where("taken > 0").select("_row", "size", "taken"), "pipeline-mixed")
-        kept += [rows, mixed]
-        return rows.drop("size", "taken").join(mixed, "_row").select(*columns, "size", "taken")
+    return mixing.mixed(_numbered(docs), key="_row").select(*columns, "size", "taken")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
