@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
+import string
 import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from heaploom.schema import EPHEMERON_REFS, NO_DISTANCE, UNREACHABLE_BASE
+from heaploom.schema import NO_DISTANCE, PAIR_WORDS, UNREACHABLE_BASE
 
 MINUS = "−"
 BAR, BAR_WIDTH = "█", 50
@@ -66,21 +67,27 @@ def retainer_label(edge: Column, node: Column) -> Column:
     return F.concat(edge, F.lit(" in "), node)
 
 
-def short_location(file: Column, script_id: Column, line: Column, col: Column) -> Column:
-    """``file:line:column``, one-based, of the path's last part; the bare numbers where no file is known."""
-    known = F.concat(F.regexp_extract(file, r"[^/]*$", 0), F.lit(":"), (line + 1).cast("string"), F.lit(":"), (col + 1).cast("string"))
-    return F.when(F.coalesce(file, F.lit("")) != "", known).otherwise(F.format_string("script_id=%d:L%d:%d", script_id, line, col))
-
-
 def edge_refs(name: Column) -> Column:
     """The three objects that a WeakMap pair's edge name tells of; an empty array for other names."""
-    part = lambda i: F.regexp_extract(name, EPHEMERON_REFS, i)
-    ref = lambda label, i: F.struct(label.alias("label"), part(i).cast("long").alias("id"))
-    refs = F.array(ref(F.concat(F.lit("key/"), part(1)), 2), ref(F.concat(F.lit("value/"), part(3)), 4), ref(F.lit("table"), 5))
-    return F.when(name.rlike(EPHEMERON_REFS), refs).otherwise(F.array().cast("array<struct<label:string,id:bigint>>"))
-
-
-def contains_folded(text: Column, part: str) -> Column:
+    first, second, third = map(F.lit, PAIR_WORDS)
+    between = lambda text, before, after: F.substring_index(F.substr(text, F.locate(before, text) + F.length(F.lit(before))), after, 1)
+    key, value = between(name, PAIR_WORDS[0], PAIR_WORDS[1]), between(name, PAIR_WORDS[1], PAIR_WORDS[2])
+    table = F.rtrim(F.substr(name, F.locate(PAIR_WORDS[2], name) + F.length(third)), F.lit(")"))
+    number = F.substring_index(name, PAIR_WORDS[0], 1)
+    label, id_ = (lambda part: F.substr(part, F.lit(1), F.length(part) - F.length(F.substring_index(part, " @", -1)) - 2)), (lambda part: F.substring_index(part, " @", -1))
+    whole = F.contains(name, first) & F.contains(name, second) & F.contains(name, third) & name.endswith(")")
+    for digits in (number, id_(key), id_(value), table):
+        whole = whole & digits.rlike("^[0-9]+$")
+    ref = lambda said, i: F.struct(said.alias("label"), i.try_cast("long").alias("id"))
+    refs = F.array(ref(F.concat(F.lit("key/"), label(key)), id_(key)), ref(F.concat(F.lit("value/"), label(value)), id_(value)), ref(F.lit("table"), table))
+    return F.when(whole, refs).otherwise(F.array().cast("array<struct<label:string,id:bigint>>"))
+
+
+def contains_folded(text: Column, part: str, ascii_only: bool = False) -> Column:
+    """Whether ``part`` occurs in either case; only that of A-Z is disregarded if asked for."""
+    if ascii_only:
+        upper, lower = string.ascii_uppercase, string.ascii_lowercase
+        return F.contains(F.translate(text, upper, lower), F.lit(part.translate(str.maketrans(upper, lower))))
     return F.contains(F.lower(text), F.lit(part.lower()))
 
 
@@ -89,12 +96,14 @@ def has_tag(name: Column, tag: str) -> Column:
 
 
 def quote_property(name: Column) -> Column:
-    quoted = F.concat(F.lit('"'), F.replace(F.replace(name, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
-    return F.when(name.rlike("[,'\"{} ]"), quoted).otherwise(name)
+    """A property's name as labels show it: in quotes if it holds a comma, a quote or a brace."""
+    held = F.regexp_extract(F.to_json(F.struct(name.alias("n"))), r'(?s)^\{"n":(.*)\}$', 1)
+    return F.when(name.rlike("[,'\"{}]"), held).otherwise(name)
 
 
 def symbol_property(name: Column) -> Column:
-    return F.regexp_replace(name, r"^Symbol\((.*)\)$", "<symbol $1>")
+    """A property's name as interfaces show it."""
+    return F.when(F.startswith(name, F.lit("Symbol(")), F.concat(F.lit("<symbol "), F.substr(name, F.lit(8), F.greatest(F.length(name) - 8, F.lit(0))), F.lit(">"))).otherwise(name)
 
 
 def wasted(total: Column, one: Column) -> Column:
@@ -204,9 +213,10 @@ def parse_object_id(text: str) -> int:
     return int(m[1])
 
 
-def parse_window(text: str) -> tuple[str, int, int]:
-    """``name:start:count``; the name may hold colons."""
-    name, start, count = text.rsplit(":", 2) if text.count(":") >= 2 else (text, "", "")
-    if not (start.isdigit() and count.isdigit()):
-        raise ValueError(f"not a window: {text!r}; expected name:start:count")
-    return name, int(start), int(count)
+def parse_window(text: str) -> tuple[str, int | None, int | None]:
+    """``name``, ``name:start`` or ``name:start:count``; the name may hold colons."""
+    parts, numbers = text.split(":"), []
+    while len(parts) > 1 and len(numbers) < 2 and parts[-1].isascii() and parts[-1].isdigit():
+        numbers.append(int(parts.pop()))
+    start, count = [*reversed(numbers), None, None][:2]
+    return ":".join(parts), start, count

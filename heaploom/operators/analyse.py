@@ -5,17 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from heaploom.operators.locations import format_location
 from heaploom.operators.naming import category, class_name
 from heaploom.plans.kernel import analysis
 from heaploom.plans.staging import stage
 from heaploom.schema import ANALYSIS, NODES
 
 
-def analyse(nodes: DataFrame, edges: DataFrame, weak_is_reachable: bool = False, locations: DataFrame | None = None, label: str = "analysed") -> DataFrame:
+def analyse(nodes: DataFrame, edges: DataFrame, weak_is_reachable: bool = False, locations: DataFrame | None = None, script_names: DataFrame | None = None, label: str = "analysed") -> DataFrame:
     """``nodes`` with distance, dominators, sizes, states, owners, class_name, class_key and group_name, written and reread.
 
     Snapshots are independent; each is one task. Objects with a source location are grouped
-    by it, of several the last; all others by class name within its category.
+    by it, of several the last, and shown with the script's name where ``script_names`` knows
+    it; all others by class name within its category.
     """
     out = nodes.groupBy("snapshot_id").cogroup(edges.groupBy("snapshot_id")).applyInArrow(analysis(weak_is_reachable), f"{NODES}, {ANALYSIS}")
     out = out.withColumn("class_name", class_name(F.col("type"), F.col("name"), F.col("interface")))
@@ -24,8 +26,12 @@ def analyse(nodes: DataFrame, edges: DataFrame, weak_is_reachable: bool = False,
     if locations is not None:
         last = locations.groupBy("snapshot_id", "ord").agg(F.max_by(F.struct("script_id", "line", "col"), "seq").alias("location"))
         out = out.join(last, ["snapshot_id", "ord"], "left")
-        here = F.format_string(" [script_id=%d:L%d:%d]", F.col("location.script_id"), F.col("location.line"), F.col("location.col"))
+        if script_names is not None:
+            out = out.join(script_names.select(F.col("script_id").alias("_script"), "script_name"), F.col("location.script_id") == F.col("_script"), "left").drop("_script")
+        else:
+            out = out.withColumn("script_name", F.lit(None).cast("string"))
+        place = [F.col(f"location.{c}") for c in ("script_id", "line", "col")]
         located = F.col("location").isNotNull() & (F.col("type") == "object")
-        key = F.when(located, F.concat_ws("\x1f", F.lit("located"), key, here)).otherwise(key)
-        shown = F.when(located, F.concat(shown, here)).otherwise(shown)
+        key = F.when(located, F.concat_ws("\x1f", F.lit("located"), *place, F.col("class_name"))).otherwise(key)
+        shown = F.when(located, F.concat(shown, F.lit(" ["), format_location(F.col("script_name"), *place), F.lit("]"))).otherwise(shown)
     return stage(out.withColumns({"class_key": key, "group_name": shown}), label)

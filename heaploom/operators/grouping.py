@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heaploom.operators.edges import edge_targets, number_values
 from heaploom.operators.naming import flat_cons
+from heaploom.plans.staging import stage
 from heaploom.schema import UNREACHABLE_BASE
 
+#: Ids of a range of a timeline, about.
+RANGE_ROWS = 1 << 20
+
 #: What a summary can be filtered by.
 FILTERS: dict[str, str] = {
     "all": "true",
@@ -64,7 +66,7 @@ def statistics(nodes_x: DataFrame, edges: DataFrame, extra_native: int = 0) -> D
         F.count(F.lit(1)).alias("node_count"), (F.sum("self_size") + extra_native).alias("total"), (part("type = 'native'") + extra_native).alias("native_total"),
         part("type = 'native' and name = 'system / JSArrayBufferData'").alias("typed_arrays"), part("type = 'code'").alias("code"), part(string).alias("strings"),
         part("type = 'hidden'").alias("system"), (part(f"{plain} and name = 'Array'") + part("_owned")).alias("js_arrays"),
-        F.count(F.when(F.col("distance") >= UNREACHABLE_BASE, 1)).alias("unreachable_count"), part(f"distance >= {UNREACHABLE_BASE}").alias("unreachable_size"),
+        F.count(F.when((F.col("distance") >= UNREACHABLE_BASE) & (F.col("self_size") > 0), 1)).alias("unreachable_count"), part(f"distance >= {UNREACHABLE_BASE}").alias("unreachable_size"),
         F.count(F.when(F.col("name").eqNullSafe("system / Context") | F.startswith("name", F.lit("system / Context / ")), 1)).alias("context_count"),
         part("context_retention = 'Retained'").alias("retained_by_contexts"), part("context_retention = 'NotRetained'").alias("not_retained_by_contexts"),
     )
@@ -142,29 +144,38 @@ def intervals(samples: DataFrame) -> DataFrame:
 def timeline(nodes: DataFrame, samples: DataFrame) -> DataFrame:
     """Objects and bytes alive per interval (from, to] of ids.
 
-    Intervals do not overlap, so each object finds its one by a search in the sorted bounds
-    instead of a join on inequalities.
+    Intervals that open do not overlap. Sample ends and objects are laid out in the order of
+    ids, in ranges of ids of bounded number; within a range each object belongs to the first
+    end at or behind it, and what is behind a range's last end goes to the first of a later one.
     """
-    spans = intervals(samples)
-    opened = spans.where("id_to > low")
-    bounds = [r["id_to"] for r in opened.orderBy("seq").select("id_to").collect()]
-    keyed = nodes.where("self_size > 0").select("id", "self_size")
-    if bounds:
-        # the number of bounds below an id is the number of the interval that holds it
-        at = F.expr("size(filter(_b, b -> b < id))") if len(bounds) <= 64 else _bisect(F.col("id"), bounds)
-        keyed = keyed.withColumn("_b", F.array(*[F.lit(b).cast("long") for b in bounds])) if len(bounds) <= 64 else keyed
-        counted = keyed.withColumn("_at", at).groupBy("_at").agg(F.count(F.lit(1)).alias("_n"), F.sum("self_size").alias("_s"))
-    else:
-        counted = keyed.limit(0).select(F.lit(0).alias("_at"), F.lit(0).cast("long").alias("_n"), F.lit(0).cast("long").alias("_s"))
-    numbered = spans.withColumn("_at", F.when(F.col("id_to") > F.col("low"), F.count(F.when(F.col("id_to") > F.col("low"), 1)).over(Window.orderBy("seq")) - 1).cast("int"))
-    return numbered.join(counted, "_at", "left").select("seq", "timestamp_us", "id_from", "id_to", F.coalesce("_n", F.lit(0)).alias("count"), F.coalesce("_s", F.lit(0)).alias("size")).orderBy("seq")
-
-
-def _bisect(x: Column, bounds: list[int]) -> Column:
-    edges = np.array(bounds)
-
-    @F.pandas_udf("int")
-    def at(s: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(edges, s.to_numpy(), side="left").astype("int32"))
-
-    return at(x)
+    spans = intervals(samples).withColumn("_open", F.col("id_to") > F.col("low"))
+    sized = nodes.where("self_size > 0").select("id", F.lit(1).cast("long").alias("_n"), F.col("self_size").alias("_s"))
+    ends = spans.where("_open").select(F.col("id_to").alias("id"), F.lit(0).cast("long").alias("_n"), F.lit(0).cast("long").alias("_s"), F.col("seq").alias("_seq"))
+    both = stage(sized.withColumn("_seq", F.lit(None).cast(ends.schema["_seq"].dataType)).unionByName(ends), "timeline-ids")
+    low, high, n = both.agg(F.min("id"), F.max("id"), F.count(F.lit(1))).first()
+    width = max(1, ((high or 0) - (low or 0)) // max(1, n // RANGE_ROWS) + 1)
+    ranged = both.withColumn("_r", F.floor((F.col("id") - F.lit(low or 0)) / width))
+    here = Window.partitionBy("_r").orderBy("id", F.col("_seq").isNotNull()).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    owned = ranged.withColumn("_owner", F.min("_seq").over(here)).groupBy("_r", "_owner").agg(F.sum("_n").alias("_n"), F.sum("_s").alias("_s"))
+    # first end of each range, looked up from the ranges before it: one row a range
+    first = Window.orderBy("_r").rowsBetween(1, Window.unboundedFollowing)
+    later = ranged.groupBy("_r").agg(F.min("_seq").alias("_first")).select("_r", F.min("_first").over(first).alias("_later"))
+    counted = owned.join(later, "_r").groupBy(F.coalesce("_owner", "_later").alias("seq")).agg(F.sum("_n").alias("_n"), F.sum("_s").alias("_s"))
+    return spans.join(counted, "seq", "left").select("seq", "timestamp_us", "id_from", "id_to", F.coalesce("_n", F.lit(0)).alias("count"), F.coalesce("_s", F.lit(0)).alias("size")).orderBy("seq")
+
+
+def timeline_totals(rows: DataFrame) -> DataFrame:
+    """Objects and bytes of all intervals, and the most that one holds."""
+    return rows.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("count"), F.coalesce(F.sum("size"), F.lit(0)).alias("size"), F.coalesce(F.max("size"), F.lit(0)).alias("most"))
+
+
+def duplicate_summary(duplicates: DataFrame) -> DataFrame:
+    """Groups of equal strings as groups of a summary: name with what is to be said of it, count, distance, self_size, retained_size."""
+    tags = F.concat_ws(", ", F.when(F.col("truncated"), "truncated"), F.when(F.col("two_byte"), "2-byte"))
+    return duplicates.select(F.when(tags != "", F.concat("value", F.lit(" ["), tags, F.lit("]"))).otherwise(F.col("value")).alias("name"), "count", "distance", F.col("total_size").alias("self_size"), "retained_size")
+
+
+def duplicate_totals(duplicates: DataFrame) -> DataFrame:
+    """How many groups and strings there are, and their bytes in all and beyond one of each."""
+    zero = F.lit(0).cast("long")
+    return duplicates.agg(F.count(F.lit(1)).alias("groups"), F.coalesce(F.sum("count"), zero).alias("count"), F.coalesce(F.sum("total_size"), zero).alias("total_size"), F.coalesce(F.sum("wasted"), zero).alias("wasted"))

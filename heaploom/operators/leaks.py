@@ -8,9 +8,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heaploom.functions.formats import utf16_to_utf8
 from heaploom.functions.jsscope import scopes as js_scopes
-from heaploom.operators.edges import hop, number_values
+from heaploom.operators.edges import hop
+from heaploom.operators.locations import number_of
 from heaploom.operators.realms import closures, context_vars, contexts
 from heaploom.operators.scopes import smallest_enclosing
 from heaploom.plans.staging import stage
@@ -21,9 +21,8 @@ SCOPE_FIELDS = "scope int, parent int, kind string, name string, start int, end
 def positions(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(shared, start, end, script): where shared functions lie in their scripts."""
     s = nodes.where("name = 'system / SharedFunctionInfo' or startswith(name, 'system / SharedFunctionInfo / ')").select(F.col("ord").alias("shared"))
-    values = number_values(nodes, edges).select(F.col("ord").alias("_n"), F.col("label").try_cast("bigint").alias("_v"))
     for name, out in (("start_position", "start"), ("end_position", "end")):
-        s = hop(s, "shared", edges, name, "_t").join(values.withColumnRenamed("_v", out), F.col("_t") == F.col("_n"), "left").drop("_t", "_n")
+        s = number_of(nodes, edges, s, "shared", name, out)
     return hop(s, "shared", edges, "script", "script")
 
 
@@ -35,21 +34,24 @@ def script_sources(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def function_sources(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(ord, text) of closures and shared functions."""
-    placed = positions(nodes, edges).join(script_sources(nodes, edges), "script")
-
-    @F.pandas_udf("string")
-    def cut(source: pd.Series, start: pd.Series, end: pd.Series) -> pd.Series:
-        out = []
-        for text, a, b in zip(source, start, end):
-            if pd.isna(a) or pd.isna(b) or a < 0 or b < a:
-                out.append(None)
-                continue
-            lo, hi = utf16_to_utf8(text, int(a)), utf16_to_utf8(text, int(b))
-            out.append(None if lo is None or hi is None else text.encode()[lo:hi].decode())
-        return pd.Series(out, dtype=object)
-
-    shared = placed.select(F.col("shared").alias("ord"), cut("source", "start", "end").alias("text")).where("text is not null")
+    """(ord, text) of closures and shared functions. Each script is read once, with all its functions' places."""
+    places = positions(nodes, edges).where("start >= 0 and end >= start").groupBy("script").agg(F.collect_list(F.struct("shared", "start", "end")).alias("functions"))
+
+    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = []
+            for source, functions in zip(f["source"], f["functions"]):
+                text = source.encode("utf-16-le", "surrogatepass")
+                for x in functions:
+                    part = text[2 * x["start"] : 2 * x["end"]]
+                    if 2 * x["end"] <= len(text):
+                        try:
+                            rows.append((x["shared"], part.decode("utf-16-le")))
+                        except UnicodeDecodeError:  # a place between the halves of a character
+                            continue
+            yield pd.DataFrame(rows, columns=["ord", "text"])
+
+    shared = stage(script_sources(nodes, edges).join(places, "script").select("source", "functions").mapInPandas(cut, "ord bigint, text string"), "sources")
     of_closures = hop(nodes.where("type = 'closure'").select("ord"), "ord", edges, "shared", "_s")
     return shared.unionByName(of_closures.join(shared.withColumnRenamed("ord", "_s"), "_s").select("ord", "text"))
 
@@ -79,7 +81,9 @@ def subtree_closures(nodes_x: DataFrame, edges: DataFrame) -> DataFrame:
     out, depth = level, 0
     while not level.isEmpty():
         depth += 1
-        level = stage(level.join(up, level["ctx"] == up["_c"]).select(F.col("_up").alias("ctx"), "closure", F.lit(depth).alias("depth")), f"subtree-{depth}")
+        higher = level.join(up, level["ctx"] == up["_c"]).select(F.col("_up").alias("ctx"), "closure", F.lit(depth).alias("depth"))
+        # contexts that lead to each other in a circle are met once
+        level = stage(higher.join(out.select("ctx", "closure"), ["ctx", "closure"], "left_anti"), f"subtree-{depth}")
         out = out.unionByName(level)
     return out
 
@@ -94,11 +98,11 @@ def unused_vars(nodes_x: DataFrame, edges: DataFrame) -> DataFrame:
     c = closures(nodes_x, edges).select(F.col("ord").alias("closure"), F.col("id").alias("cid"), "shared")
     c = c.join(positions(nodes_x, edges).select("shared", "start", "script"), "shared", "left").join(readable, F.col("script") == F.col("_rs"), "left").join(ids.withColumnsRenamed({"_o": "_so", "_id": "sid"}), F.col("shared") == F.col("_so"), "left").join(ids.withColumnsRenamed({"_o": "_po", "_id": "pid"}), F.col("script") == F.col("_po"), "left")
     reason = (
-        F.when(F.col("shared").isNull(), F.format_string("closure @%d has no SharedFunctionInfo", "cid"))
-        .when(F.col("script").isNull(), F.format_string("SFI @%d has no script", "sid"))
-        .when(F.col("_ok").isNull(), F.format_string("script @%d source is missing or could not be parsed", "pid"))
-        .when(F.col("start").isNull(), F.format_string("SFI @%d has no start_position", "sid"))
-        .when(F.col("start") < 0, F.format_string("SFI @%d has negative start_position (%d)", "sid", "start"))
+        F.when(F.col("shared").isNull(), F.format_string("no code is known for closure @%d", "cid"))
+        .when(F.col("script").isNull(), F.format_string("no script belongs to function @%d", "sid"))
+        .when(F.col("_ok").isNull(), F.format_string("the text of script @%d is unknown or unreadable", "pid"))
+        .when(F.col("start").isNull(), F.format_string("function @%d does not say where it begins", "sid"))
+        .when(F.col("start") < 0, F.format_string("function @%d begins at %d, before its script", "sid", "start"))
     )
     c = stage(c.select("closure", "script", "start", reason.alias("reason")), "leaks-closures")
     broken = below.join(c.where("reason is not null"), "closure").groupBy("ctx").agg(F.min_by("reason", "closure").alias("reason"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +14,7 @@ LABEL_CHARS, CONS_BYTES = 100, 1024
 def class_name(kind: Column, name: Column, interface: Column | None = None) -> Column:
     """The class that a node is counted under."""
     cut = F.when(F.startswith(name, F.lit("system / ")), F.regexp_extract(name, r"^(system / .*?)(?: / |$)", 1)).otherwise(name)
-    tag = F.when(name.rlike(r"^<[^ >]+.*>$"), F.concat(F.regexp_extract(name, r"^(<[^ >]+)", 1), F.lit(">"))).otherwise(name)
+    tag = F.when(F.startswith(name, F.lit("<")) & F.contains(name, F.lit(" ")), F.concat(F.substring_index(name, " ", 1), F.lit(">"))).otherwise(name)
     own = F.coalesce(interface, tag) if interface is not None else tag
     return (
         F.when(kind.isin("hidden", "code"), F.when(name == "", F.concat(F.lit("("), kind, F.lit(")"))).otherwise(cut))
@@ -32,30 +30,29 @@ def category(kind: Column) -> Column:
     return F.when(kind.isin("hidden", "code"), "internal").when(kind.isin("object", "native"), "object").otherwise(kind)
 
 
+_ESCAPES = {i: f"\\u{i:04x}" for i in range(32)} | str.maketrans({'"': '\\"', "\\": "\\\\", "\n": "\\n", "\r": "\\r", "\t": "\\t"})
+
+
 def quoted(name: str) -> str:
-    return json.dumps(name) if any(c in ",'\"{} " for c in name) else name
+    return f'"{name.translate(_ESCAPES)}"' if any(c in ",'\"{}" for c in name) else name
 
 
 def object_label(props: list[str]) -> str:
-    """Property names of a plain object, from the front and the back in turn, as many as fit."""
+    """Property names of a plain object, from the front and the back in turn.
+
+    One is always shown, and more while braces, names and what parts them, but for the
+    next separator, keep within LABEL_CHARS.
+    """
     names = [quoted(p) for p in props]
-    if not names:
-        return "{}"
-    front, back, used, lo, hi = [], [], 2, 0, len(names)
-    while lo < hi:
-        from_front = len(front) <= len(back)
-        item = names[lo] if from_front else names[hi - 1]
-        if used + len(item) + 2 > LABEL_CHARS and (front or back):
-            break
-        used += len(item) + 2
-        if from_front:
-            front.append(item)
-            lo += 1
-        else:
-            back.insert(0, item)
-            hi -= 1
-    middle = ["…"] if lo < hi else []
-    return "{" + ", ".join(front + middle + back) + "}"
+    front, back = names[:1], []
+    spent = 2 + sum(map(len, front))
+    left = names[1:]
+    while left and spent + len(left[0 if len(front) == len(back) else -1]) <= LABEL_CHARS:
+        side = front if len(front) == len(back) else back
+        item = left.pop(0 if side is front else -1)
+        spent += len(item) + (2 if side else 0)
+        front, back = (front + [item], back) if side is front else (front, [item] + back)
+    return "{" + ", ".join(front + (["…"] if left else []) + back) + "}"
 
 
 def object_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -111,7 +108,8 @@ def display_names(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``nodes`` with ``display_name``."""
     numbers = number_values(nodes, edges).select("ord", F.col("label").alias("_value"), "_kind")
     out = nodes.join(object_labels(nodes, edges), "ord", "left").join(cons_texts(nodes, edges), "ord", "left").join(numbers, "ord", "left")
-    number = F.when(F.col("_value").isNull(), F.col("name")).when(F.col("_kind") == "int", F.concat(F.lit("smi "), F.col("_value"))).otherwise(F.concat_ws(" ", "name", "_value"))
+    kind = F.when(F.col("name") == "smi number", "smi").when(F.col("name") == "heap number", "double").otherwise(F.col("name"))
+    number = F.when(F.col("_value").isNull(), F.col("name")).otherwise(F.concat(kind, F.lit(" "), F.col("_value")))
     shown = (
         F.when(F.col("type") == "concatenated string", F.coalesce("cons_text", "name"))
         .when(F.col("object_label").isNotNull(), F.col("object_label"))

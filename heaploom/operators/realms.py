@@ -64,10 +64,32 @@ def unique_vars(nodes: DataFrame, edges: DataFrame, known: DataFrame) -> DataFra
     return named.unionByName(declared).distinct().groupBy("ord").agg(F.array_join(F.sort_array(F.collect_set("name")), ", ").alias("vars"))
 
 
-def retained_only(nodes: DataFrame, edges: DataFrame, skip: Column, root: int = 0, label: str = "only") -> DataFrame:
-    """(ord): what the root reaches, but not without the edges that ``skip`` names. Weak edges count here."""
-    start = nodes.where(F.col("ord") == root).select("ord")
-    return reachable(edges, start, label=f"{label}-all").join(reachable(edges.where(~skip), start, label=f"{label}-cut"), "ord", "left_anti")
+#: Tags of global objects, whose fields are common to all objects of a kind or their own.
+GLOBAL_TAGS = ("[JSGlobalObject]", "[JSGlobalProxy]")
+
+
+def common_of(nodes: DataFrame, edges: DataFrame, ord_: int) -> DataFrame | None:
+    """Fields that a global object shares with all others of its kind; None for other objects."""
+    me = nodes.where(F.col("ord") == ord_)
+    tag = next((t for t in GLOBAL_TAGS if not me.where(has_tag(F.col("name"), t)).isEmpty()), None)
+    return common_fields(nodes, edges, tag) if tag else None
+
+
+def is_original(raw: Column, state: Column) -> Column:
+    """Whether a node's state of detachedness is the one that the file tells of it."""
+    told = F.when(raw.isNull() | (raw < 0), 0).otherwise(raw.bitwiseAND(F.lit(3)))
+    return F.when(told == 3, 0).otherwise(told) == state
+
+
+def reached(nodes: DataFrame, edges: DataFrame, root: int = 0, label: str = "reached") -> DataFrame:
+    """(ord): what the root reaches. Weak edges count here."""
+    return reachable(edges, nodes.where(F.col("ord") == root).select("ord"), label=label)
+
+
+def retained_only(nodes: DataFrame, edges: DataFrame, skip: Column, root: int = 0, label: str = "only", reached_: DataFrame | None = None) -> DataFrame:
+    """(ord): what the root reaches (``reached_``, where that is known), but not without the edges that ``skip`` names."""
+    every = reached_ if reached_ is not None else reached(nodes, edges, root, f"{label}-all")
+    return every.join(reached(nodes, edges.where(~skip), root, f"{label}-cut"), "ord", "left_anti")
 
 
 def with_ends(nodes_x: DataFrame, edges: DataFrame) -> DataFrame:
@@ -100,6 +122,12 @@ def owning_realms(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return chase(links.select("ord", "next"), "realm-chain").join(ends, "last").select("ord", F.col("last").alias("realm_ord"))
 
 
+def variable_names(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(ctx, vars): names of each context's variables in order, as often as there are edges of them."""
+    e = edges.where("type = 'context' and name != 'this'").join(contexts(nodes).select(F.col("ord").alias("src")), "src", "left_semi")
+    return e.groupBy(F.col("src").alias("ctx")).agg(F.sort_array(F.collect_list("name")).alias("vars"))
+
+
 def context_vars(nodes_x: DataFrame, edges: DataFrame, last: bool = True) -> DataFrame:
     """(ctx, var, ord, id, retained_size): variables of contexts; of a repeated name the last or the first edge."""
     pick = F.max_by if last else F.min_by
@@ -141,7 +169,7 @@ def stack_roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.join(holders, "src").select(F.col("dst").alias("ord"), "source")
 
 
-def allocation_stacks(trace_nodes: DataFrame, trace_functions: DataFrame, max_depth: int = 1000) -> DataFrame:
+def allocation_stacks(trace_nodes: DataFrame, trace_functions: DataFrame) -> DataFrame:
     """(id, frame_no, function_name, script_name, line, col), innermost first; the root and unnamed frames are left out.
 
     All stacks are walked in the same rounds, one level at a time.
@@ -150,8 +178,9 @@ def allocation_stacks(trace_nodes: DataFrame, trace_functions: DataFrame, max_de
 
     tree = trace_nodes.select(F.col("id").alias("_id"), "parent", "func_idx")
     at = stage(tree.where("parent != 0").select(F.col("_id").alias("id"), F.lit(0).alias("step"), "parent", "func_idx"), "stack-0")
-    found = at
-    for step in range(1, max_depth):
+    found, step = at, 0
+    while True:
+        step += 1
         up = at.join(tree.withColumnsRenamed({"parent": "_p", "func_idx": "_f"}), at["parent"] == F.col("_id")).where("_p != 0")
         at = stage(up.select("id", F.lit(step).alias("step"), F.col("_p").alias("parent"), F.col("_f").alias("func_idx")), f"stack-{step}")
         if at.isEmpty():

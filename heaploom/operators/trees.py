@@ -109,6 +109,58 @@ def shortest_path(nodes_x: DataFrame, edges: DataFrame, ord_: int) -> DataFrame:
     return nodes_x.sparkSession.createDataFrame([(i, o) for i, o in enumerate(reversed(found))], "step int, ord bigint")
 
 
+def page_start(rank: Column, size: int = PAGE) -> Column:
+    """First row of the page that shows a row."""
+    return F.floor(rank / size) * size
+
+
+def shifted(start: int, size: int, total: int, by: int) -> int:
+    """Where a window starts after a move: within the rows, and no further on once it shows the last of them."""
+    return max(0, min(start + by, start if start + size >= total else total - 1))
+
+
+def status(start: Column, shown: Column, total: Column) -> Column:
+    """``a–b of n`` of a page."""
+    return F.concat((start + 1).cast("string"), F.lit("–"), (start + shown).cast("string"), F.lit(" of "), total.cast("string"))
+
+
+def dominator_reveal(nodes_x: DataFrame, ord_: int, size: int = PAGE) -> DataFrame:
+    """(step, ord, rank, page): dominators of a node from the root on, with each one's place among its parent's children."""
+    chain = dominator_chain(nodes_x, ord_).select("ord", "idom", "dom_depth", "retained_size")
+    others = nodes_x.where("ord != idom").select(F.col("idom").alias("_p"), F.col("ord").alias("_o"), F.col("retained_size").alias("_r"))
+    ahead = chain.join(F.broadcast(chain.select(F.col("ord").alias("_p"))), chain["idom"] == F.col("_p")).drop("_p")
+    ahead = others.join(F.broadcast(ahead), F.col("_p") == F.col("idom")).where("_o != ord and (_r > retained_size or (_r = retained_size and _o < ord))").groupBy("ord").agg(F.count(F.lit(1)).alias("rank"))
+    out = chain.join(ahead, "ord", "left").select(F.col("dom_depth").alias("step"), "ord", F.coalesce("rank", F.lit(0)).alias("rank"))
+    return out.withColumn("page", page_start(F.col("rank"), size)).orderBy("step")
+
+
+def containment_reveal(nodes_x: DataFrame, edges: DataFrame, ord_: int, size: int = PAGE) -> DataFrame:
+    """(step, ord, rank, page): a shortest path to a node, with each step's place among the edges of the one before."""
+    path = stage(shortest_path(nodes_x, edges, ord_), "reveal")
+    pairs = path.select("step", "ord").join(path.select((F.col("step") + 1).alias("step"), F.col("ord").alias("src")), "step")
+    seen = edges.where("type != 'invisible'").join(F.broadcast(pairs.select("src").distinct()), "src").select("src", "dst", F.row_number().over(Window.partitionBy("src").orderBy("pos", "eid")).alias("_n"))
+    ranks = seen.join(F.broadcast(pairs), (seen["src"] == pairs["src"]) & (seen["dst"] == pairs["ord"])).groupBy("step").agg((F.min("_n") - 1).cast("long").alias("rank"))
+    out = path.join(ranks, "step", "left").withColumn("rank", F.coalesce("rank", F.lit(0).cast("long")))
+    return out.withColumn("page", page_start(F.col("rank"), size)).orderBy("step")
+
+
+def retainers_report(nodes_x: DataFrame, edges: DataFrame, ord_: int, plan: Plan, start: int = 0, count: int = PAGE) -> DataFrame:
+    """(rank, depth, seq, eid, ord, on_plan, expanded, total): direct retainers, those that lead to roots
+    first and then by distance, a window of them; below those of the plan what it found, in its order."""
+    spark = nodes_x.sparkSession
+    rows = spark.createDataFrame([(d, q, e, r, i + 1 < len(plan.rows) and plan.rows[i + 1][0] > d) for i, (d, q, e, r, _) in enumerate(plan.rows)], "depth int, seq int, eid bigint, ord bigint, expanded boolean")
+    top = rows.where("depth = 1").select("eid", F.col("seq").alias("_top"), "expanded")
+    direct = edges.where(F.col("dst") == ord_).select("eid", F.col("src").alias("ord")).join(nodes_x.select("ord", "distance"), "ord").join(F.broadcast(top), "eid", "left")
+    order = Window.orderBy(F.col("_top").isNull(), "distance", F.desc("eid"))
+    total = F.count(F.lit(1)).over(Window.partitionBy(F.lit(1)))
+    page = direct.select("*", (F.row_number().over(order) - 1).cast("long").alias("rank"), total.alias("total")).where((F.col("rank") >= start) & (F.col("rank") < start + count))
+    page = stage(page.select("rank", F.lit(1).alias("depth"), F.coalesce("_top", F.lit(-1)).alias("seq"), "eid", "ord", F.col("_top").isNotNull().alias("on_plan"), F.coalesce("expanded", F.lit(False)).alias("expanded"), "total"), "retainers")
+    # a row of the plan lies below the last direct retainer before it
+    under = rows.withColumn("_under", F.max(F.when(F.col("depth") == 1, F.col("seq"))).over(Window.orderBy("seq")))
+    below = under.where("depth > 1").join(page.where("on_plan").select("rank", F.col("seq").alias("_under"), "total"), "_under").select("rank", "depth", "seq", "eid", "ord", F.lit(True).alias("on_plan"), "expanded", "total")
+    return page.unionByName(below).orderBy("rank", "seq")
+
+
 @dataclass
 class Plan:
     """What of a node's retainers leads to the roots."""
@@ -122,25 +174,39 @@ class Plan:
 def retaining_plan(nodes_x: DataFrame, edges: DataFrame, ord_: int, gc_roots: int, max_depth: int = MAX_DEPTH, max_nodes: int = MAX_NODES) -> Plan:
     """Paths from a node back to holders of roots, nearest retainers first.
 
-    The search looks at ``max_nodes`` nodes and ``max_depth`` levels at most, so the part of
-    the graph that it can see is bounded; that part is fetched by levels and searched here.
+    The search looks at ``max_nodes`` nodes and ``max_depth`` levels at most, nearest first;
+    that part of the graph is fetched by levels and searched here. Of a node with more than
+    ``max_nodes`` retainers the nearest so many are fetched, and ``truncated`` says so, as it
+    does wherever a limit left something out.
     """
     strong = edges.where("type != 'weak'").select("eid", "src", "dst")
     into: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
     fetched, frontier = {ord_}, [ord_]
     spark = nodes_x.sparkSession
     distances = nodes_x.select(F.col("ord").alias("src"), "distance")
+    plan, spent = Plan(), [0]
+    nearest = Window.partitionBy("dst").orderBy("distance", "src", "eid")
     for _ in range(max_depth):
-        if not frontier or len(fetched) > max_nodes:
+        if not frontier:
+            break
+        if len(fetched) > max_nodes:
+            plan.truncated = True
             break
-        wanted = F.broadcast(spark.createDataFrame([(x,) for x in frontier], "dst bigint"))
-        level = strong.join(wanted, "dst").join(distances, "src").orderBy("distance", "src", "eid").limit(4 * max_nodes).collect()
-        for r in level:
-            into[r["dst"]].append((r["distance"], r["src"], r["eid"]))
-        frontier = sorted({r["src"] for r in level} - fetched - {gc_roots})[:max_nodes]
+        near: dict[int, int] = {}
+        for lo in range(0, len(frontier), max_nodes):
+            wanted = F.broadcast(spark.createDataFrame([(x,) for x in frontier[lo : lo + max_nodes]], "dst bigint"))
+            level = strong.join(wanted, "dst").join(distances, "src").withColumn("_rank", F.row_number().over(nearest)).where(F.col("_rank") <= max_nodes + 1)
+            for r in level.toLocalIterator():
+                if r["_rank"] > max_nodes:
+                    plan.truncated = True
+                    continue
+                into[r["dst"]].append((r["distance"], r["src"], r["eid"]))
+                near[r["src"]] = r["distance"]
+        new = sorted(set(near) - fetched - {gc_roots}, key=lambda x: (near[x], x))
+        frontier, left = new[:max_nodes], new[max_nodes:]
+        plan.truncated |= bool(left)
         fetched |= set(frontier)
     held = {d for d, sources in into.items() if any(s == gc_roots for _, s, _ in sources)}
-    plan, spent = Plan(), [0]
     memo: dict[int, tuple[bool, int]] = {}
 
     def leads(node: int, depth: int, trail: set[int]) -> bool:

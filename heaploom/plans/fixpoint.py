@@ -46,11 +46,6 @@ def reachable_from_each(edges: DataFrame, roots: DataFrame, follow: Column | Non
     return done
 
 
-def depths_below(edges: DataFrame, seeds: DataFrame, label: str = "depths") -> DataFrame:
-    """(ord, depth): least depth under ``seeds`` (ord), which have 0; for graphs whose seeds differ in depth use bfs's distance."""
-    return bfs(edges, seeds, None, label).select("ord", F.col("distance").alias("depth"))
-
-
 def attribute(edges: DataFrame, owners: DataFrame, label: str = "owners") -> DataFrame:
     """(ord, low, high): least and greatest owner whose label flows into each node.
 

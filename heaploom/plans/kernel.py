@@ -6,13 +6,12 @@ task is analysed by the rounds in :mod:`heaploom.plans.fixpoint` instead.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 
-from heaploom.schema import DOM_TREES, EPHEMERON, GC_ROOTS, NO_DISTANCE, UNREACHABLE_BASE
+from heaploom.schema import DOM_TREES, GC_ROOTS, NO_DISTANCE, UNREACHABLE_BASE, weak_pair
 
 SHARED, UNATTRIBUTED = -2, -1
 INTERFACE_BYTES, INTERFACE_LEAST, INTERFACE_SHARE = 60, 2, 1000
@@ -24,6 +23,10 @@ def spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(first - (ends - count), count)
 
 
+def property_name(name: str) -> str:
+    return f"<symbol {name[7:-1]}>" if name.startswith("Symbol(") else name
+
+
 class Coded:
     """A column of strings as codes, so that tests run once per distinct string. Null is empty."""
 
@@ -84,11 +87,11 @@ class Graph:
     def _ephemerons(self) -> None:
         """``pair``: the number of an edge's WeakMap pair, or -1; ``table``: the table id its name tells."""
         self.pair, self.table = np.full(len(self.src), -1), np.full(len(self.src), -1)
-        pattern, numbers = re.compile(EPHEMERON, re.S), {}
+        numbers: dict[str, int] = {}
         pair, table = np.full(len(self.edge_name.values), -1), np.full(len(self.edge_name.values), -1)
         for i, name in enumerate(self.edge_name.values):
-            if "WeakMap" in name and (m := pattern.match(name)):
-                pair[i], table[i] = numbers.setdefault(m[1], len(numbers)), int(m[2])
+            if (told := weak_pair(name)) is not None:
+                pair[i], table[i] = numbers.setdefault(told.text, len(numbers)), told.table
         internal = self.kind == "internal"
         self.pair[internal], self.table[internal] = pair[self.edge_name.codes[internal]], table[self.edge_name.codes[internal]]
         self.pairs = len(numbers)
@@ -366,9 +369,10 @@ class Graph:
             taken, text = [], "{"
             for p in names:
                 # the list stops before it would outgrow its bytes
-                if len(text) > 1 and len(text.encode()) + len(p.encode()) > INTERFACE_BYTES:
+                shown = property_name(p)
+                if len(text) > 1 and len(text.encode()) + len(shown.encode()) > INTERFACE_BYTES:
                     break
-                text += ("" if len(text) == 1 else ", ") + p
+                text += ("" if len(text) == 1 else ", ") + shown
                 taken.append(p)
             if taken:
                 counted.setdefault(text + "}", [0, taken])[0] += 1

@@ -269,18 +269,18 @@ def q20_index_in_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _globals(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Nations as realms whose global objects have a property per segment of their customers with debts, and per last digit."""
+    """Nations as realms whose global objects have a property per segment and per last two digits of their customers."""
     nation = read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("n"), "n_name")
     realm = nation.select((F.col("n") * 2).alias("ord"), F.concat(F.lit("system / NativeContext / https://"), "n_name").alias("name"))
     glob = nation.select((F.col("n") * 2 + 1).alias("ord"), F.concat("n_name", F.lit(" JSGlobalObject")).alias("name"))
     customer = read(spark, sf_dir, "customer")
-    names = customer.select((F.col("c_nationkey").cast("long") * 2 + 1).alias("src"), F.col("c_mktsegment").alias("name")).unionByName(customer.where("c_acctbal < 0").select((F.col("c_nationkey").cast("long") * 2 + 1).alias("src"), F.concat(F.lit("digit"), (F.col("c_custkey") % 100).cast("string")).alias("name")))
+    names = customer.select((F.col("c_nationkey").cast("long") * 2 + 1).alias("src"), F.col("c_mktsegment").alias("name")).unionByName(customer.select((F.col("c_nationkey").cast("long") * 2 + 1).alias("src"), F.concat(F.lit("digit"), (F.col("c_custkey") % 100).cast("string")).alias("name")))
     owned = nation.select((F.col("n") * 2).alias("src"), F.lit("global_object").alias("name"), (F.col("n") * 2 + 1).alias("dst"))
     edges = names.distinct().withColumn("dst", F.lit(-1).cast("long")).unionByName(owned)
     return realm.unionByName(glob), edges.withColumns({"type": F.lit("property"), "pos": F.lit(0).cast("long"), "eid": F.xxhash64("src", "name")})
 
 
-_NAMES = """WITH nm AS (SELECT DISTINCT c_nationkey AS n, c_mktsegment AS name FROM customer UNION SELECT DISTINCT c_nationkey, 'digit' || CAST(c_custkey % 100 AS VARCHAR) FROM customer WHERE c_acctbal < 0),
+_NAMES = """WITH nm AS (SELECT DISTINCT c_nationkey AS n, c_mktsegment AS name FROM customer UNION SELECT DISTINCT c_nationkey, 'digit' || CAST(c_custkey % 100 AS VARCHAR) FROM customer),
  common AS (SELECT name FROM nm GROUP BY name HAVING count(DISTINCT n) = (SELECT count(*) FROM nation))"""
 
 
@@ -342,13 +342,13 @@ def q26_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH r AS (SELECT o_orderkey AS scope, o_orderkey AS lo, o_orderkey + 3 + o_orderkey % 40 AS hi FROM orders WHERE o_orderkey % 2 = 0)
+    """WITH r AS (SELECT o_orderkey AS scope, o_orderkey AS lo, o_orderkey + 3 + o_orderkey % 40 AS hi FROM orders)
        SELECT c_custkey AS pos, arg_min(scope, (hi - lo, scope)) AS scope FROM customer JOIN r ON lo <= c_custkey AND c_custkey < hi GROUP BY 1"""
 )
 def q27_smallest_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     from heaploom.operators.scopes import smallest_enclosing
 
-    scopes = read(spark, sf_dir, "orders").where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("scope"), F.col("o_orderkey").alias("start"), (F.col("o_orderkey") + 3 + F.col("o_orderkey") % 40).alias("end"))
+    scopes = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("scope"), F.col("o_orderkey").alias("start"), (F.col("o_orderkey") + 3 + F.col("o_orderkey") % 40).alias("end"))
     return smallest_enclosing(read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("pos")), scopes).select("pos", "scope")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from heaploom.functions import formats
-from heaploom.operators import grouping, leaks, naming, realms, trees
+from heaploom.operators import grouping, leaks, locations, naming, realms, trees
 from heaploom.operators.analyse import analyse
 from heaploom.operators.edges import hop
 from heaploom.plans.staging import stage
@@ -44,7 +44,7 @@ class Snapshot:
     @cached_property
     def nodes(self) -> DataFrame:
         """Nodes with all analysed columns and ``display_name``."""
-        x = analyse(self.tables["nodes"], self.edges, self.weak_is_reachable, self.tables["locations"])
+        x = analyse(self.tables["nodes"], self.edges, self.weak_is_reachable, self.tables["locations"], locations.script_names(self.tables["nodes"], self.edges, self.tables["locations"]))
         return stage(naming.display_names(x, self.edges), "displayed")
 
     @cached_property
@@ -73,7 +73,7 @@ class Snapshot:
         elif name in self._only:
             if name == "detached-dom" and not self.info["has_detachedness"]:
                 return self.nodes.limit(0)
-            rows = self.nodes.join(realms.retained_only(self.nodes, realms.with_ends(self.nodes, self.edges), F.col(self._only[name])), "ord", "left_semi")
+            rows = self.nodes.join(self.only(name), "ord", "left_semi")
         else:
             raise ValueError(f"unknown filter {name!r}; valid filters: {', '.join(self.filters)}")
         if text:
@@ -81,6 +81,25 @@ class Snapshot:
             rows = rows.where(own | raw)
         return rows
 
+    @cached_property
+    def _ends(self) -> DataFrame:
+        return stage(realms.with_ends(self.nodes, self.edges), "ends")
+
+    @cached_property
+    def reached(self) -> DataFrame:
+        """(ord): what the root reaches over any edges, worked out once."""
+        return stage(realms.reached(self.nodes, self.edges), "reached")
+
+    def only(self, name: str) -> DataFrame:
+        """(ord): what is kept by detached elements, the console or event handlers alone; each worked out once."""
+        if name not in self._kept:
+            self._kept[name] = stage(realms.retained_only(self.nodes, self._ends, F.col(self._only[name]), reached_=self.reached), f"only-{name}")
+        return self._kept[name]
+
+    @cached_property
+    def _kept(self) -> dict[str, DataFrame]:
+        return {}
+
     _only = {"detached-dom": "to_detached", "console": "console", "event-handlers": "to_handler"}
     filters = (*grouping.FILTERS, *_only)
 
@@ -116,6 +135,16 @@ class Snapshot:
     def duplicate_strings(self, min_count: int = 2, offset: int = 0, limit: int = 100, show_ids: bool = False) -> DataFrame:
         return grouping.duplicate_strings(self.nodes, self.edges, min_count, show_ids).offset(offset).limit(limit)
 
+    def duplicate_summary(self, min_count: int = 2) -> DataFrame:
+        """Equal strings as groups of a summary."""
+        return grouping.duplicate_summary(grouping.duplicate_strings(self.nodes, self.edges, min_count))
+
+    def duplicate_totals(self, min_count: int = 2) -> DataFrame:
+        return grouping.duplicate_totals(grouping.duplicate_strings(self.nodes, self.edges, min_count))
+
+    def timeline_totals(self) -> DataFrame:
+        return grouping.timeline_totals(grouping.timeline(self.nodes, self.tables["samples"]))
+
     def skipped_strings(self) -> DataFrame:
         return grouping.skipped_strings(self.nodes, self.edges)
 
@@ -142,7 +171,8 @@ class Snapshot:
     def children(self, object_id: int | str, offset: int = 0, limit: int = 10, text: str = "") -> DataFrame:
         at = self._ord(object_id)
         realm = not self.nodes.where((F.col("ord") == at) & realms.is_named(F.col("name"), realms.NATIVE_CONTEXT)).isEmpty()
-        return trees.children(self.nodes, self.edges.drop("snapshot_id"), at, text, pinned=realm).offset(offset).limit(limit)
+        common = realms.common_of(self.nodes, self.edges, at)
+        return trees.children(self.nodes, self.edges.drop("snapshot_id"), at, text, pinned=realm, common=common).offset(offset).limit(limit)
 
     def retainers(self, object_id: int | str, offset: int = 0, limit: int = 10, text: str = "") -> DataFrame:
         return trees.retainers(self.nodes, self.edges.drop("snapshot_id"), self._ord(object_id), text).offset(offset).limit(limit)
@@ -178,8 +208,14 @@ class Snapshot:
     def dominator_root(self) -> DataFrame:
         return self.nodes.where(F.col("ord") == self.gc_roots)
 
-    def reveal(self, object_id: int | str) -> DataFrame:
-        return trees.shortest_path(self.nodes, self.edges, self._ord(object_id))
+    def reveal(self, object_id: int | str, view: str = "containment", size: int = trees.PAGE) -> DataFrame:
+        """The steps that lead to an object in a view, each with its place and the page that shows it."""
+        if view == "containment":
+            return trees.containment_reveal(self.nodes, self.edges, self._ord(object_id), size)
+        if view == "dominators":
+            return trees.dominator_reveal(self.nodes, self._ord(object_id), size)
+        name, rank = self.group_of(object_id)
+        return self.spark.createDataFrame([(0, name, rank, rank // size * size)], "step int, name string, rank bigint, page bigint")
 
     def retaining_plan(self, object_id: int | str, max_depth: int = trees.MAX_DEPTH, max_nodes: int = trees.MAX_NODES) -> trees.Plan:
         return trees.retaining_plan(self.nodes, self.edges, self._ord(object_id), self.gc_roots, max_depth, max_nodes)
@@ -204,9 +240,9 @@ class Snapshot:
     # -- realms, contexts, closures -------------------------------------------------------
 
     def realms(self, known: DataFrame | None = None) -> DataFrame:
-        r = stage(realms.realms(self.nodes, self.edges), "realms")
+        r = self.realm_table
         sizes = realms.reachable_sizes(self.nodes, self.edges, r.select("ord")).select(F.col("root").alias("ord"), F.col("size").alias("reachable_size"))
-        known = known if known is not None else realms.common_fields(self.nodes, self.edges, "JSGlobalObject")
+        known = known if known is not None else realms.common_fields(self.nodes, self.edges, realms.GLOBAL_TAGS[0])
         return r.join(sizes, "ord", "left").join(realms.unique_vars(self.nodes, self.edges, known), "ord", "left").orderBy("realm")
 
     def contexts(self, min_retained: str | int = "8K", min_var_retained: str | int = "1K") -> DataFrame:
@@ -246,11 +282,67 @@ class Snapshot:
         return self.spark.range(1).select(F.inline(formats.edge_refs(F.lit(edge_name))))
 
     def locations(self) -> DataFrame:
-        """(ord, script_id, line, col): of an object, or of a closure's shared part."""
-        own = self.tables["locations"].groupBy("ord").agg(F.max_by(F.struct("script_id", "line", "col"), "seq").alias("at"))
-        f = hop(self.nodes.select("ord", "type"), "ord", self.edges, "shared", "_s")
-        f = f.join(own, "ord", "left").join(own.withColumnsRenamed({"ord": "_s", "at": "_sat"}), "_s", "left")
-        return f.select("ord", F.coalesce("at", F.when(F.col("type") == "closure", F.col("_sat"))).alias("at")).where("at is not null").select("ord", "at.*")
+        """(ord, script_id, line, col, script_name, location): of an object, or of a closure's shared part."""
+        return locations.node_locations(self.nodes, self.edges, self.tables["locations"])
+
+    def scope_names(self) -> DataFrame:
+        return locations.scope_names(self.nodes, self.edges)
+
+    def context_locations(self) -> DataFrame:
+        return locations.context_locations(self.nodes, self.edges, self.tables["locations"])
+
+    @cached_property
+    def realm_table(self) -> DataFrame:
+        return stage(realms.realms(self.nodes, self.edges), "realm-table")
+
+    def realm(self, number: int | None = None, object_id: int | str | None = None) -> DataFrame:
+        """One realm, by its number or by its object."""
+        return self.realm_table.where(F.col("realm") == number if number is not None else F.col("ord") == self._ord(object_id))
+
+    def node_info(self, object_id: int | str) -> DataFrame:
+        """All that is known of an object, in one row."""
+        me = self.nodes.where(F.col("ord") == self._ord(object_id))
+        at = me.select("ord")
+        place = self.locations().join(at, "ord", "left_semi").select("ord", F.col("location").alias("_from"))
+        end = locations.function_ends(self.nodes, self.edges).join(at, "ord", "left_semi").select("ord", F.format_string("-%d:%d", F.col("line") + 1, F.col("col") + 1).alias("_to"))
+        frames = self.allocation_stack(object_id).select(F.struct("frame_no", locations.format_frame(F.col("function_name"), F.col("script_name"), F.col("line"), F.col("col")).alias("frame")).alias("f")).agg(F.transform(F.sort_array(F.collect_list("f")), lambda f: f["frame"]).alias("allocated_at"))
+        chain = self.dominators_of(object_id).where(F.col("ord") != self._ord(object_id)).select(F.struct((-F.col("dom_depth")).alias("d"), "id").alias("x")).agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["id"]).alias("dominators"))
+        out = me.join(locations.bucket_labels(me, self.realm_table), "ord").join(place, "ord", "left").join(end, "ord", "left")
+        out = out.join(locations.instance_types(self.nodes, self.edges), "ord", "left").crossJoin(F.broadcast(frames)).crossJoin(F.broadcast(chain))
+        has_source = (F.col("type") == "closure") | locations.is_shared_function(F.col("type"), F.col("name"))
+        return out.select(
+            "id", "ord", "display_name", "class_name", "type", "instance_type", "self_size", "retained_size", formats.format_distance(F.col("distance")).alias("distance"), "edge_count", "detachedness", realms.is_original(F.col("raw_detachedness"), F.col("detachedness")).alias("detachedness_is_original"),
+            "bucket", "bucket_label", F.concat("_from", F.coalesce("_to", F.lit(""))).alias("location"), has_source.alias("has_source"), "allocated_at", "dominators",
+        )
+
+    def search(self, text: str, view: str = "summary", baseline: Snapshot | None = None) -> DataFrame | None:
+        """What a search line asks for: the object of an ``@id``, else groups whose names hold the text; None for an empty line."""
+        text = text.strip()
+        if not text:
+            return None
+        if text.startswith("@"):
+            return self.node(text)
+        if view == "diff" and baseline is not None:
+            return self.diff(baseline).where(formats.contains_folded(F.col("name"), text, ascii_only=True))
+        return self.summary(text=text)
+
+    def baseline_children(self, baseline: Snapshot, object_id: int | str, offset: int = 0, limit: int = 10) -> DataFrame:
+        """Children of an object as the baseline has them, which is asked for objects that are gone since."""
+        holder = self if not self.nodes.where(F.col("id") == formats.parse_object_id(str(object_id))).isEmpty() else baseline
+        return holder.children(object_id, offset, limit)
+
+    def sizes_around(self, object_id: int | str) -> DataFrame:
+        """Reachable sizes of an object and of its children, each once, in the same rounds."""
+        at = self._ord(object_id)
+        wanted = self.edges.where(F.col("src") == at).select(F.col("dst").alias("ord")).unionByName(self.spark.range(1).select(F.lit(at).cast("long").alias("ord"))).distinct()
+        return realms.reachable_sizes(self.nodes, self.edges, wanted)
+
+    def retainers_report(self, object_id: int | str, start: int = 0, count: int = trees.PAGE, max_depth: int = trees.MAX_DEPTH, max_nodes: int = trees.MAX_NODES) -> DataFrame:
+        """Direct retainers, those on paths to roots first and opened, the others closed; any of them can be asked for in turn."""
+        plan = self.retaining_plan(object_id, max_depth, max_nodes)
+        rows = trees.retainers_report(self.nodes, self.edges, self._ord(object_id), plan, start, count)
+        named = rows.join(self.nodes.select("ord", "id", "display_name", "distance", "self_size", "retained_size"), "ord").join(self.edges.select("eid", formats.edge_label(F.col("type"), F.col("name"), F.col("idx")).alias("edge")), "eid")
+        return named.withColumns({"reached": F.lit(plan.reached), "truncated": F.lit(plan.truncated)}).orderBy("rank", "seq")
 
     def reachable_when(self, skip: Column) -> DataFrame:
         """What the root reaches without the edges that ``skip`` names."""

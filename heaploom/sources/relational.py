@@ -14,7 +14,7 @@ from heaploom.schema import EDGES, GC_ROOTS, NODES
 
 KINDS = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 LINE_COLUMNS = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
-#: Line items of an order at most.
+#: Line items of an order that share a table number; further ones take the next table numbers, which no table has.
 LINES = 1024
 
 
@@ -28,7 +28,9 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def lineitems(spark: SparkSession, sf_dir: str) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*LINE_COLUMNS[1:]))
-    return read(spark, sf_dir, "lineitem").withColumn("ord", node_id("lineitem", F.col("l_orderkey") * LINES + rank))
+    ranked = read(spark, sf_dir, "lineitem").withColumn("_rank", rank)
+    further = F.floor(F.col("_rank") / LINES) * F.lit(1 << 40)
+    return ranked.withColumn("ord", (node_id("lineitem", F.col("l_orderkey") * LINES + F.col("_rank") % LINES) + further).cast("long")).drop("_rank")
 
 
 def star_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import pytest
 
+from heaploom.operators import locations
 from heaploom.snapshot import History, Registry, Snapshot
 from heaploom.sources import heapsnapshot
 from tests.graphs import Heap
@@ -28,9 +29,14 @@ def app():
     for name, value in (("start_position", SCRIPT.index("function f")), ("end_position", SCRIPT.index(" return f"))):
         h.add(name, "number", "int").add(name + "v", "string", str(value)).link("sfi", name, "internal", name).link(name, name + "v", "internal", "value")
     h.add("w", size=3).link("A", "w", "weak")
+    for name, kind, value in (("smi", "smi number", "7"), ("dbl", "heap number", "1.5")):
+        h.add(name, "number", kind, 0).add(name + "v", "string", value, 0).link("A", name).link(name, name + "v", "internal", "value")
+    h.add("map", "object", "system / Map", 0).add("itype", "string", "JS_OBJECT_TYPE", 0).link("A", "map", "internal", "map").link("map", "itype", "internal", "instance_type_name")
+    h.add("scope", "code", "system / ScopeInfo", 0).add("inner", "code", "system / ScopeInfo", 0).add("stype", "string", "SCRIPT_SCOPE", 0).add("ftype", "string", "FUNCTION_SCOPE", 0)
+    h.link("sfi", "scope", "internal", "raw_outer_scope_info_or_feedback_metadata").link("scope", "stype", "internal", "scope_type_name").link("inner", "scope", "internal", "outer_scope_info").link("inner", "ftype", "internal", "scope_type_name").link("ctx", "inner", "internal", "scope_info").link("sfi", "inner", "internal", "name_or_scope_info")
     h.more = {
         "sample_fields": ["timestamp_us", "last_assigned_id"], "samples": [50000, 5, 100000, 9],
-        "location_fields": ["object_index", "script_id", "line", "column"], "locations": ["A", 7, 1, 2, "A", 7, 3, 4],
+        "location_fields": ["object_index", "script_id", "line", "column"], "locations": ["A", 7, 1, 2, "A", 7, 3, 4, "sfi", 7, 0, SCRIPT.index("f(){ return used")],
         "trace_function_info_fields": ["function_id", "name", "script_name", "script_id", "line", "column"],
         "trace_function_infos": [0, "(root)", "", 0, 0, 0, 1, "main", "a.js", 7, 1, 1, 2, "alloc", "a.js", 7, 2, 2],
         "trace_node_fields": ["id", "function_info_index", "count", "size", "children"], "trace_tree": [1, 0, 0, 0, [2, 1, 0, 0, [3, 2, 1, 1, [], 4, 2, 1, 1, []]]],
@@ -83,7 +89,7 @@ def test_broken_files_are_refused(heap, change):
 
 def test_summary(snap):
     got = {r["name"]: r for r in snap.summary().collect()}
-    located = got["Foo [script_id=7:L3:4]"]
+    located = got["Foo [a.js:4:5]"]
     assert (located["count"], located["self_size"]) == (1, 100) and got["Foo"]["self_size"] == 50
     assert "Zero" not in got and got["(array)"]["retained_size"] == 200
     with pytest.raises(ValueError, match="valid filters"):
@@ -110,7 +116,7 @@ def test_strings(snap):
     names = {r["name"]: r["display_name"] for r in snap.nodes.where("type = 'closure'").collect()}
     assert names == {"f": "f [JSFunction]"}
     shown = {r["display_name"] for r in snap.nodes.collect()}
-    assert {"abcd", '{x, "y z"}', "smi 4"} <= shown
+    assert {"abcd", '{x, y z}', "int 4", "smi 7", "double 1.5"} <= shown
 
 
 def test_timeline_and_intervals(snap):
@@ -201,3 +207,72 @@ def test_retained_only_filters(spark):
     assert names("detached-dom") == {"Node", "under"}
     assert names("console") == {"log"}
     assert names("event-handlers") == {"cb", "c"}
+
+
+def test_locations_and_scope_names(snap, heap):
+    at = {r["ord"]: r["location"] for r in snap.locations().collect()}
+    column = SCRIPT.index("f(){ return used") + 1
+    assert at[heap.names["A"]] == "a.js:4:5" and at[heap.names["f"]] == at[heap.names["sfi"]] == f"a.js:1:{column}"
+    assert {r["scope"]: r["scope_name"] for r in snap.scope_names().collect()} == {heap.names["scope"]: "/app/a.js", heap.names["inner"]: "f"}
+    assert rows(snap.context_locations(), "ctx", "location") == [(heap.names["ctx"], f"a.js:1:{column}")]
+    ends = {r["ord"]: (r["line"], r["col"]) for r in locations.function_ends(snap.nodes, snap.edges).collect()}
+    assert ends == dict.fromkeys((heap.names["f"], heap.names["sfi"]), (0, SCRIPT.index(" return f")))
+    assert rows(locations.scope_scripts(snap.nodes, snap.edges), "script") == [(heap.names["script"],)] * 2
+    assert rows(locations.child_by_name(snap.nodes, snap.edges, "system / Map"), "ord", "child") == [(heap.names["A"], heap.names["map"])]
+
+
+def test_node_info(snap, heap):
+    a = snap.node_info(heap.id("A")).first()
+    assert (a["instance_type"], a["location"], a["allocated_at"], a["dominators"]) == ("JS_OBJECT_TYPE", "a.js:4:5", ["alloc (a.js:3:3)", "main (a.js:2:2)"], [heap.id("R")])
+    f = snap.node_info(heap.id("f")).first()
+    assert f["has_source"] and f["location"] == f"a.js:1:{SCRIPT.index('f(){ return used') + 1}-1:{SCRIPT.index(' return f') + 1}"
+    assert (f["bucket"], f["bucket_label"]) == ("", "") and f["detachedness_is_original"]
+    r = snap.node_info(heap.id("realm")).first()
+    assert (r["bucket"], r["bucket_label"], r["has_source"]) == ("#0", f"[utility] #0 https://x @{heap.id('realm')}", False)
+    assert snap.realm(0).first()["id"] == snap.realm(object_id=heap.id("realm")).first()["id"] == heap.id("realm")
+
+
+def test_reveal_and_search(snap, heap):
+    steps = rows(snap.reveal(heap.id("B"), "dominators"), "ord", "rank", "page")
+    assert steps == [(heap.names["R"], 0, 0), (heap.names["A"], 0, 0), (heap.names["B"], 0, 0)]
+    deep = snap.reveal(heap.id("plain")).collect()
+    assert [r["ord"] for r in deep] == [heap.names[n] for n in ("R", "A", "plain")] and deep[-1]["rank"] == 5
+    assert snap.reveal(heap.id("plain"), size=2).collect()[-1]["page"] == 4
+    assert snap.reveal(heap.id("B"), "summary").first()["name"] == "Foo"
+    assert snap.search(" ") is None and rows(snap.search(f"@{heap.id('B')}"), "id") == [(heap.id("B"),)]
+    assert {r["name"] for r in snap.search("foo").collect()} == {"Foo", "Foo [a.js:4:5]"}
+    with pytest.raises(ValueError, match="object id"):
+        snap.search("@x")
+    with pytest.raises(KeyError, match="no object"):
+        snap.search("@999999")
+    sizes = {r["root"]: r["size"] for r in snap.sizes_around(heap.id("ctx")).collect()}
+    assert sizes[heap.names["idle"]] == 40 and heap.names["ctx"] in sizes
+
+
+def test_retainers_report(spark):
+    h = Heap().add("x", size=1).add("dead", size=1)
+    h.link("R", "x").link("dead", "x", "property", "d")
+    for i in range(12):
+        h.add(f"h{i}", size=1).link("R", f"h{i}").link(f"h{i}", "x")
+    s = Snapshot.from_bytes(spark, h.content())
+    first = s.retainers_report(h.id("x")).collect()
+    assert len(first) == 10 and first[0]["id"] == h.id("R") and all(r["total"] == 14 for r in first) and first[0]["reached"]
+    rest = s.retainers_report(h.id("x"), start=10).collect()
+    assert rest[-1]["id"] == h.id("dead") and not rest[-1]["on_plan"] and not rest[-1]["expanded"]
+    # a hub's retainers beyond the limit are left out, and it is said
+    assert s.retaining_plan(h.id("x"), max_nodes=5).truncated
+
+
+def test_duplicates_as_groups_and_totals(snap):
+    assert rows(snap.duplicate_summary(), "name", "count", "self_size") == [("same", 2, 40)]
+    assert tuple(snap.duplicate_totals().first()) == (1, 2, 40, 20)
+    assert tuple(snap.timeline_totals().first()) == (3, 350, 250)
+
+
+def test_fields_of_global_objects_that_others_lack_come_first(spark):
+    h = Heap()
+    for i in (1, 2):
+        h.add(f"g{i}", name="Window [JSGlobalObject] / x").link("R", f"g{i}").add(f"a{i}").link(f"g{i}", f"a{i}", "property", "common")
+    h.add("own").link("g1", "own", "property", "own")
+    s = Snapshot.from_bytes(spark, h.content())
+    assert rows(s.children(h.id("g1")), "edge_name") == [("own",), ("common",)]
