@@ -6,12 +6,15 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from heaploom import queries
+from heaploom import operator_queries, queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
+ALL = queries.QUERIES | operator_queries.QUERIES
+
+
 @pytest.fixture(scope="module")
 def con():
     c = duckdb.connect()
@@ -21,12 +24,12 @@ def con():
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
-@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+@pytest.mark.parametrize("name", sorted(ALL))
 def test_query(spark, con, name):
-    df = queries.QUERIES[name](spark, SF)
+    df = ALL[name](spark, SF)
     columns = sorted(df.columns)
     got = sorted(repr(tuple(r[c] for c in columns)) for r in df.collect())
-    res = con.execute(queries.SQL[name])
+    res = con.execute(entry.oracle_sql()[name])
     names = [d[0] for d in res.description]
     assert sorted(names) == columns
     assert got == sorted(repr(tuple(r[names.index(c)] for c in columns)) for r in res.fetchall())
@@ -48,4 +51,4 @@ def test_timeline_with_many_samples(spark):
 
 def test_registry():
     found = entry.queries()
-    assert set(queries.QUERIES) <= set(found) and set(entry.oracle_sql()) <= set(found)
+    assert set(ALL) <= set(found) and set(entry.oracle_sql()) <= set(found)
