@@ -210,30 +210,73 @@ def test_chats_read_back(spark, none):
 # -- 5: scores ------------------------------------------------------------------------------
 
 
+def naive_score(model, text):
+    """A text's score word by word, with plain sums."""
+    net, words_ = model.net, WORD.findall((text or "").translate(LOWER))
+    ((_, hashes, _),) = words.WordHasher().documents(pa.array([" ".join(words_)]))
+    counts = {r["word"]: r["n"] for r in model.rare.collect()}
+    known = {int(h): int(p) for h, p in zip(net.words, net.places)}
+    places = [known.get(int(h), lm_score.FREQUENT + (int(h) >> 40) % lm_score.BUCKETS) for h in hashes]
+    total = 0.0
+    for i, place in enumerate(places):
+        h = net.hidden.astype(float).copy()
+        for row, d in enumerate([*range(-lm_score.WINDOW, 0), *range(1, lm_score.WINDOW + 1)]):
+            near = places[i + d] if 0 <= i + d < len(places) else lm_score.PLACES
+            h += net.near[row * (lm_score.PLACES + 1) + near]
+        h = np.tanh(h)
+        of, at = divmod(place, lm_score.SIZE)
+        for z, j in ((h @ net.to_class + net.class_bias, of), (h @ net.to_place[of] + net.place_bias[of], at)):
+            total += z[j] - z.max() - np.log(np.exp(z - z.max()).sum())
+        if place >= lm_score.FREQUENT:
+            total += np.log(counts.get(int(hashes[i].astype(np.int64)), 1) / model.uses[place - lm_score.FREQUENT])
+    return total
+
+
 def test_pseudo_likelihood(spark, docs, none):
     rng = random.Random(6)
     rows = [(i, " ".join(["red", "green", "blue", "black"] * rng.randint(10, 30))) for i in range(1000)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    net = lm_score.train(df, rounds=2, one_in=2)
-    score = lambda t: lm_score.score(spark.createDataFrame([(0, t)], "doc_id bigint, text string"), net).first()
+    model = lm_score.train(df)
+    score = lambda t: lm_score.score(spark.createDataFrame([(0, t)], "doc_id bigint, text string"), model).first()
     usual, odd = score("red green blue black " * 10), score("red red black green blue blue " * 7)
     assert usual["mean_log_likelihood"] > -0.7 and usual["mean_log_likelihood"] > odd["mean_log_likelihood"] + 1
-    # every conditional is a distribution over the alphabet
-    context = np.random.default_rng(1).integers(0, lm_score.VOCABULARY, (8, 1)).repeat(lm_score.VOCABULARY, 1)
-    assert np.exp(net.log_probability(context, np.arange(lm_score.VOCABULARY))).sum() == pytest.approx(1, abs=1e-4)
-    got = {r["doc_id"]: r for r in lm_score.score(docs, net).collect()}
+    # every conditional is a distribution over the places
+    net, n = model.net, lm_score.PLACES
+    context = np.random.default_rng(1).integers(0, n, (2 * lm_score.WINDOW, 1)) + np.arange(2 * lm_score.WINDOW)[:, None] * (n + 1)
+    assert np.exp(net.log_probability(context.repeat(n, 1), np.arange(n))).sum() == pytest.approx(1, abs=1e-4)
+    got = {r["doc_id"]: r for r in lm_score.score(docs, model).collect()}
     assert (got[1]["n_tokens"], got[1]["log_likelihood"], got[1]["mean_log_likelihood"]) == (0, 0.0, None) and got[14]["n_tokens"] == 20_000
     assert lm_score.score(none, lm_score.train(none)).count() == 0
+    # a column of the same name does not get in
+    clash = df.limit(3).withColumn("log_likelihood", F.lit(7.0))
+    assert lm_score.score(clash, model).where("log_likelihood = 7").isEmpty()
+
+
+def test_scores_against_plain_sums_and_any_partitions(spark):
+    rng = random.Random(14)
+    # more distinct words than places, some of them rare but repeated
+    rows = [(i, " ".join(f"w{rng.randrange(9000)}" for _ in range(rng.randint(0, 400)))) for i in range(120)]
+    rows += [(500, rows[7][1]), (None, rows[8][1]), (7, rows[7][1])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    models = [lm_score.train(df.repartition(n), shard_docs=40) for n in (3, 7)]
+    assert models[0].n_rare > 50 and np.allclose(models[0].net.flat(), models[1].net.flat(), atol=1e-6)
+    scored = [sorted((repr(r["doc_id"]), r["n_tokens"], r["log_likelihood"]) for r in lm_score.score(df.repartition(n), m).collect()) for n, m in zip((5, 2), models)]
+    assert [x[:2] for x in scored[0]] == [x[:2] for x in scored[1]]
+    assert np.allclose([x[2] for x in scored[0]], [x[2] for x in scored[1]], atol=1e-2)
+    got = {x[0]: x[2] for x in scored[0]}
+    for i in (*range(10), 500):
+        text = dict(rows)[i]
+        assert got[repr(i)] == pytest.approx(naive_score(models[0], text), abs=0.05), i
+    assert got["500"] == pytest.approx(got["7"], abs=1e-3) and got["None"] == pytest.approx(got["8"], abs=1e-3)
 
 
 def test_every_position_trains_the_network(spark):
-    # one-word documents whose word and place fall into each of eight shares: none is left out
-    names = [f"w{k}" for k in range(400)]
-    ((_, found, _),) = words.WordHasher().documents(pa.array(names))
-    share = words.mix64(found + words.mix64(np.zeros(len(found), np.int64))) % np.uint64(8)
-    for s in range(8):
-        df = spark.createDataFrame([(k, w) for k, w in enumerate(names) if share[k] == s], "doc_id bigint, text string")
-        assert df.count() > 20 and lm_score.train(df).hidden.any(), s
+    # of a text of one word and of one of two, each place is an example in one of the rounds
+    for text in ("alone", "two words"):
+        df = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+        assert lm_score.train(df).net.hidden.any(), text
+    seen = [[i for i in range(9) if i % lm_score.ROUNDS == r] for r in range(lm_score.ROUNDS)]
+    assert sorted(sum(seen, [])) == list(range(9))
 
 
 # -- 6: near duplicates -----------------------------------------------------------------
