@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heaploom.llm.common import bounded_batches, components, join_groups, prefilter
+from heaploom.llm.common import bounded_batches, components, drop_keys, join_groups, prefilter
 from heaploom.llm.words import WordHasher, mix64, shingles
 from heaploom.plans.staging import stage
 
@@ -26,6 +26,8 @@ BANDS, BAND_ROWS = 24, 4
 HEAD_SHINGLES = 100_000
 #: Shingles of a band key's documents that are compared in one group; larger ones go in blocks.
 BLOCK_SHINGLES = 500_000
+#: Places of texts that are broadcast, about 10 MB; more are joined with the texts by key.
+MAX_PLACES = 200_000
 
 
 def permute32(x: np.ndarray, a: int, b: int) -> np.ndarray:
@@ -155,7 +157,8 @@ def _verified(texts: DataFrame, placed: DataFrame, size: int, percent: int, kind
         linked = np.flatnonzero(to != np.arange(len(to)))
         return pa.table({"a": ids.take(pa.array(to[linked])), "b": ids.take(pa.array(linked))})
 
-    together = texts.join(placed, texts["_id"] == placed["id"]).select("_group", "_i", "_j", "_id", "_text")
+    few = placed.count() <= MAX_PLACES
+    together = texts.join(F.broadcast(placed) if few else placed, texts["_id"] == placed["id"]).select("_group", "_i", "_j", "_id", "_text")
     return stage(together.groupBy("_group", "_i", "_j").applyInArrow(run, f"a {kind}, b {kind}"), label)
 
 
@@ -186,7 +189,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
 
     groups = described.where("n_shingles > 0 and _id is not null").groupBy("_set").agg(F.min("_id").alias("_rep"), F.count(F.lit(1)).alias("_n"), F.max("n_shingles").alias("_size"))
     groups = stage(groups, "near-sets")
-    reps = described.select(F.col("_id").alias("_rep"), "_bands").join(groups.select("_rep"), "_rep", "left_semi")
+    # of documents with one set only the first is banded; the others, once found, are left out
+    several = join_groups(described.where("n_shingles > 0 and _id is not null").select("_id", "_set"), groups.where("_n > 1").select("_set", "_rep", "_n"), "_set", "_n", n_docs)
+    copies = stage(several.where("_rep is not null and _id != _rep").select("_id").distinct(), "near-copies")
+    reps = drop_keys(described.where("n_shingles > 0 and _id is not null").select("_id", "_bands"), "_id", copies, copies.count()).withColumnRenamed("_id", "_rep")
     banded = stage(reps.select("_rep", F.explode("_bands").alias("_band")), "near-bands")
     hashed = F.xxhash64("_rep")
     keys = banded.groupBy("_band").agg(F.min("_rep").alias("_head"), F.count(F.lit(1)).alias("_n"), F.bit_xor(hashed).alias("_x"), F.bit_xor(F.xxhash64(hashed)).alias("_y")).where("_n > 1")
