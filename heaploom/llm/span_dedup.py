@@ -6,7 +6,9 @@ the corpus are joined, and sentences that lie in any occurrence but the first ar
 A sentence ends behind ``.``, ``!`` or ``?`` before white space, and at line ends. Sentences
 of more than a dozen words are also cut behind words picked by their hash, so that a
 passage yields the same pieces wherever it is put. A run has at least three pieces and at
-least a dozen words, so short phrases that recur by chance are no repeated passage.
+least two dozen words, so short phrases that recur by chance are no repeated passage. Runs
+begin at every piece and end at every piece, just long enough, so a repeated span is
+covered from its first piece to its last.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from heaploom.llm.common import bounded_batches, drop_keys, join_groups, prefilt
 from heaploom.llm.words import WordHasher, mix64, power_tables, text_chunks
 from heaploom.plans.staging import stage
 
-RUN_SENTENCES, RUN_WORDS = 3, 12
+RUN_SENTENCES, RUN_WORDS = 3, 24
 LONG_SENTENCE, CUT_ONE_IN = 12, 4
 
 
@@ -50,32 +52,44 @@ class Sentences:
         first = np.concatenate([[0], np.flatnonzero(last)[:-1] + 1])
         return words, text_of[first], start[first], first
 
-    def runs(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Per run: its text, the number of its first piece within the text, its pieces, its hash."""
+    def runs(self, data: np.ndarray, ends: np.ndarray, checked: bool = False) -> tuple[np.ndarray, ...]:
+        """Per run: its text, the number of its first piece within the text, its pieces, its hash; ``checked``: another hash."""
         words, text_of, _, first = self.pieces(data, ends)
         n = len(words)
         if not n:
             none = np.zeros(0, np.int64)
-            return none, none, none, none
-        up, down = power_tables(n + 1)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(words * up[:n], out=sums[1:])
-        edges = np.concatenate([first, [n]])
-        k = np.arange(len(first))
-        to = np.maximum(k + RUN_SENTENCES, np.searchsorted(edges, first + RUN_WORDS, side="left"))
-        inside = to <= np.searchsorted(text_of, text_of, side="right")
-        k, to = k[inside], to[inside]
+            return none, none, none, none, *[none] * checked
+        edges, k = np.concatenate([first, [n]]), np.arange(len(first))
+        begin, end = np.searchsorted(text_of, text_of), np.searchsorted(text_of, text_of, side="right")
+        ahead = np.maximum(k + RUN_SENTENCES, np.searchsorted(edges, first + RUN_WORDS, side="left"))
+        back = np.minimum(k + 1 - RUN_SENTENCES, np.searchsorted(edges, edges[1:] - RUN_WORDS, side="right") - 1)
+        starts, stops = ahead <= end, back >= begin
+        pairs = np.unique(np.concatenate([k[starts] << 32 | ahead[starts], back[stops] << 32 | k[stops] + 1]))
+        k, to = pairs >> 32, pairs & 0xFFFFFFFF
         a, b = edges[k], edges[to]
-        hashed = mix64((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64)).view(np.int64)
-        return text_of[k], k - np.searchsorted(text_of, text_of[k]), to - k, hashed
+        out = [text_of[k], k - begin[k], to - k, self._hashes(words, a, b)]
+        return *out, *[self._hashes(mix64(words + np.uint64(1)), a, b)] * checked
 
+    @staticmethod
+    def _hashes(words: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        up, down = power_tables(len(words) + 1)
+        sums = np.zeros(len(words) + 1, np.uint64)
+        np.cumsum(words * up[: len(words)], out=sums[1:])
+        return mix64((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64)).view(np.int64)
 
-def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sentences = Sentences()
-    for b in batches:
-        for at, data, ends in text_chunks(b.column(1)):
-            text_of, piece, size, hashed = sentences.runs(data, ends)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at + text_of)), pa.array(piece.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(hashed)], names=["_id", "_at", "_size", "_run"])
+
+def _hashed(checked: bool):  # noqa: ANN202
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sentences = Sentences()
+        for b in batches:
+            for at, data, ends in text_chunks(b.column(1)):
+                text_of, piece, size, *hashes = sentences.runs(data, ends, checked)
+                if not checked:
+                    yield pa.RecordBatch.from_arrays([pa.array(hashes[0])], names=["_run"])
+                    continue
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at + text_of)), pa.array(piece.astype(np.int32)), pa.array(size.astype(np.int32)), *map(pa.array, hashes)], names=["_id", "_at", "_size", "_run", "_check"])
+
+    return run
 
 
 def _cleaned(key: str):  # noqa: ANN202
@@ -128,19 +142,21 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     are ignored, whatever their names.
 
     The first pass only counts hashes, added up before they are shuffled. The second makes
-    the runs again and, behind a filter of bounded size, shuffles those that recur. Texts
+    the runs again and, behind a filter of bounded size, shuffles those that recur, which
+    are told apart by two independent hashes of 64 bits. Texts
     with nothing to cut are not shuffled.
     """
     bounded_batches(docs)
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text"))
-    runs = rows.where("_id is not null").mapInArrow(_hashed, f"_id {kind}, _at int, _size int, _run bigint")
-    repeated = stage(runs.groupBy("_run").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), "spans-repeated")
+    known = rows.where("_id is not null")
+    repeated = stage(known.mapInArrow(_hashed(False), "_run bigint").groupBy("_run").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), "spans-repeated")
     n_repeated, n_runs = repeated.agg(F.count(F.lit(1)), F.coalesce(F.sum("_n"), F.lit(0))).first()
-    again = stage(prefilter(runs, "_run", repeated, "_run", n_repeated), "spans-again")
-    firsts = again.groupBy("_run").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("_id", "_at")).alias("_first")).where("_n > 1")
+    runs = known.mapInArrow(_hashed(True), f"_id {kind}, _at int, _size int, _run bigint, _check bigint")
+    again = stage(prefilter(runs, "_run", repeated, "_run", n_repeated).select("_id", "_at", "_size", F.struct("_run", "_check").alias("_span")), "spans-again")
+    firsts = again.groupBy("_span").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("_id", "_at")).alias("_first")).where("_n > 1")
     firsts = stage(firsts, "spans-firsts")
-    later = join_groups(again, firsts, "_run", "_n", int(n_runs)).where("_first is not null and struct(_id, _at) != _first")
+    later = join_groups(again, firsts, "_span", "_n", int(n_runs)).where("_first is not null and struct(_id, _at) != _first")
     cuts = stage(later.groupBy("_id").agg(F.collect_set(F.struct("_at", "_size")).alias("_cuts")), "spans-cuts")
     n_cuts = cuts.count()
 

@@ -159,22 +159,62 @@ def test_repeated_passages_go_but_for_the_first(spark, docs, none):
     assert span_dedup.remove_repeats(none).count() == 0
 
 
-def test_runs_against_brute_force(spark):
+def plain_pieces(text):
+    """Words of each piece, by the rules in plain words."""
+    found = list(WORD.finditer(text))
+    sentences, now = [], []
+    for m, after in zip(found, [*found[1:], None]):
+        now.append(m.group().translate(LOWER))
+        if after is None or m.group()[-1] in ".!?" or re.search("[\n\r]", text[m.end() : after.start()]):
+            sentences.append(now)
+            now = []
+    pieces = []
+    for words_ in sentences:
+        if len(words_) <= 12:
+            pieces.append(words_)
+            continue
+        now = []
+        for w in words_:
+            now.append(w)
+            ((_, (h,), _),) = words.WordHasher().documents(pa.array([w]))
+            if int(h) % 4 == 0:
+                pieces.append(now)
+                now = []
+        if now:
+            pieces.append(now)
+    return pieces
+
+
+def test_repeats_against_plain_sentences(spark):
     """A piece is cut just when a later copy of a repeated run covers it."""
     rng = random.Random(4)
-    pool = [prose(rng, rng.randint(3, 9), stops=False).capitalize() + "." for _ in range(6)]
-    rows = [(i, " ".join(rng.choice(pool) for _ in range(rng.randint(1, 25)))) for i in range(40)]
-    s = span_dedup.Sentences()
-    seen, want = {}, collections.defaultdict(set)
+    pool = [prose(rng, rng.choice([3, 5, 8, 11, 30]), stops=False).capitalize() + rng.choice([". ", "!\n", "?  ", "\n", " "]) for _ in range(8)]
+    rows = [(i, "".join(rng.choice(pool) for _ in range(rng.randint(1, 25)))) for i in range(40)]
+    seen, want = {}, {}
     for i, t in rows:
-        data = np.frombuffer(t.encode(), np.uint8)
-        for _, at, size, h in zip(*s.runs(data, np.array([len(data)]))):
-            if h in seen:
-                want[i] |= set(range(at, at + size))
-            else:
-                seen[h] = (i, at)
-    got = {r["doc_id"]: r["n_removed"] for r in span_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
-    assert got == {i: len(want[i]) for i, _ in rows} and sum(got.values()) > 50
+        pieces, runs = plain_pieces(t), set()
+        size = lambda a, z: sum(map(len, pieces[a:z]))  # noqa: B023, E731
+        for k in range(len(pieces)):
+            ahead = [z for z in range(k + 3, len(pieces) + 1) if size(k, z) >= 24]
+            back = [a for a in range(k - 1) if size(a, k + 1) >= 24]
+            runs |= {(k, ahead[0])} if ahead else set()
+            runs |= {(back[-1], k + 1)} if back else set()
+        cut = set()
+        for a, z in sorted(runs):
+            name = tuple(w for p in pieces[a:z] for w in p)
+            if seen.setdefault(name, (i, a)) != (i, a):
+                cut |= set(range(a, z))
+        want[i] = len(pieces), len(cut)
+    got = {r["doc_id"]: (r["n_sentences"], r["n_removed"]) for r in span_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == want and sum(c for _, c in want.values()) > 50
+
+
+def test_a_repeated_passage_goes_to_its_last_piece(spark):
+    rng = random.Random(31)
+    passage = " ".join(prose(rng, 9, stops=False) + "." for _ in range(8))
+    rows = [(i, prose(rng, 30) + ".\n" + passage + "\n" + prose(rng, 30)) for i in range(3)]
+    got = {r["doc_id"]: r for r in span_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got[0]["n_removed"] == 0 and all(got[i]["n_removed"] == 8 and not set(passage.split(". ")) & set(got[i]["text"].split(". ")) for i in (1, 2))
 
 
 # -- 4: chat formatting -----------------------------------------------------------------
