@@ -509,6 +509,70 @@ def test_toxicity_learns_from_few_labels_and_from_all_terms(spark):
     assert len(got[101]["evidence"]) == 3
 
 
+def test_votes_and_calibration_against_plain_definitions():
+    rng = np.random.default_rng(8)
+    model = toxicity.ToxicityModel(0.3, 0.05)
+    model.toxic = rng.integers(0, 2, 50)
+    entries, cosines = np.array([4, 9, 30]), np.array([0.9, 0.5, 0.5])
+    w = [1 / (0.02 + 1 - c) for c in cosines]
+    assert model.vote(entries, cosines) == pytest.approx(sum(a * model.toxic[e] for a, e in zip(w, entries)) / sum(w))
+    assert model.vote(entries[:0], cosines[:0]) == 0.3 and model.score(entries[:0], cosines[:0]) == 0.05
+    votes = np.round(rng.random(200), 2)
+    labels = (rng.random(200) < votes).astype(int)
+    model.calibrate(votes, labels)
+    # isotonic regression as the greatest of least means
+    values = np.unique(votes)
+    mean = lambda a, z: labels[(votes >= values[a]) & (votes <= values[z])].mean()
+    fit = [max(min(mean(a, z) for z in range(i, len(values))) for a in range(i + 1)) for i in range(len(values))]
+    rates = []
+    for x in sorted({round(f, 9) for f in fit}):
+        inside = [v for v, f in zip(values, fit) if round(f, 9) == x]
+        here = labels[(votes >= inside[0]) & (votes <= inside[-1])]
+        rates += [(v, (here.sum() + 0.3) / (len(here) + 1)) for v in inside]
+    best = 0.0
+    for v, r in rates:
+        best = max(best, r)
+        assert np.interp(v, *model.steps) == pytest.approx(best, abs=1e-9)
+
+
+def test_toxicity_scores_against_all_examples(spark):
+    """The whole model against dense vectors of terms counted in plain Python."""
+    rows = toxic_rows(160)
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    model = toxicity.fit(df, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id bigint, toxic int"))
+    letters = re.compile("[a-z]+")
+
+    def terms(t):
+        found = letters.findall(t.lower())
+        return collections.Counter([("w", w) for w in found] + [("b", w[:6]) for w in found if len(w) >= 6]), len(found)
+
+    counts = {i: terms(t) for i, t, _ in rows}
+    truth, vocab = {i: y for i, _, y in rows}, sorted({x for c, _ in counts.values() for x in c})
+    n = collections.Counter(truth.values())
+    mean_words = np.mean([m for _, m in counts.values()])
+    weight = {}
+    for x in vocab:
+        rate = {i: c[x] / (m + toxicity.SHORT) for i, (c, m) in counts.items()}
+        means = [sum(r for i, r in rate.items() if truth[i] == y) / n[y] for y in (0, 1)]
+        var = np.mean([r * r for r in rate.values()]) - np.mean(list(rate.values())) ** 2 + (1 / (mean_words + toxicity.SHORT)) ** 2 / len(rows)
+        apart = abs(means[1] - means[0]) / np.sqrt(var * (1 / n[0] + 1 / n[1]))
+        weight[x] = np.log1p(len(rows) / (1 + sum(x in c for c, _ in counts.values()))) * (toxicity.FLOOR + apart)
+    at = {x: k for k, x in enumerate(vocab)}
+    dense = np.zeros((len(rows), len(vocab)))
+    for row, (i, _, _) in enumerate(rows):
+        for x, f in counts[i][0].items():
+            dense[row, at[x]] = f * weight[x]
+    dense /= np.sqrt((dense**2).sum(axis=1, keepdims=True))
+    cosine, y = dense @ dense.T, np.array([r[2] for r in rows])
+    got = {r["doc_id"]: r for r in toxicity.score(df, model).collect()}
+    for row, (i, _, _) in enumerate(rows):
+        near = np.argsort(-np.round(cosine[row], 6), kind="stable")[: toxicity.NEIGHBOURS]
+        w = 1 / (0.02 + np.maximum(0, 1 - cosine[row][near]))
+        vote = (w * y[near]).sum() / w.sum()
+        assert got[i]["score"] == pytest.approx(float(np.interp(vote, *model.steps)), abs=0.02), i
+        assert got[i]["evidence"][0] == i
+
+
 # -- 9: decontamination --------------------------------------------------------------------
 
 
@@ -628,6 +692,23 @@ def test_languages(spark, docs, none):
     assert [pred[i] for i in (1, 2, 3)] == [("und", 0.0)] * 3 and pred[5][0] == "und"
     assert language_id.identify(docs, model).count() == len(awkward()) and language_id.identify(none, model).count() == 0
     assert language_id.fit(none) is None
+    # by hand: grams of blanks and letters, their weights, and the nearest of all centroids
+    for i, t, _ in rows[:12]:
+        x = [32, *[c if chr(c).isalpha() or c >= 128 else 32 for c in t.lower().encode()], 32]
+        x = [c for j, c in enumerate(x) if j == 0 or c != 32 or x[j - 1] != 32]
+        counts, mask = np.zeros(language_id.BUCKETS), (1 << 32) - 1
+        for j in range(len(x) - 1):
+            two = (x[j] * 0x9E3779B1 + x[j + 1] * 0x85EBCA6B) & mask
+            for g in [two] + ([(two * 0xC2B2AE35 + x[j + 2] * 0x27D4EB2F) & mask] if j + 2 < len(x) else []):
+                counts[((g ^ (g >> 15)) * 0x2C1B3C6D & mask) >> 19] += 1
+        v = np.log1p(counts) * model.idf
+        close = model.centroids @ (v / np.sqrt((v * v).sum()))
+        best = [max(close[model.of == k]) for k in range(len(model.languages))]
+        soft = np.exp((np.array(best) - max(best)) / language_id.TEMPERATURE)
+        assert got[i]["lang_pred"] == model.languages[int(np.argmax(best))] and got[i]["score"] == pytest.approx(1 / soft.sum(), abs=1e-3)
+    # a column that is called as a result does not get in
+    clash = df.withColumns({"lang_pred": F.lit("zz"), "score": F.lit(9.0)})
+    assert language_id.identify(clash, model).where("lang_pred = 'zz' or score > 1").isEmpty()
     assert {r["lang_pred"] for r in language_id.identify(docs, None).collect()} == {"und"}
 
 
@@ -668,6 +749,36 @@ def test_pipeline_stages(spark, tmp_path):
     shutil.rmtree(d, ignore_errors=True)
 
 
+def test_pipeline_of_null_and_repeated_ids(spark, tmp_path):
+    import corpus_pipeline
+
+    rng, d = random.Random(44), str(tmp_path)
+    base, leak, other = prose(rng, 120), prose(rng, 40), prose(rng, 90)
+    rows = [(None, other), (None, base + " tail"), (5, base), (5, prose(rng, 70)), (5, prose(rng, 50) + " " + leak), (6, base.upper()), (None, prose(rng, 30) + " " + leak), (7, None), (8, ""), (9, "short"), (9, "short")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.length("text").cast("bigint"), "_row": F.lit(3), "size": F.lit("x")})
+    spark.createDataFrame([(1, leak)], "item_id bigint, text string").write.parquet(f"{d}/benchmark.parquet")
+    spark.createDataFrame([(1, 0, 1)], "doc_id bigint, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    docs.drop("_row").write.parquet(f"{d}/documents.parquet")
+    now, seen = spark.read.parquet(f"{d}/documents.parquet"), []
+    for name, step in corpus_pipeline.STAGES:
+        now = step(spark, now, d)
+        seen.append(sorted(((r["doc_id"], r["text"]) for r in now.collect()), key=repr))
+    toxic, exact, near, leaks, mixed = seen
+    assert toxic == sorted(rows, key=repr)
+    # base in capitals is a copy with a larger id; of empty texts and of rows alike one stays
+    assert sorted(exact, key=repr) == sorted([r for r in rows if r not in ((5, base), (7, None), (9, "short"))] + [(9, "short")], key=repr)
+    # null comes before all ids, so the near copy without one stays
+    assert [r for r in exact if r not in near] == [(6, base.upper())]
+    assert sorted(leaks, key=repr) == sorted([r for r in near if leak not in (r[1] or "")], key=repr)
+    assert set(mixed) <= set(leaks) and (None, other) in mixed and (8, "") not in mixed
+    assert now.columns == [c for c in docs.columns if c not in ("_row", "size")] + ["size", "taken"] and now.schema["size"].dataType.simpleString() == "bigint"
+    empty = spark.read.parquet(f"{d}/documents.parquet").limit(0)
+    for _, step in corpus_pipeline.STAGES:
+        empty = step(spark, empty, d)
+        assert empty.isEmpty()
+    shutil.rmtree(d, ignore_errors=True)
+
+
 def test_queries_are_registered():
     assert sorted(queries.QUERIES, key=lambda k: int(k[2:].split("_")[0])) == [k for n in range(1, 11) for k in queries.QUERIES if k.startswith(f"op{n}_")]
     assert set(queries.SQL) <= set(queries.QUERIES) and os.path.exists(MODEL)
