@@ -29,21 +29,24 @@ from heaploom.llm.words import WordHasher
 from heaploom.plans.staging import stage
 
 #: Classes of places, and places of a class; the last classes' places are buckets.
-CLASSES, SIZE, BUCKET_CLASSES = 64, 64, 4
+CLASSES, SIZE, BUCKET_CLASSES = 40, 40, 4
 PLACES = CLASSES * SIZE
 FREQUENT, BUCKETS = (CLASSES - BUCKET_CLASSES) * SIZE, BUCKET_CLASSES * SIZE
-WINDOW, HIDDEN = 3, 24
+WINDOW, HIDDEN = 2, 16
 #: Every position of the corpus is one example, in one of so many rounds.
 ROUNDS = 2
-RATE = 0.1
+RATE = 0.2
 #: Examples of a step: at most so many, and so few that a shard takes STEPS of them in a round.
-BATCH, LEAST_BATCH, STEPS = 8192, 256, 128
-#: No conditional is taken for less likely.
-LEAST = np.float32(1e-30)
+BATCH, LEAST_BATCH, STEPS = 16_384, 256, 128
+#: No conditional is taken for less likely, and no logit for larger.
+LEAST, LARGEST = np.float32(1e-30), np.float32(60)
+_ONES = np.ones(max(CLASSES, SIZE), np.float32)
 #: Documents of a shard, as long as there are not more than so many shards.
 SHARD_DOCS, MAX_SHARDS = 4_000, 4096
 #: Positions that a shard gathers before it takes steps on them.
-GATHERED = 8 * BATCH
+GATHERED = 4 * BATCH
+#: Words of buckets, most frequent first, whose uses tasks are told; those of rarer words are joined.
+COMMON = 1 << 17
 #: Rows in which a shard's changes are passed on.
 PARTS = 256
 _PAD = PLACES
@@ -71,7 +74,7 @@ class Network:
         order = np.argsort(words)
         with np.errstate(divide="ignore"):
             classes = np.maximum(np.log(uses.sum(axis=1)), -1.0)
-        return cls(words[order], order, normal(2 * WINDOW * (PLACES + 1), HIDDEN), np.zeros(HIDDEN, np.float32), normal(HIDDEN, CLASSES), (classes - classes.max()).astype(np.float32), normal(CLASSES, HIDDEN, SIZE), np.log(uses + 0.1).astype(np.float32))
+        return cls(words[order], order, normal(2 * WINDOW * (PLACES + 1), HIDDEN), np.zeros(HIDDEN, np.float32), normal(HIDDEN, CLASSES), (classes - classes.max()).astype(np.float32), normal(CLASSES, HIDDEN, SIZE), np.maximum(np.log((uses + 0.1) / (uses.sum(axis=1, keepdims=True) + 1)), -20).astype(np.float32))
 
     @property
     def parts(self) -> list[np.ndarray]:
@@ -113,19 +116,28 @@ class Network:
         order, cuts = _by_class(target)
         target = target[order]
         h = self.reading(context[:, order])
-        said = np.log(_softmax(h @ self.to_class + self.class_bias)[np.arange(len(target)), target // SIZE].astype(np.float64))
+        said, of = _logits(h @ self.to_class, self.class_bias)
+        said = said[np.arange(len(target)), target // SIZE] - of
         for c, at in cuts:
-            said[at] += np.log(_softmax(h[at] @ self.to_place[c] + self.place_bias[c])[np.arange(at.stop - at.start), target[at] % SIZE])
+            z, whole = _logits(h[at] @ self.to_place[c], self.place_bias[c])
+            said[at] += z[np.arange(len(z)), target[at] % SIZE] - whole
         out = np.empty(len(target))
         out[order] = said
         return out
 
 
+def _logits(z: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Logits, and the logarithm of what their exponentials add up to."""
+    z += bias
+    np.minimum(z, LARGEST, out=z)
+    return z, np.log(np.maximum(np.exp(z) @ _ONES[: z.shape[1]], LEAST).astype(np.float64))
+
+
 def _softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(axis=1, keepdims=True)
+    """In place; what would pass the range of floats is held at its edge."""
+    np.minimum(z, LARGEST, out=z)
     np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
-    np.maximum(z, LEAST, out=z)
+    z *= 1 / np.maximum(z @ _ONES[: z.shape[1]], LEAST)[:, None]
     return z
 
 
@@ -179,7 +191,8 @@ class Trainer:
 class Model:
     net: Network
     uses: np.ndarray = field(default_factory=lambda: np.ones(BUCKETS))  # of all words of a bucket
-    rare: DataFrame | None = None  # (word, n): words of buckets that are used more than once
+    common: tuple[np.ndarray, np.ndarray] = field(default_factory=lambda: (np.zeros(0, np.uint64), np.zeros(0)))  # words of buckets that tasks are told, sorted, and the logarithms of their uses
+    rare: DataFrame | None = None  # (word, n): other words of buckets that are used more than once
     n_rare: int = 0
 
 
@@ -244,7 +257,16 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int
     buckets = np.zeros(BUCKETS)
     for r in rest.groupBy(bucket.cast("int").alias("b")).agg(F.sum("n").alias("n")).collect():
         buckets[r["b"]] = r["n"]
-    rare = stage(rest.where("n > 1"), "lm-rare")
+    told = rest.where("n > 1").orderBy(F.desc("n"), "word").limit(COMMON).toArrow()
+    common = told.column("word").to_numpy().view(np.uint64)
+    by_hash = np.argsort(common)
+    common = common[by_hash], np.log(told.column("n").to_numpy()[by_hash])
+    if len(told) == COMMON:
+        last = (int(told.column("n")[-1].as_py()), int(told.column("word")[-1].as_py()))
+        rare = rest.where("n > 1").where((F.col("n") < last[0]) | ((F.col("n") == last[0]) & (F.col("word") > last[1])))
+    else:
+        rare = rest.limit(0)
+    rare = stage(rare, "lm-rare")
     net = Network.start(words, uses, buckets)
 
     shared = docs.sparkSession.sparkContext.broadcast(net)
@@ -302,28 +324,29 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int
             net = net.filled(net.flat() + np.concatenate([np.frombuffer(x.as_buffer(), np.float32) for x in added.column("x")]))
         here.destroy()
     shared.destroy()
-    return Model(net, np.maximum(buckets, 1.0), rare, rare.count())
+    return Model(net, np.maximum(buckets, 1.0), common, rare, rare.count())
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: key, n_tokens, log_likelihood, mean_log_likelihood.
 
     ``log_likelihood`` sums, over all words of the whole text, the log-probability of the
-    word given up to three words on either side. A word that the corpus does not have counts
+    word given up to two words on either side. A word that the corpus does not have counts
     as seen once. Null texts and texts without words have 0 tokens, 0 and a null mean. Keys
     may repeat, be null and of any type that can be hashed; other columns are ignored.
 
-    The network's part needs no shuffle. Of the words in buckets, those that a filter of
-    bounded size takes for words used more than once are shuffled, summed up per text, to
-    meet their counts.
+    The network's part needs no shuffle, nor do words in buckets whose uses tasks are told.
+    Of the rarer ones, those that a filter of bounded size takes for words used more than
+    once are shuffled, summed up per text, to meet their counts.
     """
     bounded_batches(docs)
-    shared = docs.sparkSession.sparkContext.broadcast((model.net, np.log(model.uses)))
+    shared = docs.sparkSession.sparkContext.broadcast((model.net, np.log(model.uses), model.common))
+    joins = model.n_rare > 0
     names = ["_key", "_name1", "_name2", "n_tokens", "_base", "_words", "_times"]
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
-        net, uses = shared.value
+        net, uses, (common, gain) = shared.value
         for b in batches:
             for at, found, ends in hasher.documents(b.column(3)):
                 n = np.diff(np.concatenate([[0], ends]))
@@ -336,6 +359,12 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
                     total += np.bincount(text_of[places], weights=said, minlength=len(ends))
                 rare = np.flatnonzero(tokens >= FREQUENT)
                 total -= np.bincount(text_of[rare], weights=uses[tokens[rare] - FREQUENT], minlength=len(ends))
+                if len(common):
+                    at_ = np.minimum(np.searchsorted(common, found[rare]), len(common) - 1)
+                    hit = common[at_] == found[rare]
+                    total += np.bincount(text_of[rare[hit]], weights=gain[at_[hit]], minlength=len(ends))
+                    rare = rare[~hit]
+                rare = rare if joins else rare[:0]
                 order = rare[np.lexsort((found[rare], text_of[rare]))]
                 new = np.ones(len(order), bool)
                 new[1:] = (text_of[order[1:]] != text_of[order[:-1]]) | (found[order[1:]] != found[order[:-1]])
@@ -348,7 +377,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("_key"), F.xxhash64(F.col(key), F.col(text)).alias("_name1"), F.xxhash64(F.lit(1), F.col(text), F.col(key)).alias("_name2"), F.col(text).alias("_text"))
     rows = rows.mapInArrow(scored, f"_key {kind}, _name1 bigint, _name2 bigint, n_tokens bigint, _base double, _words array<bigint>, _times array<int>")
-    if model.n_rare:
+    if joins:
         # rows alike in key and text are one name: their sums are added up and shared again
         rows = stage(rows, "lm-scored")
         n_rows = rows.count()

@@ -254,7 +254,7 @@ def naive_score(model, text):
     """A text's score word by word, with plain sums."""
     net, words_ = model.net, WORD.findall((text or "").translate(LOWER))
     ((_, hashes, _),) = words.WordHasher().documents(pa.array([" ".join(words_)]))
-    counts = {r["word"]: r["n"] for r in model.rare.collect()}
+    gain = {r["word"]: np.log(r["n"]) for r in model.rare.collect()} | dict(zip(model.common[0].view(np.int64).tolist(), model.common[1]))
     known = {int(h): int(p) for h, p in zip(net.words, net.places)}
     places = [known.get(int(h), lm_score.FREQUENT + (int(h) >> 40) % lm_score.BUCKETS) for h in hashes]
     total = 0.0
@@ -268,7 +268,7 @@ def naive_score(model, text):
         for z, j in ((h @ net.to_class + net.class_bias, of), (h @ net.to_place[of] + net.place_bias[of], at)):
             total += z[j] - z.max() - np.log(np.exp(z - z.max()).sum())
         if place >= lm_score.FREQUENT:
-            total += np.log(counts.get(int(hashes[i].astype(np.int64)), 1) / model.uses[place - lm_score.FREQUENT])
+            total += gain.get(int(hashes[i].astype(np.int64)), 0.0) - np.log(model.uses[place - lm_score.FREQUENT])
     return total
 
 
@@ -292,7 +292,8 @@ def test_pseudo_likelihood(spark, docs, none):
     assert lm_score.score(clash, model).where("log_likelihood = 7").isEmpty()
 
 
-def test_scores_against_plain_sums_and_any_partitions(spark):
+def test_scores_against_plain_sums_and_any_partitions(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "COMMON", 500)
     rng = random.Random(14)
     # more distinct words than places, some of them rare but repeated
     rows = [(i, " ".join(f"w{rng.randrange(9000)}" for _ in range(rng.randint(0, 400)))) for i in range(120)]
