@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heaploom.functions import render
+from heaploom.functions import formats, render
 from heaploom.operators.trees import MAX_DEPTH, MAX_NODES
 from heaploom.snapshot import Snapshot
 
@@ -77,6 +77,10 @@ def _summary(s: Snapshot, group: str | None, expand: str | None, filter: str, fi
         group, place = s.group_of(expand)
         offset = place // limit * limit
     if group is not None:
+        # name:start:count asks for a window, unless a group is called so
+        name, start, count = formats.parse_window(group)
+        if start is not None and s.nodes.where(F.col("group_name") == group).isEmpty():
+            group, offset, limit = name, start, count if count is not None else limit
         return [f"{group}, from {offset}", (s.summary_members(group, offset, limit, filter), None)]
     return [(s.summary(filter, interval=filter_interval), ["name", "count", "distance", "self_size", "retained_size"])]
 
@@ -86,12 +90,12 @@ def _statistics(s: Snapshot) -> list[Part]:
 
 
 def _strings(s: Snapshot, min_count: int, offset: int, limit: int, show_object_ids: bool) -> list[Part]:
-    return [(s.duplicate_strings(min_count, offset, limit, show_object_ids), None), "Strings left out:", (s.skipped_strings(), None)]
+    return [(s.duplicate_strings(min_count, offset, limit, show_object_ids), None), "In all:", (s.duplicate_totals(min_count), None), "Strings left out:", (s.skipped_strings(), None)]
 
 
 def _timeline(s: Snapshot) -> list[Part]:
     rows = s.timeline()
-    return ["no timeline data in this snapshot"] if rows.isEmpty() else [(rows, ["seq", "seconds", "count", "size", "bar"])]
+    return ["no timeline data in this snapshot"] if rows.isEmpty() else [(rows, ["seq", "seconds", "count", "size", "bar"]), "In all:", (s.timeline_totals(), None)]
 
 
 def _object(s: Snapshot, object_id: str) -> list[Part]:
@@ -123,6 +127,16 @@ def _retainers(s: Snapshot, object_id: str, max_depth: int, max_nodes: int) -> l
     return out + (["the search stopped at its limits; there may be more paths"] if facts["truncated"] else [])
 
 
+def _retainers_of(s: Snapshot, object_id: str, offset: int, limit: int, max_depth: int, max_nodes: int) -> list[Part]:
+    rows = s.retainers_report(object_id, offset, limit, max_depth, max_nodes)
+    return [*_object(s, object_id), (rows, ["rank", "depth", "on_plan", "edge", "id", "display_name", "distance"])]
+
+
+def _search(s: Snapshot, text: str) -> list[Part]:
+    found = s.search(text)
+    return ["nothing asked for"] if found is None else [(found, ["id", "display_name"] if "display_name" in found.columns else ["name", "count", "self_size", "retained_size"])]
+
+
 def _containment(s: Snapshot, depth: int, expand: list[str] | None, limit: int) -> list[Part]:
     return [(s.containment(None, max(depth, 1), {i: (0, limit) for i in expand or []}), TREE)]
 
@@ -165,6 +179,10 @@ COMMANDS: dict[str, Command] = {
         Command("roots", "system and user roots and the categories of GC roots", lambda s: [(s.roots(), None)]),
         Command("diff", "what was added and freed since a baseline", _diff, (GROUP, *_page(20)), other=True, tool="compare_snapshots"),
         Command("dominators", "the chain of dominators of an object", lambda s, object_id: [(s.dominators_of(object_id).select(*EDGE), None)], objects=True, tool="get_dominators_of"),
+        Command("info", "all that is known of an object", lambda s, object_id: [(s.node_info(object_id), None)], objects=True, tool="get_node_info"),
+        Command("direct-retainers", "what refers to an object, paths to roots first and opened", _retainers_of, (*_page(10), Option("max_depth", int, MAX_DEPTH, "levels searched"), Option("max_nodes", int, MAX_NODES, "objects searched")), objects=True),
+        Command("reveal", "the steps and pages that show an object in a view", lambda s, object_id, view: [(s.reveal(object_id, view), None)], (Option("view", str, "containment", "containment, dominators or summary"),), objects=True),
+        Command("search", "an object by @id, or groups by name", _search, (Option("text", str, "", "what to look for"),)),
         Command("reachable", "the size of all that an object reaches", _reachable, objects=True, tool="get_reachable_size"),
     )
 }

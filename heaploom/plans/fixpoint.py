@@ -2,7 +2,9 @@
 
 A round joins a frontier with the edges, adds up what arrives at each node, and keeps what
 is new. Every round is written before the next one starts, so plans stay small and a lost
-executor costs one round. Edges are repartitioned by source once and stay so in their table.
+executor costs one round. Edges are written once, in the order of their sources, so a small
+frontier reads few of them; what earlier rounds found is put into one table every FOLD
+rounds, and tables that no later round reads are freed.
 """
 
 from __future__ import annotations
@@ -10,22 +12,54 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heaploom.plans.staging import stage
+from heaploom.plans.staging import free, stage
+
+#: Rounds after which what has been found is put into one table.
+FOLD = 8
+
+
+class Found:
+    """What the rounds have found so far, as one table and those of the latest rounds."""
+
+    def __init__(self, first: DataFrame, label: str) -> None:
+        self.tables, self.label, self.rounds = [first], label, 0
+
+    @property
+    def all(self) -> DataFrame:
+        out = self.tables[0]
+        for t in self.tables[1:]:
+            out = out.unionByName(t)
+        return out
+
+    def add(self, table: DataFrame) -> None:
+        self.rounds += 1
+        self.tables.append(table)
+        if len(self.tables) > FOLD:
+            # the latest stays a table of its own, as the next frontier
+            whole = stage(self.all, f"{self.label}-found-{self.rounds}")
+            free(*self.tables[:-1])
+            self.tables = [whole]
+
+
+def _edges(edges: DataFrame, follow: Column | None, label: str) -> DataFrame:
+    kept = (edges.where(follow) if follow is not None else edges).select("src", "dst")
+    return stage(kept.repartition("src").sortWithinPartitions("src"), f"{label}-edges")
+
 
 
 def bfs(edges: DataFrame, roots: DataFrame, follow: Column | None = None, label: str = "bfs", max_rounds: int | None = None) -> DataFrame:
     """(ord, distance): steps from the nearest of ``roots`` (ord, optionally distance) over followed edges."""
-    e = stage((edges.where(follow) if follow is not None else edges).select("src", "dst").distinct(), f"{label}-edges")
+    e = _edges(edges, follow, label)
     start = roots if "distance" in roots.columns else roots.withColumn("distance", F.lit(0).cast("long"))
     frontier = stage(start.groupBy("ord").agg(F.min("distance").alias("distance")), f"{label}-0")
-    done = frontier
-    rounds = 0
+    found, rounds = Found(frontier, label), 0
     while not frontier.isEmpty() and (max_rounds is None or rounds < max_rounds):
         rounds += 1
         arrived = frontier.join(e, frontier["ord"] == e["src"]).groupBy(e["dst"].alias("ord")).agg(F.min(F.col("distance") + 1).alias("distance"))
-        frontier = stage(arrived.join(done.select("ord"), "ord", "left_anti"), f"{label}-{rounds}")
-        done = done.unionByName(frontier)
-    return done
+        frontier = stage(arrived.join(found.all.select("ord"), "ord", "left_anti"), f"{label}-{rounds}")
+        found.add(frontier)
+    free(e)
+    return found.all
 
 
 def reachable(edges: DataFrame, roots: DataFrame, follow: Column | None = None, label: str = "reach") -> DataFrame:
@@ -35,15 +69,16 @@ def reachable(edges: DataFrame, roots: DataFrame, follow: Column | None = None,
 
 def reachable_from_each(edges: DataFrame, roots: DataFrame, follow: Column | None = None, label: str = "batch") -> DataFrame:
     """(root, ord): for each of ``roots`` (ord) what it leads to, all in the same rounds."""
-    e = stage((edges.where(follow) if follow is not None else edges).select("src", "dst").distinct(), f"{label}-edges")
+    e = _edges(edges, follow, label)
     frontier = stage(roots.select(F.col("ord").alias("root"), "ord").distinct(), f"{label}-0")
-    done, rounds = frontier, 0
+    found, rounds = Found(frontier, label), 0
     while not frontier.isEmpty():
         rounds += 1
         arrived = frontier.join(e, frontier["ord"] == e["src"]).select("root", e["dst"].alias("ord")).distinct()
-        frontier = stage(arrived.join(done, ["root", "ord"], "left_anti"), f"{label}-{rounds}")
-        done = done.unionByName(frontier)
-    return done
+        frontier = stage(arrived.join(found.all, ["root", "ord"], "left_anti"), f"{label}-{rounds}")
+        found.add(frontier)
+    free(e)
+    return found.all
 
 
 def attribute(edges: DataFrame, owners: DataFrame, label: str = "owners") -> DataFrame:
@@ -60,15 +95,19 @@ def attribute(edges: DataFrame, owners: DataFrame, label: str = "owners") -> Dat
         rounds += 1
         arrived = frontier.join(e, frontier["ord"] == e["src"]).groupBy(e["dst"].alias("ord")).agg(F.min("low").alias("_low"), F.max("high").alias("_high"))
         widened = arrived.join(found, "ord", "left").where("low is null or _low < low or _high > high")
+        last = frontier
         frontier = stage(widened.select("ord", F.least("_low", "low").alias("low"), F.greatest("_high", "high").alias("high")), f"{label}-{rounds}")
-        found = stage(found.join(frontier.select("ord"), "ord", "left_anti").unionByName(frontier), f"{label}-found-{rounds}")
+        before, found = found, stage(found.join(frontier.select("ord"), "ord", "left_anti").unionByName(frontier), f"{label}-found-{rounds}")
+        free(before, *[last] * (last is not before))
+    free(e)
     return found
 
 
 def chase(links: DataFrame, label: str = "chase") -> DataFrame:
     """(ord, last): the end of each chain of ``links`` (ord, next), by pointer doubling; next is null at an end.
 
-    A chain that runs in a circle has no end and yields no row.
+    A chain that runs in a circle has no end and yields no row: after as many rounds as a
+    chain of 2**64 links would take, what has no end yet runs in circles.
     """
     at = stage(links.select("ord", F.col("next"), F.when(F.col("next").isNull(), F.col("ord")).alias("last")), f"{label}-0")
     rounds = 0

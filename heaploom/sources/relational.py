@@ -76,11 +76,10 @@ def star_edges(spark: SparkSession, sf_dir: str, with_parts: bool = False, weak_
         link(customer, node_id("nation", F.col("c_nationkey")), node_id("customer", F.col("c_custkey")), "customer"),
         link(supplier, node_id("nation", F.col("s_nationkey")), node_id("supplier", F.col("s_suppkey")), "supplier"),
         link(orders, node_id("customer", F.col("o_custkey")), node_id("orders", F.col("o_orderkey")), "order"),
-        link(lines, node_id("orders", F.col("l_orderkey")), F.col("ord"), "line"),
-        link(lines, node_id("supplier", F.col("l_suppkey")), F.col("ord"), "supplied", "weak" if weak_supplier else "property"),
     ]
-    if with_parts:
-        made.append(link(lines, node_id("part", F.col("l_partkey")), F.col("ord"), "of_part"))
+    # a line item's edges are made in one pass over the numbered items
+    legs = [("orders", "l_orderkey", "line", "property"), ("supplier", "l_suppkey", "supplied", "weak" if weak_supplier else "property")] + [("part", "l_partkey", "of_part", "property")] * with_parts
+    made.append(lines.select(F.inline(F.array(*[F.struct(node_id(kind, F.col(k)).alias("src"), F.col("ord").alias("dst"), F.lit(t).alias("type"), F.lit(n).alias("name")) for kind, k, n, t in legs]))))
     out = made[0]
     for m in made[1:]:
         out = out.unionByName(m)

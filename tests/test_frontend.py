@@ -48,6 +48,8 @@ def test_command_line(spark, at, capsys):
     assert "Foo" in capsys.readouterr().out
     assert main(["summary", path, "--group", "Foo", "--json"], spark) == 0
     assert [json.loads(x)["id"] for x in capsys.readouterr().out.splitlines()] == [heap.id("B")]
+    assert main(["summary", path, "--group", "Foo:0:1", "--json"], spark) == 0
+    assert [json.loads(x)["id"] for x in capsys.readouterr().out.splitlines()] == [heap.id("B")]
     # A has a source position, so it is in a group of its own, which it names.
     assert main(["summary", path, "--expand", f"@{heap.id('A')}", "--json"], spark) == 0
     assert [json.loads(x)["id"] for x in capsys.readouterr().out.splitlines()] == [heap.id("A")]
@@ -84,7 +86,7 @@ def test_server(spark, at):
     replies = [json.loads(x) for x in out.getvalue().splitlines()]
     by_id = {r["id"]: r for r in replies if r["id"] is not None}
     assert by_id[1]["result"]["protocolVersion"] == "2025-06-18"
-    assert len(by_id[2]["result"]["tools"]) == 15
+    assert len(by_id[2]["result"]["tools"]) == 16
     text = {n: r["result"]["content"][0]["text"] for n, r in by_id.items() if n in range(3, 10)}
     assert text[3].endswith("snapshot_id: 1")
     assert text[4].splitlines()[-1] == "1–1 of 1" and "(GC roots)" in text[7]
