@@ -33,6 +33,19 @@ class Snapshot:
     def from_bytes(cls, spark: SparkSession, content: bytes, weak_is_reachable: bool = False) -> Snapshot:
         return cls(heapsnapshot.tables_from_bytes(spark, content), weak_is_reachable)
 
+    def save(self, folder: str) -> None:
+        """Write all tables and the analysed nodes, so that later sessions skip the analysis."""
+        for name, table in {**self.tables, "analysed": self.nodes}.items():
+            table.write.mode("overwrite").parquet(f"{folder.rstrip('/')}/{name}")
+
+    @classmethod
+    def reopen(cls, spark: SparkSession, folder: str) -> Snapshot:
+        """A snapshot as it was saved."""
+        at = folder.rstrip("/")
+        out = cls({name: spark.read.schema(ddl).parquet(f"{at}/{name}") for name, ddl in heapsnapshot.TABLES.items()})
+        out.nodes = spark.read.parquet(f"{at}/analysed")
+        return out
+
     @property
     def edges(self) -> DataFrame:
         return self.tables["edges"]
@@ -117,7 +130,10 @@ class Snapshot:
     def summary_members(self, name: str, offset: int = 0, limit: int = 20, filter: str = "all") -> DataFrame:  # noqa: A002
         rows = self._filter(filter)
         if rows.where(F.col("group_name") == name).isEmpty():
-            raise KeyError(f"no constructor group {name!r}")
+            # a class by its name alone: all its groups by source position
+            rows = rows.where(F.regexp_extract("group_name", r"^(.*) \[[^\]]*:\d+\]$", 1) == name).withColumn("group_name", F.lit(name))
+            if rows.isEmpty():
+                raise KeyError(f"no constructor group {name!r}")
         return grouping.members(rows, name, offset, limit).select("id", "display_name", "self_size", "retained_size", "detachedness", "bucket_kind", "bucket_ctx")
 
     def group_of(self, object_id: int | str) -> tuple[str, int]:
@@ -239,8 +255,12 @@ class Snapshot:
 
     # -- realms, contexts, closures -------------------------------------------------------
 
-    def realms(self, known: DataFrame | None = None) -> DataFrame:
+    def realms(self, known: DataFrame | None = None, titles: DataFrame | None = None) -> DataFrame:
+        """Realms with their sizes and own names; ``titles`` (extension, title) names extensions, as nothing is looked up elsewhere."""
         r = self.realm_table
+        if titles is not None:
+            told = titles.select(F.concat(F.lit("chrome-extension://"), F.col("extension")).alias("_e"), "title").dropDuplicates(["_e"])
+            r = r.withColumn("_e", F.regexp_extract("url", "^chrome-extension://[^/]+", 0)).join(told, "_e", "left").drop("_e")
         sizes = realms.reachable_sizes(self.nodes, self.edges, r.select("ord")).select(F.col("root").alias("ord"), F.col("size").alias("reachable_size"))
         known = known if known is not None else realms.common_fields(self.nodes, self.edges, realms.GLOBAL_TAGS[0])
         return r.join(sizes, "ord", "left").join(realms.unique_vars(self.nodes, self.edges, known), "ord", "left").orderBy("realm")

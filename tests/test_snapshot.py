@@ -276,3 +276,22 @@ def test_fields_of_global_objects_that_others_lack_come_first(spark):
     h.add("own").link("g1", "own", "property", "own")
     s = Snapshot.from_bytes(spark, h.content())
     assert rows(s.children(h.id("g1")), "edge_name") == [("own",), ("common",)]
+
+
+def test_saved_and_reopened(spark, snap, heap, tmp_path):
+    snap.save(str(tmp_path / "kept"))
+    again = Snapshot.reopen(spark, str(tmp_path / "kept"))
+    assert sorted(rows(again.summary(), "name", "retained_size")) == sorted(rows(snap.summary(), "name", "retained_size"))
+    assert rows(again.dominators_of(heap.id("B")), "id") == rows(snap.dominators_of(heap.id("B")), "id")
+
+
+def test_extension_titles_and_groups_by_class(spark):
+    h = Heap().add("r", name="system / NativeContext / chrome-extension://abc/x.html").link("R", "r")
+    for i in (1, 2):
+        h.add(f"o{i}", name="Foo", size=i).link("R", f"o{i}")
+    h.more = {"location_fields": ["object_index", "script_id", "line", "column"], "locations": ["o1", 7, 1, 2, "o2", 7, 3, 4]}
+    s = Snapshot.from_bytes(spark, h.content())
+    titles = spark.createDataFrame([("abc", "Tidy"), ("zzz", "Other")], "extension string, title string")
+    assert rows(s.realms(titles=titles), "title", "is_extension") == [("Tidy", True)]
+    assert {r["id"] for r in s.summary_members("Foo").collect()} == {h.id("o1"), h.id("o2")}
+    assert [r["id"] for r in s.summary_members("Foo [script_id=7:L2:3]").collect()] == [h.id("o1")]
