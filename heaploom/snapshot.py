@@ -325,10 +325,12 @@ class Snapshot:
         at = me.select("ord")
         place = self.locations().join(at, "ord", "left_semi").select("ord", F.col("location").alias("_from"))
         end = locations.function_ends(self.nodes, self.edges).join(at, "ord", "left_semi").select("ord", F.format_string("-%d:%d", F.col("line") + 1, F.col("col") + 1).alias("_to"))
-        frames = self.allocation_stack(object_id).select(F.struct("frame_no", locations.format_frame(F.col("function_name"), F.col("script_name"), F.col("line"), F.col("col")).alias("frame")).alias("f")).agg(F.transform(F.sort_array(F.collect_list("f")), lambda f: f["frame"]).alias("allocated_at"))
-        chain = self.dominators_of(object_id).where(F.col("ord") != self._ord(object_id)).select(F.struct((-F.col("dom_depth")).alias("d"), "id").alias("x")).agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["id"]).alias("dominators"))
+        # one object's stack and dominators: lists as long as these are deep
+        frames = self.allocation_stack(object_id).select(locations.format_frame(F.col("function_name"), F.col("script_name"), F.col("line"), F.col("col")).alias("frame")).collect()
+        chain = self.dominators_of(object_id).where(F.col("ord") != self._ord(object_id)).select("id").collect()
         out = me.join(locations.bucket_labels(me, self.realm_table), "ord").join(place, "ord", "left").join(end, "ord", "left")
-        out = out.join(locations.instance_types(self.nodes, self.edges), "ord", "left").crossJoin(F.broadcast(frames)).crossJoin(F.broadcast(chain))
+        out = out.join(locations.instance_types(self.nodes, self.edges), "ord", "left")
+        out = out.withColumns({"allocated_at": F.array(*[F.lit(r["frame"]) for r in frames]).cast("array<string>"), "dominators": F.array(*[F.lit(r["id"]) for r in chain]).cast("array<bigint>")})
         has_source = (F.col("type") == "closure") | locations.is_shared_function(F.col("type"), F.col("name"))
         return out.select(
             "id", "ord", "display_name", "class_name", "type", "instance_type", "self_size", "retained_size", formats.format_distance(F.col("distance")).alias("distance"), "edge_count", "detachedness", realms.is_original(F.col("raw_detachedness"), F.col("detachedness")).alias("detachedness_is_original"),
