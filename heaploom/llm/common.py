@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
 import re
+import uuid
+from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heaploom.plans.staging import stage
+from heaploom.plans.staging import drop_path, shared_dir, stage
 
 #: Words are runs of anything but space, tab, LF, VT, FF and CR.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -28,6 +31,29 @@ def bounded_batches(df: DataFrame) -> None:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new folder under the shared one; it goes when Python ends."""
+    path = f"{shared_dir(spark)}/heaploom/{label}-{uuid.uuid4().hex}"
+    atexit.register(_gone, spark, path)
+    return path
+
+
+def _gone(spark: SparkSession, path: str) -> None:
+    try:
+        drop_path(spark, path)
+    except Exception:  # noqa: BLE001 - the session may have ended already
+        return
+
+
+def appended(spark: SparkSession, parts: Iterable[DataFrame], shape: str, label: str) -> DataFrame:
+    """``parts`` written one after another to one table, so that no plan grows with their number."""
+    path = shared_path(spark, label)
+    spark.createDataFrame([], shape).write.parquet(path)
+    for part in parts:
+        part.write.mode("append").parquet(path)
+    return spark.read.schema(shape).parquet(path)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower case for A-Z alone. ``lower`` does just that for ASCII texts, and faster."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

@@ -25,7 +25,8 @@ def _targets(sources: DataFrame, weights: Sequence[int], max_repeats: int) -> Da
     ranked = sources.select("*", weight.alias("_weight"), (F.col("source_size") * max_repeats).alias("_cap"))
     up = Window.orderBy("_ratio", "_no_source", "_source")
     ranked = ranked.withColumn("_ratio", F.col("_cap") / F.col("_weight"))
-    level = (F.sum("source_size").over(Window.partitionBy(F.lit(1))) - F.coalesce(F.sum("_cap").over(up.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))) / F.sum("_weight").over(up.rowsBetween(0, Window.unboundedFollowing))
+    total, before = (lambda c: F.sum(c).over(Window.partitionBy(F.lit(1)))), (lambda c: F.coalesce(F.sum(c).over(up.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    level = (total("source_size") - before("_cap")) / (total("_weight") - before("_weight"))
     ranked = ranked.withColumn("_level", level).withColumn("_free", F.col("_ratio") > F.col("_level"))
     common = F.min(F.when(F.col("_free"), F.struct("_ratio", "_no_source", "_source", "_level"))).over(Window.partitionBy(F.lit(1)))
     return ranked.select("_no_source", "_source", "source_size", F.when(F.col("_free"), common["_level"] * F.col("_weight")).otherwise(F.col("_cap").cast("double")).alias("target"))

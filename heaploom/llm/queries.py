@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heaploom.llm import chat_format, decontaminate, exact_dedup, language_id, lm_score, mixing, near_dedup, phrases, span_dedup, token_counts, toxicity
+from heaploom.llm import chat_format, decontaminate, exact_dedup, hard_negatives, language_id, lm_score, mixing, near_dedup, phrases, span_dedup, token_counts, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,9 +70,17 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(hard_negatives.contract_rows(table(spark, sf_dir, "embeddings")), F.col("vec_id") % 100 == 0)
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived_pages(table(spark, sf_dir, "pages"))
+
+
 def op13_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_exact_dedup, op3_span_dedup, op4_chat_formatting, op5_lm_scoring, op6_minhash_near_dedup, op7_source_mixing, op8_toxicity, op9_decontamination, op10_language_id, op13_phrase_mining)}
-SQL: dict[str, str] = {"op2_exact_dedup": exact_dedup.SQL, "op7_source_mixing": mixing.SQL, "op13_phrase_mining": phrases.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_exact_dedup, op3_span_dedup, op4_chat_formatting, op5_lm_scoring, op6_minhash_near_dedup, op7_source_mixing, op8_toxicity, op9_decontamination, op10_language_id, op11_hard_negatives, op12_warc, op13_phrase_mining)}
+SQL: dict[str, str] = {"op2_exact_dedup": exact_dedup.SQL, "op7_source_mixing": mixing.SQL, "op11_hard_negatives": hard_negatives.SQL, "op12_warc": warc.SQL, "op13_phrase_mining": phrases.SQL}
