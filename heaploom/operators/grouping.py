@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from heaploom.operators.edges import edge_targets, number_values
 from heaploom.operators.naming import flat_cons
-from heaploom.plans.staging import stage
 from heaploom.schema import UNREACHABLE_BASE
 
 #: Ids of a range of a timeline, about.
@@ -151,14 +150,15 @@ def timeline(nodes: DataFrame, samples: DataFrame) -> DataFrame:
     spans = intervals(samples).withColumn("_open", F.col("id_to") > F.col("low"))
     sized = nodes.where("self_size > 0").select("id", F.lit(1).cast("long").alias("_n"), F.col("self_size").alias("_s"))
     ends = spans.where("_open").select(F.col("id_to").alias("id"), F.lit(0).cast("long").alias("_n"), F.lit(0).cast("long").alias("_s"), F.col("seq").alias("_seq"))
-    both = stage(sized.withColumn("_seq", F.lit(None).cast(ends.schema["_seq"].dataType)).unionByName(ends), "timeline-ids")
+    both = sized.withColumn("_seq", F.lit(None).cast(ends.schema["_seq"].dataType)).unionByName(ends)
     low, high, n = both.agg(F.min("id"), F.max("id"), F.count(F.lit(1))).first()
     width = max(1, ((high or 0) - (low or 0)) // max(1, n // RANGE_ROWS) + 1)
     ranged = both.withColumn("_r", F.floor((F.col("id") - F.lit(low or 0)) / width))
-    here = Window.partitionBy("_r").orderBy("id", F.col("_seq").isNotNull()).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # from the back, as a frame that starts at the front is one running minimum
+    here = Window.partitionBy("_r").orderBy(F.desc("id"), F.col("_seq").isNotNull().desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     owned = ranged.withColumn("_owner", F.min("_seq").over(here)).groupBy("_r", "_owner").agg(F.sum("_n").alias("_n"), F.sum("_s").alias("_s"))
     # first end of each range, looked up from the ranges before it: one row a range
-    first = Window.orderBy("_r").rowsBetween(1, Window.unboundedFollowing)
+    first = Window.orderBy(F.desc("_r")).rowsBetween(Window.unboundedPreceding, -1)
     later = ranged.groupBy("_r").agg(F.min("_seq").alias("_first")).select("_r", F.min("_first").over(first).alias("_later"))
     counted = owned.join(later, "_r").groupBy(F.coalesce("_owner", "_later").alias("seq")).agg(F.sum("_n").alias("_n"), F.sum("_s").alias("_s"))
     return spans.join(counted, "seq", "left").select("seq", "timestamp_us", "id_from", "id_to", F.coalesce("_n", F.lit(0)).alias("count"), F.coalesce("_s", F.lit(0)).alias("size")).orderBy("seq")
