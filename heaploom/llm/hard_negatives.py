@@ -175,69 +175,66 @@ class _Tree:
         self.ids, self.labels, self.x = read("ids"), read("labels"), read("vectors", np.float64).reshape(n, dim)
         self.centres, self.radius = read("centres", np.float64).reshape(-1, dim), read("radius", np.float64)
         self.start, self.stop, self.child, self.children = (read(c).tolist() for c in ("start", "stop", "child", "children"))
-        self.widest = float(np.abs(self.x).max()) if self.x.size else 0.0
 
 
-Best = list[list[tuple[int, int]]]
+class Best:
+    """The first ``k`` rows found for each anchor and window: scores downwards, ties by smaller id."""
 
+    def __init__(self, lo: np.ndarray, hi: np.ndarray, k: int) -> None:
+        self.lo, self.hi, self.k = lo, hi, k
+        self.scores = np.full((*lo.shape, k), -np.inf, lo.dtype)
+        self.ids = np.zeros((*lo.shape, k), np.int64)
 
-def scores(x: np.ndarray, q: np.ndarray, widest: float) -> np.ndarray:
-    """Integer inner products; with Python's integers where floats could round."""
-    if widest * np.abs(q).max(initial=0.0) * max(1, x.shape[1]) < EXACT:
-        return (x @ q).astype(np.int64)
-    ints = [int(v) for v in q]
-    return np.array([sum(int(a) * b for a, b in zip(row, ints, strict=True)) for row in x], object)
+    def need(self) -> np.ndarray:
+        """What a score must reach to count; as high as the last one, it may have the smaller id."""
+        return np.maximum(self.lo, self.scores[:, :, -1])
 
+    def put(self, anchor: int, window: int, scores: np.ndarray, ids: np.ndarray) -> None:
+        scores, ids = np.append(self.scores[anchor, window], scores), np.append(self.ids[anchor, window], ids)
+        order = np.lexsort((ids, -scores))[: self.k]
+        self.scores[anchor, window], self.ids[anchor, window] = scores[order], ids[order]
 
-def descend(tree: _Tree, q: np.ndarray, windows: list[tuple[float, float]], fits: Callable[[np.ndarray, np.ndarray], np.ndarray], best: Best, k: int) -> None:
-    """Put into ``best`` (per window, heaps of (score, -id)) the first ``k`` rows that fit and lie in the window.
 
-    Nodes come by their upper bounds. A node whose bounds miss every window, or stay below
-    what each window has already, is skipped; rows of a leaf are scored exactly.
-    """
-    length = float(np.linalg.norm(q))
+def descend(tree: _Tree, q: np.ndarray, fits: Callable[[np.ndarray, slice], np.ndarray], best: Best) -> None:
+    """Put into ``best`` the rows of ``tree`` that fit an anchor (rows of ``q``) and lie in its windows.
 
-    def least() -> list[float]:
-        return [max(lo, best[i][0][0]) if len(best[i]) == k else lo for i, (lo, _) in enumerate(windows)]
+    A node's bounds are its centre's inner product plus and minus its radius times the
+    anchor's length. Nodes come by the highest bound that any anchor has; for each, the
+    anchors drop out for which it lies outside all windows or below what they have already,
+    and the rows of a leaf are scored exactly for those that are left.
+    """
+    lengths = np.linalg.norm(q.astype(np.float64), axis=1)
 
-    def bounds(a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
-        middle, reach = tree.centres[a:b] @ q, tree.radius[a:b] * length
+    def bounds(a: int, b: int, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        middle, reach = tree.centres[a:b] @ q[asked].astype(np.float64).T, np.outer(tree.radius[a:b], lengths[asked])
         slack = 1e-9 * (np.abs(middle) + reach) + 1e-6
         return middle + reach + slack, middle - reach - slack
 
-    up, down = bounds(0, 1)
-    heap = [(-float(up[0]), float(down[0]), 0)]
-    need = least()
+    def open_(up: np.ndarray, down: np.ndarray, asked: np.ndarray) -> np.ndarray:
+        return ((up[:, None] >= best.need()[asked]) & (down[:, None] <= best.hi[asked])).any(axis=1)
+
+    every = np.arange(len(q))
+    up, down = bounds(0, 1, every)
+    heap = [(-float(up.max()), 0, every, up[0], down[0])]
     while heap:
-        high, low, node = heapq.heappop(heap)
-        high = -high
-        if high < min(need):
-            return
-        if not any(high >= t and low <= hi for t, (_, hi) in zip(need, windows, strict=True)):
+        _, node, asked, up, down = heapq.heappop(heap)
+        left = open_(up, down, asked)
+        asked = asked[left]
+        if not len(asked):
             continue
-        a, b = tree.start[node], tree.stop[node]
         if tree.children[node]:
-            first, last = tree.child[node], tree.child[node] + tree.children[node]
-            up, down = bounds(first, last)
-            open_ = np.zeros(last - first, bool)
-            for t, (_, hi) in zip(need, windows, strict=True):
-                open_ |= (up >= t) & (down <= hi)
-            for i in np.flatnonzero(open_).tolist():
-                heapq.heappush(heap, (-float(up[i]), float(down[i]), first + i))
+            first = tree.child[node]
+            ups, downs = bounds(first, first + tree.children[node], asked)
+            for i, (u, d) in enumerate(zip(ups, downs, strict=True)):
+                heapq.heappush(heap, (-float(u.max()), first + i, asked, u, d))
             continue
-        found = scores(tree.x[a:b], q, tree.widest)
-        good = fits(tree.ids[a:b], tree.labels[a:b])
-        for i, (t, (_, hi)) in enumerate(zip(need, windows, strict=True)):
-            inside = np.flatnonzero(good & (found >= t) & (found <= hi))
-            if len(inside) > k and found.dtype != object:
-                inside = inside[np.lexsort((tree.ids[a:b][inside], -found[inside]))][:k]
-            for j in inside.tolist():
-                item = (int(found[j]), -int(tree.ids[a + j]))
-                if len(best[i]) < k:
-                    heapq.heappush(best[i], item)
-                elif item > best[i][0]:
-                    heapq.heapreplace(best[i], item)
-        need = least()
+        rows = slice(tree.start[node], tree.stop[node])
+        found = q[asked] @ tree.x[rows].T.astype(q.dtype)
+        good, need = fits(asked, rows), best.need()[asked]
+        for w in range(best.lo.shape[1]):
+            inside = good & (found >= need[:, w, None]) & (found <= best.hi[asked, w, None])
+            for i in np.flatnonzero(inside.any(axis=1)).tolist():
+                best.put(int(asked[i]), w, found[i, inside[i]], tree.ids[rows][inside[i]])
 
 
 HITS = "anchor int, window int, id bigint, score bigint"
@@ -247,21 +244,23 @@ def _search(queries: object, same: bool, k: int) -> Callable[[Iterator[pa.Record
     """Each task descends all of its trees with every anchor, and hands on its first ``k`` per anchor and window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, labels, x, windows = queries.value
-        best: list[Best] = [[[] for _ in w] for w in windows]
+        ids, labels, x, widest, lo, hi = queries.value
+        # sums of products that 64-bit floats may round are kept in floats of 64 digits, exact for scores that fit a long
+        kind = np.float64 if widest * np.abs(x).max(initial=0) * x.shape[1] < EXACT else np.longdouble
+        q, best = x.astype(kind), Best(lo.astype(kind), hi.astype(kind), k)
         for batch in batches:
             for row in batch.to_pylist():
                 tree = _Tree(row)
-                if not len(tree.ids):
-                    continue
-                for i, w in enumerate(windows):
-                    if not w:
-                        continue
-                    label, own = labels[i], ids[i]
-                    fits = (lambda a, b, label=label, own=own: (b == label) & (a != own)) if same else (lambda a, b, label=label: b != label)
-                    descend(tree, x[i], w, fits, best[i], k)
-        hits = [(i, j, -minus, score) for i, per in enumerate(best) for j, heap in enumerate(per) for score, minus in heap]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*hits, strict=True) if hits else [[]] * 4, (pa.int32(), pa.int32(), pa.int64(), pa.int64()), strict=True)], ["anchor", "window", "id", "score"])
+
+                def fits(asked: np.ndarray, rows: slice, tree: _Tree = tree) -> np.ndarray:
+                    alike = tree.labels[rows] == labels[asked, None]
+                    return alike & (tree.ids[rows] != ids[asked, None]) if same else ~alike
+
+                if len(tree.ids) and len(q):
+                    descend(tree, q, fits, best)
+        at = np.nonzero(best.scores > -np.inf)
+        columns = [at[0].astype(np.int32), at[1].astype(np.int32), best.ids[at], best.scores[at].astype(np.int64)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["anchor", "window", "id", "score"])
 
     return run
 
@@ -279,19 +278,22 @@ def _told(trees: DataFrame, queries: tuple, same: bool, k: int) -> DataFrame:
     return _first(trees.mapInArrow(_search(told, same, k), HITS), k)
 
 
-def _block(trees: DataFrame, anchors: DataFrame, dim: int, positives: int, negatives: int, low_percent: int) -> DataFrame:
+def _block(trees: DataFrame, anchors: DataFrame, dim: int, widest: float, positives: int, negatives: int, low_percent: int) -> DataFrame:
     """What is found for one block of anchors, whose vectors, and then whose windows, are told to all tasks."""
     spark = trees.sparkSession
     block = anchors.select("_id", "_label", "_vec").toArrow()
     ids, labels, x = block["_id"].to_numpy(), block["_label"].to_numpy(), matrix(block["_vec"], dim)
-    like = _told(trees, (ids, labels, x, [[(float("-inf"), float("inf"))]] * len(ids)), True, positives).select("anchor", "id", "score").toArrow()
-    windows: list[list[tuple[int, int]]] = [[] for _ in ids]
+    every = np.full((len(ids), 1), np.inf)
+    like = _told(trees, (ids, labels, x, widest, -every, every), True, positives).select("anchor", "id", "score").toArrow()
+    lo, hi, filled = np.full((len(ids), positives), np.inf, np.longdouble), np.full((len(ids), positives), -np.inf, np.longdouble), [0] * len(ids)
     named = []
     for anchor, positive, score in zip(*(like[c].to_pylist() for c in ("anchor", "id", "score")), strict=True):
-        named.append((anchor, len(windows[anchor]), int(ids[anchor]), positive, score))
-        windows[anchor].append((-(-low_percent * score // 100), score))
+        w = filled[anchor]
+        filled[anchor] += 1
+        lo[anchor, w], hi[anchor, w] = -(-low_percent * score // 100), score
+        named.append((anchor, w, int(ids[anchor]), positive, score))
     names = spark.createDataFrame(named, "anchor int, window int, anchor_id bigint, positive_id bigint, positive_score bigint")
-    hits = _told(trees, (ids, labels, x, windows), False, negatives)
+    hits = _told(trees, (ids, labels, x, widest, lo, hi), False, negatives)
     return hits.join(F.broadcast(names), ["anchor", "window"]).select("anchor_id", "positive_id", "rank", F.col("id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))
 
 
@@ -314,15 +316,15 @@ def mine(rows: DataFrame, anchors: Column, key: str = "vec_id", vector: str = "e
     """
     bounded_batches(rows)
     chosen = stage(quantised(rows, anchors, key, vector, label, scale), "negatives-rows")
-    n, dim, square, asked = chosen.agg(F.count(F.lit(1)), F.max(F.size("_vec")), F.max(F.aggregate("_vec", F.lit(0.0), lambda s, x: s + x * x)), F.count_if("_anchor")).first()
-    dim = max(1, dim or 0)
+    n, dim, square, widest, asked = chosen.agg(F.count(F.lit(1)), F.max(F.size("_vec")), F.max(F.aggregate("_vec", F.lit(0.0), lambda s, x: s + x * x)), F.max(F.array_max(F.transform("_vec", F.abs))), F.count_if("_anchor")).first()
+    dim, widest = max(1, dim or 0), widest or 0.0
     trees = forest(chosen.drop("_anchor"), dim, float(square or 0) ** 0.5, n)
     size = max(1, min(BLOCK_ANCHORS, BLOCK_BYTES // (8 * dim)))
     # twice as many blocks as would do, as they are dealt by a hash
     blocks = -(-2 * asked // size) if asked > size else min(1, asked)
     dealt = chosen.where("_anchor").withColumn("_block", F.pmod(F.xxhash64("_id", "_label", "_vec"), F.lit(max(1, blocks)))).drop("_anchor").distinct()
     dealt = stage(dealt.repartitionByRange("_block"), "negatives-anchors")
-    found = (_block(trees, dealt.where(F.col("_block") == b), dim, positives, negatives, low_percent) for b in range(blocks))
+    found = (_block(trees, dealt.where(F.col("_block") == b), dim, widest, positives, negatives, low_percent) for b in range(blocks))
     out = appended(rows.sparkSession, found, FOUND, "negatives-found")
     free(chosen, trees, dealt)
     return out

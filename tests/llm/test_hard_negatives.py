@@ -89,22 +89,21 @@ def test_trees_cover_separate_and_skip(dim):
             assert len(own) <= hn.LEAF_ROWS or tree.radius[node] == 0
 
 
-def test_descent_scores_few_leaves(monkeypatch):
+def test_descent_scores_few_leaves():
     rng = np.random.default_rng(5)
     centres = rng.normal(0, 300, (40, 6))
     x = np.floor(np.repeat(centres, 100, axis=0) + rng.normal(0, 5, (4000, 6)))
     made = hn.CoverTree(x, float(np.sqrt((x * x).sum(axis=1).max())))
     o = made.order
     row = {"rows": 4000, "dim": 6, "ids": o.astype(np.int64).tobytes(), "labels": np.zeros(4000, np.int64).tobytes(), "vectors": x[o].tobytes(), "centres": x[made.centre].tobytes(), "radius": made.radius.tobytes()} | {k: getattr(made, k).tobytes() for k in ("start", "stop", "child", "children")}
-    tree, scored = hn._Tree(row), []
-    plain = hn.scores
-    monkeypatch.setattr(hn, "scores", lambda rows, q, w: scored.append(len(rows)) or plain(rows, q, w))
-    for q in x[::400]:
-        all_scores, best = x @ q, [[], []]
-        top = int(all_scores.max())
-        windows = [(float("-inf"), float("inf")), (top // 4, top // 3)]
-        hn.descend(tree, q, windows, lambda a, b: np.ones(len(a), bool), best, 5)
-        for (lo, hi), got in zip(windows, best, strict=True):
-            want = sorted((-int(s), i) for i, s in enumerate(all_scores) if lo <= s <= hi)[:5]
-            assert sorted((-s, -i) for s, i in got) == want
+    tree, scored, fits = hn._Tree(row), [], lambda asked, rows: scored.append(len(asked) * (rows.stop - rows.start)) or np.ones((len(asked), rows.stop - rows.start), bool)
+    q = x[::400]
+    plain = q @ x.T
+    top = plain.max(axis=1)
+    best = hn.Best(np.column_stack([np.full(len(q), -np.inf), np.ceil(top / 4)]), np.column_stack([np.full(len(q), np.inf), np.floor(top / 3)]), 5)
+    hn.descend(tree, q, fits, best)
+    for i, scores in enumerate(plain):
+        for w in range(2):
+            want = sorted((-s, j) for j, s in enumerate(scores) if best.lo[i, w] <= s <= best.hi[i, w])[:5]
+            assert [(-s, j) for s, j in zip(best.scores[i, w], best.ids[i, w], strict=True) if s > -np.inf] == want
     assert sum(scored) < 0.4 * 4000 * 10
