@@ -63,9 +63,10 @@ def base(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     return joined([nodes_of(one, F.lit(0), "synthetic", "", 0), nodes_of(one, F.lit(1), "synthetic", GC_ROOTS, 0)]), edges_of(one, F.lit(0), F.lit(1), "element", F.lit(None))
 
 
-def analysed(spark: SparkSession, nodes: list[DataFrame], edges: list[DataFrame], label: str) -> DataFrame:
+def analysed(spark: SparkSession, nodes: list[DataFrame], edges: list[DataFrame], label: str, *parts: str) -> DataFrame:
+    """Analysed whole in one task, or the named parts in rounds."""
     n, e = base(spark)
-    return analyse(joined([n, *nodes]), joined([e, *edges]), label=label)
+    return analyse(joined([n, *nodes]), joined([e, *edges]), label=label, parts=parts or None)
 
 
 # -- functions, scripts and scopes: parts are closures, suppliers scripts -----------------
@@ -286,7 +287,7 @@ def weak_map_heap(spark: SparkSession, sf_dir: str) -> tuple[list[DataFrame], li
 
 @query("SELECT 4000000000 + o_orderkey AS ord, 1000000000 + c_nationkey AS idom, CAST(3 AS BIGINT) AS distance FROM orders JOIN customer ON o_custkey = c_custkey")
 def q48_weak_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analysed(spark, *weak_map_heap(spark, sf_dir), "weak-maps").where("name = 'Value'").select("ord", "idom", "distance")
+    return analysed(spark, *weak_map_heap(spark, sf_dir), "weak-maps", "distance", "dominators").where("name = 'Value'").select("ord", "idom", "distance")
 
 
 @query("SELECT CAST(n_nationkey AS BIGINT) AS nation, CAST(10 + coalesce(sum(length(o_orderpriority)), 0) AS BIGINT) AS retained_size FROM nation LEFT JOIN (customer JOIN orders ON o_custkey = c_custkey) ON c_nationkey = n_nationkey GROUP BY 1")
@@ -305,7 +306,7 @@ def page_heap(spark: SparkSession, sf_dir: str) -> tuple[list[DataFrame], list[D
 
 @query("SELECT 1000000000 + c_custkey AS ord, CAST(c_custkey % 3 AS INT) AS detachedness, true AS original FROM customer UNION ALL SELECT 2000000000 + o_orderkey, CAST(CASE WHEN o_custkey % 3 = 2 THEN 2 ELSE 0 END AS INT), o_custkey % 3 <> 2 FROM orders")
 def q50_detachedness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = analysed(spark, *page_heap(spark, sf_dir), "pages").where(f"ord >= {KIND} and ord < {3 * KIND}")
+    x = analysed(spark, *page_heap(spark, sf_dir), "pages", "states").where(f"ord >= {KIND} and ord < {3 * KIND}")
     return x.select("ord", "detachedness", realms.is_original(F.col("raw_detachedness"), F.col("detachedness")).alias("original"))
 
 
@@ -314,17 +315,17 @@ _PAGE_GROUPS = """SELECT '<DIV>' AS name, c_custkey % 3 AS state, 3 AS size, 1 A
 
 @query(f"SELECT name, count(*) AS count, CAST(min(distance) AS BIGINT) AS distance, CAST(sum(size) AS BIGINT) AS self_size FROM ({_PAGE_GROUPS}) WHERE state = 2 GROUP BY 1")
 def q51_summary_detached(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grouping.summary(analysed(spark, *page_heap(spark, sf_dir), "pages"), grouping.FILTERS["detached"]).select("name", "count", "distance", "self_size")
+    return grouping.summary(analysed(spark, *page_heap(spark, sf_dir), "pages", "distance", "retained", "preorder", "states"), grouping.FILTERS["detached"]).select("name", "count", "distance", "self_size")
 
 
 @query(f"SELECT name, count(*) AS count, CAST(sum(size) AS BIGINT) AS self_size FROM ({_PAGE_GROUPS}) WHERE state = 1 GROUP BY 1")
 def q52_summary_attached(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grouping.summary(analysed(spark, *page_heap(spark, sf_dir), "pages"), grouping.FILTERS["attached"]).select("name", "count", "self_size")
+    return grouping.summary(analysed(spark, *page_heap(spark, sf_dir), "pages", "distance", "retained", "preorder", "states"), grouping.FILTERS["attached"]).select("name", "count", "self_size")
 
 
 @query(f"SELECT 'Lost' AS name, count(*) AS count, CAST({UNREACHABLE_BASE} AS BIGINT) AS distance, CAST(11 * count(*) AS BIGINT) AS self_size, CAST(24 * count(*) AS BIGINT) AS retained_size FROM supplier UNION ALL SELECT '(array)', count(*), {UNREACHABLE_BASE + 1}, 13 * count(*), 13 * count(*) FROM supplier")
 def q53_summary_unreachable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grouping.summary(analysed(spark, *page_heap(spark, sf_dir), "pages"), grouping.FILTERS["unreachable"]).select("name", "count", "distance", "self_size", "retained_size")
+    return grouping.summary(analysed(spark, *page_heap(spark, sf_dir), "pages", "distance", "retained", "preorder"), grouping.FILTERS["unreachable"]).select("name", "count", "distance", "self_size", "retained_size")
 
 
 @query(
@@ -333,7 +334,7 @@ def q53_summary_unreachable(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def q54_statistics_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges = page_heap(spark, sf_dir)
-    return grouping.statistics(analysed(spark, nodes, edges, "pages"), joined(edges), 5).select("node_count", "native_total", "v8_total", "unreachable_count", "unreachable_size")
+    return grouping.statistics(analysed(spark, nodes, edges, "pages", "distance", "states"), joined(edges), 5).select("node_count", "native_total", "v8_total", "unreachable_count", "unreachable_size")
 
 
 def context_heap(spark: SparkSession, sf_dir: str) -> tuple[list[DataFrame], list[DataFrame]]:
@@ -349,19 +350,19 @@ def context_heap(spark: SparkSession, sf_dir: str) -> tuple[list[DataFrame], lis
        UNION ALL SELECT 'Part', 'NotRetained', count(*) FROM part UNION ALL SELECT 'system / ScopeInfo', 'NotRetained', count(*) FROM nation UNION ALL SELECT 'system / Context / x', 'Unreachable', count(*) FROM supplier"""
 )
 def q55_context_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = analysed(spark, *context_heap(spark, sf_dir), "contexts").where(f"ord >= {KIND}")
+    x = analysed(spark, *context_heap(spark, sf_dir), "contexts", "states").where(f"ord >= {KIND}")
     return x.groupBy("name", "context_retention").agg(F.count(F.lit(1)).alias("count"))
 
 
 @query("SELECT CAST((SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) AS BIGINT) AS context_count, CAST((SELECT sum(length(o_orderpriority)) FROM orders) + (SELECT 20 * count(*) FROM customer) AS BIGINT) AS retained_by_contexts, CAST((SELECT 4 * count(*) FROM part) + (SELECT count(*) FROM nation) AS BIGINT) AS not_retained_by_contexts")
 def q56_context_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges = context_heap(spark, sf_dir)
-    return grouping.statistics(analysed(spark, nodes, edges, "contexts"), joined(edges)).select("context_count", "retained_by_contexts", "not_retained_by_contexts")
+    return grouping.statistics(analysed(spark, nodes, edges, "contexts", "distance", "states"), joined(edges)).select("context_count", "retained_by_contexts", "not_retained_by_contexts")
 
 
 @query("SELECT name, count(*) AS count, CAST(sum(size) AS BIGINT) AS self_size FROM (SELECT 'Order' AS name, length(o_orderpriority) AS size FROM orders UNION ALL SELECT 'system / Context', 20 FROM customer) GROUP BY 1")
 def q57_summary_by_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grouping.summary(analysed(spark, *context_heap(spark, sf_dir), "contexts"), grouping.FILTERS["retained-by-contexts"]).select("name", "count", "self_size")
+    return grouping.summary(analysed(spark, *context_heap(spark, sf_dir), "contexts", "distance", "retained", "preorder", "states"), grouping.FILTERS["retained-by-contexts"]).select("name", "count", "self_size")
 
 
 @query("SELECT CAST(5000000000 + c_nationkey AS BIGINT) AS scope, count(DISTINCT c_custkey) AS count, CAST(20 * count(DISTINCT c_custkey) + coalesce(sum(length(o_orderpriority)), 0) AS BIGINT) AS retained_size FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1 UNION ALL SELECT NULL, count(*), 6 * count(*) FROM supplier")
@@ -411,18 +412,18 @@ _REALMS = """WITH r AS (SELECT n_nationkey AS n, CASE n_nationkey % 3 WHEN 0 THE
 @query(f"{_REALMS} SELECT realm, kind, is_extension, url, size AS attributed_size, '[' || kind || '] #' || CAST(realm AS VARCHAR) || ' ' || url || ' @' || CAST((1000000000 + n) * 2 + 1 AS VARCHAR) AS label FROM q JOIN sizes USING (realm)")
 def q61_realms(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges = realm_heap(spark, sf_dir)
-    return realms.realms(analysed(spark, nodes, edges, "realms"), joined(edges)).select("realm", "kind", "is_extension", "url", "attributed_size", "label")
+    return realms.realms(analysed(spark, nodes, edges, "realms", "retained", "states", "buckets"), joined(edges)).select("realm", "kind", "is_extension", "url", "attributed_size", "label")
 
 
 @query(f"{_REALMS} SELECT 'Context' AS bucket_kind, realm AS bucket_ctx, size FROM sizes UNION ALL SELECT 'Shared', NULL, CAST(7 * count(*) AS BIGINT) FROM supplier WHERE s_suppkey % 2 = 0 UNION ALL SELECT 'Unattributed', NULL, 9")
 def q62_realm_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return realms.realm_sizes(analysed(spark, *realm_heap(spark, sf_dir), "realms"))
+    return realms.realm_sizes(analysed(spark, *realm_heap(spark, sf_dir), "realms", "buckets"))
 
 
 @query(f"{_REALMS} SELECT 4000000000 + c_custkey AS ord, '#' || CAST(realm AS VARCHAR) AS bucket, '[' || kind || '] #' || CAST(realm AS VARCHAR) || ' ' || url || ' @' || CAST((1000000000 + n) * 2 + 1 AS VARCHAR) AS bucket_label FROM customer JOIN q ON n = c_nationkey UNION ALL SELECT 6000000000 + s_suppkey, 'S', 'Shared (multiple contexts)' FROM supplier WHERE s_suppkey % 2 = 0")
 def q63_bucket_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges = realm_heap(spark, sf_dir)
-    x = analysed(spark, nodes, edges, "realms")
+    x = analysed(spark, nodes, edges, "realms", "retained", "states", "buckets")
     return locations.bucket_labels(x.where("name in ('Customer', 'Supplier')"), realms.realms(x, joined(edges)))
 
 
@@ -597,7 +598,7 @@ def q80_map_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = F.when(F.col("o_orderkey") % 5 > 1, F.col("o_orderkey") * 3).otherwise(F.col("o_orderkey") * 3 + 4)
     nodes = [nodes_of(c, at(1, "o_custkey"), "array", "(map descriptors)"), nodes_of(o, at(2, "o_orderkey"), "object", "Order")]
     edges = [edges_of(c, F.lit(1), at(1, "o_custkey"), "property", "d"), edges_of(o, at(1, "o_custkey"), at(2, "o_orderkey"), "element", F.lit(None), index)]
-    x = analysed(spark, nodes, edges, "descriptors").where(f"name = 'Order' and distance < {UNREACHABLE_BASE}")
+    x = analysed(spark, nodes, edges, "descriptors", "distance").where(f"name = 'Order' and distance < {UNREACHABLE_BASE}")
     return x.join(o.select(at(2, "o_orderkey").alias("ord"), F.col("o_custkey").alias("_c")), "ord").groupBy(F.col("_c").alias("id")).agg(F.count(F.lit(1)).alias("count"))
 
 

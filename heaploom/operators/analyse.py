@@ -1,25 +1,74 @@
-"""All load-time columns of snapshots that fit a task each."""
+"""All load-time columns: of many snapshots a task each, or of one graph of any size in rounds."""
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from heaploom.operators.locations import format_location
 from heaploom.operators.naming import category, class_name
 from heaploom.plans.kernel import analysis
+from heaploom.plans.rounds import Graph, interfaces
 from heaploom.plans.staging import stage
 from heaploom.schema import ANALYSIS, NODES
 
 
-def analyse(nodes: DataFrame, edges: DataFrame, weak_is_reachable: bool = False, locations: DataFrame | None = None, script_names: DataFrame | None = None, label: str = "analysed") -> DataFrame:
+#: The columns that each part of the analysis in rounds gives.
+PARTS = {
+    "distance": ("distance",),
+    "dominators": ("idom", "dom_depth"),
+    "retained": ("retained_size",),
+    "preorder": ("tin", "tout"),
+    "states": ("detachedness", "context_retention"),
+    "roots": ("root_kind",),
+    "buckets": ("bucket_kind", "bucket_ctx"),
+    "interfaces": ("interface",),
+}
+FILLED = {"root_kind": "NonRoot", "bucket_kind": "Unattributed"}
+
+
+def in_rounds(nodes: DataFrame, edges: DataFrame, weak_is_reachable: bool = False, parts: Collection[str] = tuple(PARTS), label: str = "rounds") -> DataFrame:
+    """``nodes`` of one graph with the columns of ``parts``, by joins; columns of other parts are null. No task holds all nodes."""
+    graph = Graph(nodes, edges, label)
+    made: dict[str, DataFrame] = {}
+    near = graph.distances() if {"distance", "states"} & set(parts) else None
+    if "distance" in parts:
+        made["distance"] = graph.depths(near, weak_is_reachable)
+    if {"dominators", "retained", "preorder"} & set(parts):
+        paths = graph.dominators()
+        made |= {name: part(paths) for name, part in (("dominators", graph.idoms), ("retained", graph.retained), ("preorder", graph.preorder)) if name in parts}
+    if "states" in parts:
+        made["states"] = graph.states(near)
+    if "roots" in parts:
+        made["roots"] = graph.root_kinds()
+    if "buckets" in parts:
+        made["buckets"] = graph.buckets()
+    if "interfaces" in parts:
+        made["interfaces"] = interfaces(nodes, graph.edges, label)
+    out = nodes
+    for part in made.values():
+        out = out.join(part, "ord", "left")
+    kinds = {f.name: f.dataType for f in StructType.fromDDL(ANALYSIS)}
+    columns = [F.coalesce(F.col(c), F.lit(FILLED[c])).alias(c) if c in out.columns and c in FILLED else F.col(c).cast(k).alias(c) if c in out.columns else F.lit(None).cast(k).alias(c) for c, k in kinds.items()]
+    return out.select(*nodes.columns, *columns)
+
+
+def analyse(nodes: DataFrame, edges: DataFrame, weak_is_reachable: bool = False, locations: DataFrame | None = None, script_names: DataFrame | None = None, label: str = "analysed", parts: Collection[str] | None = None) -> DataFrame:
     """``nodes`` with distance, dominators, sizes, states, owners, class_name, class_key and group_name, written and reread.
 
-    Snapshots are independent; each is one task. Objects with a source location are grouped
-    by it, of several the last, and shown with the script's name where ``script_names`` knows
-    it; all others by class name within its category.
+    Snapshots are independent; each is one task. With ``parts`` (of PARTS) the nodes are those
+    of one graph, which may be of any size, and only the columns of these parts are worked
+    out, in rounds of joins. Objects with a source location are grouped by it, of several the
+    last, and shown with the script's name where ``script_names`` knows it; all others by
+    class name within its category.
     """
-    out = nodes.groupBy("snapshot_id").cogroup(edges.groupBy("snapshot_id")).applyInArrow(analysis(weak_is_reachable), f"{NODES}, {ANALYSIS}")
+    if parts is not None:
+        out = in_rounds(nodes, edges, weak_is_reachable, parts, label)
+    else:
+        out = nodes.groupBy("snapshot_id").cogroup(edges.groupBy("snapshot_id")).applyInArrow(analysis(weak_is_reachable), f"{NODES}, {ANALYSIS}")
     out = out.withColumn("class_name", class_name(F.col("type"), F.col("name"), F.col("interface")))
     key = F.concat_ws("\x1f", category(F.col("type")), F.col("class_name"))
     shown = F.col("class_name")

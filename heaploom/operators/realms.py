@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from heaploom.functions.formats import has_tag
 from heaploom.operators.edges import edge_targets, hop, number_values
-from heaploom.plans.fixpoint import chase, reachable, reachable_from_each
+from heaploom.plans.fixpoint import bits_of, chase, reachable, reachable_words
 
 NATIVE_CONTEXT, CONTEXT = "system / NativeContext", "system / Context"
 
@@ -157,10 +157,18 @@ def closures(nodes_x: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def reachable_sizes(nodes: DataFrame, edges: DataFrame, roots: DataFrame, label: str = "sizes") -> DataFrame:
-    """(root, size, realms): bytes that each root leads to over edges that hold, and the realms met."""
-    met = reachable_from_each(edges, roots, F.expr("type not in ('weak', 'shortcut')"), label)
-    at = met.join(nodes.select("ord", "self_size", is_named(F.col("name"), NATIVE_CONTEXT).alias("_realm")), "ord")
-    return at.groupBy("root").agg(F.sum("self_size").alias("size"), F.sort_array(F.collect_set(F.when(F.col("_realm"), F.col("ord")))).alias("realms"))
+    """(root, size, realms): bytes that each root leads to over edges that hold, and the realms met.
+
+    Roots are carried as bits, 64 to a row, and sizes are added up by bit at the end.
+    """
+    numbered, words = reachable_words(edges, roots, F.expr("type not in ('weak', 'shortcut')"), label)
+    at = words.join(nodes.select("ord", "self_size", is_named(F.col("name"), NATIVE_CONTEXT).alias("_realm")), "ord")
+    has = lambda i: F.shiftrightunsigned("bits", i).bitwiseAND(F.lit(1)) == 1
+    sums = at.groupBy("word").agg(F.array(*[F.sum(F.when(has(i), F.col("self_size"))) for i in range(64)]).alias("_sums"))
+    sizes = sums.select("word", F.posexplode("_sums").alias("bit", "size")).where("size is not null")
+    seen = at.where("_realm").select("word", F.col("ord").alias("_r"), F.explode(bits_of(F.col("bits"))).alias("bit")).groupBy("word", "bit").agg(F.sort_array(F.collect_set("_r")).alias("realms"))
+    none = F.array().cast("array<bigint>")
+    return numbered.join(sizes, ["word", "bit"]).join(seen, ["word", "bit"], "left").select("root", "size", F.coalesce("realms", none).alias("realms"))
 
 
 def stack_roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:

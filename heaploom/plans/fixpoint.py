@@ -2,9 +2,10 @@
 
 A round joins a frontier with the edges, adds up what arrives at each node, and keeps what
 is new. Every round is written before the next one starts, so plans stay small and a lost
-executor costs one round. Edges are written once, in the order of their sources, so a small
-frontier reads few of them; what earlier rounds found is put into one table every FOLD
-rounds, and tables that no later round reads are freed.
+executor costs one round. Edges are written once, in buckets of their sources, so that no round
+shuffles them: the frontier is brought to them, or broadcast where Spark finds it small.
+What earlier rounds found is put into one table every FOLD rounds, and tables that no later
+round reads are freed.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heaploom.plans.staging import free, stage
+from heaploom.plans.staging import bucketed, free, stage
 
 #: Rounds after which what has been found is put into one table.
 FOLD = 8
@@ -43,9 +44,16 @@ class Found:
 
 def _edges(edges: DataFrame, follow: Column | None, label: str) -> DataFrame:
     kept = (edges.where(follow) if follow is not None else edges).select("src", "dst")
-    return stage(kept.repartition("src").sortWithinPartitions("src"), f"{label}-edges")
+    return bucketed(kept, "src", f"{label}-edges")
 
 
+def met(frontier: DataFrame, edges: DataFrame) -> DataFrame:
+    """The edges that leave ``frontier`` (ord, ...), with its other columns.
+
+    The frontier is looked up in a hash table per bucket, so edges are neither shuffled nor sorted.
+    """
+    return edges.join(frontier.withColumnRenamed("ord", "src").hint("shuffle_hash"), "src")
+
 
 def bfs(edges: DataFrame, roots: DataFrame, follow: Column | None = None, label: str = "bfs", max_rounds: int | None = None) -> DataFrame:
     """(ord, distance): steps from the nearest of ``roots`` (ord, optionally distance) over followed edges."""
@@ -55,7 +63,7 @@ def bfs(edges: DataFrame, roots: DataFrame, follow: Column | None = None, label:
     found, rounds = Found(frontier, label), 0
     while not frontier.isEmpty() and (max_rounds is None or rounds < max_rounds):
         rounds += 1
-        arrived = frontier.join(e, frontier["ord"] == e["src"]).groupBy(e["dst"].alias("ord")).agg(F.min(F.col("distance") + 1).alias("distance"))
+        arrived = met(frontier, e).groupBy(F.col("dst").alias("ord")).agg(F.min(F.col("distance") + 1).alias("distance"))
         frontier = stage(arrived.join(found.all.select("ord"), "ord", "left_anti"), f"{label}-{rounds}")
         found.add(frontier)
     free(e)
@@ -67,18 +75,36 @@ def reachable(edges: DataFrame, roots: DataFrame, follow: Column | None = None,
     return bfs(edges, roots, follow, label).select("ord")
 
 
-def reachable_from_each(edges: DataFrame, roots: DataFrame, follow: Column | None = None, label: str = "batch") -> DataFrame:
-    """(root, ord): for each of ``roots`` (ord) what it leads to, all in the same rounds."""
+def reachable_words(edges: DataFrame, roots: DataFrame, follow: Column | None = None, label: str = "batch") -> tuple[DataFrame, DataFrame]:
+    """Which of ``roots`` (ord) lead to each node, 64 roots to a number: (root, word, bit) and (ord, word, bits).
+
+    A node has rows of a word whose bits do not overlap, so there are as many rows as nodes
+    times words times the rounds in which bits came, not as pairs of root and node.
+    """
     e = _edges(edges, follow, label)
-    frontier = stage(roots.select(F.col("ord").alias("root"), "ord").distinct(), f"{label}-0")
+    n = F.col("_n")
+    numbered = stage(roots.select("ord").distinct().orderBy("ord").withColumn("_n", F.monotonically_increasing_id()).select(F.col("ord").alias("root"), F.shiftright(n, 6).alias("word"), n.bitwiseAND(F.lit(63)).cast("int").alias("bit")), f"{label}-roots")
+    frontier = stage(numbered.select(F.col("root").alias("ord"), "word", F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit")).alias("bits")), f"{label}-0")
     found, rounds = Found(frontier, label), 0
     while not frontier.isEmpty():
         rounds += 1
-        arrived = frontier.join(e, frontier["ord"] == e["src"]).select("root", e["dst"].alias("ord")).distinct()
-        frontier = stage(arrived.join(found.all, ["root", "ord"], "left_anti"), f"{label}-{rounds}")
+        arrived = met(frontier, e).groupBy(F.col("dst").alias("ord"), "word").agg(F.bit_or("bits").alias("bits"))
+        have = arrived.join(found.all.withColumnRenamed("bits", "_have"), ["ord", "word"], "left").groupBy("ord", "word").agg(F.bit_or("bits").alias("bits"), F.bit_or(F.coalesce("_have", F.lit(0).cast("long"))).alias("_have"))
+        frontier = stage(have.select("ord", "word", F.col("bits").bitwiseAND(F.bitwise_not("_have")).alias("bits")).where("bits != 0"), f"{label}-{rounds}")
         found.add(frontier)
     free(e)
-    return found.all
+    return numbered, found.all
+
+
+def bits_of(bits: Column) -> Column:
+    """The numbers of the bits that are set."""
+    return F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.call_function("shiftrightunsigned", bits, i).bitwiseAND(F.lit(1)) == 1)
+
+
+def reachable_from_each(edges: DataFrame, roots: DataFrame, follow: Column | None = None, label: str = "batch") -> DataFrame:
+    """(root, ord): for each of ``roots`` (ord) what it leads to, all in the same rounds."""
+    numbered, words = reachable_words(edges, roots, follow, label)
+    return words.select("ord", "word", F.explode(bits_of(F.col("bits"))).alias("bit")).join(numbered, ["word", "bit"]).select("root", "ord")
 
 
 def attribute(edges: DataFrame, owners: DataFrame, label: str = "owners") -> DataFrame:
@@ -87,20 +113,19 @@ def attribute(edges: DataFrame, owners: DataFrame, label: str = "owners") -> Dat
     ``owners`` (ord, owner) are fixed: nothing flows into them. Where low = high there is one
     owner; otherwise the node is shared. Labels only widen, so the order of rounds is immaterial.
     """
-    fixed = owners.select("ord")
-    e = stage(edges.where("type != 'shortcut' and src != dst").select("src", "dst").distinct().join(fixed, F.col("dst") == fixed["ord"], "left_anti"), f"{label}-edges")
-    found = stage(owners.select("ord", F.col("owner").alias("low"), F.col("owner").alias("high")), f"{label}-0")
-    frontier, rounds = found, 0
+    fixed = owners.select(F.col("ord").alias("dst"))
+    e = bucketed(edges.where("type != 'shortcut' and src != dst").select("src", "dst").distinct().join(fixed, "dst", "left_anti"), "src", f"{label}-edges")
+    frontier = stage(owners.select("ord", F.col("owner").alias("low"), F.col("owner").alias("high")), f"{label}-0")
+    found, rounds = Found(frontier, label), 0
     while not frontier.isEmpty():
         rounds += 1
-        arrived = frontier.join(e, frontier["ord"] == e["src"]).groupBy(e["dst"].alias("ord")).agg(F.min("low").alias("_low"), F.max("high").alias("_high"))
-        widened = arrived.join(found, "ord", "left").where("low is null or _low < low or _high > high")
-        last = frontier
-        frontier = stage(widened.select("ord", F.least("_low", "low").alias("low"), F.greatest("_high", "high").alias("high")), f"{label}-{rounds}")
-        before, found = found, stage(found.join(frontier.select("ord"), "ord", "left_anti").unionByName(frontier), f"{label}-found-{rounds}")
-        free(before, *[last] * (last is not before))
+        arrived = met(frontier, e).groupBy(F.col("dst").alias("ord")).agg(F.min("low").alias("low"), F.max("high").alias("high"))
+        have = found.all.withColumnsRenamed({"low": "_low", "high": "_high"})
+        wide = arrived.join(have, "ord", "left").groupBy("ord").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("_low").alias("_low"), F.max("_high").alias("_high"))
+        frontier = stage(wide.where("_low is null or low < _low or high > _high").select("ord", "low", "high"), f"{label}-{rounds}")
+        found.add(frontier)
     free(e)
-    return found
+    return found.all.groupBy("ord").agg(F.min("low").alias("low"), F.max("high").alias("high"))
 
 
 def chase(links: DataFrame, label: str = "chase") -> DataFrame:

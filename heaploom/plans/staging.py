@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 _OWN_DIR: list[str] = []
 _PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+#: Paths that are still to be deleted, with their session and, for buckets, the table's name.
+_LIVE: dict[str, tuple[SparkSession, str | None]] = {}
 _SCRATCH: list[list[DataFrame]] = []
 
 
@@ -34,13 +36,35 @@ def drop_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def _drop_quietly(spark: SparkSession, path: str) -> None:
+def _drop_quietly(path: str) -> None:
+    spark, table = _LIVE.pop(path)
     try:
+        if table:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
         drop_path(spark, path)
     except Exception:  # noqa: BLE001 - the session may have ended already
         return
 
 
+@atexit.register
+def _drop_all() -> None:
+    for path in list(_LIVE):
+        _drop_quietly(path)
+
+
+def _new_path(spark: SparkSession, label: str, table: str | None = None) -> str:
+    path = f"{shared_dir(spark)}/heaploom/{label}-{uuid.uuid4().hex}"
+    _LIVE[path] = (spark, table)
+    return path
+
+
+def _known(out: DataFrame, path: str) -> DataFrame:
+    _PATHS[out] = path
+    if _SCRATCH:
+        _SCRATCH[-1].append(out)
+    return out
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet under the shared folder and return it reread.
 
@@ -48,15 +72,23 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     leads back through the work that made them. The files go when they are freed, when
     the scratch scope ends that they were made in, or else when Python ends.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/heaploom/{label}-{uuid.uuid4().hex}"
+    path = _new_path(df.sparkSession, label)
     df.write.parquet(path)
-    atexit.register(_drop_quietly, spark, path)
-    out = spark.read.schema(df.schema).parquet(path)
-    _PATHS[out] = path
-    if _SCRATCH:
-        _SCRATCH[-1].append(out)
-    return out
+    return _known(df.sparkSession.read.schema(df.schema).parquet(path), path)
+
+
+def bucketed(df: DataFrame, key: str, label: str) -> DataFrame:
+    """Like ``stage``, in as many buckets of ``key`` as the session has shuffle partitions.
+
+    A join on ``key`` reads the buckets where they are: only its other side is shuffled, or
+    broadcast where Spark finds it small.
+    """
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"heaploom_{uuid.uuid4().hex}"
+    path = _new_path(spark, label, table)
+    df.repartition(n, key).write.format("parquet").bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(table)
+    return _known(spark.table(table), path)
 
 
 def free(*tables: DataFrame) -> None:
@@ -64,7 +96,7 @@ def free(*tables: DataFrame) -> None:
     for t in tables:
         path = _PATHS.pop(t, None)
         if path is not None:
-            _drop_quietly(t.sparkSession, path)
+            _drop_quietly(path)
 
 
 @contextmanager

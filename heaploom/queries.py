@@ -59,8 +59,9 @@ def query(sql: str | None, star: bool = False) -> Callable[[Query], Query]:
     return put
 
 
-def star_x(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analyse(star_nodes(spark, sf_dir), star_edges(spark, sf_dir), label="star")
+def star_x(spark: SparkSession, sf_dir: str, *parts: str) -> DataFrame:
+    """The analysed star graph: whole in one task, or the named parts in rounds."""
+    return analyse(star_nodes(spark, sf_dir), star_edges(spark, sf_dir), label="star", parts=parts or None)
 
 
 def one(spark: SparkSession, ord_: int = 1) -> DataFrame:
@@ -167,7 +168,7 @@ def q09_retained_only(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q10_unreachable(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = smallest(spark, sf_dir, "region", "r_regionkey")
     edges = star_edges(spark, sf_dir).where(~((F.col("src") == 1) & (F.col("dst") == cut)))
-    return analyse(star_nodes(spark, sf_dir), edges, label="cut-star").where(F.col("distance") >= UNREACHABLE_BASE).select("ord", "distance")
+    return analyse(star_nodes(spark, sf_dir), edges, label="cut-star", parts=["distance"]).where(F.col("distance") >= UNREACHABLE_BASE).select("ord", "distance")
 
 
 @query("SELECT ord, CAST(least(cn, sn) AS BIGINT) AS low, CAST(greatest(cn, sn) AS BIGINT) AS high FROM lp", star=True)
@@ -228,7 +229,7 @@ def q15_summary_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     star=True,
 )
 def q16_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = star_x(spark, sf_dir)
+    x = star_x(spark, sf_dir, "distance", "states")
     return grouping.statistics(x, star_edges(spark, sf_dir)).select("node_count", "total", "native_total", "v8_total", "strings", "unreachable_count", "retained_by_contexts", "not_retained_by_contexts")
 
 
@@ -323,7 +324,7 @@ def q24_interfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = objects.select(F.lit(1).cast("long").alias("src"), F.col("ord").alias("dst"), F.lit("internal").alias("type"), F.lit("held").alias("name"), F.lit(0).cast("long").alias("pos"))
     root = spark.range(1).select(F.lit(0).cast("long").alias("src"), F.lit(1).cast("long").alias("dst"), F.lit("element").alias("type"), F.lit(None).cast("string").alias("name"), F.lit(0).cast("long").alias("pos"))
     edges = props.unionByName(held).unionByName(root).select(F.lit(1).cast("long").alias("snapshot_id"), F.col("pos").alias("eid"), "src", "dst", "type", "name", F.lit(None).cast("long").alias("idx"), "pos")
-    return analyse(nodes, edges, label="interfaces").where("ord >= 10").select((F.col("ord") - 10).alias("k"), "interface")
+    return analyse(nodes, edges, label="interfaces", parts=["interfaces"]).where("ord >= 10").select((F.col("ord") - 10).alias("k"), "interface")
 
 
 @query("SELECT o_orderkey AS id, 'order :: @' || CAST(o_orderkey AS VARCHAR) || ' ' || o_orderpriority AS edge_label, 'order in @' || CAST(o_custkey AS VARCHAR) || ' customer' AS retainer FROM orders")
@@ -386,10 +387,15 @@ def q30_weak_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT ord, CAST(CASE WHEN name = 'lineitem' THEN 1 ELSE idom END AS BIGINT) AS idom FROM star", star=True)
 def q31_idom_with_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analyse(star_nodes(spark, sf_dir), star_edges(spark, sf_dir, with_parts=True), label="star-parts").select("ord", "idom")
+    return analyse(star_nodes(spark, sf_dir), star_edges(spark, sf_dir, with_parts=True), label="star-parts", parts=["dominators"]).select("ord", "idom")
 
 
 @query("SELECT p_partkey AS id, CASE WHEN p_name = '' THEN '(code)' ELSE p_name END AS hidden, '(number)' AS other, 'Function' AS closure FROM part")
 def q32_class_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.col("p_name")
     return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), naming.class_name(F.lit("code"), name).alias("hidden"), naming.class_name(F.lit("number"), name).alias("other"), naming.class_name(F.lit("closure"), name).alias("closure"))
+
+
+@query(", depths AS (SELECT ord, CASE WHEN ord = 1 THEN 0 WHEN name IN ('region', 'part', '(synthetic)') THEN 1 WHEN name = 'nation' THEN 2 WHEN name IN ('customer', 'supplier') THEN 3 WHEN name = 'orders' THEN 4 WHEN idom = 1 THEN 1 WHEN idom < 2 * 1099511627776 THEN 2 ELSE 3 END AS d FROM sized) SELECT sized.ord, retained AS retained_size, CAST(d AS BIGINT) AS dom_depth FROM sized JOIN depths ON sized.ord = depths.ord", star=True)
+def q84_retained_in_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return star_x(spark, sf_dir, "dominators", "retained").select("ord", "retained_size", "dom_depth")

@@ -10,13 +10,17 @@ from pyspark.sql import functions as F
 
 from heaploom.functions import formats
 from heaploom.operators import grouping, leaks, locations, naming, realms, trees
-from heaploom.operators.analyse import analyse
+from heaploom.operators.analyse import PARTS, analyse
 from heaploom.operators.edges import hop
 from heaploom.plans.staging import stage
 from heaploom.schema import GC_ROOTS
 from heaploom.sources import heapsnapshot
 
 
+#: Nodes of a snapshot that one task analyses whole; larger ones are analysed in rounds.
+TASK_NODES = 30_000_000
+
+
 class Snapshot:
     """Tables of one snapshot; the analysis runs once, on first use."""
 
@@ -57,7 +61,8 @@ class Snapshot:
     @cached_property
     def nodes(self) -> DataFrame:
         """Nodes with all analysed columns and ``display_name``."""
-        x = analyse(self.tables["nodes"], self.edges, self.weak_is_reachable, self.tables["locations"], locations.script_names(self.tables["nodes"], self.edges, self.tables["locations"]))
+        parts = tuple(PARTS) if self.info["node_count"] > TASK_NODES else None
+        x = analyse(self.tables["nodes"], self.edges, self.weak_is_reachable, self.tables["locations"], locations.script_names(self.tables["nodes"], self.edges, self.tables["locations"]), parts=parts)
         return stage(naming.display_names(x, self.edges), "displayed")
 
     @cached_property
