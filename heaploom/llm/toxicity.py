@@ -339,14 +339,15 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     return model
 
 
-def score(docs: DataFrame, model: ToxicityModel | None, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, k: int = NEIGHBOURS) -> DataFrame:
+def score(docs: DataFrame, model: ToxicityModel | None, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, k: int = NEIGHBOURS, leave_out: bool = False) -> DataFrame:
     """One row per row of ``docs``: key, score, predicted, evidence.
 
     ``score`` estimates the chance of label 1 and ``predicted`` is 1 from ``threshold`` on.
     ``evidence`` lists the keys of up to three of the nearest labelled examples. Texts
     without a term of an example, null and empty ones among them, score the rate of
     examples without terms, but no more than that of all; without a model all score 0.
-    Keys may repeat, be null and of any type, texts may have any length, other columns are
+    With ``leave_out`` no row meets an example of its own key, so a label never takes part in
+    the score of the row that it is of, as in calibration; copies under other keys do. Keys may repeat, be null and of any type, texts may have any length, other columns are
     ignored. No shuffle; the model is bounded by its sample.
     """
     bounded_batches(docs)
@@ -356,13 +357,22 @@ def score(docs: DataFrame, model: ToxicityModel | None, key: str = "doc_id", tex
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, m = Terms(), held.value
+        own: dict[object, list[int]] = {}
+        if leave_out and id_type is not None:
+            for place, name in enumerate(m.ids.to_pylist()):
+                own.setdefault(name, []).append(place)
+        more = max(map(len, own.values()), default=0)
         for b in batches:
+            keys = b.column(0).to_pylist() if own else []
             value, where, why = np.full(b.num_rows, m.silent if m is not None else 0.0), [0], []
             if m is not None and m.index is not None:
                 for at, data, ends in text_chunks(b.column(1)):
                     text_of, hashed, _ = terms(data, ends)
-                    near = m.index.nearest(*m.vectors(*counted(text_of, m.words.places(hashed)), len(ends)), k)
+                    near = m.index.nearest(*m.vectors(*counted(text_of, m.words.places(hashed)), len(ends)), k + more)
                     for i, (entries, cosines) in enumerate(near):
+                        if own:
+                            others = ~np.isin(entries, own.get(keys[at + i], []))
+                            entries, cosines = entries[others][:k], cosines[others][:k]
                         value[at + i] = m.score(entries, cosines)
                         why.append(entries[:3])
                         where.append(where[-1] + len(why[-1]))

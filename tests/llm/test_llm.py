@@ -572,6 +572,13 @@ def test_toxicity_scores_against_all_examples(spark):
         vote = (w * y[near]).sum() / w.sum()
         assert got[i]["score"] == pytest.approx(float(np.interp(vote, *model.steps)), abs=0.02), i
         assert got[i]["evidence"][0] == i
+    # without its own example a row is scored by all others
+    got = {r["doc_id"]: r for r in toxicity.score(df, model, leave_out=True).collect()}
+    for row, (i, _, _) in enumerate(rows):
+        near = [j for j in np.argsort(-np.round(cosine[row], 6), kind="stable") if j != row][: toxicity.NEIGHBOURS]
+        w = 1 / (0.02 + np.maximum(0, 1 - cosine[row][near]))
+        assert got[i]["score"] == pytest.approx(float(np.interp((w * y[near]).sum() / w.sum(), *model.steps)), abs=0.02), i
+        assert i not in got[i]["evidence"]
 
 
 # -- 9: decontamination --------------------------------------------------------------------
