@@ -6,6 +6,7 @@ import re
 import string
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -177,12 +178,26 @@ def utf16_to_utf8(text: str, offset: int) -> int | None:
     return len(text.encode()) if at == offset else None
 
 
+def utf16_line_cols(text: str, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Whether each offset is a place in ``text``, and its zero-based line and UTF-16 column; only line feeds end a line.
+
+    The text is looked at once: its units, the places at which lines start, and a search among these.
+    """
+    units = np.frombuffer(text.encode("utf-16-le"), "<u2")
+    offsets = np.asarray(offsets, np.int64)
+    sound = (offsets >= 0) & (offsets <= len(units))
+    at = np.where(sound, offsets, 0)
+    # the second unit of a pair is no place
+    inside = np.append((units >= 0xDC00) & (units < 0xE000), False)
+    starts = np.append(0, np.flatnonzero(units == 10) + 1)
+    line = np.searchsorted(starts, at, side="right") - 1
+    return sound & ~inside[at], line, at - starts[line]
+
+
 def utf16_line_col(text: str, offset: int) -> tuple[int, int] | None:
     """Zero-based line and UTF-16 column; only line feeds end a line."""
-    if offset < 0 or utf16_to_utf8(text, offset) is None:
-        return None
-    head = text.encode("utf-16-le")[: 2 * offset].decode("utf-16-le")
-    return head.count("\n"), len(head.rpartition("\n")[2].encode("utf-16-le")) // 2
+    sound, line, col = utf16_line_cols(text, np.array([offset]))
+    return (int(line[0]), int(col[0])) if sound[0] else None
 
 
 def line_col(text: str, byte: int) -> tuple[int, int]:

@@ -8,7 +8,9 @@ notes declarations with their hoisting and references with the function they sta
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Generator
 from dataclasses import dataclass, field
+from typing import Any, TypeVar
 
 _TOKEN = re.compile(
     r"""(?P<space>[\s  ]+|//[^\n]*|/\*.*?\*/|\#![^\n]*)|(?P<name>[A-Za-z_$\u0080-\U0010ffff][\w$\u0080-\U0010ffff]*|\#[A-Za-z_$][\w$]*)
@@ -25,6 +27,11 @@ RESERVED = KEYWORDS - frozenset("let static async await of get set yield".split(
 _BEFORE_REGEX = frozenset("return typeof instanceof in of new delete void throw case do else yield await".split())
 
 
+T = TypeVar("T")
+#: A step that yields further steps, is sent their answers, and ends with its own.
+Steps = Generator[Any, Any, T]
+
+
 class SyntaxProblem(ValueError):
     pass
 
@@ -110,6 +117,19 @@ class _Builder:
         self.scopes = [Scope("script", 0, len(source), -1, 0)]
         self.refs: list[tuple[str, int]] = []
         self.match = self._brackets()
+        self.ends: dict[tuple[str, ...], list[int]] = {}
+
+    def run(self) -> None:
+        """Walks the program. What a step asks for is put on a stack of our own, so nesting may be as deep as it likes."""
+        stack: list[Generator] = [self.walk(0, len(self.t), 0)]
+        answer = None
+        while stack:
+            try:
+                stack.append(stack[-1].send(answer))
+                answer = None
+            except StopIteration as e:
+                stack.pop()
+                answer = e.value
 
     def _brackets(self) -> dict[int, int]:
         pairs, open_ = {}, []
@@ -135,7 +155,7 @@ class _Builder:
         self.scopes[n].function = n if function else self.scopes[parent].function
         return n
 
-    def pattern(self, i: int, end: int, scope: int, into: int) -> int:
+    def pattern(self, i: int, end: int, scope: int, into: int) -> Steps[int]:
         """Declares the names of a binding that starts at ``i`` in ``into``; returns where it ends."""
         if self.text(i) in ("{", "["):
             close, at = self.match[i], i + 1
@@ -145,16 +165,16 @@ class _Builder:
                     continue
                 if self.text(i) == "{":
                     if self.text(at) == "[":
-                        self.walk(at + 1, self.match[at], scope)
+                        yield self.walk(at + 1, self.match[at], scope)
                         at = self.match[at] + 2
                     elif self.text(at + 1) == ":":
                         at += 2
                     elif self.t[at].kind in ("string", "number"):
                         at += 2
-                at = self.pattern(at, close, scope, into)
+                at = yield self.pattern(at, close, scope, into)
                 if self.text(at) == "=":
                     stop = self.until(at + 1, close)
-                    self.walk(at + 1, stop, scope)
+                    yield self.walk(at + 1, stop, scope)
                     at = stop
             return close + 1
         if i < end and self.t[i].kind == "name":
@@ -163,76 +183,89 @@ class _Builder:
 
     def until(self, i: int, end: int, stops: tuple[str, ...] = (",",)) -> int:
         """Where an expression ends: at a stop outside brackets."""
-        while i < end and self.text(i) not in stops:
-            i = self.match.get(i, i) + 1
-        return min(i, end)
+        ahead = self.ends.get(stops)
+        if ahead is None:
+            ahead = self.ends[stops] = self._ahead(lambda k: self.text(k) in stops)
+        return min(ahead[min(i, len(self.t))], end) if i < end else min(i, end)
 
     def statement_end(self, i: int, end: int) -> int:
         """Where an expression without braces of its own ends, semicolons left out or not."""
-        start = i
-        while i < end:
-            t = self.t[i]
-            if t.text == ";" and t.kind == "punct":
-                return i
-            if i > start and t.newline:
-                prev = self.t[i - 1]
-                joins = (prev.kind == "punct" and prev.text not in (")", "]", "}", "}$", "++", "--")) or (t.kind == "punct" and t.text not in ("{", "++", "--", "!", "~", "@")) or t.text in ("in", "instanceof", "of") or prev.text in ("in", "instanceof", "of", "new", "typeof", "await")
-                if not joins:
-                    return i
-            i = self.match.get(i, i) + 1
-        return min(i, end)
-
-    def function(self, params: int, scope: int, kind: str, start: int, name: str = "", own_name: bool = False) -> int:
+        if i >= end:
+            return min(i, end)
+        if self.t[i].text == ";" and self.t[i].kind == "punct":
+            return i
+        ahead = self.ends.get(())
+        if ahead is None:
+            ahead = self.ends[()] = self._ahead(self._ends_statement)
+        return min(ahead[self.match.get(i, i) + 1], end)
+
+    def _ends_statement(self, i: int) -> bool:
+        """Whether a statement that began before token ``i`` ends in front of it."""
+        t, prev = self.t[i], self.t[i - 1]
+        if t.text == ";" and t.kind == "punct":
+            return True
+        joins = (prev.kind == "punct" and prev.text not in (")", "]", "}", "}$", "++", "--")) or (t.kind == "punct" and t.text not in ("{", "++", "--", "!", "~", "@")) or t.text in ("in", "instanceof", "of") or prev.text in ("in", "instanceof", "of", "new", "typeof", "await")
+        return t.newline and not joins
+
+    def _ahead(self, stops: Callable[[int], bool]) -> list[int]:
+        """For each token the first at or behind it, past brackets, at which ``stops`` holds; made from the back in one pass."""
+        n = len(self.t)
+        out = [n] * (n + 1)
+        for k in range(n - 1, -1, -1):
+            out[k] = k if stops(k) else out[self.match.get(k, k) + 1]
+        return out
+
+    def function(self, params: int, scope: int, kind: str, start: int, name: str = "", own_name: bool = False) -> Steps[int]:
         """A function whose parameter list opens at ``params``; returns where its body ends."""
         f = self.open(kind, start, scope, True, name)
         if own_name and name:
             self.scopes[f].names.add(name)
         close = self.match[params]
-        self.parameters(params + 1, close, f)
+        yield self.parameters(params + 1, close, f)
         body = close + 1
         if self.text(body) != "{":
             raise SyntaxProblem("function without a body")
-        self.walk(body + 1, self.match[body], f)
+        yield self.walk(body + 1, self.match[body], f)
         self.scopes[f].end = self.t[self.match[body]].end
         return self.match[body] + 1
 
-    def parameters(self, i: int, end: int, f: int) -> None:
+    def parameters(self, i: int, end: int, f: int) -> Steps[None]:
         while i < end:
             if self.text(i) in (",", "..."):
                 i += 1
                 continue
-            i = self.pattern(i, end, f, f)
+            i = yield self.pattern(i, end, f, f)
             if self.text(i) == "=":
                 stop = self.until(i + 1, end)
-                self.walk(i + 1, stop, f)
+                yield self.walk(i + 1, stop, f)
                 i = stop
 
-    def arrow(self, i: int, end: int, scope: int, start: int) -> int:
+    def arrow(self, i: int, end: int, scope: int, start: int) -> Steps[int]:
         f = self.open("arrow", start, scope, True)
         if self.text(i) == "(":
-            self.parameters(i + 1, self.match[i], f)
+            yield self.parameters(i + 1, self.match[i], f)
             at = self.match[i] + 2
         else:
             self.scopes[f].names.add(self.t[i].text)
             at = i + 2
         if self.text(at) == "{":
-            self.walk(at + 1, self.match[at], f)
+            yield self.walk(at + 1, self.match[at], f)
             stop = self.match[at] + 1
         else:
             stop = self.until(at, end, (",", ";"))
             stop = min(stop, self.statement_end(at, stop))
-            self.walk(at, stop, f)
+            yield self.walk(at, stop, f)
         self.scopes[f].end = self.t[stop - 1].end if stop > at else self.t[at - 1].end
         return stop
 
-    def class_(self, i: int, end: int, scope: int) -> int:
+    def class_(self, i: int, end: int, scope: int) -> Steps[int]:
         at = i + 1
         if self.t[at].kind == "name" and self.text(at) not in ("extends",):
             self.scopes[scope].names.add(self.text(at))
             at += 1
         if self.text(at) == "extends":
             stop = self.until(at + 1, end, ("{",))
-            self.walk(at + 1, stop, scope)
+            yield self.walk(at + 1, stop, scope)
             at = stop
         close = self.match[at]
         at += 1
@@ -242,35 +275,35 @@ class _Builder:
                 continue
             if self.text(at) == "{":
                 b = self.open("block", self.t[at].start, scope, True)
-                self.walk(at + 1, self.match[at], b)
+                yield self.walk(at + 1, self.match[at], b)
                 self.scopes[b].end = self.t[self.match[at]].end
                 at = self.match[at] + 1
                 continue
             start, name = self.t[at].start, self.t[at].text
             if self.text(at) == "[":
-                self.walk(at + 1, self.match[at], scope)
+                yield self.walk(at + 1, self.match[at], scope)
                 at = self.match[at]
             at += 1
             if self.text(at) == "(":
-                at = self.function(at, scope, "method", start, name)
+                at = yield self.function(at, scope, "method", start, name)
             elif self.text(at) == "=":
                 f = self.open("field", self.t[at].start, scope, True)
                 stop = self.statement_end(at + 1, close)
-                self.walk(at + 1, stop, f)
+                yield self.walk(at + 1, stop, f)
                 self.scopes[f].end = self.t[max(stop - 1, at)].end
                 at = stop
             elif self.text(at) == ";":
                 at += 1
         return close + 1
 
-    def declare(self, i: int, end: int, scope: int) -> int:
+    def declare(self, i: int, end: int, scope: int) -> Steps[int]:
         into = self.scopes[scope].function if self.text(i) == "var" else scope
         at = i + 1
         while at < end:
-            at = self.pattern(at, end, scope, into)
+            at = yield self.pattern(at, end, scope, into)
             if self.text(at) == "=":
                 stop = self.statement_end(at + 1, self.until(at + 1, end, (",", ";")))
-                self.walk(at + 1, stop, scope)
+                yield self.walk(at + 1, stop, scope)
                 at = stop
             if self.text(at) == ",":
                 at += 1
@@ -278,30 +311,30 @@ class _Builder:
             break
         return at
 
-    def loop(self, i: int, end: int, scope: int) -> int:
+    def loop(self, i: int, end: int, scope: int) -> Steps[int]:
         """A ``for`` from its word on, with its body."""
         at = i + 1 + (self.text(i + 1) == "await")
         close = self.match[at]
         inner = [self.text(k) for k in range(at + 1, close)]
         kind = "for-of" if "of" in inner else "for-in" if "in" in inner else "for"
         f = self.open(kind, self.t[i].start, scope, False)
-        self.walk(at + 1, close, f)
-        stop = self.body(close + 1, end, f)
+        yield self.walk(at + 1, close, f)
+        stop = yield self.body(close + 1, end, f)
         self.scopes[f].end = self.t[stop - 1].end
         return stop
 
-    def body(self, i: int, end: int, scope: int) -> int:
+    def body(self, i: int, end: int, scope: int) -> Steps[int]:
         if self.text(i) == "{":
-            return self.block(i, scope, "block")
+            return (yield self.block(i, scope, "block"))
         if self.text(i) == "for":
-            return self.loop(i, end, scope)
+            return (yield self.loop(i, end, scope))
         stop = self.statement_end(i, end)
-        self.walk(i, stop, scope)
+        yield self.walk(i, stop, scope)
         return min(stop + 1, end) if stop < end and self.text(stop) == ";" else stop
 
-    def block(self, i: int, scope: int, kind: str) -> int:
+    def block(self, i: int, scope: int, kind: str) -> Steps[int]:
         b = self.open(kind, self.t[i].start, scope, False)
-        self.walk(i + 1, self.match[i], b)
+        yield self.walk(i + 1, self.match[i], b)
         self.scopes[b].end = self.t[self.match[i]].end
         return self.match[i] + 1
 
@@ -314,7 +347,7 @@ class _Builder:
             return prev.text in (")", ";", "{", "}", "=>")
         return prev.text in ("else", "do", "try", "finally")
 
-    def object(self, i: int, scope: int) -> int:
+    def object(self, i: int, scope: int) -> Steps[int]:
         close, at = self.match[i], i + 1
         while at < close:
             if self.text(at) == ",":
@@ -322,30 +355,30 @@ class _Builder:
                 continue
             if self.text(at) == "...":
                 stop = self.until(at + 1, close)
-                self.walk(at + 1, stop, scope)
+                yield self.walk(at + 1, stop, scope)
                 at = stop
                 continue
             while self.text(at) in ("get", "set", "async", "*") and self.text(at + 1) not in ("(", ":", ",", "}"):
                 at += 1
             start, name, key = self.t[at].start, self.t[at].text, at
             if self.text(at) == "[":
-                self.walk(at + 1, self.match[at], scope)
+                yield self.walk(at + 1, self.match[at], scope)
                 at = self.match[at]
             at += 1
             if self.text(at) == "(":
-                at = self.function(at, scope, "method", start, name)
+                at = yield self.function(at, scope, "method", start, name)
             elif self.text(at) == ":":
                 stop = self.until(at + 1, close)
-                self.walk(at + 1, stop, scope)
+                yield self.walk(at + 1, stop, scope)
                 at = stop
             elif self.t[key].kind == "name":
                 self.refs.append((name, scope))
                 stop = self.until(at, close)
-                self.walk(at + (self.text(at) == "="), stop, scope)
+                yield self.walk(at + (self.text(at) == "="), stop, scope)
                 at = stop
         return close + 1
 
-    def walk(self, i: int, end: int, scope: int) -> None:
+    def walk(self, i: int, end: int, scope: int) -> Steps[None]:
         while i < end:
             t, word = self.t[i], self.text(i)
             prev = self.text(i - 1)
@@ -362,24 +395,24 @@ class _Builder:
                         at += 1
                     if statement and name:
                         self.scopes[scope].names.add(name)
-                    i = self.function(at, scope, "function", t.start, name, own_name=not statement)
+                    i = yield self.function(at, scope, "function", t.start, name, own_name=not statement)
                     continue
                 if word == "class":
-                    i = self.class_(i, end, scope)
+                    i = yield self.class_(i, end, scope)
                     continue
                 if word in ("var", "const") or (word == "let" and (self.t[i + 1].kind == "name" or follows in ("{", "[")) if i + 1 < end else False):
-                    i = self.declare(i, end, scope)
+                    i = yield self.declare(i, end, scope)
                     continue
                 if word == "for" and follows in ("(", "await"):
-                    i = self.loop(i, end, scope)
+                    i = yield self.loop(i, end, scope)
                     continue
                 if word == "catch" and follows in ("(", "{"):
                     at = i + 1
                     b = self.open("catch", t.start, scope, False)
                     if follows == "(":
-                        self.pattern(at + 1, self.match[at], b, b)
+                        yield self.pattern(at + 1, self.match[at], b, b)
                         at = self.match[at] + 1
-                    self.walk(at + 1, self.match[at], b)
+                    yield self.walk(at + 1, self.match[at], b)
                     self.scopes[b].end = self.t[self.match[at]].end
                     i = self.match[at] + 1
                     continue
@@ -392,21 +425,21 @@ class _Builder:
                     continue
                 at = i + (word == "async" and (follows == "(" or (self.t[i + 1].kind == "name" if i + 1 < end else False)))
                 if at < end and ((self.t[at].kind == "name" and self.text(at + 1) == "=>") or (self.text(at) == "(" and self.text(self.match[at] + 1) == "=>")):
-                    i = self.arrow(at, end, scope, t.start)
+                    i = yield self.arrow(at, end, scope, t.start)
                     continue
                 if word not in RESERVED and not (follows == ":" and prev in ("", ";", "{", "}")):
                     self.refs.append((word, scope))
             elif word == "(" and self.text(self.match[i] + 1) == "=>":
-                i = self.arrow(i, end, scope, t.start)
+                i = yield self.arrow(i, end, scope, t.start)
                 continue
             elif word == "{":
                 if self.is_block(i):
-                    i = self.block(i, scope, "block")
+                    i = yield self.block(i, scope, "block")
                 else:
-                    i = self.object(i, scope)
+                    i = yield self.object(i, scope)
                 continue
             elif word in ("(", "[", "${"):
-                self.walk(i + 1, self.match[i], scope)
+                yield self.walk(i + 1, self.match[i], scope)
                 i = self.match[i] + 1
                 continue
             i += 1
@@ -416,7 +449,7 @@ class _Builder:
             inside, s = self.scopes[at].function, at
             while s >= 0 and name not in self.scopes[s].names:
                 s = self.scopes[s].parent
-            if s > 0 and self.scopes[s].function != inside:
+            if s >= 0 and self.scopes[s].function != inside:
                 self.scopes[s].captured.add(name)
                 f = inside
                 while f != self.scopes[s].function and f > 0:
@@ -427,15 +460,16 @@ class _Builder:
 def scopes(source: str) -> list[dict] | None:
     """Functions, and blocks that keep or use variables; None where the source cannot be read.
 
-    Each has kind, name, start and end in characters and in UTF-16 units, the variables that
+    Variables of the program itself are kept like those of a function around all others; the
+    program is no row of its own. Each has kind, name, start and end in characters and in UTF-16 units, the variables that
     it keeps for inner functions (``slots``), and those that it takes from outer scopes
     (``captures``: name and how many keeping scopes lie between).
     """
     try:
         b = _Builder(source)
-        b.walk(0, len(b.t), 0)
+        b.run()
         b.resolve()
-    except (SyntaxProblem, KeyError, IndexError, RecursionError):
+    except (SyntaxProblem, KeyError, IndexError):
         return None
     wide = [0]
     for c in source:

@@ -9,7 +9,7 @@ from heaploom.operators.edges import edge_targets, number_values
 from heaploom.operators.naming import flat_cons
 from heaploom.schema import UNREACHABLE_BASE
 
-#: Ids of a range of a timeline, about.
+#: Ids of a range of a timeline, about, and numbers of a range of a preorder.
 RANGE_ROWS = 1 << 20
 
 #: What a summary can be filtered by.
@@ -30,10 +30,15 @@ def outermost(nodes_x: DataFrame, key: str = "class_key") -> DataFrame:
     """``nodes_x`` with ``outer``: no dominator of the node is in its group.
 
     Subtrees are intervals, so a node has such a dominator just when an earlier member's
-    interval has not ended: one window per group instead of a walk per node.
+    interval has not ended. The running maximum of ends is made in two levels: within ranges
+    of numbers, and over the ranges' maxima, a row a range, so that no group fills a task.
     """
-    w = Window.partitionBy(key).orderBy("tin").rowsBetween(Window.unboundedPreceding, -1)
-    return nodes_x.withColumn("outer", F.coalesce(F.max("tout").over(w) < F.col("tin"), F.lit(True)))
+    rows = nodes_x.withColumn("_range", F.floor(F.col("tin") / RANGE_ROWS))
+    by_range = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.groupBy(key, "_range").agg(F.max("tout").alias("_most")).select(F.col(key).alias("_key"), F.col("_range").alias("_at"), F.max("_most").over(by_range).alias("_before")).where("_before is not null")
+    w = Window.partitionBy(key, "_range").orderBy("tin").rowsBetween(Window.unboundedPreceding, -1)
+    held = rows.withColumn("_here", F.max("tout").over(w)).join(before, rows[key].eqNullSafe(F.col("_key")) & (F.col("_range") == F.col("_at")), "left")
+    return held.withColumn("outer", F.coalesce(F.greatest("_here", "_before") < F.col("tin"), F.lit(True))).drop("_range", "_here", "_key", "_at", "_before")
 
 
 def summary(nodes_x: DataFrame, where: Column | str = "true", key: str = "class_key") -> DataFrame:
@@ -130,6 +135,24 @@ def diff_objects(main: DataFrame, baseline: DataFrame) -> tuple[DataFrame, DataF
     return a.join(b.select("id"), "id", "left_anti"), b.join(a.select("id"), "id", "left_anti")
 
 
+def edge_diff(main: DataFrame, main_edges: DataFrame, baseline: DataFrame, baseline_edges: DataFrame) -> DataFrame:
+    """Edges that only one of two snapshots has: src_id, dst_id, type, name, idx, added, removed.
+
+    An edge is known by the ids of its ends, its type and its label; of edges alike in these it
+    counts how many more one side has. Labels and indices that are null equal each other. Both
+    sides are added up before they are shuffled, so a hub is no task of its own.
+    """
+
+    def side(nodes: DataFrame, edges: DataFrame, added: int) -> DataFrame:
+        ids = lambda end: nodes.select(F.col("ord").alias(end), F.col("id").alias(f"{end}_id"))
+        return edges.join(ids("src"), "src").join(ids("dst"), "dst").select("src_id", "dst_id", "type", "name", "idx", F.lit(added).alias("_n"))
+
+    both = side(main, main_edges, 1).unionByName(side(baseline, baseline_edges, -1))
+    changed = both.groupBy("src_id", "dst_id", "type", "name", "idx").agg(F.sum("_n").alias("_n")).where("_n != 0")
+    zero = F.lit(0).cast("long")
+    return changed.select("src_id", "dst_id", "type", "name", "idx", F.greatest("_n", zero).alias("added"), F.greatest(-F.col("_n"), zero).alias("removed"))
+
+
 def intervals(samples: DataFrame) -> DataFrame:
     """Samples as intervals of ids; ``low`` is where counting starts if ids ever step back.
 

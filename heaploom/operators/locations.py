@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heaploom.functions.formats import utf16_line_col
+from heaploom.functions.formats import utf16_line_cols
 from heaploom.operators.edges import edge_targets, hop
 from heaploom.operators.realms import NATIVE_CONTEXT, is_named
 from heaploom.plans.fixpoint import chase
@@ -93,8 +94,9 @@ def function_ends(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = [(script, int(e), *at) for script, source, ends in zip(f["script"], f["source"], f["ends"]) for e in ends if (at := utf16_line_col(source, int(e))) is not None]
-            yield pd.DataFrame(rows, columns=["script", "end", "line", "col"])
+            for script, source, ends in zip(f["script"], f["source"], f["ends"]):
+                sound, line, col = utf16_line_cols(source, ends)
+                yield pd.DataFrame({"script": script, "end": np.asarray(ends)[sound], "line": line[sound], "col": col[sound]})
 
     return placed.join(sources.mapInPandas(read, "script bigint, end bigint, line bigint, col bigint"), ["script", "end"]).select("ord", "line", "col")
 

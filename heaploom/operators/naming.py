@@ -6,7 +6,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heaploom.operators.edges import hop, number_values
+from heaploom.operators.edges import edge_targets, number_values
+from heaploom.plans.fixpoint import Found
+from heaploom.plans.staging import free, stage
 
 LABEL_CHARS, CONS_BYTES = 100, 1024
 
@@ -67,33 +69,74 @@ def object_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return plain.join(props, "ord", "left").select("ord", labelled("_p").alias("object_label"))
 
 
+def _pieces(text: Column, ends: Column) -> Column:
+    return F.struct(text.alias("text"), ends.alias("ends"))
+
+
+def _joined(*parts: Column) -> Column:
+    """Pieces one behind another: their bytes, and where each ends in these."""
+    before, ends = F.lit(0), []
+    for p in parts:
+        ends.append(_moved(p["ends"], before))
+        before = before + F.octet_length(p["text"])
+    return _pieces(F.concat(*[p["text"] for p in parts]), F.concat(*ends))
+
+
+def _moved(ends: Column, by: Column) -> Column:
+    return F.transform(ends, lambda e: e + by)
+
+
+def _kept(pieces: Column) -> Column:
+    """The pieces that are shown: those before which there are fewer bytes than are shown."""
+
+    def cut(p: Column) -> Column:
+        at = F.array_min(F.filter(p["ends"], lambda e: e >= CONS_BYTES))
+        return F.when(F.octet_length(p["text"]) < CONS_BYTES, p).otherwise(_pieces(F.substring(p["text"], F.lit(1), at), F.filter(p["ends"], lambda e: e <= at)))
+
+    # an array of one, so that what is told of ``pieces`` is worked out once
+    return F.transform(F.array(pieces), cut)[0]
+
+
 def cons_texts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(ord, cons_text) of concatenated strings, by doubling: each round replaces halves by what they hold.
+    """(ord, cons_text) of concatenated strings: their pieces from the left until CONS_BYTES are there.
 
-    A text stops growing once it has as many bytes as are shown.
+    A rope is pieces, a rope, another rope, pieces. A round puts in what is known of the ropes
+    within: one that is all pieces goes in whole, and one with a single rope within hands on its
+    pieces and that rope, so a spine of n ropes takes about log2(n) rounds wherever it hangs.
+    A rope that holds itself shows what comes before it stops growing, as any other.
     """
-    from heaploom.plans.staging import stage
-
+    none = _pieces(F.lit(b""), F.array().cast("array<int>"))
     cons = nodes.where("type = 'concatenated string'").select("ord")
-    halves = hop(hop(cons, "ord", edges, "first", "_a"), "ord", edges, "second", "_b")
-    leaf = nodes.where("type != 'concatenated string'").select("ord", F.col("name").alias("text"))
-    parts = stage(halves, "cons-halves")
-    known = stage(leaf.join(parts.select(F.col("_a").alias("ord")).unionByName(parts.select(F.col("_b").alias("ord"))).distinct(), "ord", "left_semi"), "cons-0")
-    done, rounds = known, 0
-    found = None
-    while True:
+    t = edge_targets(edges, "first", "second", internal=True).select("ord", "first", "second")
+    halves = stage(cons.join(t, "ord", "left").select("ord", F.coalesce("first", "second").alias("x"), F.when(F.col("first").isNotNull(), F.col("second")).alias("y")), "cons-halves")
+    if halves.isEmpty():
+        return halves.select("ord", F.lit("").alias("cons_text"))
+    inside = halves.select(F.col("x").alias("ord")).unionByName(halves.select(F.col("y").alias("ord"))).where("ord is not null").distinct()
+    name = F.col("name").cast("binary")
+    leaves = nodes.where("type != 'concatenated string'").join(inside, "ord", "left_semi").select("ord", _pieces(name, F.array(F.octet_length(name))).alias("pre"), F.lit(False).alias("rope"))
+    found, open_, rounds = Found(stage(leaves, "cons-leaves"), "cons"), stage(halves.select("ord", none.alias("pre"), "x", "y", none.alias("post")), "cons-0"), 0
+    # after as many rounds as a spine of 2**64 ropes would take, what is open holds itself and nothing else
+    while rounds < 64 and not open_.isEmpty():
         rounds += 1
-        a, b = (done.select(F.col("ord").alias(k), F.col("text").alias(t)) for k, t in (("_a", "_at"), ("_b", "_bt")))
-        open_ = parts if found is None else parts.join(found.select("ord"), "ord", "left_anti")
-        ready = open_.join(a, "_a", "left").join(b, "_b", "left")
-        whole = F.concat(F.coalesce("_at", F.lit("")), F.when(F.octet_length(F.coalesce("_at", F.lit(""))) < CONS_BYTES, F.coalesce("_bt", F.lit(""))).otherwise(""))
-        ready = ready.where("(_a is null or _at is not null) and (_b is null or _bt is not null or octet_length(coalesce(_at, '')) >= 1024)")
-        new = stage(ready.select("ord", whole.alias("text")), f"cons-{rounds}")
-        if new.isEmpty():
-            break
-        found = new if found is None else found.unionByName(new)
-        done = done.unionByName(new)
-    return (found if found is not None else known.limit(0)).select("ord", F.col("text").alias("cons_text"))
+        known = found.all.select("ord", "pre", F.lit(None).cast("bigint").alias("x"), F.lit(None).cast("bigint").alias("y"), none.alias("post")).unionByName(open_)
+        left = known.select(F.col("ord").alias("x"), F.col("pre").alias("_pre"), F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("post").alias("_post"))
+        right = found.all.select(F.col("ord").alias("y"), F.col("pre").alias("_second"))
+        met = open_.join(left, "x", "left").join(right, "y", "left").withColumn("_pre", F.coalesce("_pre", none))
+        lone, whole, spine, second = F.col("y").isNull(), F.col("_x").isNull() & F.col("_y").isNull(), F.col("_x").isNotNull() & F.col("_y").isNull(), F.col("_second").isNotNull()
+        step = met.select(
+            "ord",
+            F.when(whole & (lone | second), _joined(F.col("pre"), F.col("_pre"), F.coalesce("_second", none), F.col("post"))).when(whole | lone & spine, _joined(F.col("pre"), F.col("_pre"))).otherwise(F.col("pre")).alias("pre"),
+            F.when(whole, F.when(lone | second, None).otherwise(F.col("y"))).when(lone & spine, F.col("_x")).otherwise(F.col("x")).cast("bigint").alias("x"),
+            F.when(~whole & ~second, F.col("y")).cast("bigint").alias("y"),
+            F.when(lone & spine, _joined(F.col("_post"), F.col("post"))).when(~whole & second, _joined(F.col("_second"), F.col("post"))).otherwise(F.col("post")).alias("post"),
+        )
+        step = stage(step.select("ord", _kept(F.col("pre")).alias("pre"), "x", "y", _kept(F.col("post")).alias("post")), f"cons-step-{rounds}")
+        ended = F.col("x").isNull() & F.col("y").isNull() | (F.octet_length("pre.text") >= CONS_BYTES)
+        found.add(stage(step.where(ended).select("ord", "pre", F.lit(True).alias("rope")), f"cons-{rounds}"))
+        before, open_ = open_, stage(step.where(~ended), f"cons-open-{rounds}")
+        free(before, step)
+    out = found.all.where("rope").unionByName(open_.select("ord", "pre", F.lit(True).alias("rope")))
+    return out.select("ord", F.col("pre.text").cast("string").alias("cons_text"))
 
 
 def flat_cons(nodes: DataFrame, edges: DataFrame) -> DataFrame:

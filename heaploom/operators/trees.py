@@ -41,10 +41,12 @@ def _matching(rows: DataFrame, text: str) -> DataFrame:
 def page_by_parent(rows: DataFrame, parent: str, order: list[Column], size: int = PAGE, start: int = 0) -> DataFrame:
     """A window of ``size`` rows under each parent, with their rank and the number there are.
 
-    Rank and count are one pass each over the parent's rows; the count comes from an
-    aggregate that is added up before it is shuffled.
+    A task sends no more of a parent's rows than the window can show (Spark limits groups
+    of a rank before the shuffle), and the count comes from an aggregate that is added up
+    before it is shuffled, so a parent with many rows is no task of its own.
     """
-    ranked = rows.withColumn("rank", (F.row_number().over(Window.partitionBy(parent).orderBy(*order)) - 1).cast("long")).where((F.col("rank") >= start) & (F.col("rank") < start + size))
+    first = rows.withColumn("_n", F.row_number().over(Window.partitionBy(parent).orderBy(*order))).where(F.col("_n") <= start + size)
+    ranked = first.withColumn("rank", (F.col("_n") - 1).cast("long")).where(F.col("rank") >= start).drop("_n")
     totals = rows.groupBy(parent).agg(F.count(F.lit(1)).alias("total"))
     return ranked.join(totals, parent)
 

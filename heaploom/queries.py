@@ -237,13 +237,13 @@ def q16_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SELECT * FROM (SELECT 3 * 1099511627776 + o_custkey AS src, 6 * 1099511627776 + o_orderkey AS dst, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS rank, count(*) OVER (PARTITION BY o_custkey) AS total FROM orders) WHERE rank < 10"""
 )
 def q17_containment_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = star_edges(spark, sf_dir).where("name = 'order'").select("src", "dst")
+    e = star_edges(spark, sf_dir, names=["order"]).select("src", "dst")
     return trees.page_by_parent(e, "src", [F.col("dst")]).select("src", "dst", "rank", "total")
 
 
 @query("SELECT ord AS dst, 6 * 1099511627776 + l_orderkey AS src, CAST(0 AS BIGINT) AS rank, CAST(2 AS BIGINT) AS total FROM lp", star=True)
 def q18_retainers_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = star_edges(spark, sf_dir).where("name in ('line', 'supplied')").select("src", "dst")
+    e = star_edges(spark, sf_dir, names=["line", "supplied"]).select("src", "dst")
     return trees.page_by_parent(e, "dst", [F.desc("src")], size=1).select("dst", "src", "rank", "total")
 
 
@@ -399,3 +399,22 @@ def q32_class_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(", depths AS (SELECT ord, CASE WHEN ord = 1 THEN 0 WHEN name IN ('region', 'part', '(synthetic)') THEN 1 WHEN name = 'nation' THEN 2 WHEN name IN ('customer', 'supplier') THEN 3 WHEN name = 'orders' THEN 4 WHEN idom = 1 THEN 1 WHEN idom < 2 * 1099511627776 THEN 2 ELSE 3 END AS d FROM sized) SELECT sized.ord, retained AS retained_size, CAST(d AS BIGINT) AS dom_depth FROM sized JOIN depths ON sized.ord = depths.ord", star=True)
 def q84_retained_in_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return star_x(spark, sf_dir, "dominators", "retained").select("ord", "retained_size", "dom_depth")
+
+
+def _traded(spark: SparkSession, sf_dir: str, when: str) -> tuple[DataFrame, DataFrame]:
+    """Orders that lead to the suppliers of their line items shipped at that time."""
+    lines = read(spark, sf_dir, "lineitem").where(when)
+    nodes = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ord"), (F.col("o_orderkey") * 2 + 1).alias("id")).unionByName(read(spark, sf_dir, "supplier").select((-1 - F.col("s_suppkey")).cast("long").alias("ord"), (F.col("s_suppkey") * 2).cast("long").alias("id")))
+    named = F.when(F.col("l_linenumber") < 4, F.col("l_returnflag"))
+    return nodes, lines.select(F.col("l_orderkey").alias("src"), (-1 - F.col("l_suppkey")).cast("long").alias("dst"), F.lit("property").alias("type"), named.alias("name"), F.when(named.isNull(), F.col("l_linenumber")).cast("long").alias("idx"))
+
+
+@query(
+    """WITH e AS (SELECT l_orderkey * 2 + 1 AS src_id, l_suppkey * 2 AS dst_id, 'property' AS type, CASE WHEN l_linenumber < 4 THEN l_returnflag END AS name, CASE WHEN l_linenumber >= 4 THEN l_linenumber END AS idx, l_shipdate AS d FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey),
+       a AS (SELECT src_id, dst_id, type, name, idx, count(*) AS n FROM e WHERE d >= TIMESTAMP '1994-01-01' GROUP BY ALL), b AS (SELECT src_id, dst_id, type, name, idx, count(*) AS n FROM e WHERE d < TIMESTAMP '1997-01-01' GROUP BY ALL)
+       SELECT CAST(coalesce(a.src_id, b.src_id) AS BIGINT) AS src_id, CAST(coalesce(a.dst_id, b.dst_id) AS BIGINT) AS dst_id, coalesce(a.type, b.type) AS type, coalesce(a.name, b.name) AS name, CAST(coalesce(a.idx, b.idx) AS BIGINT) AS idx,
+              greatest(coalesce(a.n, 0) - coalesce(b.n, 0), 0) AS added, greatest(coalesce(b.n, 0) - coalesce(a.n, 0), 0) AS removed
+       FROM a FULL JOIN b ON a.src_id = b.src_id AND a.dst_id = b.dst_id AND a.name IS NOT DISTINCT FROM b.name AND a.idx IS NOT DISTINCT FROM b.idx WHERE coalesce(a.n, 0) <> coalesce(b.n, 0)"""
+)
+def q85_edge_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grouping.edge_diff(*_traded(spark, sf_dir, "l_shipdate >= timestamp'1994-01-01'"), *_traded(spark, sf_dir, "l_shipdate < timestamp'1997-01-01'"))

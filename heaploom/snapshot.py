@@ -127,8 +127,10 @@ class Snapshot:
         return groups.orderBy(F.desc("retained_size" if plain else "self_size"), "first_seen")
 
     def summary_report(self, filter: str = "all", **more: object) -> DataFrame:  # noqa: A002
-        """Summary with shares of the totals."""
+        """Summary with shares of the totals. A filtered one leaves retained sizes out, as a node outside it may hold what is inside."""
         groups = self.summary(filter, **more)
+        if filter != "all" or any(v is not None and v != "" for v in more.values()):
+            groups = groups.drop("retained_size")
         total = F.sum("self_size").over(Window.partitionBy(F.lit(1)))
         return groups.withColumn("self_share", formats.format_percent(F.col("self_size"), total))
 
@@ -177,6 +179,11 @@ class Snapshot:
     def diff(self, baseline: Snapshot) -> DataFrame:
         return grouping.class_diff(self.nodes, baseline.nodes)
 
+    def edge_diff(self, baseline: Snapshot, object_id: int | str | None = None) -> DataFrame:
+        """Edges, of one object or of all, that only one of the two snapshots has."""
+        found = grouping.edge_diff(self.nodes, self.edges, baseline.nodes, baseline.edges)
+        return found if object_id is None else found.where(F.col("src_id") == formats.parse_object_id(str(object_id)))
+
     def diff_members(self, baseline: Snapshot, class_name: str, offset: int = 0, limit: int = 20) -> DataFrame:
         new, gone = grouping.diff_objects(self.nodes, baseline.nodes)
         both = new.withColumn("sign", F.lit("+")).unionByName(gone.withColumn("sign", F.lit("-"))).where(F.col("class_name") == class_name)
@@ -278,6 +285,10 @@ class Snapshot:
         held = variables.groupBy("scope").agg(F.sort_array(F.collect_list(F.struct((-F.col("retained_size")).alias("_r"), "var", "id"))).alias("vars"))
         return groups.join(held, groups["scope"].eqNullSafe(held["scope"]), "left").drop(held["scope"])
 
+    def contexts_left_out(self, min_retained: str | int = "8K") -> int:
+        """How many groups of contexts hold less than ``min_retained``."""
+        return realms.context_groups(self.nodes, self.edges, 0).where(F.col("retained_size") < formats.parse_size(str(min_retained))).count()
+
     def closures(self, offset: int = 0, limit: int = 100, builtins: bool = False, templates: bool = False, extensions: bool = False, realm: int | None = None) -> DataFrame:
         c = realms.closures(self.nodes, self.edges)
         for shown, column in ((builtins, "builtin"), (templates, "template"), (extensions, "extension")):
@@ -371,12 +382,6 @@ class Snapshot:
         named = rows.join(self.nodes.select("ord", "id", "display_name", "distance", "self_size", "retained_size"), "ord").join(self.edges.select("eid", formats.edge_label(F.col("type"), F.col("name"), F.col("idx")).alias("edge")), "eid")
         return named.withColumns({"reached": F.lit(plan.reached), "truncated": F.lit(plan.truncated)}).orderBy("rank", "seq")
 
-    def reachable_when(self, skip: Column) -> DataFrame:
-        """What the root reaches without the edges that ``skip`` names."""
-        from heaploom.plans.fixpoint import reachable
-
-        return reachable(self.edges.where(~skip), self.nodes.where("root_kind = 'SyntheticRoot'").select("ord"))
-
 
 class Registry:
     """Snapshots by number, for clients that hold several."""

@@ -7,6 +7,8 @@ apart by rank over all columns.
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -59,9 +61,11 @@ def star_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.lit(1).cast("long").alias("snapshot_id"), "ord", "type", "name", (F.col("ord") * 2 + 1).alias("id"), "self_size", F.lit(0).cast("long").alias("edge_count"), F.lit(None).cast("int").alias("raw_detachedness"), F.lit(None).cast("long").alias("trace_node_id")).to(_schema(NODES))
 
 
-def star_edges(spark: SparkSession, sf_dir: str, with_parts: bool = False, weak_supplier: bool = False) -> DataFrame:
-    """Foreign keys as property edges; optionally parts lead to line items, or suppliers hold them weakly."""
-    lines = lineitems(spark, sf_dir)
+def star_edges(spark: SparkSession, sf_dir: str, with_parts: bool = False, weak_supplier: bool = False, names: Collection[str] | None = None) -> DataFrame:
+    """Foreign keys as property edges; optionally parts lead to line items, or suppliers hold them weakly.
+
+    With ``names`` only the edges of these names are made, and no table is read for others.
+    """
 
     def link(df: DataFrame, src: Column, dst: Column, name: str, kind: str = "property") -> DataFrame:
         return df.select(src.cast("long").alias("src"), dst.cast("long").alias("dst"), F.lit(kind).alias("type"), F.lit(name).alias("name"))
@@ -79,8 +83,13 @@ def star_edges(spark: SparkSession, sf_dir: str, with_parts: bool = False, weak_
     ]
     # a line item's edges are made in one pass over the numbered items
     legs = [("orders", "l_orderkey", "line", "property"), ("supplier", "l_suppkey", "supplied", "weak" if weak_supplier else "property")] + [("part", "l_partkey", "of_part", "property")] * with_parts
-    made.append(lines.select(F.inline(F.array(*[F.struct(node_id(kind, F.col(k)).alias("src"), F.col("ord").alias("dst"), F.lit(t).alias("type"), F.lit(n).alias("name")) for kind, k, n, t in legs]))))
-    out = made[0]
+    legs = [leg for leg in legs if names is None or leg[2] in names]
+    if names is not None:
+        made = made[:1] + [m for n, m in zip(("region", "part", "nation", "customer", "supplier", "order"), made[1:], strict=True) if n in names]
+    if legs:
+        lines = lineitems(spark, sf_dir)
+        made.append(lines.select(F.inline(F.array(*[F.struct(node_id(kind, F.col(k)).alias("src"), F.col("ord").alias("dst"), F.lit(t).alias("type"), F.lit(n).alias("name")) for kind, k, n, t in legs]))))
+    out = made[0] if names is None else made[0].where(F.lit(False))
     for m in made[1:]:
         out = out.unionByName(m)
     element = F.col("type") == "element"

@@ -44,9 +44,11 @@ class Heap:
             return at[text]
 
         fields = ["type", "name", "id", "self_size", "edge_count"] + ["detachedness"] * self.detachedness + ["trace_node_id"] * self.traced
-        nodes, edges = [], []
+        nodes, edges, out = [], [], {}
+        for e in self.edges:
+            out.setdefault(e[0], []).append(e)
         for i, (kind, name, id_, size, det, trace) in enumerate(self.nodes):
-            mine = [e for e in self.edges if e[0] == i]
+            mine = out.get(i, [])
             nodes += [NODE_TYPES.index(kind), s(name), id_, size, len(mine)] + [det] * self.detachedness + [trace] * self.traced
             for _, to, ekind, ename in mine:
                 edges += [EDGE_TYPES.index(ekind), ename if ekind in ("element", "hidden") else s(ename), to * len(fields)]

@@ -26,7 +26,9 @@ def slots(source, name):
         ("function f(){ for (let i of xs) { function g(){ return i; } } }", "g", [("i", 0)]),
         ("function f(){ let a; { let a; function g(){ a; } } }", "g", [("a", 0)]),
         ("function f(){ let a; function g(a){ return a; } }", "g", []),
-        ("let top = 1; function g(){ return top; }", "g", []),
+        ("let top = 1; function g(){ return top; }", "g", [("top", 0)]),
+        ("let top = 1; function f(){ let a; function g(){ return top + a + f; } }", "g", [("a", 0), ("f", 1), ("top", 1)]),
+        ("let top = 1; top; function g(){ return other; }", "g", []),
         ("function f(){ let a; class C { m(){ return a + this.a; } } }", "m", [("a", 0)]),
         ("function f(){ let a, r = /a\\/[/]g/; let o = { a, k: 1, m(){ return a; } } }", "m", [("a", 0)]),
         ("function f(){ let a; function g(){ return `x${ a }y${ `z${a}` }`; } }", "g", [("a", 0)]),
@@ -64,3 +66,13 @@ def test_unreadable(bad):
 def test_division_and_regex():
     kinds = [t.kind for t in tokenize("a / b; return /x/g; (c) / 2; [/d/]")]
     assert kinds.count("regex") == 2
+
+
+def test_ten_thousand_arrows_in_one_another():
+    names = [f"a{i}" for i in range(10_000)]
+    found = scopes("let top; f(" + " => ".join(names) + " => a0 + a9998 + top)")
+    assert len(found) == 10_000
+    assert found[0]["slots"] == ["a0"] and [(c["name"], c["depth"]) for c in found[-1]["captures"]] == [("a9998", 0), ("a0", 1), ("top", 2)]
+    assert scopes("x = " + "[" * 20_000 + "]" * 20_000) == [] and scopes("(" * 20_000) is None
+    deep = "".join(f"function g{i}(){{ let v{i}; " for i in range(3000)) + "return v0;" + "}" * 3000
+    assert [s["slots"] for s in scopes(deep)][:2] == [["v0"], []]
