@@ -65,15 +65,16 @@ def _known(out: DataFrame, path: str) -> DataFrame:
     return out
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
+def stage(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet under the shared folder and return it reread.
 
     Later plans start from the files, so neither lineage nor a lost executor
     leads back through the work that made them. The files go when they are freed, when
-    the scratch scope ends that they were made in, or else when Python ends.
+    the scratch scope ends that they were made in, or else when Python ends. With ``by``, each
+    value of that column has a folder of its own, so that a filter on it reads that folder alone.
     """
     path = _new_path(df.sparkSession, label)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return _known(df.sparkSession.read.schema(df.schema).parquet(path), path)
 
 
