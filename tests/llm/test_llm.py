@@ -121,12 +121,28 @@ def test_exact_dedup(docs, none, words_):
     assert exact_dedup.exact_dedup(none).count() == 0
 
 
-def test_a_full_filter_changes_nothing(spark):
+def test_many_ranges_change_nothing(spark):
     df = spark.range(30000).select(F.col("id").alias("doc_id"), (F.col("id") % 20000).cast("string").alias("text"))
-    got = exact_dedup.exact_dedup(df, max_filter_words=8)
+    got = exact_dedup.exact_dedup(df, max_filter_words=1024)
     assert got.where("kept").count() == 20000 and got.where("group_size = 2").count() == 20000
 
 
+def test_few_singles_are_shuffled_at_any_size(spark):
+    """Ten times what one filter takes: 50,000 singles, 10,000 pairs, and a text that a third of all rows share."""
+    n = 105_000
+    text = F.when(F.col("id") < 50_000, F.col("id")).when(F.col("id") < 70_000, F.col("id") % 10_000 + 50_000).otherwise(F.lit(-1))
+    rows = spark.range(0, n, 1, 4).select(F.col("id").alias("_id"), F.unhex(F.sha2(text.cast("string").cast("binary"), 256)).alias("_digest"))
+    digests, ranges = exact_dedup.digest_ranges(rows, n, max_filter_words=1024, block_digests=4096)
+    assert ranges == 13
+    sent = exact_dedup.set_again(digests)
+    plan = sent._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and "Python" not in plan
+    tested = exact_dedup.maybe_repeated(digests, ranges, max_filter_words=1024)
+    assert tested.count() == n
+    assert tested.where("_id >= 50000 and not _maybe").isEmpty()
+    assert tested.where("_id < 50000 and _maybe").count() < 0.05 * 50_000
+
+
 def test_hot_groups_join_whole(spark):
     rows = spark.range(5000).select(F.when(F.col("id") < 3000, F.lit(0)).otherwise(F.col("id")).alias("k"), "id")
     groups = rows.groupBy("k").agg(F.count("*").alias("n"), F.max("id").alias("top"))
