@@ -14,7 +14,7 @@ from heaploom.operators.analyse import PARTS, analyse
 from heaploom.operators.edges import hop
 from heaploom.plans.staging import stage
 from heaploom.schema import GC_ROOTS
-from heaploom.sources import heapsnapshot
+from heaploom.sources import heapsnapshot, splits
 
 
 #: Nodes of a snapshot that one task analyses whole; larger ones are analysed in rounds.
@@ -30,8 +30,7 @@ class Snapshot:
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, weak_is_reachable: bool = False) -> Snapshot:
-        tables = heapsnapshot.tables_from_files(spark, path)
-        return cls({k: stage(v, f"snapshot-{k}") for k, v in tables.items()}, weak_is_reachable)
+        return cls(splits.load_tables(spark, path), weak_is_reachable)
 
     @classmethod
     def from_bytes(cls, spark: SparkSession, content: bytes, weak_is_reachable: bool = False) -> Snapshot:
