@@ -9,7 +9,8 @@ truncations are lookups in that table.
 
 No piece of the vocabulary has its word mark behind another character or joins letters
 to other characters, so such stretches are independent: the pass runs once per distinct
-stretch of a task and counts add up.
+stretch of a task and counts add up. Stretches new to a task are taken in order, so that
+the pass goes on from the prefix that a stretch shares with the one before.
 """
 
 from __future__ import annotations
@@ -23,8 +24,24 @@ from pyspark.sql import DataFrame
 from heaploom.llm.common import bounded_batches
 
 MARK = "▁"
-#: Distinct words remembered by one task.
+#: Words of a text with what follows them up to the next mark; no stretch reaches from one into another.
+WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+#: Distinct words and stretches remembered by one task, and the characters of the longest of them.
 CACHE_WORDS = 1_000_000
+CACHE_CHARS = 100
+#: Characters of texts whose new words are learnt together.
+BLOCK_CHARS = 4_000_000
+
+
+class _Known(dict[str, int]):
+    """Tokens of words. One that is not known counts nothing and is noted in ``new``."""
+
+    def __init__(self) -> None:
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self.new.append(word)
+        return 0
 
 
 class PrefixCounter:
@@ -45,8 +62,9 @@ class PrefixCounter:
         self.segment = self._pattern()
         self.suffixes = {p[i:] for p in self.rank for i in range(len(p))}
         self.pairs: dict[str, dict[str, bool]] = {}
-        self.own: dict[str, bool] = {}
-        self.words: dict[str, int] = {}
+        self.own: dict[str, int] = {}
+        self.traces: dict[str, list[tuple[float, str, str]]] = {}
+        self.words = _Known()
 
     def _pattern(self) -> re.Pattern[str]:
         """Stretches no piece reaches across: marks, then letters with what pieces join to letters, or other characters."""
@@ -64,14 +82,40 @@ class PrefixCounter:
 
     def merge(self, word: str) -> list[str]:
         """The definition: merge the best-scored adjacent pair, leftmost first, until none is left."""
-        parts = list(word)
+        return self._merges(word)[0]
+
+    def _merges(self, word: str) -> tuple[list[str], list[tuple[float, str, str]]]:
+        """Also each merge's score, with the first and the last part after it."""
+        parts, trace = list(word), []
         while len(parts) > 1:
             best = max(((self.rank.get(a + b, float("-inf")), -i) for i, (a, b) in enumerate(zip(parts, parts[1:]))))
             if best[0] == float("-inf"):
                 break
             i = -best[1]
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return parts
+            trace.append((best[0], parts[0], parts[-1]))
+        return parts, trace
+
+    def _trace(self, t: str) -> list[tuple[float, str, str]]:
+        """The merges of a token, and an end."""
+        found = self.traces.get(t)
+        if found is None:
+            found = self.traces[t] = [*self._merges(t)[1], (float("-inf"), t, t)]
+        return found
+
+    def _apart(self, a: str, b: str) -> bool:
+        """``merge(a + b) == [a, b]``: the merges of two tokens, best first, and none between them before both are whole."""
+        left, right, i, j, end, start = self._trace(a), self._trace(b), 0, 0, a[-1], b[0]
+        while True:
+            x, y, across = left[i][0], right[j][0], self.rank.get(end + start, float("-inf"))
+            if x >= y and x >= across and i < len(left) - 1:
+                end, i = left[i][2], i + 1
+            elif across >= y and across > float("-inf"):
+                return False
+            elif j < len(right) - 1:
+                start, j = right[j][1], j + 1
+            else:
+                return True
 
     def _stands(self, a: str, b: str) -> bool:
         known = self.pairs.get(a)
@@ -81,54 +125,73 @@ class PrefixCounter:
             known = self.pairs[a] = {}
         found = known.get(b)
         if found is None:
-            found = known[b] = self.merge(a + b) == [a, b]
+            found = known[b] = self._apart(a, b)
         return found
 
-    def _token(self, t: str) -> bool:
+    def _token(self, t: str) -> int:
+        """Tokens of a character, 1 for a longer token, 0 for what is none but may end one."""
         found = self.own.get(t)
         if found is None:
-            found = self.own[t] = len(t) == 1 or (t in self.rank and self.merge(t) == [t])
+            if len(t) > 1 and t not in self.suffixes:
+                raise AssertionError(f"no token ends with {t!r}")
+            found = self.own[t] = self._atom(t) if len(t) == 1 else int(t in self.rank and self.merge(t) == [t])
         return found
 
     def word_prefixes(self, word: str) -> list[int]:
         """Token count of every prefix of a stretch (its spaces written as marks)."""
         spaces = len(word) - len(word.lstrip(MARK))
         if spaces < 2:
-            return self._pass(word)[0]
+            return self._pass(word, [0], [""])[0]
         # Marks have one score, so among themselves the leftmost pair merges and their counts come
         # from the length of the run; its last mark may instead join what follows it.
         runs = self._runs(spaces)
-        count, alone = self._pass(word[spaces - 1 :])
+        count, last = self._pass(word[spaces - 1 :], [0], [""])
+        alone = [False, True]  # whether the first token of a prefix is a mark alone
+        for i in range(2, len(last)):
+            alone.append(alone[i - len(last[i])])
         return runs + [runs[spaces] + n - 1 if a else runs[spaces - 1] + n for n, a in zip(count[2:], alone[2:])]
 
-    def _pass(self, word: str) -> tuple[list[int], list[bool]]:
-        """The dynamic program; with each count, whether the first token is a mark alone."""
-        count, last, alone = [0], [""], [False]
-        suffixes, own, pairs, none = self.suffixes, self.own, self.pairs, {}
-        for i in range(1, len(word) + 1):
+    def _pass(self, word: str, count: list[int], last: list[str]) -> tuple[list[int], list[str]]:
+        """The dynamic program: goes on, in place, from the counts and last tokens of a word's first prefixes."""
+        own, pairs, none = self.own, self.pairs, {}
+        for i in range(len(count), len(word) + 1):
             at = i
             while at:
                 at -= 1
                 t = word[at:i]
-                if at < i - 1 and t not in suffixes:
-                    raise AssertionError(f"no last token at {i} of {word!r}")
-                good = own.get(t)
-                if good is None:
-                    good = self._token(t)
-                if not good:
+                size = own.get(t)
+                if size is None:
+                    size = self._token(t)
+                if not size:
                     continue
                 if at:
-                    good = pairs.get(last[at], none).get(t)
-                    if good is None:
-                        good = self._stands(last[at], t)
-                if good:
-                    count.append(count[at] + (1 if at < i - 1 else self._atom(t)))
-                    last.append(t)
-                    alone.append(alone[at] if at else t == MARK)
-                    break
+                    stands = pairs.get(last[at], none).get(t)
+                    if stands is None:
+                        stands = self._stands(last[at], t)
+                    if not stands:
+                        continue
+                count.append(count[at] + size)
+                last.append(t)
+                break
             else:
                 raise AssertionError(f"no last token at {i} of {word!r}")
-        return count, alone
+        return count, last
+
+    def _learn(self, segments: set[str]) -> None:
+        """Remembers the tokens of stretches; a prefix that neighbours share is worked out once."""
+        before, count, last = "", [0], [""]
+        for s in sorted(segments):
+            if s.startswith(MARK * 2):
+                self.words[s] = self.word_prefixes(s)[-1]
+                continue
+            n = 1
+            for a, b in zip(before, s):
+                if a != b:
+                    break
+                n += 1
+            del count[n:], last[n:]
+            self.words[s] = self._pass(s, count, last)[0][-1]
+            before = s
 
     def _runs(self, n: int) -> list[int]:
         top = max((len(p) for p in self.rank if not p.strip(MARK)), default=1)
@@ -143,28 +206,60 @@ class PrefixCounter:
 
     def count(self, text: str | None) -> int:
         """Tokens of a whole text; null counts as empty."""
-        return sum(map(self._whole, self.segments(text or "")))
+        return self.counts([text])[0]
+
+    def counts(self, texts: list[str | None]) -> list[int]:
+        """Tokens of whole texts; null counts as empty."""
+        out, start, chars = [], 0, 0
+        for end, text in enumerate(texts, 1):
+            chars += len(text or "")
+            if chars >= BLOCK_CHARS or end == len(texts):
+                out += self._block(texts[start:end])
+                start, chars = end, 0
+        return out
+
+    def _block(self, texts: list[str | None]) -> list[int]:
+        known = self.words
+        if len(known) >= CACHE_WORDS:
+            known.clear()
+        out, new = [], []
+        for text in texts:
+            out.append(sum(map(known.__getitem__, WORD.findall(MARK + text.replace(" ", MARK)))) if text else 0)
+            new.append(known.new)
+            known.new = []
+        words = set().union(*new)
+        cut = {w: self.segment.findall(w) for w in words}
+        segments = set().union(*cut.values()).difference(known)
+        self._learn(segments)
+        known.update((w, sum(map(known.__getitem__, s))) for w, s in cut.items() if len(s) > 1)
+        out = [n + sum(map(known.__getitem__, w)) for n, w in zip(out, new)]
+        for w in words | segments:
+            if len(w) > CACHE_CHARS:
+                del known[w]
+        return out
 
     def _whole(self, segment: str) -> int:
         n = self.words.get(segment)
-        if n is None:
-            if len(self.words) >= CACHE_WORDS:
-                self.words.clear()
-            n = self.words[segment] = self.word_prefixes(segment)[-1]
-        return n
+        return self.word_prefixes(segment)[-1] if n is None else n
 
     def within(self, text: str | None, budget: int) -> int:
         """Characters of the longest prefix that encodes to ``budget`` tokens at most: only the stretch that holds its end is looked at by prefixes."""
-        at, base, best = -1, 0, 0
-        for s in self.segments(text or ""):
-            if base > budget:
-                break
-            n = self._whole(s)
-            if base + n <= budget:
-                best = at + len(s)
-            else:
-                best = max([best, *(at + j for j, c in enumerate(self.word_prefixes(s)) if j and base + c <= budget)])
-            at, base = at + len(s), base + n
+        base, best, known = 0, 0, self.words
+        for m in WORD.finditer(MARK + text.replace(" ", MARK)) if text else ():
+            n = known.get(m[0])
+            if n is not None and base + n <= budget:
+                base, best = base + n, m.end() - 1
+                continue
+            at = m.start() - 1
+            for s in self.segment.findall(m[0]):
+                if base > budget:
+                    return best
+                n = self._whole(s)
+                if base + n <= budget:
+                    best = at + len(s)
+                else:
+                    best = max([best, *(at + j for j, c in enumerate(self.word_prefixes(s)) if j and base + c <= budget)])
+                at, base = at + len(s), base + n
         return best
 
     def prefixes(self, text: str | None) -> list[int]:
@@ -198,7 +293,7 @@ def count_tokens(docs: DataFrame, model_file: str, text: str = "text", key: str
         counter = PrefixCounter(model_file)
         for b in batches:
             texts = [x or "" for x in b.column(1).to_pylist()]
-            n = [counter.count(x) for x in texts]
+            n = counter.counts(texts)
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column(0),

@@ -93,6 +93,51 @@ def test_where_a_budget_ends():
     assert own.within(None, 5) == 0
 
 
+def test_shared_prefixes_are_worked_out_once():
+    class Asked(dict):
+        n = 0
+
+        def get(self, *key):
+            Asked.n += 1
+            return super().get(*key)
+
+    lib, own = library(), token_counts.PrefixCounter(MODEL)
+    own.own = Asked()
+    words_ = ["thetioningsherwhatendthemore" + a + b for a in "abcdefghijklmnopqrst" for b in "aeiouy"]
+    text = " ".join(words_)
+    assert own.count(text) == len(lib.encode(text))
+    assert Asked.n < len(text)  # one question a character, at least, if each word is read from its start
+
+
+def test_token_pairs_stand_where_merging_keeps_them():
+    rng, own = random.Random(3), token_counts.PrefixCounter(MODEL)
+    tokens = [t for t in sorted(own.rank) if own.merge(t) == [t]]
+    found = []
+    for a, b in ((rng.choice(tokens), rng.choice(tokens)) for _ in range(4000)):
+        found.append(own._apart(a, b))
+        assert found[-1] == (own.merge(a + b) == [a, b]), (a, b)
+    for t in rng.sample(tokens, 400):
+        for i in range(1, len(t)):
+            if own.merge(t[:i]) == [t[:i]] and own.merge(t[i:]) == [t[i:]]:
+                found.append(own._apart(t[:i], t[i:]))
+                assert found[-1] == (own.merge(t) == [t[:i], t[i:]]), (t, i)
+    assert {True, False} == set(found)
+
+
+@pytest.mark.parametrize("bounds", [{}, {"CACHE_WORDS": 5, "CACHE_CHARS": 3, "BLOCK_CHARS": 30}])
+def test_counts_of_many_texts(monkeypatch, bounds):
+    for k, v in bounds.items():
+        monkeypatch.setattr(token_counts, k, v)
+    rng, lib, own = random.Random(11), library(), token_counts.PrefixCounter(MODEL)
+    parts = ["the", "ing", "Tionthe", " ", "  ", "\n", " \n", "é", "日", "日本語", ".", "!!", "</s>", "a", "ß", "\t", "😀", "12", "▁", "▁▁", "\x00"]
+    texts = [None, "", " ", "   ", "▁", *("".join(rng.choice(parts) for _ in range(rng.randint(0, 20))) for _ in range(300)), "日本語" * 90]
+    for _ in range(2):
+        assert own.counts(texts) == [len(lib.encode(t or "")) for t in texts]
+    for t in texts:
+        assert [own.within(t, n) for n in (0, 1, 4, 9)] == [token_counts.chars_within(own.prefixes(t), n) for n in (0, 1, 4, 9)]
+    assert own.counts([]) == [] and not any(len(w) > token_counts.CACHE_CHARS for w in own.words)
+
+
 def test_truncation_needs_no_encoding(docs):
     lib = library()
     texts = dict(awkward())
