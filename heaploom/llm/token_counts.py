@@ -34,14 +34,32 @@ BLOCK_CHARS = 4_000_000
 
 
 class _Known(dict[str, int]):
-    """Tokens of words. One that is not known counts nothing and is noted in ``new``."""
+    """Tokens of words. One that is not known counts nothing and is noted in ``new``.
+
+    When half the words that may be remembered are here, they become ``old``; of those, words
+    that are used again come back and the others are forgotten the next time.
+    """
 
     def __init__(self) -> None:
         self.new: list[str] = []
+        self.old: dict[str, int] = {}
 
     def __missing__(self, word: str) -> int:
-        self.new.append(word)
-        return 0
+        n = self.old.get(word)
+        if n is None:
+            self.new.append(word)
+            return 0
+        self[word] = n
+        return n
+
+    def age(self) -> None:
+        if len(self) >= CACHE_WORDS // 2:
+            self.old = dict(self)
+            self.clear()
+
+    def find(self, word: str) -> int | None:
+        n = self.get(word)
+        return self.old.get(word) if n is None else n
 
 
 class PrefixCounter:
@@ -220,8 +238,7 @@ class PrefixCounter:
 
     def _block(self, texts: list[str | None]) -> list[int]:
         known = self.words
-        if len(known) >= CACHE_WORDS:
-            known.clear()
+        known.age()
         out, new = [], []
         for text in texts:
             out.append(sum(map(known.__getitem__, WORD.findall(MARK + text.replace(" ", MARK)))) if text else 0)
@@ -229,7 +246,7 @@ class PrefixCounter:
             known.new = []
         words = set().union(*new)
         cut = {w: self.segment.findall(w) for w in words}
-        segments = set().union(*cut.values()).difference(known)
+        segments = set().union(*cut.values()).difference(known).difference(known.old)
         self._learn(segments)
         known.update((w, sum(map(known.__getitem__, s))) for w, s in cut.items() if len(s) > 1)
         out = [n + sum(map(known.__getitem__, w)) for n, w in zip(out, new)]
@@ -239,7 +256,7 @@ class PrefixCounter:
         return out
 
     def _whole(self, segment: str) -> int:
-        n = self.words.get(segment)
+        n = self.words.find(segment)
         return self.word_prefixes(segment)[-1] if n is None else n
 
     def within(self, text: str | None, budget: int) -> int:
@@ -247,6 +264,8 @@ class PrefixCounter:
         base, best, known = 0, 0, self.words
         for m in WORD.finditer(MARK + text.replace(" ", MARK)) if text else ():
             n = known.get(m[0])
+            if n is None:
+                n = known.old.get(m[0])
             if n is not None and base + n <= budget:
                 base, best = base + n, m.end() - 1
                 continue

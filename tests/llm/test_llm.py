@@ -138,6 +138,18 @@ def test_counts_of_many_texts(monkeypatch, bounds):
     assert own.counts([]) == [] and not any(len(w) > token_counts.CACHE_CHARS for w in own.words)
 
 
+def test_words_in_use_are_not_forgotten(monkeypatch):
+    monkeypatch.setattr(token_counts, "CACHE_WORDS", 300)
+    lib, own, learnt, most = library(), token_counts.PrefixCounter(MODEL), [], 0
+    learn = own._learn
+    monkeypatch.setattr(own, "_learn", lambda segments: (learnt.extend(segments), learn(segments)))
+    for i in range(30):
+        text = "evergreen " + " ".join(f"{chr(97 + i % 26)}{chr(97 + j % 26)}{'aeiou'[j // 26]}{'xyz'[i // 13]}" for j in range(100))
+        assert own.counts([text, "evergreen"]) == [len(lib.encode(text)), len(lib.encode("evergreen"))]
+        most = max(most, len(own.words) + len(own.words.old))
+    assert learnt.count("▁evergreen") == 1 and len(learnt) > 1000 and most < 600
+
+
 def test_truncation_needs_no_encoding(docs):
     lib = library()
     texts = dict(awkward())
