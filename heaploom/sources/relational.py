@@ -12,6 +12,7 @@ from collections.abc import Collection
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from heaploom.plans.staging import stage
 from heaploom.schema import EDGES, GC_ROOTS, NODES
 
 KINDS = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
@@ -35,8 +36,13 @@ def lineitems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.withColumn("ord", (node_id("lineitem", F.col("l_orderkey") * LINES + F.col("_rank") % LINES) + further).cast("long")).drop("_rank")
 
 
-def star_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nodes of the star schema; a row's size is a small integer of its own."""
+def ranked_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What nodes and edges need of the line items, written, so that these are ranked once for both."""
+    return stage(lineitems(spark, sf_dir).select("ord", "l_orderkey", "l_suppkey", "l_partkey", "l_linenumber"), "lines")
+
+
+def star_nodes(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:
+    """Nodes of the star schema; a row's size is a small integer of its own. ``lines``: of ``ranked_lines``."""
 
     def rows(kind: str, key: str, size: Column, df: DataFrame | None = None) -> DataFrame:
         df = read(spark, sf_dir, kind) if df is None else df
@@ -52,7 +58,7 @@ def star_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows("supplier", "s_suppkey", F.length("s_name")),
         rows("part", "p_partkey", F.col("p_size")),
         rows("orders", "o_orderkey", F.length("o_orderpriority")),
-        rows("lineitem", "l_orderkey", F.col("l_linenumber"), lineitems(spark, sf_dir)),
+        rows("lineitem", "l_orderkey", F.col("l_linenumber"), lineitems(spark, sf_dir) if lines is None else lines),
     ]
     out = made[0]
     for m in made[1:]:
@@ -61,10 +67,10 @@ def star_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.lit(1).cast("long").alias("snapshot_id"), "ord", "type", "name", (F.col("ord") * 2 + 1).alias("id"), "self_size", F.lit(0).cast("long").alias("edge_count"), F.lit(None).cast("int").alias("raw_detachedness"), F.lit(None).cast("long").alias("trace_node_id")).to(_schema(NODES))
 
 
-def star_edges(spark: SparkSession, sf_dir: str, with_parts: bool = False, weak_supplier: bool = False, names: Collection[str] | None = None) -> DataFrame:
+def star_edges(spark: SparkSession, sf_dir: str, with_parts: bool = False, weak_supplier: bool = False, names: Collection[str] | None = None, lines: DataFrame | None = None) -> DataFrame:
     """Foreign keys as property edges; optionally parts lead to line items, or suppliers hold them weakly.
 
-    With ``names`` only the edges of these names are made, and no table is read for others.
+    With ``names`` only the edges of these names are made, and no table is read for others. ``lines``: of ``ranked_lines``.
     """
 
     def link(df: DataFrame, src: Column, dst: Column, name: str, kind: str = "property") -> DataFrame:
@@ -87,7 +93,7 @@ def star_edges(spark: SparkSession, sf_dir: str, with_parts: bool = False, weak_
     if names is not None:
         made = made[:1] + [m for n, m in zip(("region", "part", "nation", "customer", "supplier", "order"), made[1:], strict=True) if n in names]
     if legs:
-        lines = lineitems(spark, sf_dir)
+        lines = lineitems(spark, sf_dir) if lines is None else lines
         made.append(lines.select(F.inline(F.array(*[F.struct(node_id(kind, F.col(k)).alias("src"), F.col("ord").alias("dst"), F.lit(t).alias("type"), F.lit(n).alias("name")) for kind, k, n, t in legs]))))
     out = made[0] if names is None else made[0].where(F.lit(False))
     for m in made[1:]:

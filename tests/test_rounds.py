@@ -141,3 +141,23 @@ def test_paths_double(spark):
     got = {r["ord"]: r["path"] for r in rounds.paths_of(spark.createDataFrame(parents, "ord bigint, parent bigint"), 0, "doubling").collect()}
     assert got == {i: list(range(i + 1)) if i < 40 else [*range(i % 7 + 1), i] for i in range(60)}
     assert np.sum([len(p) for p in got.values()]) > 800
+
+
+def test_what_leads_nowhere_takes_no_part_in_the_rounds(spark, monkeypatch):
+    """Hubs that hold leaves, alone or two by two: only hubs get paths, and leaves hang where the kernel hangs them."""
+    h = Heap()
+    h.add("hub", size=1).link("R", "hub")
+    for i in range(10):
+        h.add(f"h{i}", size=2).link("hub", f"h{i}")
+    for i in range(200):
+        h.add(f"l{i}", size=3).link(f"h{i % 10}", f"l{i}")
+        if i % 3:
+            h.link(f"h{i % 7}", f"l{i}").link("hub", f"l{i}") if i % 5 == 0 else h.link(f"h{i % 7}", f"l{i}")
+    nodes, edges = tables(spark, h)
+    rows, plain = {}, rounds.stage
+    monkeypatch.setattr(rounds, "stage", lambda df, label, *by: rows.setdefault(label, (t := plain(df, label, *by), t.count()))[0])
+    got = in_rounds(nodes, edges, parts=["dominators", "retained"], label="leaves")
+    got = {r["ord"]: (r["idom"], r["dom_depth"], r["retained_size"]) for r in got.collect()}
+    assert max(n for label, (_, n) in rows.items() if "path" in label) == 12
+    want = {r["ord"]: (r["idom"], r["dom_depth"], r["retained_size"]) for r in analyse(nodes, edges).collect()}
+    assert got == want
