@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from heaploom.functions import formats
 from heaploom.operators import edges as E
 from heaploom.operators import grouping, leaks, locations, naming, realms, trees
-from heaploom.operators.analyse import analyse
+from heaploom.operators.analyse import NESTING, analyse
 from heaploom.plans import fixpoint
 from heaploom.schema import EDGES, GC_ROOTS, NODES, UNREACHABLE_BASE
 from heaploom.sources.relational import read
@@ -315,17 +315,17 @@ _PAGE_GROUPS = """SELECT '<DIV>' AS name, c_custkey % 3 AS state, 3 AS size, 1 A
 
 @query(f"SELECT name, count(*) AS count, CAST(min(distance) AS BIGINT) AS distance, CAST(sum(size) AS BIGINT) AS self_size FROM ({_PAGE_GROUPS}) WHERE state = 2 GROUP BY 1")
 def q51_summary_detached(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grouping.summary(analysed(spark, *page_heap(spark, sf_dir), "pages", "distance", "retained", "preorder", "states"), grouping.FILTERS["detached"]).select("name", "count", "distance", "self_size")
+    return grouping.summary(analysed(spark, *page_heap(spark, sf_dir), "pages", "distance", "retained", NESTING, "states"), grouping.FILTERS["detached"]).select("name", "count", "distance", "self_size")
 
 
 @query(f"SELECT name, count(*) AS count, CAST(sum(size) AS BIGINT) AS self_size FROM ({_PAGE_GROUPS}) WHERE state = 1 GROUP BY 1")
 def q52_summary_attached(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grouping.summary(analysed(spark, *page_heap(spark, sf_dir), "pages", "distance", "retained", "preorder", "states"), grouping.FILTERS["attached"]).select("name", "count", "self_size")
+    return grouping.summary(analysed(spark, *page_heap(spark, sf_dir), "pages", "distance", "retained", NESTING, "states"), grouping.FILTERS["attached"]).select("name", "count", "self_size")
 
 
 @query(f"SELECT 'Lost' AS name, count(*) AS count, CAST({UNREACHABLE_BASE} AS BIGINT) AS distance, CAST(11 * count(*) AS BIGINT) AS self_size, CAST(24 * count(*) AS BIGINT) AS retained_size FROM supplier UNION ALL SELECT '(array)', count(*), {UNREACHABLE_BASE + 1}, 13 * count(*), 13 * count(*) FROM supplier")
 def q53_summary_unreachable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grouping.summary(analysed(spark, *page_heap(spark, sf_dir), "pages", "distance", "retained", "preorder"), grouping.FILTERS["unreachable"]).select("name", "count", "distance", "self_size", "retained_size")
+    return grouping.summary(analysed(spark, *page_heap(spark, sf_dir), "pages", "distance", "retained", NESTING), grouping.FILTERS["unreachable"]).select("name", "count", "distance", "self_size", "retained_size")
 
 
 @query(
@@ -362,7 +362,7 @@ def q56_context_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT name, count(*) AS count, CAST(sum(size) AS BIGINT) AS self_size FROM (SELECT 'Order' AS name, length(o_orderpriority) AS size FROM orders UNION ALL SELECT 'system / Context', 20 FROM customer) GROUP BY 1")
 def q57_summary_by_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grouping.summary(analysed(spark, *context_heap(spark, sf_dir), "contexts", "distance", "retained", "preorder", "states"), grouping.FILTERS["retained-by-contexts"]).select("name", "count", "self_size")
+    return grouping.summary(analysed(spark, *context_heap(spark, sf_dir), "contexts", "distance", "retained", NESTING, "states"), grouping.FILTERS["retained-by-contexts"]).select("name", "count", "self_size")
 
 
 @query("SELECT CAST(5000000000 + c_nationkey AS BIGINT) AS scope, count(DISTINCT c_custkey) AS count, CAST(20 * count(DISTINCT c_custkey) + coalesce(sum(length(o_orderpriority)), 0) AS BIGINT) AS retained_size FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1 UNION ALL SELECT NULL, count(*), 6 * count(*) FROM supplier")

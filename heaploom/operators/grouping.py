@@ -44,10 +44,11 @@ def outermost(nodes_x: DataFrame, key: str = "class_key") -> DataFrame:
 def summary(nodes_x: DataFrame, where: Column | str = "true", key: str = "class_key") -> DataFrame:
     """Groups: key, name, count, distance, self_size, retained_size, first_seen.
 
-    The filter comes first, so nodes outside it or of no size hide nothing.
+    The filter comes first, so nodes outside it or of no size hide nothing. Members that share an
+    interval, as childless ones below the same node do where intervals only nest, are added up first.
     """
-    inside = outermost(nodes_x.where(where).where("self_size > 0"), key)
-    groups = inside.groupBy(key).agg(F.first("group_name").alias("name"), F.count(F.lit(1)).alias("count"), F.min("distance").alias("distance"), F.sum("self_size").alias("self_size"), F.sum(F.when(F.col("outer"), F.col("retained_size")).otherwise(0)).alias("retained_size"), F.min("ord").alias("_first"))
+    alike = nodes_x.where(where).where("self_size > 0").groupBy(key, "tin", "tout").agg(F.first("group_name").alias("_shown"), F.count(F.lit(1)).alias("_n"), F.min("distance").alias("distance"), F.sum("self_size").alias("self_size"), F.sum("retained_size").alias("retained_size"), F.min("ord").alias("_first"))
+    groups = outermost(alike, key).groupBy(key).agg(F.first("_shown").alias("name"), F.sum("_n").alias("count"), F.min("distance").alias("distance"), F.sum("self_size").alias("self_size"), F.sum(F.when(F.col("outer"), F.col("retained_size")).otherwise(0)).alias("retained_size"), F.min("_first").alias("_first"))
     return groups.withColumn("first_seen", (F.row_number().over(Window.orderBy("_first")) - 1).cast("long")).drop("_first")
 
 

@@ -89,7 +89,8 @@ def containment(nodes: DataFrame, edges: DataFrame, root: int, depth: int = 1, p
 def dominator_chain(nodes_x: DataFrame, ord_: int) -> DataFrame:
     """The node and all that dominate it, nearest first: intervals that hold its own."""
     x = F.broadcast(nodes_x.where(F.col("ord") == ord_).select(F.col("tin").alias("_a"), F.col("tout").alias("_b")).limit(1))
-    return nodes_x.join(x, (F.col("tin") <= F.col("_a")) & (F.col("tout") >= F.col("_b"))).drop("_a", "_b").orderBy(F.desc("dom_depth"))
+    # the interval of a node with nothing below it may be empty
+    return nodes_x.join(x, ((F.col("tin") <= F.col("_a")) & (F.col("tout") >= F.greatest("_a", "_b"))) | (F.col("ord") == ord_)).drop("_a", "_b").orderBy(F.desc("dom_depth"))
 
 
 def dominated_children(nodes_x: DataFrame, ord_: int, offset: int = 0, limit: int = 100) -> DataFrame:

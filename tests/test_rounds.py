@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from heaploom.operators import grouping, trees
 from heaploom.operators.analyse import PARTS, analyse, in_rounds
 from heaploom.plans import fixpoint, rounds
 from heaploom.plans.staging import bucketed
@@ -161,3 +162,16 @@ def test_what_leads_nowhere_takes_no_part_in_the_rounds(spark, monkeypatch):
     assert max(n for label, (_, n) in rows.items() if "path" in label) == 12
     want = {r["ord"]: (r["idom"], r["dom_depth"], r["retained_size"]) for r in analyse(nodes, edges).collect()}
     assert got == want
+
+
+def test_nesting(spark):
+    """Intervals that only nest give the same summary and the same chains as the preorder does."""
+    nodes, edges = tables(spark, tangle(5))
+    whole, nested = analyse(nodes, edges), analyse(nodes, edges, parts=["dominators", "retained", "distance", "interfaces", "nesting"])
+    by_class = lambda x: sorted(map(tuple, grouping.summary(x).collect()), key=repr)
+    assert by_class(whole) == by_class(nested)
+    deep = [r["ord"] for r in whole.orderBy(F.desc("dom_depth"), "ord").limit(2).collect()]
+    leaf = whole.where("tin = tout").orderBy("ord").first()["ord"]
+    for v in [*deep, leaf]:
+        a, b = ([r["ord"] for r in trees.dominator_chain(t, v).collect()] for t in (whole, nested))
+        assert a == b and a[0] == v
