@@ -292,7 +292,7 @@ def q48_weak_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT CAST(n_nationkey AS BIGINT) AS nation, CAST(10 + coalesce(sum(length(o_orderpriority)), 0) AS BIGINT) AS retained_size FROM nation LEFT JOIN (customer JOIN orders ON o_custkey = c_custkey) ON c_nationkey = n_nationkey GROUP BY 1")
 def q49_weak_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analysed(spark, *weak_map_heap(spark, sf_dir), "weak-maps").where("name = 'WeakMap'").select((F.col("ord") - KIND).alias("nation"), "retained_size")
+    return analysed(spark, *weak_map_heap(spark, sf_dir), "weak-maps", "retained").where("name = 'WeakMap'").select((F.col("ord") - KIND).alias("nation"), "retained_size")
 
 
 def page_heap(spark: SparkSession, sf_dir: str) -> tuple[list[DataFrame], list[DataFrame]]:
