@@ -368,7 +368,7 @@ def q57_summary_by_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT CAST(5000000000 + c_nationkey AS BIGINT) AS scope, count(DISTINCT c_custkey) AS count, CAST(20 * count(DISTINCT c_custkey) + coalesce(sum(length(o_orderpriority)), 0) AS BIGINT) AS retained_size FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1 UNION ALL SELECT NULL, count(*), 6 * count(*) FROM supplier")
 def q58_context_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges = context_heap(spark, sf_dir)
-    return realms.context_groups(analysed(spark, nodes, edges, "contexts"), joined(edges), 7)
+    return realms.context_groups(analysed(spark, nodes, edges, "contexts", "retained"), joined(edges), 7)
 
 
 @query("SELECT 1000000000 + o_custkey AS ctx, string_agg(left(o_orderpriority, 1), ',' ORDER BY o_orderpriority) AS vars FROM orders GROUP BY 1")
